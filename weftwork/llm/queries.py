@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, exact_dedup
 from .common import table
 
 
@@ -15,8 +15,13 @@ def op4_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_patricia_exact_dedup": op4_patricia_exact_dedup,
+    "op7_bpe_transducer": op7_bpe_transducer,
 }
 
 SQL: dict[str, str] = {
