@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup
-from .common import table
+from . import bpe, exact_dedup, token_files
+from .common import scratch_path, table
 
 
 def op4_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,16 @@ def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
+    return token_files.read_digests(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_patricia_exact_dedup": op4_patricia_exact_dedup,
     "op7_bpe_transducer": op7_bpe_transducer,
+    "op10_arrow_token_files": op10_arrow_token_files,
 }
 
 SQL: dict[str, str] = {
