@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, token_files
+from . import bpe, exact_dedup, minhash, token_files
 from .common import scratch_path, table
 
 
@@ -19,6 +19,10 @@ def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
@@ -28,6 +32,7 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_patricia_exact_dedup": op4_patricia_exact_dedup,
     "op7_bpe_transducer": op7_bpe_transducer,
+    "op8_hyperminhash_near_dedup": op8_hyperminhash_near_dedup,
     "op10_arrow_token_files": op10_arrow_token_files,
 }
 
