@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, minhash, token_files
+from . import bpe, decontaminate, exact_dedup, minhash, token_files
 from .common import scratch_path, table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.pairs(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op4_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -30,6 +35,7 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op4_patricia_exact_dedup": op4_patricia_exact_dedup,
     "op7_bpe_transducer": op7_bpe_transducer,
     "op8_hyperminhash_near_dedup": op8_hyperminhash_near_dedup,
