@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, minhash, token_files
-from .common import scratch_path, table
+from . import bpe, decontaminate, exact_dedup, minhash, quality, token_files, toxicity
+from .common import fold_of, scratch_path, table
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,11 +16,23 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.pairs(docs, table(spark, sf_dir, "benchmark"))
 
 
+def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep_text=False)
+
+
 def op4_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), allowed=fold_of(F.col("_key"), 4) != 2)
+    out = quality.classify(docs, model, keep_text=False)
+    return out.select("doc_id", (fold_of(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -36,7 +49,9 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_ordinal_toxicity": op2_ordinal_toxicity,
     "op4_patricia_exact_dedup": op4_patricia_exact_dedup,
+    "op6_factorisation_quality": op6_factorisation_quality,
     "op7_bpe_transducer": op7_bpe_transducer,
     "op8_hyperminhash_near_dedup": op8_hyperminhash_near_dedup,
     "op10_arrow_token_files": op10_arrow_token_files,
