@@ -31,6 +31,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -44,8 +45,8 @@ from . import common
 
 #: The vocabulary file, by its name in the public_tokenizers package; a path does as well.
 TOKENIZER = "word_bpe_49k.json"
-#: Words and chunks kept by a worker, in each of two generations.
-CACHE = 150_000
+#: Words, and chunks, that a worker keeps in the younger of two generations.
+CACHE = 350_000
 #: Chunks and words above this length are not kept.
 CACHE_CHARS = 64
 #: Characters of a text worked on at a time.
@@ -139,98 +140,137 @@ class MergeTable:
         return tuple(chain.from_iterable(self.stream([raw])))
 
 
-class _Cache:
-    """A bounded map in two generations."""
+class Chunks:
+    """Texts to packed ids, through bounded maps from chunks and from words to ids.
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def put(self, key: str, value: tuple) -> None:
-        if len(self.young) >= self.most:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
-class Encoder:
-    """The transducer over whole texts, one per worker and vocabulary file."""
+    `words_to_ids` gets words not met lately, a group of texts at a time; a subclass says how.
+    Maps have two generations: when the younger is full it becomes the older, and what is
+    asked for again moves back.
+    """
 
     def __init__(self, path: str = TOKENIZER, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(resolve(path))
+        self.library.no_truncation()
+        self.library.no_padding()
         with open(resolve(path), encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.table = MergeTable(model["vocab"], pairs, model.get("end_of_word_suffix") or "")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            self.spec = json.load(f)
+        self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.split = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
-        marks = byte_alphabet()
-        self.byte_of = {m: b for b, m in enumerate(marks)}
-        self.names = [""] * (1 + max([*model["vocab"].values(), *self.special.values()]))
-        for name, i in chain(model["vocab"].items(), self.special.items()):
+        self.split = regex.compile(next(p["pattern"]["Regex"] for p in self.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        vocab = self.spec["model"]["vocab"]
+        self.names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
+        for name, i in chain(vocab.items(), self.special.items()):
             self.names[i] = name
-        self.chunks, self.words = _Cache(cache), _Cache(cache)
-
-    def _word(self, word: str, raw: bytes) -> tuple[int, ...]:
-        hit = self.words.young.get(word) or self.words.old.get(word)
-        if hit is None:
-            hit = self.table.word(raw)
-        if len(word) <= CACHE_CHARS and word not in self.words.young:
-            self.words.put(word, hit)
-        return hit
-
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Ids of text without special tokens."""
-        if text.isascii() or max(text) < "ɐ":
-            for m in self.split.finditer(text.lower()):
-                yield self._word(m[0], m[0].encode())
-            return
-        for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
-            yield self._word("\0" + piece, bytes(map(self.byte_of.__getitem__, piece)))
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        hit = self.chunks.old.get(chunk)
-        if hit is None:
-            parts: list[tuple[int, ...]] = []
-            for piece in self.cut.split(chunk) if self.cut and "<" in chunk else (chunk,):
+        self.code = "H" if len(self.names) <= 1 << 16 else "I"
+        self.cache = cache
+        self.chunks: list[dict[str, bytes]] = [{}, {}]
+        self.words: list[dict[str, bytes]] = [{}, {}]
+
+    def pack(self, ids: Iterable[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def unpack(self, raw: bytes) -> list[int]:
+        return memoryview(raw).cast(self.code).tolist()
+
+    def words_to_ids(self, words: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def odd(self, text: str) -> bytes:
+        """Ids of a text or chunk outside the plain rules."""
+        raise NotImplementedError
+
+    def _resolve(self, missing: Iterable[str]) -> dict[str, bytes]:
+        old = self.chunks[1]
+        now = {c: old.get(c) for c in missing}
+        parts: dict[str, list[str | bytes]] = {}
+        for c in [c for c, x in now.items() if x is None]:
+            got: list[str | bytes] = []
+            for piece in self.cut.split(c) if self.cut and "<" in c else (c,):
                 if piece in self.special:
-                    parts.append((self.special[piece],))
+                    got.append(self.pack([self.special[piece]]))
+                elif piece and (piece.isascii() or max(piece) < "\u0250"):
+                    got.extend(self.split.findall(piece.lower()))
                 elif piece:
-                    parts.extend(self._plain(piece))
-            hit = tuple(chain.from_iterable(parts))
-        if len(chunk) <= CACHE_CHARS:
-            self.chunks.put(chunk, hit)
-        return hit
-
-    def stream(self, text: str | None) -> Iterator[list[int]]:
-        """Ids of a text, slice by slice; slices end at white space."""
-        if not text:
-            return
-        if _ODD_SPACE.search(text):
-            yield list(self._chunk(text))
-            return
-        at = 0
-        while at < len(text):
-            end = at + SLICE
-            if end < len(text):
-                while end < len(text) and not text[end].isspace():
+                    got.append(self.odd(piece))
+            parts[c] = got
+        young, old = self.words
+        wanted = {w: old.get(w) for got in parts.values() for w in got if isinstance(w, str) and w not in young}
+        fresh = [w for w, x in wanted.items() if x is None]
+        wanted.update(zip(fresh, self.words_to_ids(fresh), strict=True))
+        for c, got in parts.items():
+            now[c] = b"".join(x if isinstance(x, bytes) else wanted[x] if x in wanted else young[x] for x in got)
+        young.update((w, x) for w, x in wanted.items() if len(w) <= CACHE_CHARS)
+        self.chunks[0].update((c, x) for c, x in now.items() if len(c) <= CACHE_CHARS)
+        for maps in (self.words, self.chunks):
+            if len(maps[0]) > self.cache:
+                maps[:] = [{}, maps[0]]
+        return now
+
+    def _group(self, units: list[tuple[int, str]]) -> Iterator[tuple[int, bytes]]:
+        split = [(i, None if _ODD_SPACE.search(t) else t.split()) for i, t in units]
+        young = self.chunks[0].get
+        found = [[] if chunks is None else list(map(young, chunks)) for _, chunks in split]
+        missing = {c for (_, chunks), f in zip(split, found, strict=True) if None in f for c, x in zip(chunks, f, strict=True) if x is None}
+        now = self._resolve(missing) if missing else {}
+        for (i, chunks), f, (_, text) in zip(split, found, units, strict=True):
+            if chunks is None:
+                yield i, self.odd(text)
+            elif None in f:
+                yield i, b"".join([now[c] if x is None else x for c, x in zip(chunks, f, strict=True)])
+            else:
+                yield i, b"".join(f)
+
+    def stream(self, texts: Iterable[str | None]) -> Iterator[tuple[int, bytes]]:
+        """(index of the text, packed ids), in order; a long text comes in slices that end at white space."""
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            at, n = 0, len(text or "")
+            if n > SLICE and _ODD_SPACE.search(text):
+                yield from self._group(group)
+                group, size = [], 0
+                yield i, self.odd(text)
+                continue
+            while at < n:
+                end = min(n, at + SLICE)
+                while end < n and not text[end].isspace():
                     end += 1
-            chunks = text[at:end].split()
-            young = self.chunks.young
-            found = list(map(young.get, chunks))
-            if None in found:
-                for i, x in enumerate(found):
-                    if x is None:
-                        x = self.chunks.young.get(chunks[i])
-                        found[i] = self._chunk(chunks[i]) if x is None else x
-            yield list(chain.from_iterable(found))
-            at = end
+                group.append((i, text[at:end]))
+                size += end - at
+                at = end
+                if size > 4 * SLICE:
+                    yield from self._group(group)
+                    group, size = [], 0
+        yield from self._group(group)
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(self.stream(text)))
+        return self.unpack(b"".join(x for _, x in self.stream([text])))
+
+
+class Encoder(Chunks):
+    """The transducer behind the maps."""
+
+    def __init__(self, path: str = TOKENIZER, cache: int = CACHE):
+        super().__init__(path, cache)
+        model = self.spec["model"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.table = MergeTable(model["vocab"], pairs, model.get("end_of_word_suffix") or "")
+        self.byte_of = {m: b for b, m in enumerate(byte_alphabet())}
+
+    def words_to_ids(self, words: list[str]) -> list[bytes]:
+        return [self.pack(self.table.word(w.encode())) for w in words]
+
+    def odd(self, text: str) -> bytes:
+        out = []
+        for piece in self.cut.split(text) if self.cut else (text,):
+            if piece in self.special:
+                out.append(self.pack([self.special[piece]]))
+            elif piece:
+                for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece)):
+                    out.append(self.pack(self.table.word(bytes(map(self.byte_of.__getitem__, word)))))
+        return b"".join(out)
 
 
 class Decoder:
@@ -280,8 +320,8 @@ def _decimals(n: int) -> list[str]:
     return [str(i) for i in range(n)]
 
 
-def _mapped(df: DataFrame, used: str, new: list[tuple[str, str, pa.DataType]], row: Callable[[object], tuple], drop: bool = False) -> DataFrame:
-    """Add columns that a worker computes from one column, a row at a time inside Arrow batches."""
+def _mapped(df: DataFrame, used: str, new: list[tuple[str, str, pa.DataType]], rows: Callable[[list], list[tuple]], drop: bool = False) -> DataFrame:
+    """Add columns that a worker computes from one column, some rows of an Arrow batch at a time."""
     common.ship(df.sparkSession)
     carried = [c for c in df.columns if c not in {n for n, _, _ in new} and not (drop and c == used)]
     slim = df.select(*[F.col(c) for c in carried], F.col(used).alias("_in"))
@@ -291,7 +331,7 @@ def _mapped(df: DataFrame, used: str, new: list[tuple[str, str, pa.DataType]], r
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                made = list(map(list, zip(*(row(x.as_py()) for x in b.column(b.num_columns - 1)), strict=True))) or [[] for _ in new]
+                made = list(map(list, zip(*rows(b.column(b.num_columns - 1).to_pylist()), strict=True))) or [[] for _ in new]
                 cols = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(v, t) for v, (_, _, t) in zip(made, new, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*carried, *(n for n, _, _ in new)])
 
@@ -300,34 +340,52 @@ def _mapped(df: DataFrame, used: str, new: list[tuple[str, str, pa.DataType]], r
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str = TOKENIZER) -> DataFrame:
     """docs with the column `ids`, array<int>."""
-    return _mapped(docs, text, [(ids, "array<int>", pa.list_(pa.int32()))], lambda t: (encoder(path).encode(t),))
+
+    def rows(texts: list[str | None]) -> list[tuple]:
+        enc, out = encoder(path), [[] for _ in texts]
+        for i, raw in enc.stream(texts):
+            out[i] += enc.unpack(raw)
+        return [(x,) for x in out]
+
+    return _mapped(docs, text, [(ids, "array<int>", pa.list_(pa.int32()))], rows)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str = TOKENIZER, pieces: bool = False) -> DataFrame:
     """df with the text of its ids."""
 
-    def row(x: list[int] | None) -> tuple[str]:
+    def rows(all_ids: list[list[int] | None]) -> list[tuple]:
         d = decoder(path, pieces)
-        return (d.feed(x or []) + d.end(),)
+        return [(d.feed(x or []) + d.end(),) for x in all_ids]
 
-    return _mapped(df, ids, [(text, "string", pa.string())], row)
+    return _mapped(df, ids, [(text, "string", pa.string())], rows)
 
 
-def _digest(text: str | None, path: str) -> tuple[int, str, str]:
+def _digests(texts: list[str | None], path: str) -> list[tuple[int, str, str]]:
     enc, dec = encoder(path), decoder(path, True)
     names = _decimals(len(enc.names))
-    n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
-    for ids in enc.stream(text):
-        if not ids:
-            continue
-        ids_sha.update((" " if n else "").encode() + " ".join(map(names.__getitem__, ids)).encode())
-        text_sha.update(dec.feed(ids).encode())
-        n += len(ids)
-    text_sha.update(dec.end().encode())
-    return n, ids_sha.hexdigest(), text_sha.hexdigest()
+    out = []
+
+    def end() -> None:
+        text_sha.update(dec.end().encode())
+        out.append((n, ids_sha.hexdigest(), text_sha.hexdigest()))
+
+    n, ids_sha, text_sha, at = 0, hashlib.sha256(), hashlib.sha256(), 0
+    for i, raw in enc.stream(texts):
+        while at < i:
+            end()
+            n, ids_sha, text_sha, at = 0, hashlib.sha256(), hashlib.sha256(), at + 1
+        ids = enc.unpack(raw)
+        if ids:
+            ids_sha.update((" " if n else "").encode() + " ".join(map(names.__getitem__, ids)).encode())
+            text_sha.update(dec.feed(ids).encode())
+            n += len(ids)
+    while at < len(texts):
+        end()
+        n, ids_sha, text_sha, at = 0, hashlib.sha256(), hashlib.sha256(), at + 1
+    return out
 
 
 def digests(docs: DataFrame, text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """docs without the text, with n_tokens, ids_sha256 and decoded_sha256, encoded and decoded slice by slice."""
     new = [("n_tokens", "long", pa.int64()), ("ids_sha256", "string", pa.string()), ("decoded_sha256", "string", pa.string())]
-    return _mapped(docs, text, new, lambda t: _digest(t, path), drop=True)
+    return _mapped(docs, text, new, lambda t: _digests(t, path), drop=True)

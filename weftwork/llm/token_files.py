@@ -23,12 +23,11 @@ manifest.  Other columns are not written.
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,48 +46,14 @@ FILE_IDS = 64 << 20
 END_ID = 1
 
 
-class LibraryEncoder:
-    """The tokenizers library behind a bounded cache of chunks."""
-
-    def __init__(self, path: str, cache: int = 2 * bpe.CACHE):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(bpe.resolve(path))
-        self.library.no_truncation()
-        self.library.no_padding()
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.most, self.young, self.old = cache, {}, {}
-
-    def slice(self, text: str) -> list[tuple[int, ...]]:
-        chunks = text.split()
-        found = list(map(self.young.get, chunks))
-        if None in found:
-            missing = dict.fromkeys(c for c, x in zip(chunks, found, strict=True) if x is None)
-            if len(self.young) > self.most:
-                self.old, self.young = self.young, {}
-            fresh = [c for c in missing if c not in self.old]
-            now = {c: self.old[c] for c in missing if c in self.old}
-            now |= {c: tuple(e.ids) for c, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
-            self.young.update((c, x) for c, x in now.items() if len(c) <= bpe.CACHE_CHARS)
-            found = [now[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
-        return found
-
-    def blocks(self, text: str | None) -> Iterator[np.ndarray]:
-        """The ids of a text, in blocks that end at white space."""
-        if not text:
-            return
-        if bpe._ODD_SPACE.search(text):
-            yield np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
-            return
-        at = 0
-        while at < len(text):
-            end = at + bpe.SLICE
-            while end < len(text) and not text[end].isspace():
-                end += 1
-            yield np.fromiter(chain.from_iterable(self.slice(text[at:end])), self.dtype)
-            at = end
+class LibraryEncoder(bpe.Chunks):
+    """The tokenizers library behind the bounded maps of chunks and words."""
+
+    def words_to_ids(self, words: list[str]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def odd(self, text: str) -> bytes:
+        return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)
@@ -101,7 +66,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Writer:
-    """One pair of files; append() takes a document's ids in blocks."""
+    """One pair of files; documents are begun one by one and extended by blocks of ids."""
 
     def __init__(self, folder: str, name: str, dtype: np.dtype, length: int, batch: int):
         self.fs, root = filesystem(folder)
@@ -112,21 +77,23 @@ class Writer:
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.buffer, self.used = np.zeros(length * batch, dtype), 0
         self.length, self.n_ids = length, 0
-        self.docs: list[tuple[int | None, int, int]] = []
-
-    def append(self, ident: int | None, blocks: Iterable[np.ndarray]) -> None:
-        begun = self.n_ids
-        for block in blocks:
-            at = 0
-            while at < len(block):
-                n = min(len(block) - at, len(self.buffer) - self.used)
-                self.buffer[self.used : self.used + n] = block[at : at + n]
-                self.used += n
-                at += n
-                if self.used == len(self.buffer):
-                    self._flush()
-            self.n_ids += len(block)
-        self.docs.append((ident, begun, self.n_ids - begun))
+        self.docs: list[list[int | None]] = []
+
+    def begin(self, ident: int | None) -> None:
+        self.docs.append([ident, self.n_ids, 0])
+
+    def extend(self, block: np.ndarray) -> None:
+        """More ids of the document begun last."""
+        at = 0
+        while at < len(block):
+            n = min(len(block) - at, len(self.buffer) - self.used)
+            self.buffer[self.used : self.used + n] = block[at : at + n]
+            self.used += n
+            at += n
+            if self.used == len(self.buffer):
+                self._flush()
+        self.n_ids += len(block)
+        self.docs[-1][2] += len(block)
 
     def _flush(self) -> None:
         n = -(-self.used // self.length)
@@ -189,17 +156,27 @@ class Reader:
 
 def _write(batches: Iterable[pa.RecordBatch], folder: str, path: str, length: int, batch: int, file_ids: int, end: int) -> Iterator[pa.RecordBatch]:
     enc = library_encoder(path)
+    dtype = np.dtype(f"<u{array(enc.code).itemsize}")
     part, k, out = TaskContext.get().partitionId(), 0, None
-    last = np.asarray([end], enc.dtype)
+    last = np.asarray([end], dtype)
     done: list[tuple] = []
-    for b in batches:
-        for ident, text in zip(b.column(0), b.column(1), strict=True):
-            if out is None:
-                out = Writer(folder, f"part-{part:07d}-{k:05d}", enc.dtype, length, batch)
-            out.append(ident.as_py(), chain(enc.blocks(text.as_py()), [last]))
-            if out.n_ids >= file_ids:
-                done.append((part, k, *out.close()))
-                k, out = k + 1, None
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            b = whole.slice(at, 500)
+            idents, texts = (b.column(i).to_pylist() for i in (0, 1))
+            found = enc.stream(texts)
+            ahead = next(found, None)
+            for i, ident in enumerate(idents):
+                if out is None:
+                    out = Writer(folder, f"part-{part:07d}-{k:05d}", dtype, length, batch)
+                out.begin(ident)
+                while ahead and ahead[0] == i:
+                    out.extend(np.frombuffer(ahead[1], dtype))
+                    ahead = next(found, None)
+                out.extend(last)
+                if out.n_ids >= file_ids:
+                    done.append((part, k, *out.close()))
+                    k, out = k + 1, None
     if out is not None:
         done.append((part, k, *out.close()))
     if done:
