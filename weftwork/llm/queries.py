@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, minhash, quality, token_files, toxicity
+from . import bpe, decontaminate, exact_dedup, minhash, ppm, quality, token_files, toxicity
 from .common import fold_of, scratch_path, table
 
 
@@ -41,6 +41,10 @@ def op8_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_factorisation_quality": op6_factorisation_quality,
     "op7_bpe_transducer": op7_bpe_transducer,
     "op8_hyperminhash_near_dedup": op8_hyperminhash_near_dedup,
+    "op9_ppm_scores": op9_ppm_scores,
     "op10_arrow_token_files": op10_arrow_token_files,
 }
 
