@@ -13,7 +13,8 @@ Text goes to words as the tokenizer's file says: special tokens are cut out of t
 then composed form, single spaces, lower case, and the split pattern.  White space always
 separates words, so chunks between white space are independent.  Chunks below U+0250 take
 rules written here; others take the normaliser and splitter of the tokenizers library, which
-alone know the Unicode tables that the vocabulary was made with.
+alone know the Unicode tables that the vocabulary was made with.  Arrow cuts the chunks of some
+texts at a time and numbers the different ones, so that only those meet Python.
 
 Decoding feeds token ids to a machine that turns bytes into text as soon as a character is
 whole; broken bytes become U+FFFD.  Where the tokenizer's file names no decoder, the library
@@ -36,7 +37,9 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +55,9 @@ CACHE_CHARS = 64
 #: Characters of a text worked on at a time.
 SLICE = 1 << 16
 _NONE = 1 << 30
-#: White space on which Python and the tokenizer's pattern do not agree.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+_BLANKS = " \t\n\x0b\x0c\r"
+#: Characters beyond the plain rules: blanks on which Unicode tables differ, and U+0250 on.
+_ODD = re.compile("[\x1c-\x1f\x85\u0250-\U0010ffff]")
 
 
 def resolve(path: str) -> str:
@@ -191,10 +195,10 @@ class Chunks:
             for piece in self.cut.split(c) if self.cut and "<" in c else (c,):
                 if piece in self.special:
                     got.append(self.pack([self.special[piece]]))
-                elif piece and (piece.isascii() or max(piece) < "\u0250"):
-                    got.extend(self.split.findall(piece.lower()))
-                elif piece:
+                elif _ODD.search(piece):
                     got.append(self.odd(piece))
+                elif piece:
+                    got.extend(self.split.findall(piece.lower()))
             parts[c] = got
         young, old = self.words
         wanted = {w: old.get(w) for got in parts.values() for w in got if isinstance(w, str) and w not in young}
@@ -210,37 +214,41 @@ class Chunks:
         return now
 
     def _group(self, units: list[tuple[int, str]]) -> Iterator[tuple[int, bytes]]:
-        split = [(i, None if _ODD_SPACE.search(t) else t.split()) for i, t in units]
-        young = self.chunks[0].get
-        found = [[] if chunks is None else list(map(young, chunks)) for _, chunks in split]
-        missing = {c for (_, chunks), f in zip(split, found, strict=True) if None in f for c, x in zip(chunks, f, strict=True) if x is None}
-        now = self._resolve(missing) if missing else {}
-        for (i, chunks), f, (_, text) in zip(split, found, units, strict=True):
-            if chunks is None:
-                yield i, self.odd(text)
-            elif None in f:
-                yield i, b"".join([now[c] if x is None else x for c, x in zip(chunks, f, strict=True)])
-            else:
-                yield i, b"".join(f)
+        """Arrow cuts the chunks and numbers the different ones; only those are looked up."""
+        if not units:
+            return
+        lists = pc.ascii_split_whitespace(pa.array([t for _, t in units]))
+        coded = lists.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        found = list(map(self.chunks[0].get, keys))
+        if None in found:
+            now = self._resolve([c for c, x in zip(keys, found, strict=True) if x is None])
+            found = [now[c] if x is None else x for c, x in zip(keys, found, strict=True)]
+        ids = np.frombuffer(b"".join(found), f"<u{array(self.code).itemsize}")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // ids.itemsize
+        at = coded.indices.to_numpy()
+        sizes = size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.repeat((np.cumsum(size) - size)[at] - ends[:-1], sizes)
+        places += np.arange(len(places))
+        out = ids[places]
+        cuts = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
+        for (i, _), low, high in zip(units, cuts, cuts[1:], strict=False):
+            yield i, out[low:high].tobytes()
 
     def stream(self, texts: Iterable[str | None]) -> Iterator[tuple[int, bytes]]:
         """(index of the text, packed ids), in order; a long text comes in slices that end at white space."""
         group, size = [], 0
         for i, text in enumerate(texts):
             at, n = 0, len(text or "")
-            if n > SLICE and _ODD_SPACE.search(text):
-                yield from self._group(group)
-                group, size = [], 0
-                yield i, self.odd(text)
-                continue
             while at < n:
                 end = min(n, at + SLICE)
-                while end < n and not text[end].isspace():
+                while end < n and text[end] not in _BLANKS:
                     end += 1
                 group.append((i, text[at:end]))
                 size += end - at
                 at = end
-                if size > 4 * SLICE:
+                if size > 16 * SLICE:
                     yield from self._group(group)
                     group, size = [], 0
         yield from self._group(group)

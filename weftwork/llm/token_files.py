@@ -52,6 +52,29 @@ class LibraryEncoder(bpe.Chunks):
     def words_to_ids(self, words: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
 
+    def _resolve(self, missing: list[str]) -> dict[str, bytes]:
+        """All missing chunks in one call, with a special token, which always stands alone, between them."""
+        if not self.special:
+            return super()._resolve(missing)
+        old = self.chunks[1]
+        now = {c: old.get(c) for c in missing}
+        fresh = [c for c, x in now.items() if x is None]
+        mark, code = next(iter(self.special.items()))
+        plain = [c for c in fresh if "<" not in c or not self.cut.search(c)]
+        if plain:
+            [e] = self.library.encode_batch_fast([mark.join(plain)], add_special_tokens=False)
+            ids = np.array(e.ids, f"<u{array(self.code).itemsize}")
+            cuts = np.flatnonzero(ids == code)
+            if len(cuts) != len(plain) - 1:
+                raise ValueError("the separator is not a token of its own")
+            raw, wide = ids.tobytes(), ids.itemsize
+            now.update(zip(plain, [raw[i:j] for i, j in zip([0, *(wide * (cuts + 1)).tolist()], [*(wide * cuts).tolist(), len(raw)], strict=True)], strict=True))
+        now.update((c, self.odd(c)) for c in fresh if now[c] is None)
+        self.chunks[0].update((c, x) for c, x in now.items() if len(c) <= bpe.CACHE_CHARS)
+        if len(self.chunks[0]) > self.cache:
+            self.chunks = [{}, self.chunks[0]]
+        return now
+
     def odd(self, text: str) -> bytes:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
