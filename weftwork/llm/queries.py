@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, minhash, ppm, quality, token_files, toxicity
+from . import bpe, decontaminate, exact_dedup, minhash, ppm, quality, substrings, token_files, toxicity
 from .common import fold_of, scratch_path, table
 
 
@@ -26,6 +26,10 @@ def op4_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"), allowed=fold_of(F.col("_key"), 4) != 2)
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ordinal_toxicity": op2_ordinal_toxicity,
     "op4_patricia_exact_dedup": op4_patricia_exact_dedup,
+    "op5_suffix_array_repeats": op5_suffix_array_repeats,
     "op6_factorisation_quality": op6_factorisation_quality,
     "op7_bpe_transducer": op7_bpe_transducer,
     "op8_hyperminhash_near_dedup": op8_hyperminhash_near_dedup,
