@@ -2,7 +2,7 @@
 
 One pass gives each document the set of its distinct word shingles as 64-bit hashes, and of
 that set `REGISTERS` registers: a bucket keeps its least hash, stored as the number of leading
-zeros and ten mantissa bits; an empty bucket takes the register of the first bucket of a fixed
+zeros and four mantissa bits, in one byte; an empty bucket takes the register of the first bucket of a fixed
 random sequence that is not empty.  Equal sets become one class before anything else, so copies
 cost one row each.  Registers are banded; a band holds the classes that agree in it.
 
@@ -12,7 +12,8 @@ sweep tests the leader against the others and joins what is linked into componen
 tests what is left: members outside the leader's component against the members of other
 components.  A test first estimates the similarity from the registers, less what equal
 registers owe to chance, and then, unless that is far below the threshold, counts the two full
-sets.  72 bands of six rows miss a pair at similarity 0.75 with a chance below 1e-6; pairs that
+sets.  The second sweep compares registers inside a band, a block of members at a time, so what
+leaves it are likely links only; the likeliest member of each component is counted first.  72 bands of six rows miss a pair at similarity 0.75 with a chance below 1e-6; pairs that
 only share a passage seldom meet in one.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
@@ -41,7 +42,10 @@ WORDS = 5
 PERCENT = 75
 REGISTERS = 432
 ROWS = 6
-MANTISSA = 10
+#: Bits of a register: leading zeros, up to fifteen, and mantissa.
+MANTISSA = 4
+#: Members of a band compared at once in the second sweep.
+BLOCK = 1024
 #: Registers refute a pair when their estimate is this far below the threshold (seven deviations).
 MARGIN = 0.16
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -107,8 +111,8 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     rest = ((scaled[own] & np.uint64(0xFFFFFFFF)) << np.uint64(20)) | ((hashes[own] & np.uint64(0xFFFFFFFF)) >> np.uint64(12))
     mantissa, exponent = np.frexp(np.maximum(rest, np.uint64(1)).astype(np.float64))
     zeros = 52 - exponent
-    value = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | ((mantissa * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
-    out = np.zeros(REGISTERS, np.uint16)
+    value = (np.minimum(zeros, 15).astype(np.uint8) << np.uint8(MANTISSA)) | ((mantissa * 2 - 1) * (1 << MANTISSA)).astype(np.uint8)
+    out = np.zeros(REGISTERS, np.uint8)
     out[full] = value
     if not full.all():
         empty = np.flatnonzero(~full)
@@ -148,7 +152,7 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = whole.slice(at, 2000)
             if not b.num_rows:
                 continue
-            r = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(b.num_rows, -1)
+            r = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
             bands = r.shape[1] // ROWS
             cells = r[:, : bands * ROWS].reshape(b.num_rows, bands, ROWS)
             key = np.broadcast_to(_mix(np.arange(1, bands + 1, dtype=np.uint64)), cells.shape[:2])
@@ -161,11 +165,49 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _refute(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(b.num_rows, -1) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
             keep = pa.array(estimate(x, y) >= least)
             yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(keep)
 
 
+def _compare(rows: list[tuple], least: float) -> Iterator[tuple]:
+    """Pairs of one group of rows (band, i, j, block, id, component, outside, registers) that may be links."""
+    _, i, j = rows[0][:3]
+    block, ids, comps = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
+    outside = np.array([r[6] for r in rows])
+    regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+    for a in np.flatnonzero(outside).tolist():
+        # a pair of two outside is tried once; groups of two blocks hold pairs across them only
+        b = np.flatnonzero((comps != comps[a]) & (~outside | (ids > ids[a])) & ((block != block[a]) if i != j else True))
+        if len(b):
+            e = estimate(regs[a], regs[b])
+            for k in np.flatnonzero(e >= least).tolist():
+                yield int(ids[a]), int(ids[b[k]]), int(comps[b[k]]), float(e[k])
+
+
+def _groups(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (band, i, j); a group has at most two blocks."""
+    rows: list[tuple] = []
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        got = list(zip(*out, strict=True)) or [()] * 4
+        out.clear()
+        return pa.record_batch([pa.array(c, k) for c, k in zip(got, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "cb", "e"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            if rows and row[:3] != rows[0][:3]:
+                out.extend(_compare(rows, least))
+                rows = []
+                if len(out) > 10_000:
+                    yield flush()
+            rows.append(row)
+    if rows:
+        out.extend(_compare(rows, least))
+    yield flush()
+
+
 def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
@@ -203,18 +245,20 @@ class NearDuplicates:
     def signatures(self) -> DataFrame:
         return self.kept_table(self.docs.mapInArrow(lambda it, n=self.size: _signatures(it, n), "id long, n long, digest binary, regs binary"), "signatures")
 
-    def verified(self, pairs: DataFrame, regs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those that are links."""
+    def likely(self, pairs: DataFrame, regs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that the registers do not refute."""
         least = self.percent / 100 - MARGIN
         a, b = (regs.select(F.col("id").alias(x), F.col("regs").alias(f"r{x}")) for x in "ab")
-        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb").mapInArrow(lambda it: _refute(it, least), "a long, b long")
-        likely = self.kept_table(likely, "pairs")
-        wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb").mapInArrow(lambda it: _refute(it, least), "a long, b long")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those whose full sets make them links."""
+        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         found = self.docs.join(wanted, "id", "left_semi")
         sets = self.kept_table(found.mapInArrow(lambda it, n=self.size: _sets(it, n), "id long, set binary"), "sets").dropDuplicates(["id"])
         a, b = (sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
         percent = self.percent
-        return likely.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
 
     def links(self, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(classes: digest, rep), (components of the reps)."""
@@ -230,19 +274,39 @@ class NearDuplicates:
         led = self.kept_table(led, "leaders")
         seats = members.select("band", "id").join(led, "band")
         pairs = seats.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        first = self.kept_table(self.verified(pairs, reps), "links")
+        likely = self.kept_table(self.likely(pairs, reps), "pairs")
+        first = self.kept_table(self.verified(likely), "links")
         found = self.kept_table(components(first), "components")
-        # what is outside the leader's component, against the other components of its band
+        second = self.kept_table(self.second_sweep(seats, found, reps), "rest")
+        if not second.limit(1).count():
+            return classes, found
+        # most that are left link with the likeliest member of a component, if at all
+        best = second.groupBy("a", "cb").agg(F.max_by("b", F.struct("e", "b")).alias("b")).select("a", "b").distinct()
+        links = first.unionByName(self.kept_table(self.verified(best), "links2"))
+        found = self.kept_table(components(links), "components2")
+        label = found.select(F.col("node"), F.col("component"))
+        open_ = second.select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
+        for x in "ab":
+            open_ = open_.join(label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+        open_ = self.kept_table(open_.where("ca <> cb").select("a", "b"), "rest2")
+        if not open_.limit(1).count():
+            return classes, found
+        return classes, components(links.unionByName(self.kept_table(self.verified(open_), "links3")))
+
+    def second_sweep(self, seats: DataFrame, found: DataFrame, regs: DataFrame) -> DataFrame:
+        """(a, b, cb, e): members outside the leader's component and members of other components that may be links."""
         comp = seats.join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
         lead = found.select(F.col("node").alias("leader"), F.col("component").alias("lc"))
         comp = comp.join(lead, "leader", "left").withColumn("lc", F.coalesce("lc", "leader")).where("id <> leader")
-        outside = comp.where("c <> lc").select("band", F.col("id").alias("a"), F.col("c").alias("ca"))
-        # a band with one member outside and none besides the leader has been tested already
-        other = comp.select("band", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("lc"))
-        rest = outside.join(other, "band").where("ca <> cb and (a < b or cb = lc)")
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        second = self.kept_table(self.verified(rest, reps), "links2")
-        return classes, components(first.unionByName(second)) if second.limit(1).count() else found
+        comp = comp.select("band", "id", "c", (F.col("c") != F.col("lc")).alias("outside"))
+        # a band needs a member outside and another member besides
+        sizes = comp.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("outside").alias("any")).where("any and n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        rows = comp.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("band", F.least("block", "y").alias("i"), F.greatest("block", "y").alias("j"), "block", "id", "c", "outside")
+        rows = rows.join(regs.select("id", "regs"), "id").select("band", "i", "j", "block", "id", "c", "outside", "regs")
+        least = self.percent / 100 - MARGIN
+        return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(lambda it: _groups(it, least), "a long, b long, cb long, e double")
 
     def run(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id, kept."""
