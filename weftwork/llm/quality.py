@@ -163,3 +163,20 @@ def classify(docs: DataFrame, model: bytes, text: str = "text", good: float = GO
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), "score double, predicted int"])
     return slim.mapInArrow(work, schema)
+
+
+def keep_good(docs: DataFrame, model: bytes, text: str = "text", good: float = GOOD) -> DataFrame:
+    """The rows of docs that score `good` or better, with all their columns as they are."""
+    common.ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Machine.load(shared.value)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                b = whole.slice(first, 500)
+                raw = [None if t is None else t.encode() for t in b.column(at).to_pylist()]
+                yield b.filter(pa.array(machine.scores([words_and_statistics(t) for t in raw]) >= good, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, minhash, ppm, quality, substrings, token_files, toxicity
+from . import bpe, decontaminate, exact_dedup, lines, minhash, ppm, quality, substrings, token_files, toxicity
 from .common import fold_of, scratch_path, table
 
 
@@ -21,6 +21,10 @@ def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep_text=False)
 
 
+def op3_simhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_patricia_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -58,6 +62,7 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ordinal_toxicity": op2_ordinal_toxicity,
+    "op3_simhash_lines": op3_simhash_lines,
     "op4_patricia_exact_dedup": op4_patricia_exact_dedup,
     "op5_suffix_array_repeats": op5_suffix_array_repeats,
     "op6_factorisation_quality": op6_factorisation_quality,
