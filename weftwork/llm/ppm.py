@@ -97,13 +97,49 @@ def grams(texts: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def counted(values: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, and how often each occurs where train is set."""
-    order = np.argsort(values, kind="stable") if not train.all() else None
-    if order is None:
-        return np.unique(values, return_counts=True)
-    v = values[order]
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    return v[first], np.add.reduceat(train[order].astype(np.int64), first)
+    """Distinct values, and how often each occurs where train is set.  Sorting values is far quicker than ordering them."""
+    learnt, n = np.unique(values[train], return_counts=True)
+    rest = np.unique(values[~train], return_counts=True)[0]  # with counts it sorts, which is quicker here
+    keys = np.unique(np.concatenate([rest, learnt]), return_counts=True)[0]
+    counts = np.zeros(len(keys), np.int64)
+    counts[np.searchsorted(keys, learnt)] = n
+    return keys, counts
+
+
+class Lookup:
+    """An open hash table from sorted keys to numbers; absent keys are not asked for."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, values.dtype)
+        self.steps = 0
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            at = slot[left]
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[left[free]]  # of several for one slot the last stays
+            won = self.keys[at] == keys[left]
+            self.values[at[won]] = values[left[won]]
+            left = left[~won]
+            slot[left] = (slot[left] + 1) & self.mask
+            self.steps += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
+        slot = self._slot(wanted)
+        out = self.values[slot]
+        left = np.flatnonzero(self.keys[slot] != wanted)
+        for _ in range(self.steps):
+            if not len(left):
+                break
+            at = (slot[left] + 1) & self.mask
+            slot[left] = at
+            out[left] = self.values[at]
+            left = left[self.keys[at] != wanted[left]]
+        return out
 
 
 def tokens(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +149,10 @@ def tokens(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(int(begin[-1]), np.uint64)
     keep = np.ones(len(out), bool)
     keep[begin[1:] - 1] = False
-    out[keep] = _WORDS.hashes([w for t in texts for w in t])
+    # Arrow numbers the different words, so that only those are hashed
+    coded = pa.array([w for t in texts for w in t], pa.binary()).dictionary_encode()
+    if len(coded):
+        out[keep] = _WORDS.hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
     out[~keep] = _END_WORD
     return out, begin[:-1]
 
@@ -241,8 +280,9 @@ def _gather(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
 def _add_up(docs: pa.Table, replies: pa.Table, order: int) -> pa.Table:
     """Scores of a block's documents from the replies to it."""
     gram_keys, gram_values = _gather(replies, "gram")
-    gram_keys, gram_values = gram_keys.astype(np.int64), gram_values.astype(np.uint32).view(np.float32).astype(np.float64)
+    gram_keys, gram_values = gram_keys.astype(np.int64), gram_values.astype(np.uint32).view(np.float32)
     word_keys, word_counts = _gather(replies, "word")
+    of_gram, of_word = Lookup(gram_keys, gram_values), Lookup(word_keys.view(np.int64), word_counts)
     out: list[list] = [[] for _ in range(5)]
     n, at = docs.num_rows, 0
     column = docs.column("t")
@@ -252,9 +292,9 @@ def _add_up(docs: pa.Table, replies: pa.Table, order: int) -> pa.Table:
             texts.append(normalised(column[at + len(texts)].as_py()))
             size += sum(map(len, texts[-1])) + 64
         g, begin = grams(texts, order)
-        out[4] += np.add.reduceat(gram_values[np.searchsorted(gram_keys, g)], begin).tolist()
+        out[4] += np.add.reduceat(of_gram[g].astype(np.float64), begin).tolist()
         w, begin = tokens(texts)
-        c = word_counts[np.searchsorted(word_keys, w)]
+        c = of_word[w.view(np.int64)]
         out[1] += np.diff(np.concatenate([begin, [len(w)]])).tolist()
         out[2] += np.add.reduceat((c > 0).astype(np.int64), begin).tolist()
         out[3] += np.add.reduceat(np.log10(c + 1), begin).tolist()
