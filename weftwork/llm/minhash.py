@@ -6,15 +6,13 @@ zeros and four mantissa bits, in one byte; an empty bucket takes the register of
 random sequence that is not empty.  Equal sets become one class before anything else, so copies
 cost one row each.  Registers are banded; a band holds the classes that agree in it.
 
-Links are found in two sweeps, neither of which forms all pairs of a band.  A class's weight is
-the number of classes it meets over all its bands; the heaviest of a band leads it.  The first
-sweep tests the leader against the others and joins what is linked into components.  The second
-tests what is left: members outside the leader's component against the members of other
-components.  A test first estimates the similarity from the registers, less what equal
-registers owe to chance, and then, unless that is far below the threshold, counts the two full
-sets.  The second sweep compares registers inside a band, a block of members at a time, so what
-leaves it are likely links only; the likeliest member of each component is counted first.  72 bands of six rows miss a pair at similarity 0.75 with a chance below 1e-6; pairs that
-only share a passage seldom meet in one.
+Classes that share a band hang together in clusters; a band only names its least member to the
+others, so no pairs are formed there.  Inside a cluster pairs are tested where both sets are at
+hand: a block of members against a block, spread over tasks, by sizes, then by the similarity that
+the registers estimate (less what equal registers owe to chance), then by the two full sets.  A
+pair already joined by other links is not tested again, and only links leave the task.  A cluster
+of more than `CLUSTER` classes is tested band by band instead.  72 bands of six rows miss a pair at
+similarity 0.75 with a chance below 1e-6, and the estimate with a chance below 1e-6.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with
 nothing.  Null identifiers take part in no link and keep their row (component null, kept true).
@@ -44,10 +42,11 @@ REGISTERS = 432
 ROWS = 6
 #: Bits of a register: leading zeros, up to fifteen, and mantissa.
 MANTISSA = 4
-#: Members of a band compared at once in the second sweep.
-BLOCK = 1024
-#: Registers refute a pair when their estimate is this far below the threshold (seven deviations).
-MARGIN = 0.16
+#: Classes of a cluster that meet in a task: a block against a block.
+BLOCK = 512
+CLUSTER = 16_384
+#: Registers refute a pair when their estimate is this far below the threshold (nearly five deviations).
+MARGIN = 0.10
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -162,49 +161,55 @@ def _bands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.ascontiguousarray(key).ravel().view(np.int64)), pa.array(ids)], names=["band", "id"])
 
 
-def _refute(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (2, 3))
-            keep = pa.array(estimate(x, y) >= least)
-            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(keep)
-
-
-def _compare(rows: list[tuple], least: float) -> Iterator[tuple]:
-    """Pairs of one group of rows (band, i, j, block, id, component, outside, registers) that may be links."""
-    _, i, j = rows[0][:3]
-    block, ids, comps = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
-    outside = np.array([r[6] for r in rows])
-    regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
-    for a in np.flatnonzero(outside).tolist():
-        # a pair of two outside is tried once; groups of two blocks hold pairs across them only
-        b = np.flatnonzero((comps != comps[a]) & (~outside | (ids > ids[a])) & ((block != block[a]) if i != j else True))
-        if len(b):
-            e = estimate(regs[a], regs[b])
-            for k in np.flatnonzero(e >= least).tolist():
-                yield int(ids[a]), int(ids[b[k]]), int(comps[b[k]]), float(e[k])
-
-
-def _groups(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (band, i, j); a group has at most two blocks."""
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    shared = int((large[at] == small).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _compare(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Links of one group of rows (kind, group, i, j, block, id, registers, set), but for those that follow from others."""
+    i, j = rows[0][2:4]
+    block, ids = (np.array([r[k] for r in rows]) for k in (4, 5))
+    regs = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+    sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+    size, joined = np.array([len(x) for x in sets]), np.arange(len(rows))
+    for a in range(len(rows)):
+        # groups of two blocks hold pairs across them only
+        b = np.flatnonzero((joined != joined[a]) & (100 * np.minimum(size, size[a]) >= percent * np.maximum(size, size[a])) & (block > block[a] if i != j else np.arange(len(rows)) > a))
+        if not len(b):
+            continue
+        e = estimate(regs[a], regs[b])
+        for k in np.argsort(-e, kind="stable").tolist():
+            if e[k] < percent / 100 - MARGIN:
+                break
+            c = int(b[k])
+            if joined[c] != joined[a] and _linked(sets[a], sets[c], percent):
+                joined[joined == joined[c]] = joined[a]
+                yield int(ids[a]), int(ids[c])
+
+
+def _groups(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (kind, group, i, j); a group has at most two blocks."""
     rows: list[tuple] = []
-    out: list[tuple] = []
+    out: list[tuple[int, int]] = []
 
     def flush() -> pa.RecordBatch:
-        got = list(zip(*out, strict=True)) or [()] * 4
+        got = list(zip(*out, strict=True)) or [(), ()]
         out.clear()
-        return pa.record_batch([pa.array(c, k) for c, k in zip(got, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "cb", "e"])
+        return pa.record_batch([pa.array(c, pa.int64()) for c in got], names=["a", "b"])
 
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-            if rows and row[:3] != rows[0][:3]:
-                out.extend(_compare(rows, least))
+            if rows and row[:4] != rows[0][:4]:
+                out.extend(_compare(rows, percent))
                 rows = []
                 if len(out) > 10_000:
                     yield flush()
             rows.append(row)
     if rows:
-        out.extend(_compare(rows, least))
+        out.extend(_compare(rows, percent))
     yield flush()
 
 
@@ -212,19 +217,8 @@ def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             b = whole.slice(at, 1000)
-            yield pa.record_batch([b.column(0), pa.array([shingles(t.as_py(), size).tobytes() for t in b.column(1)], pa.binary())], names=["id", "set"])
-
-
-def _verify(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            b, keep = whole.slice(at, 1000), []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.sort(np.concatenate([p, q]))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets = [shingles(t.as_py(), size) for t in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array([registers(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "regs", "set"])
 
 
 class NearDuplicates:
@@ -245,68 +239,29 @@ class NearDuplicates:
     def signatures(self) -> DataFrame:
         return self.kept_table(self.docs.mapInArrow(lambda it, n=self.size: _signatures(it, n), "id long, n long, digest binary, regs binary"), "signatures")
 
-    def likely(self, pairs: DataFrame, regs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that the registers do not refute."""
-        least = self.percent / 100 - MARGIN
-        a, b = (regs.select(F.col("id").alias(x), F.col("regs").alias(f"r{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb").mapInArrow(lambda it: _refute(it, least), "a long, b long")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those whose full sets make them links."""
-        wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        found = self.docs.join(wanted, "id", "left_semi")
-        sets = self.kept_table(found.mapInArrow(lambda it, n=self.size: _sets(it, n), "id long, set binary"), "sets").dropDuplicates(["id"])
-        a, b = (sets.select(F.col("id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
-        percent = self.percent
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: _verify(it, percent), "a long, b long")
-
     def links(self, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(classes: digest, rep), (components of the reps)."""
         live = sigs.where("digest is not null and id is not null")
         classes = live.groupBy("digest").agg(F.min("id").alias("rep"))
-        reps = live.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select("id", "regs").groupBy("id").agg(F.first("regs").alias("regs"))
-        reps = self.kept_table(reps, "reps")
-        members = reps.select("id", "regs").mapInArrow(_bands, "band long, id long")
-        sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        members = self.kept_table(members.join(sizes, "band"), "bands")
-        weights = members.groupBy("id").agg(F.sum("size").alias("weight"))
-        led = members.join(weights, "id").groupBy("band").agg(F.max(F.struct("weight", F.negative("id").alias("minus"))).alias("top")).select("band", F.negative("top.minus").alias("leader"))
-        led = self.kept_table(led, "leaders")
-        seats = members.select("band", "id").join(led, "band")
-        pairs = seats.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        likely = self.kept_table(self.likely(pairs, reps), "pairs")
-        first = self.kept_table(self.verified(likely), "links")
-        found = self.kept_table(components(first), "components")
-        second = self.kept_table(self.second_sweep(seats, found, reps), "rest")
-        if not second.limit(1).count():
-            return classes, found
-        # most that are left link with the likeliest member of a component, if at all
-        best = second.groupBy("a", "cb").agg(F.max_by("b", F.struct("e", "b")).alias("b")).select("a", "b").distinct()
-        links = first.unionByName(self.kept_table(self.verified(best), "links2"))
-        found = self.kept_table(components(links), "components2")
-        label = found.select(F.col("node"), F.col("component"))
-        open_ = second.select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
-        for x in "ab":
-            open_ = open_.join(label.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-        open_ = self.kept_table(open_.where("ca <> cb").select("a", "b"), "rest2")
-        if not open_.limit(1).count():
-            return classes, found
-        return classes, components(links.unionByName(self.kept_table(self.verified(open_), "links3")))
-
-    def second_sweep(self, seats: DataFrame, found: DataFrame, regs: DataFrame) -> DataFrame:
-        """(a, b, cb, e): members outside the leader's component and members of other components that may be links."""
-        comp = seats.join(found.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        lead = found.select(F.col("node").alias("leader"), F.col("component").alias("lc"))
-        comp = comp.join(lead, "leader", "left").withColumn("lc", F.coalesce("lc", "leader")).where("id <> leader")
-        comp = comp.select("band", "id", "c", (F.col("c") != F.col("lc")).alias("outside"))
-        # a band needs a member outside and another member besides
-        sizes = comp.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("outside").alias("any")).where("any and n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        rows = comp.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        reps = live.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select("id", "regs")
+        members = reps.mapInArrow(_bands, "band long, id long")
+        led = members.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("band", "leader")
+        seats = self.kept_table(members.join(led, "band"), "seats")
+        stars = seats.where("id <> leader").select("leader", "id").distinct()
+        clusters = self.kept_table(components(stars, "leader", "id").select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
+        sets = self.docs.join(clusters.select("id"), "id", "left_semi").mapInArrow(lambda it, n=self.size: _sets(it, n), "id long, regs binary, set binary")
+        sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        small = clusters.join(sizes.where(F.col("n") <= CLUSTER), "cluster").select(F.lit(0).alias("kind"), F.col("cluster").alias("g"), "n", "id")
+        huge = clusters.join(sizes.where(F.col("n") > CLUSTER), "cluster").select("id")
+        seated = seats.join(huge, "id", "left_semi").select("band", "id")
+        per_band = seated.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+        rows = small.unionByName(seated.join(per_band, "band").select(F.lit(1).alias("kind"), F.col("band").alias("g"), "n", "id"))
+        rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("band", F.least("block", "y").alias("i"), F.greatest("block", "y").alias("j"), "block", "id", "c", "outside")
-        rows = rows.join(regs.select("id", "regs"), "id").select("band", "i", "j", "block", "id", "c", "outside", "regs")
-        least = self.percent / 100 - MARGIN
-        return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(lambda it: _groups(it, least), "a long, b long, cb long, e double")
+        rows = rows.select("kind", "g", F.least("block", "y").alias("i"), F.greatest("block", "y").alias("j"), "block", "id").join(sets, "id")
+        percent = self.percent
+        dealt = rows.select("kind", "g", "i", "j", "block", "id", "regs", "set").repartition("kind", "g", "i", "j").sortWithinPartitions("kind", "g", "i", "j")
+        return classes, components(self.kept_table(dealt.mapInArrow(lambda it: _groups(it, percent), "a long, b long"), "links"))
 
     def run(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, component_id, kept."""
