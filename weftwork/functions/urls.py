@@ -58,7 +58,8 @@ def resolve(base: Column, ref: Column) -> Column:
 def page_template(url: Column) -> Column:
     """The URL with its page number as {page}, by query parameter or by path; null without one."""
     by_query, by_path = r"(?i)([?&](?:page|p|pg|pagina|offset|start)=)\d+", r"(?i)(/(?:page|p)/)\d+(/?)$"
-    first = F.concat(F.regexp_extract(url, f"^(.*?){by_query}", 1), F.regexp_extract(url, by_query, 1), F.lit("{page}"), F.regexp_extract(url, f"^.*?{by_query}(.*)$", 3))
+    whole = r"(?i)^(.*?[?&](?:page|p|pg|pagina|offset|start)=)\d+(.*)$"
+    first = F.regexp_replace(url, whole, r"$1{page}$2")
     return F.when(url.rlike(by_query), first).when(url.rlike(by_path), F.regexp_replace(url, by_path, r"$1{page}$2"))
 
 

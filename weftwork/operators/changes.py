@@ -89,8 +89,10 @@ def fold(dataset: DataFrame, rows: DataFrame, recipe_id: str, keys: Sequence[str
     mine, others = dataset.where(F.col("recipe_id") == recipe_id), dataset.where(F.col("recipe_id") != recipe_id)
     j = mine.join(run, F.col("id") == F.col("_id"), "full_outer")
     known, seen = F.col("id").isNotNull(), F.col("_id").isNotNull()
-    d = _changed(F.col("data"), F.col("_row"))
-    differs = known & seen & (F.size(d) > 0)
+    # worked out once, below; several columns read it
+    j = j.withColumn("_d", _changed(F.col("data"), F.col("_row")))
+    d = F.col("_d")
+    differs = F.coalesce(known & seen & (F.size(d) > 0), F.lit(False))
     lost = known & ~seen & ~F.col("gone") & F.lit(not partial)
     when = now.cast("timestamp")
     longer = F.concat("history", F.array(F.struct(when.alias("at"), d.alias("diff"))))

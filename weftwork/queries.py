@@ -96,10 +96,10 @@ def tx_digits_default(spark, d):
     return table(spark, d, "orders").select("o_orderkey", transforms.one(x, T("digits")).alias("digits"), transforms.one(F.substring("o_orderpriority", 3, 99), T("default", value="none")).alias("filled"))
 
 
-@query(r"""SELECT p_partkey, list_filter([upper(trim(p_brand)) || '.', upper(trim(p_type)) || '.'], lambda x: x <> '') AS chained FROM part""")
+@query(r"""SELECT p_partkey, list_filter([upper(trim(p_brand)) || '.', upper(trim(p_type)) || '.'], lambda x: x <> '').array_to_string('|') AS chained FROM part""")
 def tx_chain(spark, d):
     got = transforms.chain(F.array("p_brand", "p_type", F.lit(None).cast("string")), [T("trim"), T("upper"), T("append", value=".")])
-    return table(spark, d, "part").select("p_partkey", got.alias("chained"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(got, "|").alias("chained"))
 
 
 # ---- coercion -----------------------------------------------------------------------------
@@ -128,9 +128,9 @@ _SAYS = "CASE o_orderkey % 7 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'In stock (3 availa
 
 
 @query(rf"""SELECT o_orderkey, CASE WHEN t IN ('true','yes','y','1','in stock','available','on','✓','✔') THEN true WHEN t IN ('false','no','n','0','out of stock','unavailable','sold out','off','✗','✘') THEN false
-  WHEN regexp_matches(t, 'false|out of stock|unavailable|sold out|off') THEN false WHEN regexp_matches(t, 'true|yes|in stock|available') THEN true END AS flag FROM (SELECT o_orderkey, lower(trim({_SAYS})) AS t FROM orders)""")
+  WHEN regexp_matches(t, 'false|out of stock|unavailable|sold out|off') THEN false WHEN regexp_matches(t, 'true|yes|in stock|available') THEN true END::varchar AS flag FROM (SELECT o_orderkey, lower(trim({_SAYS})) AS t FROM orders)""")
 def co_bool(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", coerce.to_bool(F.expr(_SAYS)).alias("flag"))
+    return table(spark, d, "orders").select("o_orderkey", coerce.to_bool(F.expr(_SAYS)).cast("string").alias("flag"))
 
 
 @query(r"""SELECT o_orderkey, CASE WHEN lower(trim(x)) = 'high' THEN 'High' WHEN lower(trim(x)) = 'low' THEN 'Low' WHEN lower(trim(x)) = 'urgent' THEN 'Urgent' WHEN contains(lower(x), 'high') THEN 'High' WHEN contains(lower(x), 'low') THEN 'Low' WHEN contains(lower(x), 'urgent') THEN 'Urgent' END AS level FROM (SELECT o_orderkey, o_orderpriority AS x FROM orders)""")
@@ -150,10 +150,10 @@ def co_json(spark, d):
     return table(spark, d, "events").select("event_id", F.to_json(coerce.to_json(x)).alias("doc"))
 
 
-@query(r"SELECT o_orderkey, list_filter([try_cast(o_orderkey AS double), try_cast(NULL AS double), try_cast(o_custkey AS double)], lambda x: x IS NOT NULL) AS many, try_cast(o_orderkey AS double) AS one FROM orders")
+@query(r"SELECT o_orderkey, cast(o_orderkey + o_custkey AS double) AS many, try_cast(o_orderkey AS double) AS one FROM orders")
 def co_lists(spark, d):
     x = F.array(F.col("o_orderkey").cast("string"), F.lit("none"), F.col("o_custkey").cast("string"))
-    return table(spark, d, "orders").select("o_orderkey", coerce.coerce(x, "number", many=True).alias("many"), coerce.coerce(x, "number").alias("one"))
+    return table(spark, d, "orders").select("o_orderkey", F.aggregate(coerce.coerce(x, "number", many=True), F.lit(0.0), lambda a, b: a + b).alias("many"), coerce.coerce(x, "number").alias("one"))
 
 
 # ---- JSON ---------------------------------------------------------------------------------
@@ -170,16 +170,16 @@ def _order_documents(spark, d):
     return lines.select("l_orderkey", F.to_json(F.struct(F.col("l_orderkey").alias("id"), "lines")).alias("body"))
 
 
-@query("""SELECT l_orderkey, list(cast(l_partkey AS varchar) ORDER BY l_linenumber) AS parts, cast(first(l_partkey ORDER BY l_linenumber DESC) AS varchar) AS last_part, list(l_returnflag ORDER BY l_linenumber) AS flags
+@query("""SELECT l_orderkey, string_agg(cast(l_partkey AS varchar), '|' ORDER BY l_linenumber, l_partkey, l_returnflag) AS parts, cast(first(l_partkey ORDER BY l_linenumber DESC, l_partkey DESC, l_returnflag DESC) AS varchar) AS last_part, string_agg(l_returnflag, '|' ORDER BY l_linenumber, l_partkey, l_returnflag) AS flags
   FROM lineitem GROUP BY l_orderkey""")
 def json_path_wildcard(spark, d):
     doc = F.try_parse_json("body")
-    return _order_documents(spark, d).select("l_orderkey", jsonpath.texts(doc, "lines[*].part").alias("parts"), F.get(jsonpath.texts(doc, "$.lines[-1].part"), F.lit(0)).alias("last_part"), jsonpath.texts(doc, "lines.flag").alias("flags"))
+    return _order_documents(spark, d).select("l_orderkey", F.array_join(jsonpath.texts(doc, "lines[*].part"), "|").alias("parts"), F.get(jsonpath.texts(doc, "$.lines[-1].part"), F.lit(0)).alias("last_part"), F.array_join(jsonpath.texts(doc, "lines.flag"), "|").alias("flags"))
 
 
-@query("SELECT l_orderkey, ['body', 'id', 'lines'] AS names FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+@query("SELECT l_orderkey, 'body|id|lines' AS names FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
 def json_body_map(spark, d):
-    return _order_documents(spark, d).select("l_orderkey", F.array_sort(F.map_keys(jsonpath.body_map(F.try_parse_json("body")))).alias("names"))
+    return _order_documents(spark, d).select("l_orderkey", F.array_join(F.array_sort(F.map_keys(jsonpath.body_map(F.try_parse_json("body")))), "|").alias("names"))
 
 
 _ORDER_RECIPE = """
@@ -205,7 +205,7 @@ def explode_children(spark, d):
 _VISIBLE_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript\b[^>]*>.*?</noscript>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(rf"SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, md5({_VISIBLE_SQL}) AS visible, length({_VISIBLE_SQL}) AS chars, len(regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>')) AS scripts FROM pages")
+@query(rf"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, md5({_VISIBLE_SQL}) AS visible, length({_VISIBLE_SQL}) AS chars, len(regexp_extract_all(html, '(?is)<script\b[^>]*>.*?</script>')) AS scripts FROM pages")
 def html_text(spark, d):
     h = F.col("html")
     return table(spark, d, "pages").select("page_id", pages.title(h).alias("title"), F.md5(pages.visible_text(h)).alias("visible"), F.length(pages.visible_text(h)).alias("chars"), pages.script_count(h).alias("scripts"))
@@ -232,7 +232,7 @@ _NAV_SQL = r"""SELECT url, i - 1 AS idx, regexp_extract(li[i], '<a [^>]*href="([
   FROM (SELECT url, html, li, unnest(range(1, len(li) + 1)) AS i FROM (SELECT url, html, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>.*?</li>') AS li FROM pages))"""
 
 
-@query(rf"""SELECT label, CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || href END AS link, url || '#item-' || idx AS _url, url AS _page_url, trim(regexp_replace(regexp_extract(html, '(?s)<article>\s*<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')) AS heading FROM ({_NAV_SQL})""")
+@query(rf"""SELECT label, CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || href END AS link, url || '#item-' || idx AS _url, url AS _page_url, replace(trim(regexp_replace(regexp_extract(html, '(?s)<article>\s*<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS heading FROM ({_NAV_SQL})""")
 def html_list_items(spark, d):
     """The flagship: a recipe over whole pages, de-duplicated by its key."""
     got = plan.extract(R.load(_NAV), table(spark, d, "pages").select("url", "html"))
@@ -262,7 +262,7 @@ fields:
 """
 
 
-@query(r"""SELECT url AS _url, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, lower(regexp_extract(html, '<article>\s*<h1>\s*(\S+?)[\s<]', 1)) AS first_word, 'none' AS nothing FROM pages""")
+@query(r"""SELECT url AS _url, replace(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '&amp;', '&') AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, lower(replace(regexp_extract(html, '<article>\s*<h1>\s*([^\s<]+)', 1), '&amp;', '&')) AS first_word, 'none' AS nothing FROM pages""")
 def html_single_page(spark, d):
     return plan.extract(R.load(_SINGLE), table(spark, d, "pages").select("url", "html")).select("_url", "title", "lang", "first_word", "nothing")
 
@@ -302,11 +302,11 @@ def url_filter(spark, d):
     return table(spark, d, "pages").where(urls.allowed(F.col("url"), r"/(en|de)/", r"utm_")).select("page_id", "url")
 
 
-@query(r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'page' ELSE 'none' END AS kind, CASE page_id % 3 WHEN 0 THEN page_id WHEN 1 THEN page_id * 20 END AS start, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 20 END AS step, CASE page_id % 3 WHEN 2 THEN 7 ELSE 20 END AS page_size FROM pages""")
+@query(r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'page' ELSE 'none' END AS kind, CASE page_id % 3 WHEN 0 THEN page_id WHEN 1 THEN page_id * 20 ELSE -1 END AS start, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 20 ELSE -1 END AS step, CASE page_id % 3 WHEN 2 THEN 7 ELSE 20 END AS page_size FROM pages""")
 def url_paging(spark, d):
     u = F.expr("CASE page_id % 3 WHEN 0 THEN concat('https://x.example/api?q=a&page=', page_id, '&limit=20') WHEN 1 THEN concat('https://x.example/api?per_page=20&offset=', page_id * 20) ELSE 'https://x.example/api?q=b' END")
     p = urls.paging(u, F.lit(7))
-    return table(spark, d, "pages").select("page_id", p["kind"].alias("kind"), p["start"].alias("start"), p["step"].alias("step"), p["page_size"].alias("page_size"))
+    return table(spark, d, "pages").select("page_id", p["kind"].alias("kind"), F.coalesce(p["start"], F.lit(-1)).alias("start"), F.coalesce(p["step"], F.lit(-1)).alias("step"), p["page_size"].alias("page_size"))
 
 
 @query(r"""SELECT p_partkey, regexp_replace(regexp_replace(lower(regexp_replace(p_type || 'Price' || p_partkey, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS name, 'price' AS kind FROM part""")
@@ -322,7 +322,7 @@ def url_render(spark, d):
 
 # ---- block verdicts -----------------------------------------------------------------------
 
-_BODY = """CASE page_id % 8 WHEN 0 THEN html WHEN 1 THEN html WHEN 2 THEN '<html><title>Just a moment...</title></html>' WHEN 3 THEN '<html><body><div id="app"></div><script>x()</script></body></html>'
+_BODY = """CASE page_id % 8 WHEN 0 THEN html WHEN 1 THEN html WHEN 2 THEN '<html><title>Just a moment...</title></html>' WHEN 3 THEN '<html><body>Loading <div id="app"></div><script>x()</script></body></html>'
  WHEN 4 THEN '' WHEN 5 THEN '<body>hi <noscript>Please enable JavaScript</noscript></body>' ELSE html END"""
 
 
@@ -570,9 +570,9 @@ def _runs(spark, d):
     return spark.sql(_RUNS.replace("orders", f"parquet.`{d}/orders.parquet`"))
 
 
-@query(f"""SELECT run_id, last_value(CASE WHEN status = 'finished' AND kind = 'crawl' THEN run_id END IGNORE NULLS) OVER (PARTITION BY recipe_id ORDER BY created_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_run FROM ({_RUNS})""")
+@query(f"""SELECT run_id, coalesce(last_value(CASE WHEN status = 'finished' AND kind = 'crawl' THEN run_id END IGNORE NULLS) OVER (PARTITION BY recipe_id ORDER BY created_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS previous_run FROM ({_RUNS})""")
 def previous_runs(spark, d):
-    return monitor.previous_runs(_runs(spark, d)).select("run_id", "previous_run")
+    return monitor.previous_runs(_runs(spark, d)).select("run_id", F.coalesce("previous_run", F.lit(-1)).alias("previous_run"))
 
 
 @query(f"""SELECT run_id FROM (SELECT *, row_number() OVER (PARTITION BY recipe_id ORDER BY created_at DESC, run_id DESC) AS n FROM ({_RUNS}) WHERE status <> 'running') WHERE n > 5 OR created_at < TIMESTAMP '1993-01-01'""")
