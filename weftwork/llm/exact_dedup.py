@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import shutil
 import struct
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -128,6 +129,16 @@ class PatriciaTrie:
         for full, x in self._walk(top, prefix):
             out.write(_HEAD.pack(x.best or 0, x.rows, x.best is None, False, len(full)))
             out.write(struct.pack("<q", x.at_best) + full)
+        # what was spilled below it before moves to its file, so that a string is in one place
+        stack = list(top.kids.values())
+        while stack:
+            x = stack.pop()
+            stack.extend(x.kids.values())
+            if x.file is not None:
+                x.file.seek(0)
+                shutil.copyfileobj(x.file, out)
+                x.file.close()
+                self.spilled.remove(x)
         top.kids, top.rows, top.best, top.file = {}, 0, None, out
         self.spilled.append(top)
         self.held = max(0, self.held - sizes[id(top)])
