@@ -49,7 +49,7 @@ from . import common
 #: The vocabulary file, by its name in the public_tokenizers package; a path does as well.
 TOKENIZER = "word_bpe_49k.json"
 #: Words, and chunks, that a worker keeps in the younger of two generations.
-CACHE = 350_000
+CACHE = 120_000
 #: Chunks and words above this length are not kept.
 CACHE_CHARS = 64
 #: Characters of a text worked on at a time.
