@@ -124,6 +124,8 @@ def css(selector: str) -> Callable[[Node], list[Node]]:
         links, link = [], " "
         for p in parts:
             if p in " >+~":
+                if link != " " and p != " ":
+                    raise Unsupported(f"two combinators in {selector!r}")
                 link = p
             else:
                 links.append((link, _compound(p)))
@@ -255,6 +257,8 @@ def nodes(root: Node, selector: str) -> list[Node]:
 
 def check(selector: str) -> None:
     """Refuse a selector outside the subset, before any page is read."""
+    if not selector.strip():
+        raise Unsupported("empty selector")
     if kind(selector) == "xpath":
         xpath(selector)
     else:

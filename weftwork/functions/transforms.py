@@ -97,7 +97,7 @@ def chain(values: Column, transforms: Sequence[Transform]) -> Column:
     steps: list[Transform] = []
     for t in transforms:
         if t.kind == "split" and t.index is None:
-            many = F.flatten(F.transform(_through(values, steps), lambda x: pieces(x, t.pattern)))
+            many = F.flatten(F.transform(F.filter(_through(values, steps), lambda x: x.isNotNull()), lambda x: pieces(x, t.pattern)))
             return F.filter(many, lambda x: x.isNotNull() & (x != ""))
         steps.append(t)
     return F.filter(_through(values, steps), lambda x: x.isNotNull() & (x != ""))

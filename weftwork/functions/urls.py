@@ -47,7 +47,7 @@ def resolve(base: Column, ref: Column) -> Column:
         F.when(ref.isNull() | base.isNull(), F.lit(None).cast("string"))
         .when(absolute, ref)
         .when(F.startswith(ref, F.lit("//")), F.concat(scheme, F.lit(":"), ref))
-        .when(ref == "", F.regexp_replace(base, r"#.*$", ""))
+        .when(ref == "", base)
         .when(F.startswith(ref, F.lit("#")), F.concat(root, path, query, ref))
         .when(F.startswith(ref, F.lit("?")), F.concat(root, path, ref))
         .when(F.startswith(ref, F.lit("/")), F.concat(root, _dots(ref_path), ref_tail))

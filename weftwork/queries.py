@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import coerce, jsonpath, pages, transforms, urls, values
 from .functions.transforms import Transform as T
-from .operators import changes, incremental, inference, monitor, profiles, rows
+from .dom import analysis
+from .operators import changes, heal, incremental, inference, monitor, outside, profiles, rows
 from .plans import compile as plan
 from .plans import recipe as R
 from .sources import readers, sinks
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -647,3 +652,103 @@ def fingerprint_similarity(spark, d):
 def export_cells(spark, d):
     t = table(spark, d, "labels").select("doc_id", "quality", F.array(F.lit("1"), F.lit(None).cast("string"), F.col("toxic").cast("string")).alias("flags"))
     return t.select("doc_id", sinks.cell(t, "quality").alias("quality"), sinks.cell(t, "flags").alias("flags"))
+
+
+# ---- streams ------------------------------------------------------------------------------
+
+_EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def _stream(spark, d) -> tuple[DataFrame, str]:
+    """events as a stream, and a folder for its checkpoint: the one all machines share where it is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    import uuid
+
+    work = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="weftwork-stream-")
+    return spark.readStream.schema(_EVENTS).option("pathGlobFilter", "events.parquet*").parquet(d), work
+
+
+@query("SELECT user_id, event_type, count(*) AS rows FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
+def stream_dedupe(spark, d):
+    s, work = _stream(spark, d)
+    once = ingest.deduplicated(s.select("user_id", "event_type"), ["user_id", "event_type"])
+    return ingest.drained(once, f"{work}/out", f"{work}/state").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT event_type, count(*) AS events FROM events GROUP BY event_type")
+def stream_counts(spark, d):
+    s, work = _stream(spark, d)
+    return ingest.drained(ingest.counted(s, "event_type"), f"{work}/out", f"{work}/state", "complete")
+
+
+@query(f"""SELECT cast(run_id AS varchar) AS run_id, field, seq, rate, best AS best_before FROM (SELECT *, row_number() OVER (PARTITION BY run_id, field ORDER BY ts, seq) AS k FROM
+ (SELECT *, row_number() OVER w AS n, max(rate) OVER (PARTITION BY run_id, field ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {_HIST_SQL} WINDOW w AS (PARTITION BY run_id, field ORDER BY ts, seq)) WHERE n >= 3 AND rate <= 0.25 AND best >= 0.8) WHERE k = 1""")
+def stream_drift(spark, d):
+    s, work = _stream(spark, d)
+    rates = s.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("field"), "ts", F.col("event_id").alias("seq"), F.expr("CASE WHEN event_id % 9 = 0 THEN 0.1D WHEN event_id % 4 = 0 THEN 0.9D ELSE 0.5D END").alias("rate"))
+    return ingest.drained(ingest.drift(rates), f"{work}/out", f"{work}/state")
+
+
+# ---- sitemaps and robots ------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id, url AS loc, '2024-01-0' || (page_id % 9 + 1) AS lastmod FROM pages""")
+def sitemap_entries(spark, d):
+    p = table(spark, d, "pages")
+    xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc><lastmod>2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("</lastmod></url></urlset>"))
+    maps = p.select(F.col("page_id").cast("string").alias("url"), xml.alias("body"))
+    return readers.sitemap(maps).select(F.col("base").cast("bigint").alias("page_id"), "loc", "lastmod")
+
+
+@query(r"SELECT page_id, NOT (regexp_matches(url, '^[a-z]+://[^/]+/(en|de)/') AND NOT contains(url, '/en/1')) AS allowed FROM pages")
+def robots_gate(spark, d):
+    rules = "User-agent: *\nDisallow: /en/\nDisallow: /de/*\nAllow: /en/1\nSitemap: https://x.example/s.xml\n"
+    return table(spark, d, "pages").select("page_id", readers.robots_allows(F.col("url"), rules).alias("allowed"))
+
+
+# ---- page analysis, healing and outside functions ----------------------------------------
+
+
+def _analysed(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+    found = [analysis.analyse(h, u) for h, u in zip(html, url, strict=True)]
+    return pd.DataFrame({"container": [f["containers"][0]["selector"] if f["containers"] else None for f in found], "items": [f["containers"][0]["count"] if f["containers"] else 0 for f in found], "fields": [len(f["fields"]) for f in found], "login": [f["login"] for f in found]})
+
+
+@query()
+def page_analysis(spark, d):
+    schema = "container string, items int, fields int, login boolean"
+
+    @F.pandas_udf(schema)
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for html, url in batches:
+            yield _analysed(html, url)
+
+    return table(spark, d, "pages").select("page_id", run("html", "url").alias("a")).select("page_id", "a.*")
+
+
+@query("SELECT 'link' AS field, 'a' AS selector, 1.0 AS fill")
+def heal_selector(spark, d):
+    p = table(spark, d, "pages").select("url", "html")
+    fp = analysis.fingerprint(analysis.parse("<li><a href='/x'>word</a></li>").elements()[0].elements()[0], analysis.parse("<li></li>"))
+    known = spark.createDataFrame([("link", {**fp, "path": ["a"]})], f"field string, fp struct<{heal.FINGERPRINT}>")
+    return heal.relocate(p, "nav > ul > li", known).select("field", "selector", "fill")
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 1.0 ELSE quality END AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+def ai_fields(spark, d):
+    rows_ = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "lang", F.col("quality").cast("double").alias("quality"))
+    got = outside.call(rows_, "doc_id", ["lang"], ["quality"], lambda batch: [{"quality": "1"} for _ in batch])
+    typed = got.select("doc_id", coerce.to_number(F.col("quality")).alias("quality"))
+    return rows.write_back(rows_, typed, "doc_id", ["quality"]).select("doc_id", "quality")
+
+
+@query("SELECT event_type AS model, count(*) AS calls, cast(sum(user_id) AS bigint) AS tokens_in, cast(sum(event_id) AS bigint) AS tokens_out, round(sum((user_id * CASE WHEN starts_with(event_type, 'click') THEN 1 ELSE 3 END + event_id * CASE WHEN starts_with(event_type, 'click') THEN 2 ELSE 15 END) / 1e6), 6) AS cost FROM events GROUP BY event_type")
+def usage_costs(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("model"), F.col("user_id").alias("tokens_in"), F.col("event_id").alias("tokens_out"))
+    return outside.usage(e, {"cl": (2.0, 3.0), "click": (1.0, 2.0)})
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE event_type = 'view') WHERE r <= 3")
+def captures_kept(spark, d):
+    c = table(spark, d, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("seq"), F.lit(200).alias("status"), F.expr("CASE WHEN event_type = 'view' THEN 'Application/JSON; x' ELSE 'text/html' END").alias("content_type"), F.lit(10).alias("bytes"))
+    return readers.captures(c, most=3).select(F.col("page").alias("user_id"), F.col("seq").alias("event_id"))
