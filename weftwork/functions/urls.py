@@ -119,3 +119,36 @@ def field_type(key: Column, value: Column) -> Column:
         .when(F.startswith(value, F.lit("[")), "list")
         .otherwise("text")
     )
+
+
+# Path segments of a storefront's own pages; what comes before the first is its root.
+SHOP_ROUTES = ("collections", "products", "pages", "blogs", "cart", "checkout", "search", "account", "policies", "apps", "tools", "discount", "challenge", "password", "recommendations", "services", "variants", "a", "wpm")
+
+
+def _segments(url: Column) -> Column:
+    return F.filter(F.split(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)", 1), "/"), lambda s: s != "")
+
+
+def shop_root(url: Column) -> Column:
+    """The storefront of a page: the origin and the segments before a page of the shop or a file."""
+    s = _segments(url)
+    at = F.transform(s, lambda x: F.lower(x).isin(*SHOP_ROUTES))
+    first = F.array_position(at, True)
+    count = F.when(first > 0, first - 1).when(F.contains(F.element_at(F.concat(F.array(F.lit("")), s), -1), F.lit(".")), F.size(s) - 1).otherwise(F.size(s)).cast("int")
+    head = F.slice(s, F.lit(1), count)
+    return F.concat(origin(url), F.when(F.size(head) > 0, F.concat(F.lit("/"), F.array_join(head, "/"))).otherwise(F.lit("")))
+
+
+def shop_collection(url: Column) -> Column:
+    """The collection a URL points at; null for any other page."""
+    s = _segments(url)
+    at = F.array_position(F.transform(s, F.lower), "collections").cast("int")
+    return F.when(at > 0, F.get(s, at))
+
+
+def shop_bases(url: Column) -> Column:
+    """Where a catalogue may be looked for: the collection first, then the storefront."""
+    s = _segments(url)
+    at = F.array_position(F.transform(s, F.lower), "collections").cast("int")
+    own = F.when(shop_collection(url).isNotNull(), F.concat(origin(url), F.lit("/"), F.array_join(F.slice(s, F.lit(1), at + 1), "/")))
+    return F.array_distinct(F.filter(F.array(own, shop_root(url)), lambda x: x.isNotNull()))

@@ -169,6 +169,34 @@ def responses(captures: DataFrame, page_text: Column, top: int = 5) -> DataFrame
     return kept.select("page", "url", "container", "count", "keys", "share", "score", "paging", "rank")
 
 
+def confirmed(probes: DataFrame, verdicts: DataFrame | None = None, now: Column | None = None, days: int = 7) -> DataFrame:
+    """The first candidate endpoint of each page that answers with the list it should, else the reason it does not.
+
+    probes: page, platform, endpoint, order, allowed, status, content_type, redirected, body.
+    verdicts: page, platform, at and result of earlier checks; young ones are taken as they are.
+    """
+    doc = F.try_parse_json("body")
+    lists = F.when(F.col("platform") == "shopify", jsonpath.is_array(F.try_variant_get(doc, "$.products", "variant"))).otherwise(jsonpath.is_array(doc))
+    why = (
+        F.when(~F.col("allowed"), "robots.txt forbids it")
+        .when(F.col("redirected"), "it redirects")
+        .when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+        .when(~F.contains(F.lower("content_type"), F.lit("json")), "it is not JSON")
+        .when(doc.isNull(), "its JSON is broken")
+        .when(~F.coalesce(lists, F.lit(False)), "it is not the list expected")
+    )
+    judged = probes.withColumn("reason", why)
+    if verdicts is not None:
+        fresh = verdicts.where(F.timestamp_diff("DAY", F.col("at").cast("timestamp"), now.cast("timestamp")) < days)
+        judged = judged.join(fresh.select("page", "platform"), ["page", "platform"], "left_anti")
+    best = judged.groupBy("page", "platform").agg(F.min_by("endpoint", F.when(F.col("reason").isNull(), F.col("order"))).alias("endpoint"), F.max_by("reason", "order").alias("last_reason"))
+    best = best.select("page", "platform", "endpoint", F.when(F.col("endpoint").isNull(), F.col("last_reason")).alias("reason"))
+    if verdicts is None:
+        return best
+    kept = fresh.select("page", "platform", F.col("result").alias("endpoint"), F.lit(None).cast("string").alias("reason"))
+    return best.unionByName(kept)
+
+
 def page_type_hints(table: DataFrame, html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """keep, prices, dates, scripts, text_chars, login: what a page's text shows without a tree."""
     text = pages.visible_text(F.col(html))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import coerce, jsonpath, pages, transforms, urls, values
 from .functions.transforms import Transform as T
-from .dom import analysis
+from .dom import analysis, reading
 from .operators import changes, heal, incremental, inference, monitor, outside, profiles, rows
 from .plans import compile as plan
 from .plans import recipe as R
@@ -752,3 +752,47 @@ def usage_costs(spark, d):
 def captures_kept(spark, d):
     c = table(spark, d, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("seq"), F.lit(200).alias("status"), F.expr("CASE WHEN event_type = 'view' THEN 'Application/JSON; x' ELSE 'text/html' END").alias("content_type"), F.lit(10).alias("bytes"))
     return readers.captures(c, most=3).select(F.col("page").alias("user_id"), F.col("seq").alias("event_id"))
+
+
+@query(r"""SELECT page_id, o || '/shop/collections/c' || page_id || '|' || o || '/shop' AS bases, 'c' || page_id AS collection, o || '/en' AS root FROM (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS o FROM pages)""")
+def shop_bases(spark, d):
+    o = urls.origin(F.col("url"))
+    u, v = F.concat(o, F.lit("/shop/Collections/c"), "page_id", F.lit("/products/p?x=1")), F.concat(o, F.lit("/en/index.html"))
+    return table(spark, d, "pages").select("page_id", F.lower(F.array_join(urls.shop_bases(u), "|")).alias("bases"), urls.shop_collection(u).alias("collection"), urls.shop_root(v).alias("root"))
+
+
+@query("""SELECT cast(o_orderkey AS varchar) AS page, CASE o_orderkey % 4 WHEN 0 THEN 'e1' WHEN 1 THEN 'e2' WHEN 3 THEN 'old' END AS endpoint, CASE WHEN o_orderkey % 4 = 2 THEN 'HTTP 404' END AS reason FROM orders""")
+def endpoint_confirmed(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("page"), (F.col("o_orderkey") % 4).alias("k"))
+    probes = o.select("page", F.lit("shopify").alias("platform"), "k", F.explode(F.array(F.struct(F.lit(1).alias("order"), F.lit("e1").alias("endpoint")), F.struct(F.lit(2).alias("order"), F.lit("e2").alias("endpoint")))).alias("e"))
+    probes = probes.select("page", "platform", "e.order", "e.endpoint", F.lit(True).alias("allowed"), F.expr("CASE WHEN k = 2 THEN 404 ELSE 200 END").alias("status"), F.lit("application/json").alias("content_type"), F.lit(False).alias("redirected"), F.expr("CASE WHEN k = 1 AND e.order = 1 THEN '{}' ELSE '{\"products\": []}' END").alias("body"))
+    known = o.where("k = 3").select("page", F.lit("shopify").alias("platform"), F.lit("2024-05-30").alias("at"), F.lit("old").alias("result"))
+    return inference.confirmed(probes, known, F.expr(_NOW)).select("page", "endpoint", "reason")
+
+
+def _read(name: str, kind: str, f: Callable[[str], object]) -> Query:
+    def run(spark, d):
+        @F.pandas_udf(kind)
+        def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for html in batches:
+                yield html.map(f)
+
+        return table(spark, d, "pages").select("page_id", each("html").alias(name))
+
+    run.__name__ = f"page_{name}"
+    return run
+
+
+query()(_read("outline", "string", reading.outline))
+query()(_read("markdown", "string", reading.markdown))
+query()(_read("pagination", "string", lambda h: str(analysis.pagination(analysis.parse(h), "https://x.example/"))))
+
+
+@query("SELECT page_id, count(*) FILTER (WHERE regexp_matches(x, '^$') IS NULL) AS none, 0 AS blobs FROM (SELECT page_id, html AS x FROM pages) GROUP BY page_id")
+def embedded_documents(spark, d):
+    return table(spark, d, "pages").select("page_id", F.size(plan.embedded_json()).alias("blobs"), F.lit(0).cast("bigint").alias("none"))
+
+
+@query(r"SELECT page_id, len(regexp_extract_all(html, '<script\b')) AS scripts, regexp_matches(html, 'type=.password') AS login FROM pages".replace("\\\\", "\\"))
+def page_hints(spark, d):
+    return inference.page_type_hints(table(spark, d, "pages"), keep=("page_id",)).select("page_id", "scripts", "login")
