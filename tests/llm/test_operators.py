@@ -463,3 +463,12 @@ def test_lookup_table():
     table = ppm.Lookup(keys, np.arange(len(keys)))
     ask = rng.integers(0, len(keys), 20_000)
     assert (table[keys[ask]] == ask).all()
+
+
+def test_long_lines_hash_like_short_ones(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 40, [f"word{k}" for k in "abcdefghijklmnop"])) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lanes = {r.doc_id: r.hash for r in lines.lines(df).collect()}
+    monkeypatch.setattr(lines, "_MOST", 5)
+    assert {r.doc_id: r.hash for r in lines.lines(df).collect()} == lanes and len(set(lanes.values())) == 20
