@@ -52,8 +52,8 @@ TOKENIZER = "word_bpe_49k.json"
 CACHE = 120_000
 #: Chunks and words above this length are not kept.
 CACHE_CHARS = 64
-#: Characters of a text worked on at a time.
-SLICE = 1 << 16
+#: Characters of a text, and of all texts, worked on at a time.
+SLICE, GROUP = 1 << 16, 3 << 20
 _NONE = 1 << 30
 _BLANKS = " \t\n\x0b\x0c\r"
 #: Characters beyond the plain rules: blanks on which Unicode tables differ, and U+0250 on.
@@ -229,8 +229,9 @@ class Chunks:
         at = coded.indices.to_numpy()
         sizes = size[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        places = np.repeat((np.cumsum(size) - size)[at] - ends[:-1], sizes)
-        places += np.arange(len(places))
+        # a group's ids are few enough for 32 bits
+        places = np.repeat(((np.cumsum(size) - size)[at] - ends[:-1]).astype(np.int32), sizes)
+        places += np.arange(len(places), dtype=np.int32)
         out = ids[places]
         cuts = ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
         for (i, _), low, high in zip(units, cuts, cuts[1:], strict=False):
@@ -248,7 +249,7 @@ class Chunks:
                 group.append((i, text[at:end]))
                 size += end - at
                 at = end
-                if size > 16 * SLICE:
+                if size > GROUP:
                     yield from self._group(group)
                     group, size = [], 0
         yield from self._group(group)
