@@ -48,8 +48,8 @@ from . import common
 
 #: The vocabulary file, by its name in the public_tokenizers package; a path does as well.
 TOKENIZER = "word_bpe_49k.json"
-#: Words, and chunks, that a worker keeps in the younger of two generations.
-CACHE = 120_000
+#: Chunks, and words, that a worker keeps in the younger of two generations.
+CACHE, WORD_CACHE = 80_000, 300_000
 #: Chunks and words above this length are not kept.
 CACHE_CHARS = 64
 #: Characters of a text, and of all texts, worked on at a time.
@@ -152,7 +152,7 @@ class Chunks:
     asked for again moves back.
     """
 
-    def __init__(self, path: str = TOKENIZER, cache: int = CACHE):
+    def __init__(self, path: str = TOKENIZER, cache: int = CACHE, word_cache: int = WORD_CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -169,7 +169,7 @@ class Chunks:
         for name, i in chain(vocab.items(), self.special.items()):
             self.names[i] = name
         self.code = "H" if len(self.names) <= 1 << 16 else "I"
-        self.cache = cache
+        self.cache, self.word_cache = cache, word_cache
         self.chunks: list[dict[str, bytes]] = [{}, {}]
         self.words: list[dict[str, bytes]] = [{}, {}]
 
@@ -208,8 +208,8 @@ class Chunks:
             now[c] = b"".join(x if isinstance(x, bytes) else wanted[x] if x in wanted else young[x] for x in got)
         young.update((w, x) for w, x in wanted.items() if len(w) <= CACHE_CHARS)
         self.chunks[0].update((c, x) for c, x in now.items() if len(c) <= CACHE_CHARS)
-        for maps in (self.words, self.chunks):
-            if len(maps[0]) > self.cache:
+        for maps, most in ((self.words, self.word_cache), (self.chunks, self.cache)):
+            if len(maps[0]) > most:
                 maps[:] = [{}, maps[0]]
         return now
 
@@ -261,8 +261,8 @@ class Chunks:
 class Encoder(Chunks):
     """The transducer behind the maps."""
 
-    def __init__(self, path: str = TOKENIZER, cache: int = CACHE):
-        super().__init__(path, cache)
+    def __init__(self, path: str = TOKENIZER, cache: int = CACHE, word_cache: int = WORD_CACHE):
+        super().__init__(path, cache, word_cache)
         model = self.spec["model"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.table = MergeTable(model["vocab"], pairs, model.get("end_of_word_suffix") or "")

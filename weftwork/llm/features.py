@@ -13,7 +13,7 @@ _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
 _CLASS = np.full(256, 8, np.uint8)
 for _c, _members in enumerate([range(97, 123), range(65, 91), range(48, 58), (9, 11, 12, 13, 32), (10,), range(128, 256), (124,), (33, 46, 63)]):
     _CLASS[list(_members)] = _c
-_WORDS = Words(150_000)
+_WORDS = Words(100_000)
 #: Names of the statistics, in order.
 STATS = ("bytes", "words", "mean_word", "upper", "digit", "beyond_ascii", "pipe", "stop", "other", "blank", "different", "top_word", "twice_running", "lines", "same_lines", "mean_line", "capitals", "marked")
 

@@ -59,7 +59,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """64-bit hashes of words, kept for the frequent ones."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 100_000):
         self.most, self.kept = most, {}
 
     def hashes(self, words: list[bytes]) -> np.ndarray:

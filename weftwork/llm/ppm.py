@@ -43,7 +43,7 @@ BLOCK = 8 << 20
 #: The fold of identifiers, of FOLDS, that is held out of training.
 FOLDS, HELD_OUT = 7, 2
 _END_WORD = np.uint64(0)
-_WORDS = Words(150_000)
+_WORDS = Words(100_000)
 
 
 def normalised(raw: bytes | None) -> list[bytes]:

@@ -81,7 +81,7 @@ class LibraryEncoder(bpe.Chunks):
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path, 3 * bpe.CACHE)
+    return LibraryEncoder(path, 4 * bpe.CACHE)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
