@@ -34,14 +34,23 @@ def delay(base: Column, p: Column) -> Column:
     return F.when(p > 0, F.least(F.greatest(base, F.lit(LEAST_DELAY)) * F.pow(F.lit(2.0), p), F.lit(MOST_DELAY))).otherwise(base)
 
 
-def backoff(events: DataFrame, base: float = 0.5, domain: str = "domain", verdict: str = "verdict", order: str = "seq") -> DataFrame:
-    """Penalty and delay of each domain after its events.
+def backoff(events: DataFrame, base: float = 0.5, domain: str = "domain", verdict: str = "verdict", order: str = "seq", stretch: int = 10_000) -> DataFrame:
+    """Penalty and delay of each domain after its events; order is a number.
 
-    Only the events since the penalty was last surely known matter less and less, but exactness needs
-    them all: a domain's verdicts are packed in its state, one short string each.
+    An event maps a penalty p to min(6, max(0, p + s)), and such maps compose to min(hi, max(lo, p + a)).
+    So each stretch of the order is folded to three numbers, and a domain's stretches to its penalty: no
+    row holds all events of a domain.
     """
-    packed = events.groupBy(domain).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, verdict))), lambda x: x[verdict]).alias("_v"))
-    return packed.select(domain, penalty(F.col("_v")).alias("penalty")).withColumn("delay", delay(F.lit(base), F.col("penalty")))
+    least, most = F.lit(0), F.lit(MOST_PENALTY)
+    clamp = lambda x: F.greatest(least, F.least(most, x))
+    s = F.when(F.col(verdict) == "blocked", 1).when(F.col(verdict) == "ok", -1).otherwise(0)
+    by = events.groupBy(domain, F.floor(F.col(order) / stretch).alias("_part")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), s.alias("s")))).alias("_e"))
+    start = F.struct(F.lit(0).alias("a"), least.alias("lo"), most.alias("hi"))
+    step = lambda f, e: F.struct((f["a"] + e["s"]).alias("a"), clamp(f["lo"] + e["s"]).alias("lo"), clamp(f["hi"] + e["s"]).alias("hi"))
+    maps = by.select(domain, "_part", F.aggregate("_e", start, step).alias("f"))
+    folded = maps.groupBy(domain).agg(F.array_sort(F.collect_list(F.struct("_part", "f"))).alias("_m"))
+    last = F.aggregate("_m", F.lit(0), lambda p, m: F.least(m["f"]["hi"], F.greatest(m["f"]["lo"], p + m["f"]["a"])))
+    return folded.select(domain, last.alias("penalty")).withColumn("delay", delay(F.lit(base), F.col("penalty")))
 
 
 def tier_memory(events: DataFrame, order: str = "seq") -> DataFrame:

@@ -81,20 +81,21 @@ def until_nothing_new(df: DataFrame, keys: Sequence[str], page_no: str = "page_n
     return joined.where(F.col("_stop").isNull() | (F.col(page_no) < F.col("_stop"))).drop("_first", "_stop")
 
 
-def enrich(rows: DataFrame, details: DataFrame, fields: Sequence[str], link: str = "_detail_url", url: str = "url", budget: int | None = None, order: Sequence[str | Column] = ()) -> DataFrame:
+def enrich(rows: DataFrame, details: DataFrame, fields: Sequence[str], link: str = "_detail_url", url: str = "url", budget: int | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Rows with the fields of their detail pages, which win even when null.
 
     details: url, the fields, _provenance, and if it is there `blocked`.  A blocked page gives the row
     `_detail: blocked`, a missing one `_detail: missing`; no row is lost.  With a budget only the first
-    rows by `order` are looked up.
+    rows by `order` (names of columns that tell rows apart) are looked up.
     """
     one = details.dropDuplicates([url])
     mine = [F.col(f).alias(f"_d_{f}") for f in fields]
     blocked = F.col("blocked") if "blocked" in details.columns else F.lit(False)
     one = one.select(F.col(url).alias("_d_url"), *mine, F.col("_provenance").alias("_d_prov"), blocked.alias("_d_blocked"))
     if budget is not None:
-        w = Window.orderBy(*order)
-        rows = rows.withColumn("_in", F.col(link).isNotNull() & (F.row_number().over(w) <= budget))
+        # the last row within the budget comes from a top-k; one row is broadcast, no full sort
+        last = rows.select(F.struct(*order).alias("_o")).orderBy("_o").limit(budget).agg(F.max("_o").alias("_last"))
+        rows = rows.crossJoin(F.broadcast(last)).withColumn("_in", F.col(link).isNotNull() & F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False))).drop("_last")
     else:
         rows = rows.withColumn("_in", F.col(link).isNotNull())
     joined = rows.join(one, F.when(F.col("_in"), F.col(link)) == F.col("_d_url"), "left")

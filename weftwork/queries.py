@@ -552,7 +552,7 @@ def history_tail(spark, d):
  SELECT user_id AS domain, arg_max(p, r) AS penalty, CASE WHEN arg_max(p, r) > 0 THEN least(0.5 * pow(2, arg_max(p, r)), 30) ELSE 0.5 END AS delay FROM f GROUP BY user_id""")
 def backoff_state(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("domain"), F.col("event_id").alias("seq"), F.expr("CASE WHEN event_type IN ('error', 'view') THEN 'blocked' WHEN event_type = 'click' THEN 'ok' ELSE 'none' END").alias("verdict"))
-    return monitor.backoff(e)
+    return monitor.backoff(e, stretch=97)
 
 
 @query("SELECT event_type AS kind, map_from_entries(list((k, n) ORDER BY k)) AS counts FROM (SELECT event_type, cast(user_id % 3 AS varchar) AS k, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type".replace("map_from_entries(list((k, n) ORDER BY k)) AS counts", "string_agg(k || '=' || n, ',' ORDER BY k) AS counts"))

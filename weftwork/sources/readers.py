@@ -28,7 +28,9 @@ def clean_urls(df: DataFrame, text: str = "text", key: str | None = None, limit:
     first = each.groupBy(*own, "url").agg(F.min("pos").alias("pos"))
     if limit is None:
         return first
-    w = Window.partitionBy(*own).orderBy("pos") if own else Window.orderBy("pos")
+    if not own:
+        return first.orderBy("pos").limit(limit)
+    w = Window.partitionBy(*own).orderBy("pos")
     return first.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
 
 
