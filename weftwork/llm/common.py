@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -47,8 +49,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder; what is left there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_clean)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def _clean() -> None:
+    for spark, path in _SCRATCH:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
