@@ -317,13 +317,29 @@ def _cut(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
 
 
 def _windows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Each window of a hot hash by two independent 64-bit hashes."""
+    """Each window of a hot hash by a 128-bit digest, in two numbers."""
+    raw: list[bytes] = []
+    owners: list[tuple[int, int, int, int]] = []
+
+    def flush() -> pa.RecordBatch:
+        x = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+        k1, k2, low, n = (np.array(c, np.int64) for c in zip(*owners, strict=True))
+        first = np.cumsum(n) - n
+        places = np.arange(len(x)) - np.repeat(first, n) + np.repeat(low, n)
+        out = pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.repeat(k1, n)), pa.array(np.repeat(k2, n)), pa.array(places.astype(np.int32))], names=["w1", "w2", "k1", "k2", "low"])
+        raw.clear()
+        owners.clear()
+        return out
+
     for b in batches:
         for k1, k2, low, body in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-            raw = [hashlib.blake2b(body[i : i + length], digest_size=16).digest() for i in range(len(body) - length + 1)]
-            n = len(raw)
-            x = np.frombuffer(b"".join(raw), np.int64).reshape(n, 2)
-            yield pa.record_batch([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), pa.array(np.arange(low, low + n), pa.int32())], names=["w1", "w2", "k1", "k2", "low"])
+            n = len(body) - length + 1
+            raw.extend(hashlib.blake2b(body[i : i + length], digest_size=16).digest() for i in range(n))
+            owners.append((k1, k2, low, n))
+            if len(raw) > 50_000:
+                yield flush()
+    if raw:
+        yield flush()
 
 
 def _finish(batches: Iterable[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
