@@ -49,7 +49,7 @@ from . import common
 #: The vocabulary file, by its name in the public_tokenizers package; a path does as well.
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks, and words, that a worker keeps in the younger of two generations.
-CACHE, WORD_CACHE = 80_000, 300_000
+CACHE, WORD_CACHE = 80_000, 200_000
 #: Chunks and words above this length are not kept.
 CACHE_CHARS = 64
 #: Characters of a text, and of all texts, worked on at a time.

@@ -200,14 +200,16 @@ def _groups(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         out.clear()
         return pa.record_batch([pa.array(c, pa.int64()) for c in got], names=["a", "b"])
 
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
-            if rows and row[:4] != rows[0][:4]:
-                out.extend(_compare(rows, percent))
-                rows = []
-                if len(out) > 10_000:
-                    yield flush()
-            rows.append(row)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            for row in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                if rows and row[:4] != rows[0][:4]:
+                    out.extend(_compare(rows, percent))
+                    rows = []
+                    if len(out) > 10_000:
+                        yield flush()
+                rows.append(row)
     if rows:
         out.extend(_compare(rows, percent))
     yield flush()
