@@ -121,6 +121,34 @@ def test_substrings(spark, shard, hot):
     assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 200)))
 
 
+def truncated(rng, letters):
+    """Passages that end a text, or its copy, or go on differently."""
+    texts = []
+    for _ in range(12):
+        base = "".join(rng.choices(letters, k=rng.randint(500, 900)))
+        texts += [base, base[: rng.randint(210, 480)], base[: rng.randint(210, 480)] + "".join(rng.choices(letters, k=150)), base[rng.randint(10, 200) : 490]]
+    return texts
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 3000])
+def test_substrings_of_truncated_copies(spark, shard):
+    texts = truncated(random.Random(21), "ab")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(df, shard=shard).collect()}
+    assert got == dict(enumerate(brute_repeats([t.encode() for t in texts], 200)))
+
+
+@pytest.mark.parametrize("letters,length", [("ab", 200), ("abcdefghijklmno", 200), ("ab", 40), ("a", 200)])
+def test_windows_shared_in_a_shard(letters, length):
+    for seed in range(6):
+        bodies = [t.encode() for t in truncated(random.Random(seed), letters)]
+        shard = substrings.Shard([(0, i, 0, 0, len(b) - length + 1, b) for i, b in enumerate(bodies)], length)
+        seen = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
+        for begin, b in zip(shard.begin.tolist(), bodies, strict=True):
+            places = range(len(b) - length + 1)
+            assert shard.shared[begin : begin + len(places)].tolist() == [seen[b[i : i + length]] > 1 for i in places]
+
+
 def test_substrings_odd_rows(docs, empty):
     got = substrings.remove_repeats(docs.withColumn("k1", F.lit(1)), keep_text=True).collect()
     assert len(got) == len(corpus()) and substrings.remove_repeats(empty).count() == 0

@@ -170,24 +170,27 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begin: np.ndarray, coun
     """Kasai: for the first `count` places of each run, which are those in `order`, the longer common prefix
     with the two neighbours, up to `most`.
 
-    The prefix shared with the neighbour before shrinks by one at most from a place to the next;
-    all runs advance together, eight bytes a comparison.
+    The prefix shared with the neighbour before shrinks by one at most from a place to the next, if the
+    place after that neighbour is in the order too and on the same side; else nothing is carried over
+    (a neighbour can be the last window of its run, and places alike to the full depth stand in any order).
+    All runs advance together, eight bytes a comparison.
     """
     n, m = len(text), len(order)
-    at_rank = np.zeros(n, np.int64)
+    at_rank = np.full(n + 1, -1, np.int64)
     at_rank[order] = np.arange(m)
     wide = np.concatenate([_words(text), np.zeros(most + 16, np.uint64)])
     out = np.zeros(n, np.int64)
     for side in (-1, 1):
-        held = np.zeros(len(begin), np.int64)
+        held, met = np.zeros(len(begin), np.int64), np.full(len(begin), n - 1)
         for t in range(int(count.max()) if len(count) else 0):
             runs = np.flatnonzero(count > t)
             i = begin[runs] + t
             r = at_rank[i] + side
             fine = (r >= 0) & (r < m)
             j = order[np.clip(r, 0, m - 1)]
+            after = at_rank[met[runs] + 1]
             h = np.maximum(held[runs] - 1, 0)
-            h[~fine] = 0
+            h[~fine | (after < 0) | ((after - at_rank[i]) * side <= 0)] = 0
             room = np.minimum(most, n - np.maximum(i, j))
             live = np.flatnonzero(fine & (h < room))
             while len(live):
@@ -200,7 +203,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, begin: np.ndarray, coun
                 lead = np.where(over, lead + 1, lead)
                 h[live] = np.minimum(h[live] + lead, room[live])
                 live = live[zero & (h[live] < room[live])]
-            held[runs] = h
+            held[runs], met[runs] = h, j
             out[i] = np.maximum(out[i], h)
     return out
 
