@@ -294,6 +294,36 @@ def test_lines(spark):
         assert (r.group_doc_id, r.group_line_no) == want and r.kept == (k == want)
 
 
+def edited(rng, s, n):
+    for _ in range(n):
+        i = rng.randrange(len(s))
+        s = rng.choice([s[:i] + rng.choice("abcdefghij") + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + rng.choice("abcdefghij") + s[i:]])
+    return " ".join(s.split())
+
+
+def test_lines_with_edits_are_linked(spark):
+    """Recall of lines with an edit or two, all of which are similar enough by brute force."""
+    rng, rows, pairs = random.Random(31), [], defaultdict(list)
+    # words of a line, letters of a word, edits: least recall
+    cases = {(10, 7, 1): 0.95, (10, 7, 2): 0.6, (30, 7, 1): 0.97, (30, 7, 2): 0.8, (100, 7, 2): 0.8, (5, 6, 1): 0.95, (30, 3, 1): 0.9}
+    for case in cases:
+        for _ in range(100):
+            s = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvw", k=case[1])) for _ in range(case[0]))
+            t, a = edited(rng, s, case[2]), len(rows)
+            assert levenshtein(s[:250], t[:250]) <= 0.15 * max(len(s), len(t))
+            rows += [(a, s), (a + 1, t)]
+            pairs[case].append(a)
+    base = ["".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(150)) for _ in range(20)]  # no blanks
+    for t in base:
+        pairs["letters"].append(len(rows))
+        rows += [(len(rows), t), (len(rows) + 1, t[:70] + "字" + t[71:])]
+    got = {r.doc_id: r.group_doc_id for r in lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {case: sum(got[a] == got[a + 1] == a for a in some) / len(some) for case, some in pairs.items()}
+    print(found)
+    assert all(found[case] >= least for case, least in (cases | {"letters": 0.9}).items())
+    assert all(g == i - i % 2 or g == i for i, g in got.items())
+
+
 def test_lines_odd_rows(docs, empty):
     assert lines.occurrences(docs).count() == sum(len(t.split("\n")) for _, t, *_ in corpus() if t is not None)
     assert lines.occurrences(empty).count() == 0

@@ -2,18 +2,25 @@
 
 Lines are normalised (lower case, digits 1-9 as 0, all else but letters as single spaces).  Equal
 lines become one row by a 128-bit digest before anything else.  Each different line has a 64-bit
-SimHash of its words of five letters and more (the short ones are so frequent that unrelated lines
-would agree); a line without such words has a hash of its own.  Two lines are linked when their SimHashes differ in at most two bits and
-their edit similarity, 1 - Levenshtein / longer length, is `SIMILARITY` or more.  By the
-pigeonhole principle such SimHashes agree in two of four 16-bit blocks, so lines are joined on the
-six pairs of blocks, each a 32-bit key.
+SimHash in four blocks of 16 bits.  A word votes in one block only, which its last letter picks, so
+a changed word moves one block (two, if its last letter changes), and the others stay as they are.
+Words of four letters and more vote; all words do in lines with fewer than eight such (but not in
+lines of more than 8,191 words that have one), and letters in long lines with fewer than eight
+words (scripts without blanks).
+
+Lines are joined on the six pairs of blocks, each a 32-bit key: lines that differ in one word share
+one, if the blocks left have a word; so do most that differ in two.  Lines of fewer than eight words
+and at most 64 letters have too few votes: their SimHash is 0, and they are joined on what is left
+when any one letter, or none, is taken out, which finds single edits that keep them so short.  Lines that share a key
+are linked when their SimHashes differ in at most `BITS` bits and their edit similarity,
+1 - Levenshtein / longer length, is `SIMILARITY` or more.
 
 A bucket is not paired up: its least line leads and is compared with the others; when the links
 have made components, lines outside the leader's are compared with those of other components.
 Of each component the occurrence with the least (identifier, line number) stays.
 
-The bits of a line's hashes are counted four to a long, in lanes of 16 bits; lines of more than
-8,191 words are counted bit by bit.
+The bits of a line's hashes are counted four to a long, in lanes of 16 bits, which are the blocks;
+lines of more than 8,191 words are counted bit by bit.
 
 Defined results: a null text has no lines, an empty one has one blank line.  Blank lines, and
 lines without letters or digits, belong to no group and stay.  Null identifiers sort before
@@ -33,59 +40,83 @@ from . import common
 from .components import components
 
 SIMILARITY = 0.85
-#: Most differing bits; with four blocks and keys of two, at most two.
-BITS = 2
+#: Most differing bits, before texts are fetched: unrelated lines that share two blocks differ in
+#: about 13 bits of the others, lines with one or two edits in about 3.
+BITS = 12
 #: Every sixteenth bit, one to a lane: sixteen longs of four lanes hold the counts of 64 bits.
 _LANES = 0x0001000100010001
 #: Words of a line that lanes can count and compare without running into each other.
 _MOST = 8_191
 #: Shorter words say little about a line: the same few stand in most.
-WORD = 5
+WORD = 4
+#: Fewer words than these leave blocks empty.
+FEW = 8
+#: Most letters of a line of few words that is joined on all it leaves without one letter.
+SHORT = 64
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), r"[^\p{L}0]+", " "))
 
 
+def _block(w: Column) -> Column:
+    """0-3, by the last letter."""
+    return F.shiftright(F.ascii(F.substring(w, -1, 1)).cast("long") * F.lit(0x9E3779B1), 20).bitwiseAND(F.lit(3)).cast("int")
+
+
+def _vote(w: Column) -> Column:
+    """A word's hash, in the bits of its block."""
+    return F.xxhash64(w).bitwiseAND(F.call_function("shiftleft", F.lit(0xFFFF).cast("long"), _block(w) * 16))
+
+
 def _from_lanes(n: Column) -> Column:
     """Bits with a majority, all lanes of a long at once: bit 14 of 2 count + 2^14 - 1 - n says 2 count > n."""
     out = F.lit(0).cast("long")
     for g in range(16):
-        over = F.coalesce(f"c{g}", F.lit(0)) * 2 + (F.lit(0x3FFF) - n) * F.lit(_LANES)
+        over = F.coalesce(f"c{g}", F.lit(0)) * 2 + (F.lit(0x3FFF * _LANES) - n)
         out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(over, 14).bitwiseAND(F.lit(_LANES)), g))
     return out
 
 
-def _bit_by_bit(hashes: Column, n: Column) -> Column:
+def _bit_by_bit(votes: Column, blocks: Column) -> Column:
     bits = F.sequence(F.lit(0), F.lit(63))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.when(F.aggregate(hashes, F.lit(0).cast("long"), lambda c, h: c + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(1))) * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+
+    def most(i: Column) -> Column:
+        n = F.aggregate(blocks, F.lit(0).cast("long"), lambda c, b: c + F.when(b == F.floor(i / 16), 1).otherwise(0))
+        return F.aggregate(votes, F.lit(0).cast("long"), lambda c, h: c + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(1))) * 2 > n
+
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.when(most(i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
 
 
 def lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no, key (null for blank lines), chars, hash of every line.
+    """doc_id, line_no, key (null for blank lines), chars, short (the line, if it has few words), hash of every line.
 
     Words are rows that a hash aggregation by line counts into lanes; all rows of a line come from
     one task, so what it sends on is one row a line.
     """
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    by = ["row", "doc_id", "line_no", "key", "chars"]
+    by = ["row", "doc_id", "line_no", "key", "chars", "short"]
+    names = ["doc_id", "line_no", "key", "chars", "short", "hash"]
 
     def split(some: DataFrame, long: bool) -> DataFrame:
         each = some.select("row", "doc_id", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
-        each = each.where(F.length("line") > 2 * _MOST) if long else each
+        each = each.where(F.length("line") > _MOST) if long else each
         each = each.select("row", "doc_id", "line_no", normalised(F.col("line")).alias("norm"))
-        return each.select("row", "doc_id", "line_no", F.when(F.col("norm") != "", F.unhex(F.md5("norm"))).alias("key"), F.length("norm").alias("chars"), F.split("norm", " ").alias("w"))
+        each = each.select("row", "doc_id", "line_no", "norm", F.length("norm").alias("chars"), F.split("norm", " ").alias("every"))
+        each = each.withColumn("long", F.filter("every", lambda w: F.length(w) >= WORD))
+        few = F.size("every") < FEW
+        enough = (F.size("long") >= FEW) | ((F.size("every") > _MOST) & (F.size("long") > 0))
+        w = F.when(enough, F.col("long")).when(~few, F.col("every")).when(F.col("chars") <= SHORT, F.array(F.lit(""))).otherwise(F.filter(F.split("norm", ""), lambda c: (c != "") & (c != " ")))
+        return each.select("row", "doc_id", "line_no", F.when(F.col("norm") != "", F.unhex(F.md5("norm"))).alias("key"), "chars", F.when(few & (F.col("chars") <= SHORT), F.col("norm")).alias("short"), w.alias("w"))
 
-    there, alone = F.col("key").isNotNull(), F.xxhash64("key")
     some = split(own, False).where(F.size("w") <= _MOST)
-    words = some.select(*by, F.explode("w").alias("w")).select(*by, F.when(F.length("w") >= WORD, F.xxhash64("w")).alias("h"))
-    counted = words.groupBy(*by).agg(F.count("h").alias("n"), *[F.sum(F.shiftrightunsigned("h", g).bitwiseAND(F.lit(_LANES))).alias(f"c{g}") for g in range(16)])
-    out = counted.select("doc_id", "line_no", "key", "chars", F.when(there, F.when(F.col("n") > 0, _from_lanes(F.col("n"))).otherwise(alone)).alias("hash"))
+    words = some.select(*by, F.explode("w").alias("w")).select(*by, F.when(F.col("w") != "", _vote(F.col("w"))).alias("h"), F.when(F.col("w") != "", F.call_function("shiftleft", F.lit(1).cast("long"), _block(F.col("w")) * 16)).alias("one"))
+    counted = words.groupBy(*by).agg(F.coalesce(F.sum("one"), F.lit(0)).alias("n"), *[F.sum(F.shiftrightunsigned("h", g).bitwiseAND(F.lit(_LANES))).alias(f"c{g}") for g in range(16)])
+    out = counted.withColumn("hash", _from_lanes(F.col("n"))).select(*names)
     # only lines that could hold so many words are normalised again
-    long = split(own.where(F.length("t") > 2 * _MOST), True).where(F.size("w") > _MOST)
-    long = long.withColumn("h", F.transform(F.filter("w", lambda w: F.length(w) >= WORD), lambda w: F.xxhash64(w)))
-    more = long.select("doc_id", "line_no", "key", "chars", F.when(there, F.when(F.size("h") > 0, _bit_by_bit(F.col("h"), F.size("h"))).otherwise(alone)).alias("hash"))
-    return out.unionByName(more)
+    long = split(own.where(F.length("t") > _MOST), True).where(F.size("w") > _MOST)
+    long = long.withColumn("h", F.transform("w", _vote)).withColumn("b", F.transform("w", _block))
+    return out.unionByName(long.withColumn("hash", _bit_by_bit(F.col("h"), F.col("b"))).select(*names))
 
 
 def _texts(docs: DataFrame, ident: str, text: str, places: DataFrame) -> DataFrame:
@@ -114,18 +145,23 @@ class LineGroups:
         longer = F.greatest("la.chars", "lb.chars")
         room = F.floor(longer * (1 - self.similarity) + 1e-9).cast("int")
         near = near.where((F.bit_count(F.col("la.hash").bitwiseXOR(F.col("lb.hash"))) <= BITS) & (F.abs(F.col("la.chars") - F.col("lb.chars")) <= room) & (F.col("la.key") != F.col("lb.key")))
-        near = self.kept_table(near.select("la", "lb", room.alias("room")), "line-pairs")
+        near = self.kept_table(near.select(F.col("la.key").alias("ka"), F.col("lb.key").alias("kb"), room.alias("room")), "line-pairs")
         for x in "ab":
-            near = near.join(texts.select(F.col("key").alias(f"k{x}"), F.col("norm").alias(f"n{x}")), F.col(f"l{x}.key") == F.col(f"k{x}"))
+            near = near.join(texts.select(F.col("key").alias(f"k{x}"), F.col("norm").alias(f"n{x}")), f"k{x}")
         return near.where(F.expr("levenshtein(na, nb, room)") >= 0).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
 
     def run(self) -> DataFrame:
         every = self.kept_table(lines(self.docs, self.ident, self.text), "lines")
-        different = every.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("rows"), F.min("chars").alias("chars"), F.min("hash").alias("hash"))
+        different = every.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("rows"), F.min("chars").alias("chars"), F.min("short").alias("short"), F.min("hash").alias("hash"))
         different = self.kept_table(different.withColumn("id", F.xxhash64("key")), "different-lines")
         block = [F.shiftrightunsigned(F.col("hash"), 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-        keys = [F.shiftleft(F.lit(t).cast("long"), 32) + F.shiftleft(block[i], 16) + block[j] for t, (i, j) in enumerate(combinations(range(4), 2))]
-        seats = different.select("id", F.explode(F.array(*keys)).alias("bucket"))
+        # two blocks without a word say nothing
+        keys = [F.when(block[i] + block[j] > 0, F.shiftleft(F.lit(t).cast("long"), 32) + F.shiftleft(block[i], 16) + block[j]) for t, (i, j) in enumerate(combinations(range(4), 2))]
+        seats = different.where("short is null").select("id", F.explode(F.array(*keys)).alias("bucket")).where("bucket is not null")
+        # shorter lines have no room for an edit
+        brief = different.where(F.col("short").isNotNull() & ((F.col("chars") + 1) * (1 - self.similarity) + 1e-9 >= 1))
+        without = F.transform(F.sequence(F.lit(0), F.col("chars")), lambda i: F.xxhash64(F.concat(F.substring("short", F.lit(1), i), F.substring("short", i + 2, F.col("chars")))))
+        seats = seats.unionByName(brief.select("id", F.explode(F.array_distinct(without)).alias("bucket")))
         led = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader")).where("size > 1").select("bucket", "leader")
         seats = self.kept_table(seats.join(led, "bucket").where("id <> leader"), "seats")
         pairs = seats.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
