@@ -205,7 +205,7 @@ def test_near_duplicates(spark):
     assert got == brute_near(rows)
 
 
-def test_near_duplicates_band_by_band(spark, monkeypatch):
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     rng = random.Random(4)
     base = prose(rng, 150).split()
     rows = []
@@ -214,12 +214,43 @@ def test_near_duplicates_band_by_band(spark, monkeypatch):
         for _ in range(i % 9):
             w[rng.randrange(len(w))] = f"z{rng.randrange(99)}"
         rows.append((i, " ".join(w)))
-    monkeypatch.setattr(minhash, "CLUSTER", 5)
-    monkeypatch.setattr(minhash, "BLOCK", 7)
+    for name, value in (("BLOCK", 7), ("STAR", 3), ("BLOCK_BYTES", 9000)):
+        monkeypatch.setattr(minhash, name, value)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_near(rows)
 
 
+@pytest.mark.parametrize("small,large", [(3, 4), (12, 16), (48, 64), (63, 84), (66, 88), (150, 200)])
+def test_bands_meet_at_the_threshold(small, large):
+    """Pairs whose similarity is 0.75 exactly share a band, for sets of few shingles as well."""
+    rng = np.random.default_rng(small)
+    for _ in range(1500):
+        y = np.unique(rng.integers(0, 1 << 64, large, dtype=np.uint64))
+        x = np.sort(rng.choice(y, small, replace=False))
+        assert len(np.intersect1d(minhash.band_keys(x), minhash.band_keys(y)))
+        assert minhash._linked(x, y, 75)
+
+
+def test_bands_of_unrelated_small_sets():
+    """Sets of one to three shingles share no band unless a shingle is shared."""
+    rng = np.random.default_rng(3)
+    keys = np.concatenate([minhash.band_keys(np.unique(rng.integers(0, 1 << 64, 1 + k % 3, dtype=np.uint64))) for k in range(3000)])
+    assert np.unique(keys, return_counts=True)[1].max() <= 2
+
+
+def test_near_duplicates_repeated_ids_and_clashing_columns(spark):
+    rng = random.Random(14)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (2, a), (3, b + " end"), (3, b + " end"), (4, None), (None, a), (5, prose(rng, 60)), (5, "short one")]
+    names = ["_gone", "_twice", "_n", "_row", "_key", "_hash", "_place", "id", "hash", "n", "label", "a", "b", "g", "component_id", "KEPT"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.concat(F.lit("u"), F.col("doc_id")).alias(c) for c in names])
+    out = minhash.deduplicate(docs)
+    assert out.columns == docs.columns
+    kept = sorted((str(r.doc_id), r.text or "") for r in out.collect())
+    assert kept == sorted([("1", a), ("1", b), ("4", ""), ("None", a), ("5", rows[7][1]), ("5", "short one")])
+    assert all(r[c] == (f"u{r.doc_id}" if r.doc_id is not None else None) for r in out.collect() for c in names)
+
+
 def test_near_duplicates_odd_rows(docs, empty):
     got = minhash.near_duplicates(docs).collect()
     by = defaultdict(list)

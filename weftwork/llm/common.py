@@ -86,3 +86,11 @@ def fold_number(doc_id: int | None, folds: int) -> int:
 def text_of(column: str = "text") -> Column:
     """The text as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name like `name` that a table does not have yet, whatever the case of its letters."""
+    have = {c.lower() for c in taken}
+    while f"_{name}" in have:
+        name = f"_{name}"
+    return f"_{name}"
