@@ -4,16 +4,51 @@ Alternating large-star and small-star steps: each round connects every node's la
 to the smallest one around, then its smaller neighbours.  Rounds grow with the logarithm of the
 longest path.  A star of any size is one aggregate row per node, never a list in one task.
 Lineage is cut by writing the links of each round to the shared folder.
+
+Defined results: links with a null end and links of a node with itself count for nothing, repeated
+links once.  Nodes may be numbers or byte strings.  An empty table gives an empty result; columns
+besides the two named play no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 
+def led(batches: Iterable[pa.RecordBatch], leaders: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, id) of one task, sorted: (bucket, leader, id) of the buckets of several ids.
+
+    The leader is the least id; its own row is left out unless `leaders` is set.  Repeated rows
+    count once.  Nothing is held but the last row, however large a bucket is.
+    """
+    bucket, leader, before = None, 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
+        head = np.concatenate([[bucket is None or k[0] != bucket], k[1:] != k[:-1]])
+        run = np.maximum.accumulate(np.where(head, np.arange(len(k)), -1))
+        lead = np.where(run < 0, leader, ids[np.maximum(run, 0)])
+        keep = ~head & (ids != np.concatenate([[before], ids[:-1]]))
+        if leaders:
+            # a leader goes before its first follower, which can be in the next batch
+            first = keep & (np.concatenate([[before], ids[:-1]]) == lead)
+            twice = np.repeat(np.arange(len(k)), keep.astype(np.int64) + first)
+            own = np.concatenate([[True], twice[1:] != twice[:-1]]) & first[twice] if len(twice) else np.zeros(0, bool)
+            out = k[twice], lead[twice], np.where(own, lead[twice], ids[twice])
+        else:
+            out = k[keep], lead[keep], ids[keep]
+        bucket, leader, before = k[-1], lead[-1], ids[-1]
+        yield pa.record_batch([pa.array(c) for c in out], names=["bucket", "leader", "id"])
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """links (a, b): for every node, its neighbours on one side point at the least around it."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

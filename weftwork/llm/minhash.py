@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .components import components
+from .components import components, led
 
 WORDS = 5
 #: A link has 100 * intersection >= PERCENT * union.
@@ -328,14 +328,14 @@ class NearDuplicates:
         """One row per row of docs: id, hash (of the text), n, grp (the component's node), label (its least identifier)."""
         sigs = self.signatures()
         classes = self.kept_table(self.classes(sigs), "nodes")
-        nodes = sigs.join(classes.select("digest", F.col("rep").alias("id"), "node"), ["digest", "id"], "left_semi").select("id", "digest", "keys").dropDuplicates(["digest"])
-        nodes = nodes.join(classes.select("digest", "node"), "digest").select("node", "keys")
+        # rows that repeat identifier and set bring equal seats, which `led` takes once
+        nodes = sigs.select("digest", "id", "keys").join(classes.select("digest", F.col("rep").alias("id"), "node"), ["digest", "id"]).select("node", "keys")
         members = nodes.mapInArrow(_bands, "band long, id long")
-        led = members.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").select("band", "leader")
-        seats = self.kept_table(members.join(led, "band"), "seats")
-        wanted = classes.join(seats.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", "digest", F.col("rep").alias("id"))
+        dealt = members.repartition("band").sortWithinPartitions("band", "id")
+        seats = self.kept_table(dealt.mapInArrow(lambda it: led(it, True), "band long, leader long, id long"), "seats")
+        wanted = self.kept_table(classes.join(seats.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", "digest", F.col("rep").alias("id")), "seated")
         size = self.size
-        sets = self.kept_table(self.docs.select("id", "t").join(wanted, "id").select("node", "digest", "t").mapInArrow(lambda it: _sets(it, size), "id long, set binary").dropDuplicates(["id"]), "sets")
+        sets = self.kept_table(self.docs.select("id", "t").join(wanted, "id").select("node", "digest", "t").mapInArrow(lambda it: _sets(it, size), "id long, set binary"), "sets")
         links = self.first_links(seats, sets)
         groups = components(links)
         more = self.second_links(seats, sets, classes, groups)
