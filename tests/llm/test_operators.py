@@ -9,11 +9,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weftwork.llm import bpe, decontaminate, exact_dedup, features, lines, minhash, ppm, quality, substrings, token_files, toxicity
-from weftwork.llm.components import components
+from weftwork.llm.components import components, led
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 UP = {a: a + 32 for a in range(65, 91)}
@@ -272,6 +273,18 @@ def test_estimate_corrects_collisions():
     assert abs(float(minhash.estimate(minhash.registers(a), minhash.registers(np.unique(b)))) - 1 / 3) < 0.1
 
 
+@pytest.mark.parametrize("leaders", [False, True])
+def test_leaders_of_buckets(leaders):
+    rng = random.Random(6)
+    for _ in range(200):
+        rows = sorted((rng.randrange(6), rng.randrange(5)) for _ in range(rng.randrange(30)))
+        cuts = sorted(rng.randrange(len(rows) + 1) for _ in range(3))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        got = [r for b in led((pa.record_batch([pa.array([x[k] for x in p], pa.int64()) for k in (0, 1)], names=["k", "id"]) for p in parts), leaders) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        ids = {k: sorted({i for b, i in rows if b == k}) for k, _ in rows}
+        assert sorted(got) == sorted((k, v[0], i) for k, v in ids.items() if len(v) > 1 for i in v[0 if leaders else 1 :])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -283,25 +296,46 @@ def test_components(spark):
 
 
 def levenshtein(a, b):
-    row = list(range(len(b) + 1))
+    """Myers' bit vectors."""
+    if not a or not b:
+        return len(a) + len(b)
+    places = defaultdict(int)
     for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
-        row = new
-    return row[-1]
+        places[x] |= 1 << i
+    full, top, up, down, score = (1 << len(a)) - 1, 1 << len(a) - 1, (1 << len(a)) - 1, 0, len(a)
+    for x in b:
+        same = places.get(x, 0)
+        across = (((same & up) + up) ^ up) | same | down
+        rise, fall = (down | ~(across | up)) & full, up & across
+        score += bool(rise & top) - bool(fall & top)
+        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        up, down = (fall | ~(same | down | rise)) & full, rise & (same | down)
+    return score
+
+
+def test_levenshtein():
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
 
+    rng = random.Random(0)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randint(0, 12))) for _ in range(2))
+        assert levenshtein(a, b) == plain(a, b)
 
-def test_lines(spark):
-    rng = random.Random(2)
-    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(200)]
-    base = [" ".join(rng.choices(vocab, k=rng.randint(1, 60))) for _ in range(30)]
-    rows = [(i, "\n".join(rng.choice([str.upper, str.lower, lambda s: s + "!", lambda s: s[:-1] + "q"])(rng.choice(base)) for _ in range(4))) for i in range(60)]
-    rows += [(500, None), (501, ""), (502, "\n\n--\n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    hashes = {(r.doc_id, r.line_no): r.hash for r in lines.lines(df).collect()}
-    got = {(r.doc_id, r.line_no): r for r in lines.occurrences(df).collect()}
-    norm = {(i, j): re.sub(r"[^a-z0]+", " ", re.sub("[1-9]", "0", x.lower())).strip() for i, t in rows if t is not None for j, x in enumerate(t.split("\n"))}
+
+def plain_norm(line):
+    return re.sub(r"[^a-z0]+", " ", re.sub("[1-9]", "0", line.lower())).strip()
+
+
+def brute_lines(rows):
+    """Groups of lines by edit similarity alone: no hashes, no buckets, no gate."""
+    norm = {(i, j): plain_norm(x) for i, t in rows if t is not None for j, x in enumerate(t.split("\n"))}
     first = {}
     for k in sorted(norm):
         if norm[k]:
@@ -313,16 +347,75 @@ def test_lines(spark):
             x = parent[x]
         return x
 
-    heads = list(first.items())
+    heads, links = list(first.items()), []
     for m, (s, a) in enumerate(heads):
         for t, b in heads[:m]:
-            if bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1") <= lines.BITS and levenshtein(s, t) <= int(max(len(s), len(t)) * (1 - lines.SIMILARITY) + 1e-9):
+            room = int(max(len(s), len(t)) * (1 - lines.SIMILARITY) + 1e-9)
+            if abs(len(s) - len(t)) <= room and levenshtein(s, t) <= room:
+                links.append((a, b))
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
+    return norm, links, {k: find(first[n]) if n else k for k, n in norm.items()}
+
+
+def test_lines(spark):
+    rng = random.Random(2)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(200)]
+    base = [" ".join(rng.choices(vocab, k=rng.randint(1, 60))) for _ in range(30)]
+    rows = [(i, "\n".join(rng.choice([str.upper, str.lower, lambda s: s + "!", lambda s: s[:-1] + "q"])(rng.choice(base)) for _ in range(4))) for i in range(60)]
+    rows += [(500, None), (501, ""), (502, "\n\n--\n")]
+    got = {(r.doc_id, r.line_no): r for r in lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    norm, _, want = brute_lines(rows)
     assert set(got) == set(norm)
     for k, r in got.items():
-        want = find(first[norm[k]]) if norm[k] else k
-        assert (r.group_doc_id, r.group_line_no) == want and r.kept == (k == want)
+        assert (r.group_doc_id, r.group_line_no) == want[k] and r.kept == (k == want[k])
+
+
+def edit_words(rng, ws, kind, share):
+    ws = list(ws)
+    for p in rng.sample(range(len(ws)), max(1, round(len(ws) / share))):
+        w = ws[p]
+        if kind == "typo":
+            i = rng.randrange(len(w))
+            ws[p] = rng.choice([w[:i] + rng.choice("abcdefghijklm") + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + rng.choice("abcdefghijklm") + w[i:]])
+        elif kind == "drop":
+            ws[p] = ""
+        elif kind == "replace":
+            ws[p] = "".join(rng.choices("abcdefghijklm", k=len(w)))
+        elif p + 1 < len(ws):
+            ws[p], ws[p + 1] = ws[p + 1], ws[p]
+    return " ".join(filter(None, ws))
+
+
+def test_lines_recall_against_all_pairs(spark):
+    """Lines with one word in fifteen edited, held against every pair by edit distance alone."""
+    rng, rows = random.Random(17), []
+    syllables = ["the", "ing", "er", "on", "an", "re", "nd", "th", "st", "ea", "ou", "ti", "sh", "wh", "ly", "ble", "at", "in", "es"]
+    vocab = ["the", "of", "and", "a", "is"] * 8 + ["".join(rng.choices(syllables, k=rng.randint(1, 4))) for _ in range(400)]
+    for n in range(160):
+        ws = rng.choices(vocab, k=rng.choice([5, 8, 12, 20, 35, 60]))
+        rows += [(2 * n, " ".join(ws)), (2 * n + 1, edit_words(rng, ws, ["typo", "drop", "replace", "swap"][n % 4], 15))]
+    _, links, want = brute_lines(rows)
+    assert len(links) > 120
+    got = {r.doc_id: (r.group_doc_id, r.group_line_no) for r in lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a[0]] == got[b[0]] for a, b in links) / len(links)
+    print("recall", found)
+    assert found >= 0.93
+    # no group holds lines that all pairs would leave apart
+    assert all(want[(i, 0)] == want[g] for i, g in got.items())
+
+
+def test_lines_in_small_blocks(spark, monkeypatch):
+    """Lines of one bucket that are not like its leader meet block against block, and no bucket is paired up."""
+    rng = random.Random(23)
+    shared = " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(6))
+    tails = [" ".join("".join(rng.choices("ijklmnopq", k=6)) for _ in range(5)) for _ in range(12)]
+    rows = [(3 * k + e, shared + " " + (t if e == 0 else edited(rng, t, e))) for k, t in enumerate(tails) for e in range(3)]
+    monkeypatch.setattr(lines, "ROWS", 4)
+    monkeypatch.setattr(lines, "SLAB", 100)
+    got = {(r.doc_id, r.line_no): (r.group_doc_id, r.group_line_no) for r in lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    _, _, want = brute_lines(rows)
+    assert sum(got[k] == want[k] for k in want) >= len(want) - 2
 
 
 def edited(rng, s, n):
@@ -336,7 +429,7 @@ def test_lines_with_edits_are_linked(spark):
     """Recall of lines with an edit or two, all of which are similar enough by brute force."""
     rng, rows, pairs = random.Random(31), [], defaultdict(list)
     # words of a line, letters of a word, edits: least recall
-    cases = {(10, 7, 1): 0.95, (10, 7, 2): 0.6, (30, 7, 1): 0.97, (30, 7, 2): 0.8, (100, 7, 2): 0.8, (5, 6, 1): 0.95, (30, 3, 1): 0.9}
+    cases = {(10, 7, 1): 0.95, (10, 7, 2): 0.78, (30, 7, 1): 0.97, (30, 7, 2): 0.95, (100, 7, 2): 0.97, (5, 6, 1): 0.95, (30, 3, 1): 0.9, (3, 4, 1): 0.95}
     for case in cases:
         for _ in range(100):
             s = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvw", k=case[1])) for _ in range(case[0]))
@@ -352,14 +445,32 @@ def test_lines_with_edits_are_linked(spark):
     found = {case: sum(got[a] == got[a + 1] == a for a in some) / len(some) for case, some in pairs.items()}
     print(found)
     assert all(found[case] >= least for case, least in (cases | {"letters": 0.9}).items())
-    assert all(g == i - i % 2 or g == i for i, g in got.items())
+    assert all(g == i - i % 2 or g == i for i, g in got.items() if i < 1600 - 200)
 
 
-def test_lines_odd_rows(docs, empty):
+def test_lines_odd_rows(spark, docs, empty):
     assert lines.occurrences(docs).count() == sum(len(t.split("\n")) for _, t, *_ in corpus() if t is not None)
-    assert lines.occurrences(empty).count() == 0
-    out = lines.rewrite(docs.where("doc_id is not null and doc_id <> 8"))
-    assert out.columns == docs.columns
+    assert lines.occurrences(empty).count() == 0 == lines.rewrite(empty).count()
+    names = ["_gone", "_doc", "_row", "_lines", "key", "first", "lines", "a", "b", "doc_ID2"]
+    out = lines.rewrite(docs.select("*", *[F.lit("u").alias(c) for c in names]))
+    assert out.columns == docs.columns + names and out.count() == len(corpus())
+    assert all(r[c] == "u" for r in out.collect() for c in names)
+    rows = [(1, "one line of words here\nand another line of words"), (1, "something else altogether\none line of words here"), (None, "Something else altogether!"), (3, "one line of words here")]
+    got = lines.rewrite(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str(r.text) for r in got).count("") == 1
+    assert sum("one line" in r.text for r in got) == 1 and sum("altogether" in r.text for r in got) == 1
+
+
+def test_lines_of_any_length(spark):
+    """A line of five megabytes, and its copy with one word changed, among short ones."""
+    rng = random.Random(3)
+    ws = [rng.choice(["alpha", "beta", "gamma", "delta"]) + str(k) for k in range(400_000)]
+    long = " ".join(ws)
+    ws[1000] = "omega"
+    rows = [(0, long), (1, " ".join(ws)), (2, "alpha beta"), (3, "x" * 300_000)]
+    assert len(long) > 4_000_000
+    got = {r.doc_id: r.group_doc_id for r in lines.LineGroups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 1 - 1e-6).run().collect()}
+    assert got[2] == 2 and got[3] == 3 and got[0] == 0
 
 
 # ---- 7 and 10 -----------------------------------------------------------------------------
@@ -554,16 +665,27 @@ def test_lookup_table():
     assert (table[keys[ask]] == ask).all()
 
 
-def test_long_lines_hash_like_short_ones(spark, monkeypatch):
+def test_line_signatures_by_hand():
+    """The SimHash of a line, word by word, by a loop."""
     rng = random.Random(12)
-    rows = [(i, prose(rng, 40, [f"word{k}" for k in "abcdefghijklmnop"])) for i in range(20)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    lanes = {r.doc_id: r.hash for r in lines.lines(df).collect()}
-    monkeypatch.setattr(lines, "_MOST", 5)
-    assert {r.doc_id: r.hash for r in lines.lines(df).collect()} == lanes and len(set(lanes.values())) == 20
-
-
-def test_lines_of_very_many_short_words(spark):
-    rows = [(i, "the of " * 30_000 + end) for i, end in enumerate(["sentence", "sentence", "different ending"])]
-    got = lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(r.doc_id for r in got if r.kept) in ([0], [0, 2])
+    for text in [prose(rng, 40, [f"word{k}" for k in "abcdefghijklmnop"]), "Ünï, of 42 of", "漢字 かな mixed", "", "a" * 200]:
+        norm, words, sig, mass = lines.signatures(text)
+        assert norm == [" ".join("".join(c.lower() if c.isalpha() else "0" if c in "0123456789" else " " for c in text).split())]
+        x = lines._codes(text)
+        s, e, _ = lines._words(x)
+        assert int(words[0]) == len(s)
+        votes, total, heavy = np.zeros((8, 32)), np.zeros(8), np.zeros(8)
+        with np.errstate(over="ignore"):
+            for a, b in zip(s, e, strict=True):
+                h = np.uint64(0)
+                for k, c in enumerate(x[a:b].tolist()):
+                    h += np.uint64(c + 0x9E37) * lines._power(lines._BASE, 300)[k]
+                h = int(lines._mix(np.array([h]))[0])
+                last = np.uint64(int(x[b - 1]) + (int(x[b - 2]) if b - a > 1 else 0) * 0x10001)
+                block = int(lines._mix(np.array([last * lines._BASE]))[0]) >> 61
+                w = min(int(b - a), 12) ** 2
+                votes[block] += [w * (h >> (20 + k) & 1) for k in range(32)]
+                total[block] += w
+                heavy[block] += max(0, b - a - 2)
+        want = [sum(1 << k for k in range(32) if 2 * votes[b][k] > total[b]) for b in range(8)]
+        assert sig[0].tolist() == want and mass[0].tolist() == np.minimum(heavy, 255).tolist()

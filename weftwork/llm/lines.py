@@ -1,204 +1,386 @@
-"""Fuzzy line de-duplication, in DataFrame functions throughout.
-
-Lines are normalised (lower case, digits 1-9 as 0, all else but letters as single spaces).  Equal
-lines become one row by a 128-bit digest before anything else.  Each different line has a 64-bit
-SimHash in four blocks of 16 bits.  A word votes in one block only, which its last letter picks, so
-a changed word moves one block (two, if its last letter changes), and the others stay as they are.
-Words of four letters and more vote; all words do in lines with fewer than eight such (but not in
-lines of more than 8,191 words that have one), and letters in long lines with fewer than eight
-words (scripts without blanks).
-
-Lines are joined on the six pairs of blocks, each a 32-bit key: lines that differ in one word share
-one, if the blocks left have a word; so do most that differ in two.  Lines of fewer than eight words
-and at most 64 letters have too few votes: their SimHash is 0, and they are joined on what is left
-when any one letter, or none, is taken out, which finds single edits that keep them so short.  Lines that share a key
-are linked when their SimHashes differ in at most `BITS` bits and their edit similarity,
-1 - Levenshtein / longer length, is `SIMILARITY` or more.
-
-A bucket is not paired up: its least line leads and is compared with the others; when the links
-have made components, lines outside the leader's are compared with those of other components.
+"""Fuzzy line de-duplication by SimHash.
+
+Lines are normalised (lower case, digits as 0, all else but letters as single spaces).  Equal lines
+become one row by a 128-bit digest before anything else.  Each different line has a SimHash of
+eight blocks of 32 bits.  A word votes in one block only, which its last two letters pick, so that
+an edit moves the block of its word and leaves the others as they are; votes weigh the square of a
+word's letters (up to twelve), so long words decide and short ones take part.  Letters of scripts
+without blanks are words of their own; words of more than `LONG` letters are cut where a hash of
+two letters says so.
+
+Lines are joined on blocks that are equal (pigeonhole: fewer edited words than blocks leave one
+whole).  Long lines are joined on each block, lines of some words on each of four pairs of blocks,
+lines of few words on the six pairs of those pairs, so that a key holds enough words at every
+length; the ranges overlap, as an edit can change the number of words.  A key whose blocks hold too
+few letters beyond the second of their words says nothing and is left out.  Lines below `FEW` words and up to `SHORT`
+letters are joined on what is left without any one letter, or none.
+
+A bucket is not paired up.  Its least line leads and is held against the others; the links found
+make components; lines of a bucket that are in different components then meet in blocks of rows,
+spread over tasks, where only their hashes are compared.  Pairs at most `BITS` bits apart and close
+enough in length go to the edit distance: a link has 1 - Levenshtein / longer length >= `SIMILARITY`.
 Of each component the occurrence with the least (identifier, line number) stays.
 
-The bits of a line's hashes are counted four to a long, in lanes of 16 bits, which are the blocks;
-lines of more than 8,191 words are counted bit by bit.
+Style: the one pass that reads all text is numpy in an Arrow function; joins, the edit distance and
+components are DataFrame functions.  In DataFrame functions alone that pass took twice to four times
+its limit (README).
 
 Defined results: a null text has no lines, an empty one has one blank line.  Blank lines, and
 lines without letters or digits, belong to no group and stay.  Null identifiers sort before
-others, and repeated rows are further occurrences; of rows that repeat identifier and line number
-each is marked as kept by `occurrences` while `rewrite` works row by row.  Empty tables give empty
-results; other columns play no part.
+others, and repeated rows are further occurrences; rows that repeat an identifier with another text
+are documents of their own, ordered by the hash of the text.  Very long lines are worked on whole.
+Empty tables give empty results; other columns play no part, and `rewrite` carries them whatever
+their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, led
 
 SIMILARITY = 0.85
-#: Most differing bits, before texts are fetched: unrelated lines that share two blocks differ in
-#: about 13 bits of the others, lines with one or two edits in about 3.
-BITS = 12
-#: Every sixteenth bit, one to a lane: sixteen longs of four lanes hold the counts of 64 bits.
-_LANES = 0x0001000100010001
-#: Words of a line that lanes can count and compare without running into each other.
-_MOST = 8_191
-#: Shorter words say little about a line: the same few stand in most.
-WORD = 4
-#: Fewer words than these leave blocks empty.
-FEW = 8
-#: Most letters of a line of few words that is joined on all it leaves without one letter.
-SHORT = 64
-
-
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(F.lower(line), "123456789", "000000000"), r"[^\p{L}0]+", " "))
-
-
-def _block(w: Column) -> Column:
-    """0-3, by the last letter."""
-    return F.shiftright(F.ascii(F.substring(w, -1, 1)).cast("long") * F.lit(0x9E3779B1), 20).bitwiseAND(F.lit(3)).cast("int")
-
-
-def _vote(w: Column) -> Column:
-    """A word's hash, in the bits of its block."""
-    return F.xxhash64(w).bitwiseAND(F.call_function("shiftleft", F.lit(0xFFFF).cast("long"), _block(w) * 16))
-
-
-def _from_lanes(n: Column) -> Column:
-    """Bits with a majority, all lanes of a long at once: bit 14 of 2 count + 2^14 - 1 - n says 2 count > n."""
-    out = F.lit(0).cast("long")
-    for g in range(16):
-        over = F.coalesce(f"c{g}", F.lit(0)) * 2 + (F.lit(0x3FFF * _LANES) - n)
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(over, 14).bitwiseAND(F.lit(_LANES)), g))
+BLOCKS, BLOCK_BITS = 8, 32
+#: Most differing bits of 256: unrelated lines that share a block differ in 100 or so, lines with a tenth of their words edited in up to 70.
+BITS = 90
+#: Words of lines joined on single blocks, on pairs, and on pairs of pairs; fewest letters in a key, where two of each word do not count (and a letter that is a word does, twice).
+LEVELS = ((32, 1 << 30, 8), (6, 64, 8), (1, 32, 8))
+#: Lines of fewer words, and at most so many letters, are joined on all they leave without one letter.
+FEW, SHORT = 8, 64
+LONG = 24
+#: Rows of a bucket that meet in a task: a block against a block.
+ROWS = 4_096
+#: Characters worked on at a time, where no text is longer.
+SLAB = 1 << 20
+_U = np.uint64
+_BASE = _U(0x9E3779B97F4A7C15)
+_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+_BLANK, _END = 32, 10
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
+
+
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """What each code point becomes: a lower-case letter, 0 for the ten digits, the line end, or a blank."""
+    out = np.full(0x110000, _BLANK, np.uint32)
+    for c in range(0x110000):
+        if (t := chr(c)).isalpha():
+            out[c] = ord(t.lower()[0])
+    out[48:58] = 48
+    out[_END] = _END
     return out
 
 
-def _bit_by_bit(votes: Column, blocks: Column) -> Column:
-    bits = F.sequence(F.lit(0), F.lit(63))
-
-    def most(i: Column) -> Column:
-        n = F.aggregate(blocks, F.lit(0).cast("long"), lambda c, b: c + F.when(b == F.floor(i / 16), 1).otherwise(0))
-        return F.aggregate(votes, F.lit(0).cast("long"), lambda c, h: c + F.call_function("shiftrightunsigned", h, i).bitwiseAND(F.lit(1))) * 2 > n
-
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.when(most(i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
-
-
-def lines(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, line_no, key (null for blank lines), chars, short (the line, if it has few words), hash of every line.
-
-    Words are rows that a hash aggregation by line counts into lanes; all rows of a line come from
-    one task, so what it sends on is one row a line.
-    """
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    by = ["row", "doc_id", "line_no", "key", "chars", "short"]
-    names = ["doc_id", "line_no", "key", "chars", "short", "hash"]
-
-    def split(some: DataFrame, long: bool) -> DataFrame:
-        each = some.select("row", "doc_id", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
-        each = each.where(F.length("line") > _MOST) if long else each
-        each = each.select("row", "doc_id", "line_no", normalised(F.col("line")).alias("norm"))
-        each = each.select("row", "doc_id", "line_no", "norm", F.length("norm").alias("chars"), F.split("norm", " ").alias("every"))
-        each = each.withColumn("long", F.filter("every", lambda w: F.length(w) >= WORD))
-        few = F.size("every") < FEW
-        enough = (F.size("long") >= FEW) | ((F.size("every") > _MOST) & (F.size("long") > 0))
-        w = F.when(enough, F.col("long")).when(~few, F.col("every")).when(F.col("chars") <= SHORT, F.array(F.lit(""))).otherwise(F.filter(F.split("norm", ""), lambda c: (c != "") & (c != " ")))
-        return each.select("row", "doc_id", "line_no", F.when(F.col("norm") != "", F.unhex(F.md5("norm"))).alias("key"), "chars", F.when(few & (F.col("chars") <= SHORT), F.col("norm")).alias("short"), w.alias("w"))
-
-    some = split(own, False).where(F.size("w") <= _MOST)
-    words = some.select(*by, F.explode("w").alias("w")).select(*by, F.when(F.col("w") != "", _vote(F.col("w"))).alias("h"), F.when(F.col("w") != "", F.call_function("shiftleft", F.lit(1).cast("long"), _block(F.col("w")) * 16)).alias("one"))
-    counted = words.groupBy(*by).agg(F.coalesce(F.sum("one"), F.lit(0)).alias("n"), *[F.sum(F.shiftrightunsigned("h", g).bitwiseAND(F.lit(_LANES))).alias(f"c{g}") for g in range(16)])
-    out = counted.withColumn("hash", _from_lanes(F.col("n"))).select(*names)
-    # only lines that could hold so many words are normalised again
-    long = split(own.where(F.length("t") > _MOST), True).where(F.size("w") > _MOST)
-    long = long.withColumn("h", F.transform("w", _vote)).withColumn("b", F.transform("w", _block))
-    return out.unionByName(long.withColumn("hash", _bit_by_bit(F.col("h"), F.col("b"))).select(*names))
+@lru_cache(maxsize=8)
+def _powers(base: int, bits: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[_U(1)], np.full((1 << bits) - 1, base, np.uint64)]), dtype=np.uint64)
+
+
+def _power(base: np.uint64, n: int) -> np.ndarray:
+    return _powers(int(base), max(16, int(n).bit_length()))[:n]
+
+
+def _alone(x: np.ndarray) -> np.ndarray:
+    """South-East Asian, Chinese and Japanese letters, which stand for words; Korean words have blanks."""
+    return ((x >= 0x2E80) & ((x < 0xAC00) | (x > 0xD7A3))) | ((x >= 0x0E00) & (x < 0x0F00)) | ((x >= 0x1000) & (x < 0x10A0)) | ((x >= 0x1780) & (x < 0x1800))
+
+
+def _words(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, and which characters are letters."""
+    letter = (x != _BLANK) & (x != _END)
+    start = letter.copy()
+    start[1:] &= ~letter[:-1]
+    if len(x) and x.max() >= 0x0E00:
+        alone = _alone(x) & letter
+        start |= alone
+        start[1:] |= letter[1:] & alone[:-1]
+
+    def ends() -> np.ndarray:
+        return np.flatnonzero(letter & ~np.concatenate([letter[1:] & ~start[1:], [False]])) + 1
+
+    s, e = np.flatnonzero(start), ends()
+    long = np.flatnonzero(e - s > LONG)
+    if len(long):
+        for a, b in zip(s[long].tolist(), e[long].tolist(), strict=True):
+            y = x[a:b].astype(np.uint64)
+            start[a + 1 + np.flatnonzero(_mix(y[1:] * _U(0x10001) + y[:-1]) % _U(6) == 0)] = True
+        s, e = np.flatnonzero(start), ends()
+    return s, e, letter
+
+
+def _codes(text: str) -> np.ndarray:
+    return letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def _normal(x: np.ndarray, letter: np.ndarray) -> list[str]:
+    """The normalised lines: letters, and a blank after each run of them."""
+    keep = letter | (x == _END)
+    keep[1:] |= letter[:-1]
+    return [t.rstrip(" ") for t in x[keep].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split("\n")]
+
+
+def normalised(line: str) -> str:
+    x = _codes(line.replace("\n", " "))
+    return _normal(x, (x != _BLANK) & (x != _END))[0]
+
+
+def signatures(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines of a text: normalised line, words, SimHash (a row of blocks), letters beyond the second of words by block."""
+    x = _codes(text)
+    s, e, letter = _words(x)
+    n = int((x == _END).sum()) + 1
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[_U(0)], np.cumsum((x.astype(np.uint64) + _U(0x9E37)) * _power(_BASE, len(x)), dtype=np.uint64)])
+        h = _mix((sums[e] - sums[s]) * _power(_INVERSE, len(x) + 1)[s])
+        size = e - s
+        last = x[e - 1].astype(np.uint64) + np.where(size > 1, x[np.maximum(e - 2, 0)], 0).astype(np.uint64) * _U(0x10001)
+        block = (_mix(last * _BASE) >> _U(61)).astype(np.int64)
+    line = np.searchsorted(np.flatnonzero(x == _END), s)
+    cell, cells = line * BLOCKS + block, n * BLOCKS
+    weight = np.minimum(size, 12).astype(np.float64) ** 2
+    total = np.bincount(cell, weight, cells)
+    out = np.zeros(cells, np.uint32)
+    # two bits to a sum: both fit a double's 53 bits while a block's weight is below 2^26
+    two = 2 if not len(total) or total.max() < 1 << 26 else 1
+    for k in range(0, BLOCK_BITS, two):
+        vote = ((h >> _U(k + 20)) & _U(1)).astype(np.float64)
+        if two == 2:
+            vote += ((h >> _U(k + 21)) & _U(1)).astype(np.float64) * (1 << 26)
+        low = np.bincount(cell, weight * vote, cells).astype(np.float64)
+        if two == 2:
+            high = np.floor(low / (1 << 26))
+            low -= high * (1 << 26)
+            out |= (2 * high > total).astype(np.uint32) << np.uint32(k + 1)
+        out |= (2 * low > total).astype(np.uint32) << np.uint32(k)
+    mass = np.bincount(cell, np.where(_alone(x[s]), 2, np.maximum(size - 2, 0)), cells)
+    return _normal(x, letter), np.bincount(line, minlength=n), out.reshape(n, BLOCKS), np.minimum(mass, 255).astype(np.uint8).reshape(n, BLOCKS)
+
+
+_LINES = "doc_id long, tie long, line_no int, key binary, chars int, words int, s0 long, s1 long, s2 long, s3 long, mass long, short string"
+_SIG = ["s0", "s1", "s2", "s3"]
+
+
+def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _LINES for (doc_id, tie, text)."""
+
+    def work(rows: list[tuple]) -> pa.RecordBatch:
+        texts = [r[2] for r in rows]
+        norm, words, sig, mass = signatures("\n".join(texts))
+        counts = np.array([t.count("\n") + 1 for t in texts])
+        number = np.arange(len(norm)) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids, ties = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())
+        own = pa.array(np.repeat(np.arange(len(rows)), counts))
+        key = [hashlib.md5(t.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest() if t else None for t in norm]
+        short = [t if 0 < w < FEW and len(t) <= SHORT else None for t, w in zip(norm, words.tolist(), strict=True)]
+        cols = [ids.take(own), ties.take(own), pa.array(number, pa.int32()), pa.array(key, pa.binary()), pa.array(list(map(len, norm)), pa.int32()), pa.array(words, pa.int32()), *(pa.array(c) for c in sig.view(np.int64).T), pa.array(mass.view(np.int64).ravel()), pa.array(short, pa.string())]
+        return pa.record_batch(cols, names=["doc_id", "tie", "line_no", "key", "chars", "words", *_SIG, "mass", "short"])
+
+    for b in batches:
+        rows, held = [], 0
+        for i, k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            if not t.is_valid:
+                continue
+            rows.append((i, k, t.as_py()))
+            held += len(rows[-1][2]) + 1
+            if held > SLAB:
+                yield work(rows)
+                rows, held = [], 0
+        if rows:
+            yield work(rows)
+
+
+def bucket_keys(words: np.ndarray, sig: np.ndarray, mass: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, whether they count) of each kind of key, for rows of lines."""
+    sig, mass = sig.astype(np.uint64), mass.astype(np.int64)
+    singles = [(k,) for k in range(BLOCKS)]
+    pairs = [(k, k + BLOCKS // 2) for k in range(BLOCKS // 2)]
+    out = []
+    for (low, high, least), kinds in zip(LEVELS, (singles, pairs, [a + b for a, b in combinations(pairs, 2)]), strict=True):
+        for blocks in kinds:
+            key = np.full(len(sig), 1 + sum(1 << b for b in blocks), np.uint64)
+            for b in blocks:
+                key = _mix(key * _BASE + sig[:, b])
+            out.append((key, (words >= low) & (words <= high) & (mass[:, list(blocks)].sum(axis=1) >= least)))
+    return out
 
 
-def _texts(docs: DataFrame, ident: str, text: str, places: DataFrame) -> DataFrame:
-    """key, norm of the lines at places (key, doc_id, line_no)."""
-    each = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "line_no")).alias("wanted"))
-    found = each.join(wanted, each.doc_id.eqNullSafe(wanted.doc_id)).select(F.split("t", "\n", -1).alias("ls"), F.explode("wanted").alias("w"))
-    found = found.select(F.col("w.key").alias("key"), normalised(F.get("ls", F.col("w.line_no"))).alias("norm"))
-    return found.where(F.unhex(F.md5("norm")) == F.col("key")).dropDuplicates(["key"])
+def _without(text: str, similarity: float) -> set[int]:
+    """Hashes of a short line and of all it leaves without one letter; only itself where an edit is too much."""
+    out = {text}
+    if (len(text) + 1) * (1 - similarity) + 1e-9 >= 1:
+        out |= {text[:i] + text[i + 1 :] for i in range(len(text))}
+    return {int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in out}
+
+
+def _seats(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(bucket, id) for (id, words, s0, s1, s2, s3, mass, short)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 5000):
+            b = whole.slice(at, 5000)
+            n, ids = b.num_rows, b.column(0).to_numpy()
+            sig = np.column_stack([b.column(k).to_numpy() for k in range(2, 6)]).view(np.uint32)
+            mass = np.ascontiguousarray(b.column(6).to_numpy()).view(np.uint8).reshape(n, BLOCKS)
+            buckets, seated = [], []
+            for key, counts in bucket_keys(b.column(1).to_numpy(), sig, mass):
+                buckets.append(key[counts].view(np.int64))
+                seated.append(ids[counts])
+            for i, t in zip(ids.tolist(), b.column(7).to_pylist(), strict=True):
+                if t is not None and (own := _without(t, similarity)):
+                    buckets.append(np.fromiter(own, np.int64, len(own)))
+                    seated.append(np.full(len(own), i))
+            yield pa.record_batch([pa.array(np.concatenate(buckets)), pa.array(np.concatenate(seated))], names=["bucket", "id"])
+
+
+def _room(longer: np.ndarray, similarity: float) -> np.ndarray:
+    return np.floor(longer * (1 - similarity) + 1e-9)
+
+
+def _apart(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, i, j, block, id, component, chars, s0, s1, s2, s3) come sorted by (bucket, i, j): pairs across components that hashes and lengths allow."""
+    rows: list[tuple] = []
+
+    def compare() -> Iterator[pa.RecordBatch]:
+        i, j = rows[0][1:3]
+        block, ids, chars = (np.array([r[k] for r in rows]) for k in (3, 4, 6))
+        group = np.unique(np.array([r[5] for r in rows], object), return_inverse=True)[1]
+        sig = np.array([r[7:] for r in rows], np.int64).view(np.uint64)
+        for a in range(len(rows)):
+            near = (group != group[a]) & (np.abs(chars - chars[a]) <= _room(np.maximum(chars, chars[a]), similarity)) & (block > block[a] if i != j else np.arange(len(rows)) > a)
+            b = np.flatnonzero(near)
+            b = b[np.bitwise_count(sig[b] ^ sig[a]).sum(axis=1) <= BITS]
+            if len(b):
+                yield pa.record_batch([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(11)), strict=True):
+            if rows and row[:3] != rows[0][:3]:
+                yield from compare()
+                rows = []
+            rows.append(row)
+    if rows:
+        yield from compare()
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the way over the network."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        yield pa.record_batch([b.column(0), b.column(1), pa.array([pack(t.as_py().encode("utf-8", "surrogatepass")) for t in b.column(2)], pa.binary())], names=["doc_id", "tie", "t"])
+
+
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, norm) of the lines wanted of each text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for b in batches:
+        for t, wanted in zip(b.column(0), b.column(1), strict=True):
+            lines = unpack(t.as_py()).decode("utf-8", "surrogatepass").split("\n")
+            rows = [(w["key"], normalised(lines[w["line_no"]])) for w in wanted.as_py()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.string()), strict=True)], names=["key", "norm"])
 
 
 class LineGroups:
+    """The steps of one run; tables between them lie in the shared folder."""
+
     def __init__(self, docs: DataFrame, ident: str, text: str, similarity: float):
-        self.docs, self.ident, self.text, self.similarity, self.spark = docs, ident, text, similarity, docs.sparkSession
+        common.ship(docs.sparkSession)
+        self.docs = docs.select(docs[ident].cast("long").alias("doc_id"), F.xxhash64(docs[text].cast("string")).alias("tie"), docs[text].cast("string").alias("t"))
+        self.similarity, self.spark = similarity, docs.sparkSession
 
     def kept_table(self, df: DataFrame, name: str) -> DataFrame:
         path = common.scratch_path(self.spark, name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def linked(self, pairs: DataFrame, different: DataFrame, texts: DataFrame) -> DataFrame:
+    def texts(self, places: DataFrame) -> DataFrame:
+        """key, norm of the lines at places (key, first)."""
+        each = self.docs.where("t is not null").mapInArrow(_packed, "doc_id long, tie long, t binary")
+        wanted = places.groupBy("first.doc_id", "first.tie").agg(F.collect_list(F.struct("key", "first.line_no")).alias("wanted"))
+        found = each.join(wanted, each.doc_id.eqNullSafe(wanted.doc_id) & (each.tie == wanted.tie)).select("t", "wanted")
+        return found.mapInArrow(_texts, "key binary, norm string").dropDuplicates(["key"])
+
+    def linked(self, pairs: DataFrame, seated: DataFrame, texts: DataFrame) -> DataFrame:
         """Of pairs of ids (a, b) the links, as keys (a, b)."""
         near = pairs
         for x in "ab":
-            near = near.join(different.select(F.col("id").alias(x), F.struct("key", "first", "chars", "hash").alias(f"l{x}")), x)
-        longer = F.greatest("la.chars", "lb.chars")
-        room = F.floor(longer * (1 - self.similarity) + 1e-9).cast("int")
-        near = near.where((F.bit_count(F.col("la.hash").bitwiseXOR(F.col("lb.hash"))) <= BITS) & (F.abs(F.col("la.chars") - F.col("lb.chars")) <= room) & (F.col("la.key") != F.col("lb.key")))
+            near = near.join(seated.select(F.col("id").alias(x), F.struct("key", "chars", *_SIG).alias(f"l{x}")), x)
+        room = F.floor(F.greatest("la.chars", "lb.chars") * (1 - self.similarity) + 1e-9).cast("int")
+        apart = [F.bit_count(F.col(f"la.{c}").bitwiseXOR(F.col(f"lb.{c}"))) for c in _SIG]
+        near = near.where((F.abs(F.col("la.chars") - F.col("lb.chars")) <= room) & (F.col("la.key") != F.col("lb.key"))).where(sum(apart[1:], apart[0]) <= BITS)
         near = self.kept_table(near.select(F.col("la.key").alias("ka"), F.col("lb.key").alias("kb"), room.alias("room")), "line-pairs")
         for x in "ab":
             near = near.join(texts.select(F.col("key").alias(f"k{x}"), F.col("norm").alias(f"n{x}")), f"k{x}")
-        return near.where(F.expr("levenshtein(na, nb, room)") >= 0).select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
+        # few edits are found in a narrow band
+        near = near.where(F.expr("levenshtein(na, nb, least(room, 12)) >= 0 or (room > 12 and levenshtein(na, nb, room) >= 0)"))
+        return self.kept_table(near.select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct(), "line-links")
+
+    def across(self, seats: DataFrame, seated: DataFrame, groups: DataFrame) -> DataFrame:
+        """Pairs of ids in a bucket whose components differ, the leader apart."""
+        similarity = self.similarity
+        label = seated.select("id", "key", "chars", *_SIG).join(groups.withColumnRenamed("node", "key"), "key", "left").select("id", "chars", *_SIG, F.coalesce("component", "key").alias("c"))
+        sat = seats.select("bucket", "id").join(label.select("id", "c"), "id")
+        open_ = sat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket", F.ceil(F.col("n") / ROWS).cast("int").alias("blocks"))
+        rows = sat.select("bucket", "id").join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(label, "id")
+        rows = rows.select("bucket", F.least("block", "y").alias("i"), F.greatest("block", "y").alias("j"), "block", "id", "c", "chars", *_SIG)
+        dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        return dealt.mapInArrow(lambda it: _apart(it, similarity), "a long, b long").distinct()
 
     def run(self) -> DataFrame:
-        every = self.kept_table(lines(self.docs, self.ident, self.text), "lines")
-        different = every.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("rows"), F.min("chars").alias("chars"), F.min("short").alias("short"), F.min("hash").alias("hash"))
-        different = self.kept_table(different.withColumn("id", F.xxhash64("key")), "different-lines")
-        block = [F.shiftrightunsigned(F.col("hash"), 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-        # two blocks without a word say nothing
-        keys = [F.when(block[i] + block[j] > 0, F.shiftleft(F.lit(t).cast("long"), 32) + F.shiftleft(block[i], 16) + block[j]) for t, (i, j) in enumerate(combinations(range(4), 2))]
-        seats = different.where("short is null").select("id", F.explode(F.array(*keys)).alias("bucket")).where("bucket is not null")
-        # shorter lines have no room for an edit
-        brief = different.where(F.col("short").isNotNull() & ((F.col("chars") + 1) * (1 - self.similarity) + 1e-9 >= 1))
-        without = F.transform(F.sequence(F.lit(0), F.col("chars")), lambda i: F.xxhash64(F.concat(F.substring("short", F.lit(1), i), F.substring("short", i + 2, F.col("chars")))))
-        seats = seats.unionByName(brief.select("id", F.explode(F.array_distinct(without)).alias("bucket")))
-        led = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("leader")).where("size > 1").select("bucket", "leader")
-        seats = self.kept_table(seats.join(led, "bucket").where("id <> leader"), "seats")
+        similarity = self.similarity
+        every = self.kept_table(self.docs.mapInArrow(_read, _LINES), "lines")
+        one = F.min(F.struct("doc_id", "tie", "line_no", "chars", "words", *_SIG, "mass", "short")).alias("one")
+        different = every.where("key is not null").groupBy("key").agg(one, F.count(F.lit(1)).alias("rows"))
+        different = different.select(F.xxhash64("key").alias("id"), "key", F.struct("one.doc_id", "one.tie", "one.line_no").alias("first"), "rows", "one.chars", "one.words", *[f"one.{c}" for c in _SIG], "one.mass", "one.short")
+        different = self.kept_table(different, "different-lines")
+        seats = different.select("id", "words", *_SIG, "mass", "short").mapInArrow(lambda it: _seats(it, similarity), "bucket long, id long")
+        seats = self.kept_table(seats.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(led, "bucket long, leader long, id long"), "seats")
         pairs = seats.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        # the lines of all buckets are fetched once, for both rounds
-        seated = seats.select("id").unionByName(seats.select(F.col("leader").alias("id"))).distinct()
-        places = different.join(seated, "id", "left_semi").select("key", "first.doc_id", "first.line_no")
-        texts = self.kept_table(_texts(self.docs, self.ident, self.text, places), "line-texts")
-        links = self.kept_table(self.linked(pairs, different, texts), "line-links")
+        # the lines of all buckets, fetched once for both rounds
+        ids = seats.select("id").unionByName(seats.select(F.col("leader").alias("id"))).distinct()
+        seated = self.kept_table(different.join(ids, "id", "left_semi").select("id", "key", "first", "chars", *_SIG), "seated")
+        texts = self.kept_table(self.texts(seated.select("key", "first")), "line-texts")
+        links = self.linked(pairs, seated, texts)
         groups = components(links)
-        # lines outside the leader's component, against the lines of other components of the bucket
-        label = different.select("id", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("component", "key").alias("c"))
-        several = seats.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        sat = seats.join(several, "bucket", "left_semi").join(label, "id").join(label.select(F.col("id").alias("leader"), F.col("c").alias("lc")), "leader")
-        outside = sat.where("c <> lc").select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"))
-        rest = outside.join(sat.select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"), "lc"), "bucket").where("ca <> cb and (a < b or cb = lc)")
-        rest = self.kept_table(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "line-rest")
+        rest = self.kept_table(self.across(seats, seated, groups), "line-rest")
         if rest.limit(1).count():
-            links = links.unionByName(self.linked(rest, different, texts))
+            links = links.unionByName(self.linked(rest, seated, texts))
             groups = components(links)
-        names = different.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "first", "rows", F.coalesce("component", "key").alias("c"))
+        names = different.select("key", "first", "rows").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "first", "rows", F.coalesce("component", "key").alias("c"))
         heads = names.groupBy("c").agg(F.min("first").alias("head"), F.sum("rows").alias("group_lines")).where("group_lines > 1")
         marks = names.join(heads, "c").select("key", "head", "group_lines")
-        out = every.join(marks, "key", "left")
-        place = F.struct("doc_id", "line_no")
+        out = every.select("doc_id", "tie", "line_no", "key").join(marks, "key", "left")
+        place = F.struct("doc_id", "tie", "line_no")
         head = F.coalesce("head", place)
-        return out.select("doc_id", "line_no", head["doc_id"].alias("group_doc_id"), head["line_no"].alias("group_line_no"), F.coalesce("group_lines", F.lit(1)).cast("long").alias("group_lines"), head.eqNullSafe(place).alias("kept"))
+        return out.select("doc_id", "tie", "line_no", head["doc_id"].alias("group_doc_id"), head["line_no"].alias("group_line_no"), F.coalesce("group_lines", F.lit(1)).cast("long").alias("group_lines"), head.eqNullSafe(place).alias("kept"))
 
 
 def occurrences(docs: DataFrame, ident: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Every line: doc_id, line_no, the occurrence that stays for its group, the group's lines, kept."""
-    return LineGroups(docs, ident, text, similarity).run()
+    return LineGroups(docs, ident, text, similarity).run().drop("tie")
 
 
 def rewrite(docs: DataFrame, ident: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with the text made of the lines that stay; identifiers must not be repeated."""
-    gone = occurrences(docs, ident, text, similarity).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    split = F.split(F.col(text).cast("string"), "\n", -1)
-    left = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
-    out = docs.join(gone, F.col(ident).cast("long").eqNullSafe(F.col("_doc")), "left")
-    return out.select(*[(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.array_join(left, "\n")).alias(c) if c == text else docs[c]) for c in docs.columns])
+    """docs with the text made of the lines that stay."""
+    gone = LineGroups(docs, ident, text, similarity).run().where("not kept").groupBy("doc_id", "tie").agg(F.collect_set("line_no").alias("lines"))
+    row, drop = common.fresh(docs.columns, "row"), common.fresh(docs.columns, "lines")
+    gone = gone.select(F.col("doc_id").alias("a"), F.col("tie").alias("b"), F.col("lines").alias(drop))
+    own = F.xxhash64(docs[text].cast("string"))
+    both = docs.join(gone, docs[ident].cast("long").eqNullSafe(gone["a"]) & (own == gone["b"]), "left").select(F.struct(*[docs[c] for c in docs.columns]).alias(row), gone[drop])
+    whole = F.col(row)[text]
+    left = F.array_join(F.filter(F.split(whole.cast("string"), "\n", -1), lambda x, i: ~F.array_contains(drop, i)), "\n")
+    return both.select(*[(F.when(F.col(drop).isNull(), whole).otherwise(left) if c == text else F.col(row)[c]).alias(c) for c in docs.columns])
