@@ -9,11 +9,18 @@ joined by single spaces, and closed by an end symbol that is predicted like a by
 
 Nothing of corpus size is broadcast or held in one task.  Documents are dealt into blocks of a
 bounded number of bytes.  A block sends the different context-and-byte grams it holds, with their
-training counts, to the buckets of their last two context bytes, and its different words to the
-buckets of their hashes.  In a bucket lie all contexts that the escapes of its grams can reach,
-down to order 2 (orders 1 and 0 are tables of 258 x 258 counts, broadcast); it works out the
-probability of each gram once and answers every block for the grams that block asked about.  The
-block then adds up its documents.  Words give the unigram baseline in the same way.
+training counts, to the buckets of all their context bytes but the first, and its different words
+to the buckets of their hashes.  What the blocks hold of one context is at most 258 symbols a
+block, so a frequent pair of letters fills no bucket.  The lower orders are tables of different
+grams, which grow with the language and not with its use: a bucket adds up its grams of one order
+less and sends them on, once, to low buckets by their last two context bytes.  A low bucket holds
+all contexts down to order 2 that escapes reach from there (orders 1 and 0 are a table of 258 x 258
+counts, broadcast) and returns for each gram what an escape to it costs.  With that the upper
+bucket works out the probability of each of its grams once, and answers every block for the grams
+that block asked about.  The block then adds up its documents.  Words give the unigram baseline in
+the same way.
+
+Probabilities travel as 32-bit floats, counts as 64-bit numbers.
 
 Defined results: a null or empty text is one end symbol.  Rows with null or repeated identifiers
 are scored each; a null identifier hashes like the empty text.  With no training rows the model
@@ -65,12 +72,23 @@ def unsqueeze(blob: bytes) -> np.ndarray:
 
 
 def numbers(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+    """32-bit floats, or counts in as many bytes as the largest needs, byte by byte; a first byte says which."""
+    if values.dtype == np.float32:
+        kind, raw = 0, values.astype("<f4").view(np.uint8).reshape(-1, 4)
+    else:
+        kind = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+        raw = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :kind]
+    return bytes([kind]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
 def unnumbers(blob: bytes) -> np.ndarray:
-    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(b.T).view("<u4").ravel().astype(np.int64)
+    kind = blob[0]
+    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(kind or 4, -1)
+    if not kind:
+        return np.ascontiguousarray(b.T).view("<f4").ravel()
+    out = np.zeros((b.shape[1], 8), np.uint8)
+    out[:, :kind] = b.T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
 # ---- a block of documents -----------------------------------------------------------------
@@ -165,6 +183,12 @@ def _deal(kind: str, block: int, keys: np.ndarray, counts: np.ndarray, bucket: n
         yield kind, int(bucket[a]), block, squeeze(keys[a:b]), numbers(counts[a:b])
 
 
+def _bucket(contexts: np.ndarray, size: int, buckets: int) -> np.ndarray:
+    """By the last `size` symbols of packed contexts."""
+    own = (contexts & ((1 << BITS * size) - 1)).view(np.uint64)
+    return (((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _ask(table: pa.Table, order: int, buckets: int) -> pa.Table:
     """What a block sends: grams, words, and its order-1 counts."""
     block = table.column("block")[0].as_py()
@@ -174,8 +198,7 @@ def _ask(table: pa.Table, order: int, buckets: int) -> pa.Table:
     sizes = np.diff(np.concatenate([at, [len(g)]]))
     keys, counts = counted(g, np.repeat(train, sizes))
     del g
-    low = (keys >> BITS) & ((1 << 2 * BITS) - 1)
-    rows = list(_deal("gram", block, keys, counts, (low * 0x9E3779B1 >> 7) % buckets))
+    rows = list(_deal("gram", block, keys, counts, _bucket(keys >> BITS, order - 1, buckets)))
     pair = np.zeros((SYMBOLS, SYMBOLS), np.int64)
     np.add.at(pair, ((keys >> BITS) & 511, keys & 511), counts)
     where = np.flatnonzero(pair)
@@ -205,73 +228,157 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
-def log10_probabilities(keys: np.ndarray, counts: np.ndarray, pair: np.ndarray, order: int) -> np.ndarray:
-    """Of each gram, given the training counts of all grams of its bucket and the order-1 table."""
-    met = counts > 0
-    own_keys, own_counts = keys[met], counts[met]
+class Level:
+    """The contexts of one order, from the sorted grams met in training and their counts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+        ctx = keys >> BITS
+        heads = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.contexts, self.heads = ctx[heads], heads
+        self.total = self.sums(counts)
+        self.distinct = np.diff(np.concatenate([heads, [len(keys)]]))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of the values of each context's grams."""
+        return np.add.reduceat(values, self.heads) if len(self.heads) else np.zeros(0, np.int64)
+
+    def of(self, wanted: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For grams: whether their context was met, its total and distinct symbols, further values of it, and the gram's count."""
+        at, seen = _find(self.contexts, wanted >> BITS)
+        spot, has = _find(self.keys, wanted)
+        return seen, *(np.where(seen, v[at] if len(v) else 0, 0) for v in (self.total, self.distinct, *values)), np.where(has, self.counts[spot] if len(self.counts) else 0, 0)
+
+
+class Coder:
+    """The state of an escape down the orders, for many grams at a time."""
+
+    def __init__(self, n: int):
+        self.p, self.open = np.zeros(n), np.ones(n, bool)
+        self.seen, self.taken, self.distinct = np.zeros(n, bool), np.zeros(n), np.zeros(n)
+
+    def enter(self, seen: np.ndarray, taken: np.ndarray, distinct: np.ndarray) -> None:
+        """What the context just left excludes in the next: the weight its symbols have there, and their number."""
+        self.seen, self.taken, self.distinct = seen, taken, distinct
+
+    def step(self, seen: np.ndarray, total: np.ndarray, distinct: np.ndarray, count: np.ndarray) -> None:
+        left = total - np.where(self.seen, self.taken, 0)
+        new = distinct - np.where(self.seen, self.distinct, 0)
+        live = self.open & seen & (new > 0)
+        hit, miss = live & (count > 0), live & (count == 0)
+        self.p[hit] += np.log10((2 * count[hit] - 1) / (2 * left[hit]))
+        self.p[miss] += np.log10(new[miss] / (2 * left[miss]))
+        self.open &= ~hit
+
+
+def _met(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return keys[counts > 0], counts[counts > 0]
+
+
+def tails(keys: np.ndarray, counts: np.ndarray, pair: np.ndarray, size: int) -> np.ndarray:
+    """For grams of `size` context symbols: what the orders below cost, once their own context is escaped from or was not met."""
+    own_keys, own_counts = _met(keys, counts)
     single = pair.sum(axis=0)
-    p, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
-    seen_before = np.zeros(len(keys), bool)
-    taken, distinct_before = np.zeros(len(keys)), np.zeros(len(keys))
-    for k in range(order, -1, -1):
-        sym = keys & 511
+    coder, above = Coder(len(keys)), Level(own_keys, own_counts)
+    for k in range(size - 1, -1, -1):
+        # leave the context above, then look into the one of order k
+        mask = (1 << BITS * (k + 1)) - 1
         if k >= 2:
-            mask = (1 << BITS * (k + 1)) - 1
-            kk, cc = _totals(own_keys & mask, own_counts)
-            ctx = kk >> BITS
-            heads = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(kk) else np.zeros(0, np.int64)
-            n = np.add.reduceat(cc, heads) if len(kk) else np.zeros(0, np.int64)
-            d = np.diff(np.concatenate([heads, [len(kk)]]))
-            if k > 2:  # what the bytes of this context weigh in the next shorter one
-                shorter, weight = _totals(own_keys & (mask >> BITS), own_counts)
-                at, _ = _find(shorter, kk & (mask >> BITS))
-                share = np.add.reduceat(weight[at], heads) if len(kk) else np.zeros(0, np.int64)
-            else:
-                share = np.add.reduceat(pair[ctx & 511, kk & 511], heads) if len(kk) else np.zeros(0, np.int64)
-            at, seen = _find(ctx[heads] if len(kk) else ctx, (keys & mask) >> BITS)
-            total, distinct, next_taken = (np.where(seen, v[at] if len(v) else 0, 0) for v in (n, d, share))
-            spot, has = _find(kk, keys & mask)
-            count = np.where(has, cc[spot] if len(cc) else 0, 0)
+            level = Level(*_totals(own_keys & mask, own_counts))
+            at, _ = _find(level.keys, above.keys & mask)
+            share = above.sums(level.counts[at] if len(level.counts) else np.zeros(0, np.int64))
         elif k == 1:
+            level, share = None, above.sums(pair[(above.keys >> BITS) & 511, above.keys & 511])
+        else:
+            level, share = None, ((pair > 0) * single).sum(axis=1)
+        if above is not None:
+            seen, _, distinct, taken, _ = above.of(keys & ((1 << BITS * (k + 2)) - 1), share)
+        else:
             c1 = (keys >> BITS) & 511
-            n1, d1 = pair.sum(axis=1), (pair > 0).sum(axis=1)
-            share1 = ((pair > 0) * single).sum(axis=1)
-            total, distinct, next_taken, count = n1[c1], d1[c1], share1[c1], pair[c1, sym]
+            distinct, taken = (pair > 0).sum(axis=1)[c1], share[c1]
+            seen = distinct > 0
+        coder.enter(seen, taken, distinct)
+        if k >= 2:
+            seen, total, distinct, count = level.of(keys & mask)
+        elif k == 1:
+            c1 = (keys >> BITS) & 511
+            total, distinct, count = pair.sum(axis=1)[c1], (pair > 0).sum(axis=1)[c1], pair[c1, keys & 511]
             seen = total > 0
         else:
-            total, distinct = np.full(len(keys), single.sum()), np.full(len(keys), (single > 0).sum())
-            next_taken, count, seen = np.zeros(len(keys)), single[sym], np.full(len(keys), single.sum() > 0)
-        left = total - np.where(seen_before, taken, 0)
-        new = distinct - np.where(seen_before, distinct_before, 0)
-        live = open_ & seen & (new > 0)
-        hit = live & (count > 0)
-        p[hit] += np.log10((2 * count[hit] - 1) / (2 * left[hit]))
-        miss = live & (count == 0)
-        p[miss] += np.log10(new[miss] / (2 * left[miss]))
-        open_ &= ~hit
-        seen_before, taken, distinct_before = seen, next_taken, distinct
-    p[open_] -= math.log10(257 - (single > 0).sum()) if (single > 0).sum() < 257 else 0
-    return p
-
-
-def _answer(table: pa.Table, pair: np.ndarray, order: int) -> pa.Table:
-    """A bucket's replies: per block, its keys with log10 probabilities (grams) or counts (words)."""
-    kind = table.column("kind")[0].as_py()
-    blocks = table.column("block").to_pylist()
+            total, distinct, count = np.full(len(keys), single.sum()), np.full(len(keys), (single > 0).sum()), single[keys & 511]
+            seen = total > 0
+        coder.step(seen, total, distinct, count)
+        above = level
+    if (single > 0).sum() < 257:
+        coder.p[coder.open] -= math.log10(257 - (single > 0).sum())
+    return coder.p
+
+
+def log10_probabilities(keys: np.ndarray, counts: np.ndarray, low_keys: np.ndarray, low_counts: np.ndarray, tail: np.ndarray, order: int) -> np.ndarray:
+    """Of grams of `order` context symbols, given all grams of their contexts of one symbol less and what an escape to those costs."""
+    mask = (1 << BITS * order) - 1
+    top, low = Level(*_met(keys, counts)), Level(*_met(low_keys, low_counts))
+    coder = Coder(len(keys))
+    at, _ = _find(low.keys, top.keys & mask)
+    share = top.sums(low.counts[at] if len(low.counts) else np.zeros(0, np.int64))
+    seen, total, distinct, taken, count = top.of(keys, share)
+    coder.step(seen, total, distinct, count)
+    coder.enter(seen, taken, distinct)
+    seen, total, distinct, count = low.of(keys & mask)
+    coder.step(seen, total, distinct, count)
+    at, _ = _find(low_keys, keys & mask)
+    coder.p[coder.open] += tail[at[coder.open]]
+    return coder.p
+
+
+def _summed(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys of each row, and all keys with their counts added up."""
     parts = [unsqueeze(k.as_py()) for k in table.column("keys")]
-    sums, counts = _totals(np.concatenate(parts), np.concatenate([unnumbers(c.as_py()) for c in table.column("counts")]))
-    value = log10_probabilities(sums.astype(np.int64), counts, pair, order).astype(np.float32) if kind == "gram" else counts
+    keys, counts = _totals(np.concatenate(parts), np.concatenate([unnumbers(c.as_py()) for c in table.column("counts")]))
+    return parts, keys, counts
+
+
+def _down(table: pa.Table, order: int, buckets: int) -> pa.Table:
+    """A bucket's different grams of one order less, for the low buckets of their last two context symbols."""
+    _, keys, counts = _summed(table)
+    keys, counts = _totals(keys.astype(np.int64) & ((1 << BITS * order) - 1), counts)
+    own = table.column("bucket")[0].as_py()
+    rows = [(b, own, k, c) for _, b, _, k, c in _deal("", 0, keys.view(np.uint64), counts, _bucket(keys >> BITS, 2, buckets))]
+    return pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["low", "bucket", "keys", "counts"])
+
+
+def _low(table: pa.Table, pair: np.ndarray, order: int) -> pa.Table:
+    """A low bucket's replies to upper buckets: their grams, counts, and what an escape costs."""
+    parts, keys, counts = _summed(table)
+    tail = tails(keys.astype(np.int64), counts, pair, order - 1).astype(np.float32)
     rows = []
-    for b, own in zip(blocks, parts, strict=True):
-        v = value[np.searchsorted(sums, own)]
-        rows.append((kind, b, squeeze(own), numbers(v.view(np.uint32) if kind == "gram" else v)))
+    for b, own, c in zip(table.column("bucket").to_pylist(), parts, table.column("counts").to_pylist(), strict=True):
+        rows.append((b, squeeze(own), c, numbers(tail[np.searchsorted(keys, own)])))
+    return pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["bucket", "keys", "counts", "tail"])
+
+
+def _answer(asked: pa.Table, low: pa.Table, order: int) -> pa.Table:
+    """An upper bucket's replies: per block, its grams with log10 probabilities."""
+    parts, keys, counts = _summed(asked)
+    low_keys = np.concatenate([unsqueeze(k.as_py()) for k in low.column("keys")]).astype(np.int64)
+    by = np.argsort(low_keys, kind="stable")
+    low_counts, tail = (np.concatenate([unnumbers(c.as_py()) for c in low.column(name)])[by] for name in ("counts", "tail"))
+    value = log10_probabilities(keys.astype(np.int64), counts, low_keys[by], low_counts, tail, order).astype(np.float32)
+    rows = [("gram", b, squeeze(own), numbers(value[np.searchsorted(keys, own)])) for b, own in zip(asked.column("block").to_pylist(), parts, strict=True)]
+    return pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "block", "keys", "value"])
+
+
+def _answer_words(table: pa.Table) -> pa.Table:
+    """A word bucket's replies: per block, its words with their counts."""
+    parts, keys, counts = _summed(table)
+    rows = [("word", b, squeeze(own), numbers(counts[np.searchsorted(keys, own)])) for b, own in zip(table.column("block").to_pylist(), parts, strict=True)]
     return pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "block", "keys", "value"])
 
 
 def _gather(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
     rows = [(unsqueeze(k.as_py()), unnumbers(v.as_py())) for t, k, v in zip(table.column("kind"), table.column("keys"), table.column("value"), strict=True) if t.as_py() == kind]
     if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32 if kind == "gram" else np.int64)
     keys, values = (np.concatenate(x) for x in zip(*rows, strict=True))
     order = np.argsort(keys, kind="stable")
     return keys[order], values[order]
@@ -280,7 +387,7 @@ def _gather(table: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
 def _add_up(docs: pa.Table, replies: pa.Table, order: int) -> pa.Table:
     """Scores of a block's documents from the replies to it."""
     gram_keys, gram_values = _gather(replies, "gram")
-    gram_keys, gram_values = gram_keys.astype(np.int64), gram_values.astype(np.uint32).view(np.float32)
+    gram_keys = gram_keys.astype(np.int64)
     word_keys, word_counts = _gather(replies, "word")
     of_gram, of_word = Lookup(gram_keys, gram_values), Lookup(word_keys.view(np.int64), word_counts)
     out: list[list] = [[] for _ in range(5)]
@@ -306,24 +413,28 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", order: int
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     common.ship(spark)
+    if order < 3:
+        raise ValueError("the order is 3 at least")
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // block_bytes), min(spark.sparkContext.defaultParallelism, int(size) >> 20))
+    # a block sends a row to each bucket, so buckets grow more slowly than blocks where there are thousands
+    buckets = min(blocks, 64 * math.isqrt(blocks) + 64)
     base = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     base = base.withColumn("held_out", common.fold_of(F.col("doc_id"), folds) == held_out)
-    base = base.select("doc_id", "t", "held_out", (~F.col("held_out")).alias("train"), F.pmod(F.xxhash64("doc_id", F.octet_length("t")), F.lit(blocks)).alias("block"))
+    base = base.select("doc_id", "t", "held_out", (~F.col("held_out")).alias("train"), F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).alias("block"))
     asked_path = common.scratch_path(spark, "grams")
     asked = "kind string, bucket long, block long, keys binary, counts binary"
-    base.groupBy("block").applyInArrow(lambda t: _ask(t, order, blocks), asked).write.partitionBy("kind").parquet(asked_path)
+    base.groupBy("block").applyInArrow(lambda t: _ask(t, order, buckets), asked).write.partitionBy("kind").parquet(asked_path)
     sent = spark.read.schema(asked).parquet(asked_path)
 
     def totals(t: pa.Table) -> pa.Table:
-        keys, counts = _totals(np.concatenate([unsqueeze(k.as_py()) for k in t.column("keys")]), np.concatenate([unnumbers(c.as_py()) for c in t.column("counts")]))
+        _, keys, counts = _summed(t)
         return pa.table({"v": [int((counts > 0).sum())], "n": [int(counts.sum())]})
 
     known = sent.where("kind = 'word'").groupBy("bucket").applyInArrow(totals, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
 
     def pairs(t: pa.Table) -> pa.Table:
-        keys, counts = _totals(np.concatenate([unsqueeze(k.as_py()) for k in t.column("keys")]), np.concatenate([unnumbers(c.as_py()) for c in t.column("counts")]))
+        _, keys, counts = _summed(t)
         return pa.table({"k": keys.astype(np.int64), "n": counts})
 
     # at most 258 x 258 rows come to the driver and go out again
@@ -331,7 +442,14 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", order: int
     table = np.zeros(SYMBOLS * SYMBOLS, np.int64)
     table[few["k"].to_numpy(np.int64)] = few["n"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(table.reshape(SYMBOLS, SYMBOLS))
-    replies = sent.where("kind <> 'pair'").groupBy("kind", "bucket").applyInArrow(lambda t: _answer(t, shared.value, order), "kind string, block long, keys binary, value binary")
+    asked_grams = sent.where("kind = 'gram'").select("bucket", "block", "keys", "counts")
+    # grams of different contexts only, once each, so few bytes for a low bucket; a fixed number of those keeps rows in step with upper buckets
+    lows = min(buckets, 256)
+    down = asked_grams.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(lambda t: _down(t, order, lows), "low long, bucket long, keys binary, counts binary")
+    low = down.groupBy("low").applyInArrow(lambda t: _low(t, shared.value, order), "bucket long, keys binary, counts binary, tail binary")
+    reply = "kind string, block long, keys binary, value binary"
+    replies = asked_grams.groupBy("bucket").cogroup(low.groupBy("bucket")).applyInArrow(lambda a, b: _answer(a, b, order), reply)
+    replies = replies.unionByName(sent.where("kind = 'word'").select("kind", "bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(_answer_words, reply))
     added = base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _add_up(a, b, order), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     return added.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(known.n)).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(math.log10(known.n + known.v + 1))).alias("base_score"), "score")
 
