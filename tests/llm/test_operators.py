@@ -507,6 +507,28 @@ def test_bpe_streams_within_its_lookahead(encoder):
         assert [t for part in table.stream([w[:100], w[100:]]) for t in part] == whole
 
 
+def test_library_encoder_equals_library(encoder):
+    """Plain and odd chunks, stops, capitals and marks, with caches that overflow."""
+    rng = random.Random(11)
+    own = token_files.LibraryEncoder(bpe.TOKENIZER, 50)
+    syllables = ["the", "ING", "\xe9r", "on'", "a.", "re,", "nd;", "42", "\xdf", "\u0130", "\xd7", "\xb2", "<|endoftext|>", "st!", "\u0301", "\u6f22", "-", "_", "x" * 50, "'s", "\xaa", "\u01c5", "A.", "\xc9!", "?!", ".."]
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(rng.randint(0, 60))) for _ in range(4)]
+        got = defaultdict(list)
+        for i, raw in own.stream(texts):
+            got[i] += own.unpack(raw)
+        for i, t in enumerate(texts):
+            want = encoder.library.encode(t, add_special_tokens=False).ids
+            assert got[i] == want and encoder.encode(t) == want
+
+
+def test_token_files_have_a_task_each(spark, tmp_path):
+    folder = tmp_path.as_uri() + "/many"
+    token_files.write(spark.createDataFrame([(i, "some words " * 50) for i in range(60)], "doc_id long, text string").repartition(4), folder, length=64, batch=2, file_ids=500)
+    assert token_files.manifest(spark, folder).count() > 8
+    assert token_files.files_of(spark, folder).rdd.getNumPartitions() == token_files.manifest(spark, folder).count()
+
+
 def test_token_files(spark, docs, empty, tmp_path, encoder):
     folder = tmp_path.as_uri() + "/tokens"
     some = docs.where("doc_id is not null and doc_id <> 8")

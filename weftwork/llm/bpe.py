@@ -6,8 +6,9 @@ right neighbour, and that rule by a still earlier one; ranks fall along such a c
 reach of every token follows from one pass over the list (`MergeTable.lookahead`).  A word is
 fed symbol by symbol; tokens that end further than the lookahead from the end of what was read
 are final, leave the buffer and are emitted.  The buffer stays within a constant, whatever the
-length of the word.  A word that fits in the buffer is encoded in one step, and results of
-short words are kept in two generations of bounded size.
+length of the word; every word goes this way, and the short ones end before anything is final.
+Results of short words are kept in two generations of bounded size.  What is held besides is a
+slice of text, which ends at white space: a text without any is one slice.
 
 Text goes to words as the tokenizer's file says: special tokens are cut out of the raw text,
 then composed form, single spaces, lower case, and the split pattern.  White space always
@@ -58,6 +59,12 @@ _NONE = 1 << 30
 _BLANKS = " \t\n\x0b\x0c\r"
 #: Characters beyond the plain rules: blanks on which Unicode tables differ, and U+0250 on.
 _ODD = re.compile("[\x1c-\x1f\x85\u0250-\U0010ffff]")
+#: Letters below U+0100 in lower case, for a class of a pattern; those beyond come in turns with capitals.
+LOWER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff"
+#: Texts with these are left as they are: beyond the plain rules, the start of a special token, and a letter that is two in lower case.
+_LEFT = f"{_ODD.pattern}|[<\u0130]"
+#: A stop between a letter and white space or the end is a word of its own wherever it stands.
+_STOP = f"([{LOWER}])([.,;:!?])([{_BLANKS}]|$)"
 
 
 def resolve(path: str) -> str:
@@ -117,11 +124,11 @@ class MergeTable:
     def stream(self, blocks: Iterable[bytes]) -> Iterator[list[int]]:
         """Token ids of one word that arrives in blocks; the last symbol waits for the word's end."""
         hold: list[int] = []
-        last, room = None, 256 + 4 * self.lookahead
+        last, room, start = None, 2 * self.lookahead + 64, self.start
         for block in blocks:
             for b in block:
                 if last is not None:
-                    hold.append(self.start[last])
+                    hold.append(start[last])
                 last = b
                 if len(hold) >= room:
                     done, at, stable = self.settle(hold[:]), 0, []
@@ -138,10 +145,9 @@ class MergeTable:
         if last is not None:
             yield self.settle([*hold, self.last[last]])
 
-    def word(self, raw: bytes) -> tuple[int, ...]:
-        if len(raw) <= 256 + 4 * self.lookahead:
-            return tuple(self.settle([*map(self.start.__getitem__, raw[:-1]), self.last[raw[-1]]]))
-        return tuple(chain.from_iterable(self.stream([raw])))
+    def word(self, raw: bytes) -> list[int]:
+        """The transducer over one word; most end before their first token could be settled."""
+        return list(chain.from_iterable(self.stream([raw])))
 
 
 class Chunks:
@@ -164,6 +170,8 @@ class Chunks:
         self.special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in self.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"))
+        # stops are cut off where the pattern takes runs of letters, and of marks, each for itself
+        self.lowers = "Lowercase" in json.dumps(self.spec["normalizer"]) and {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(self.split.pattern.split("|"))
         vocab = self.spec["model"]["vocab"]
         self.names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
         for name, i in chain(vocab.items(), self.special.items()):
@@ -213,11 +221,18 @@ class Chunks:
                 maps[:] = [{}, maps[0]]
         return now
 
+    def prepared(self, texts: pa.Array) -> pa.Array:
+        """Lower case, with a blank before single stops, so that far fewer chunks differ; texts outside the plain rules stay."""
+        if not self.lowers:
+            return texts
+        lower = pc.replace_substring_regex(pc.utf8_lower(texts), _STOP, r"\1 \2\3")
+        return pc.if_else(pc.match_substring_regex(texts, _LEFT), texts, lower)
+
     def _group(self, units: list[tuple[int, str]]) -> Iterator[tuple[int, bytes]]:
         """Arrow cuts the chunks and numbers the different ones; only those are looked up."""
         if not units:
             return
-        lists = pc.ascii_split_whitespace(pa.array([t for _, t in units]))
+        lists = pc.ascii_split_whitespace(self.prepared(pa.array([t for _, t in units], pa.string())))
         coded = lists.flatten().dictionary_encode()
         keys = coded.dictionary.to_pylist()
         found = list(map(self.chunks[0].get, keys))

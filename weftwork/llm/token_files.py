@@ -13,8 +13,8 @@ running sum gives each file's place in the whole stream.  Ids take 16 bits where
 allows, else 32.
 
 Chunks between white space are independent under the vocabulary's rules, so each different
-chunk goes to the tokenizers library once per worker (in bounded caches); texts with white
-space on which Python and the tokenizer disagree go there whole.
+chunk (words, as stops at their ends stand apart) goes to the tokenizers library once per worker
+(in bounded caches); texts with white space on which Python and the tokenizer disagree go there whole.
 
 Defined results: a null text counts as empty and holds the end id alone.  Null identifiers come
 first; equal identifiers are in the order of their texts' hashes.  An empty table gives an empty
@@ -23,14 +23,17 @@ manifest.  Other columns are not written.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,34 +49,67 @@ FILE_IDS = 64 << 20
 END_ID = 1
 
 
+#: A chunk that is one word: letters below U+0100 in lower case.
+_PLAIN = f"^[{bpe.LOWER}]{{1,40}}$"
+
+
 class LibraryEncoder(bpe.Chunks):
-    """The tokenizers library behind the bounded maps of chunks and words."""
+    """The tokenizers library behind the bounded maps of chunks and words.
+
+    Plain words go to the library's model without its normaliser and splitter, which would leave
+    them as they are in lower case; as only a word's last token has the suffix, the ids of many
+    words come in one call.  Vocabularies without such a suffix take the whole library throughout.
+    """
+
+    def __init__(self, path: str, cache: int = bpe.CACHE):
+        super().__init__(path, cache)
+        from tokenizers import Tokenizer
+
+        suffix = self.spec["model"].get("end_of_word_suffix")
+        self.last = np.array([bool(suffix) and n.endswith(suffix) for n in self.names])
+        cut = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        plain = self.spec | {"normalizer": None, "pre_tokenizer": cut, "post_processor": None, "decoder": None, "added_tokens": [], "truncation": None, "padding": None}
+        self.model = Tokenizer.from_str(json.dumps(plain)) if suffix else None
 
     def words_to_ids(self, words: list[str]) -> list[bytes]:
-        return [self.pack(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        if not words:
+            return []
+        [e] = self.model.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(e.ids, f"<u{array(self.code).itemsize}")
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()
+        if len(ends) != len(words):
+            raise ValueError("a word has not one last token")
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
     def _resolve(self, missing: list[str]) -> dict[str, bytes]:
-        """All missing chunks in one call, with a special token, which always stands alone, between them."""
-        if not self.special:
-            return super()._resolve(missing)
+        """All new plain words in one call; other chunks in one call with a special token, which always stands alone, between them."""
+        if not self.special or self.model is None:
+            return {c: self.odd(c) for c in missing}
         old = self.chunks[1]
         now = {c: old.get(c) for c in missing}
         fresh = [c for c, x in now.items() if x is None]
+        plain = pc.match_substring_regex(pa.array(fresh, pa.string()), _PLAIN).to_pylist()
+        words = list(compress(fresh, plain))
+        now.update(zip(words, self.words_to_ids(words), strict=True))
+        self._whole([c for c, x in zip(fresh, plain, strict=True) if not x], now)
+        self.chunks[0].update((c, x) for c, x in now.items() if len(c) <= bpe.CACHE_CHARS)
+        if len(self.chunks[0]) > self.cache:
+            self.chunks = [{}, self.chunks[0]]
+        return now
+
+    def _whole(self, fresh: list[str], now: dict[str, bytes | None]) -> None:
         mark, code = next(iter(self.special.items()))
-        plain = [c for c in fresh if "<" not in c or not self.cut.search(c)]
-        if plain:
-            [e] = self.library.encode_batch_fast([mark.join(plain)], add_special_tokens=False)
+        sound = [c for c in fresh if "<" not in c or not self.cut.search(c)]
+        if sound:
+            [e] = self.library.encode_batch_fast([mark.join(sound)], add_special_tokens=False)
             ids = np.array(e.ids, f"<u{array(self.code).itemsize}")
             cuts = np.flatnonzero(ids == code)
-            if len(cuts) != len(plain) - 1:
+            if len(cuts) != len(sound) - 1:
                 raise ValueError("the separator is not a token of its own")
             raw, wide = ids.tobytes(), ids.itemsize
-            now.update(zip(plain, [raw[i:j] for i, j in zip([0, *(wide * (cuts + 1)).tolist()], [*(wide * cuts).tolist(), len(raw)], strict=True)], strict=True))
+            now.update(zip(sound, [raw[i:j] for i, j in zip([0, *(wide * (cuts + 1)).tolist()], [*(wide * cuts).tolist(), len(raw)], strict=True)], strict=True))
         now.update((c, self.odd(c)) for c in fresh if now[c] is None)
-        self.chunks[0].update((c, x) for c, x in now.items() if len(c) <= bpe.CACHE_CHARS)
-        if len(self.chunks[0]) > self.cache:
-            self.chunks = [{}, self.chunks[0]]
-        return now
 
     def odd(self, text: str) -> bytes:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
@@ -81,7 +117,7 @@ class LibraryEncoder(bpe.Chunks):
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path, 4 * bpe.CACHE)
+    return LibraryEncoder(path, 5 * bpe.CACHE)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -184,8 +220,8 @@ def _write(batches: Iterable[pa.RecordBatch], folder: str, path: str, length: in
     last = np.asarray([end], dtype)
     done: list[tuple] = []
     for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            b = whole.slice(at, 500)
+        for at in range(0, whole.num_rows, 2000):
+            b = whole.slice(at, 2000)
             idents, texts = (b.column(i).to_pylist() for i in (0, 1))
             found = enc.stream(texts)
             ahead = next(found, None)
@@ -228,6 +264,12 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def files_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest's files, dealt one by one: a stated number of partitions is not made fewer at run time."""
+    files = manifest(spark, folder).select("name", "first")
+    return files.repartition(max(1, min(files.count(), 20_000)), "name")
+
+
 def _crc(batches: Iterable[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for name, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -243,8 +285,7 @@ def _crc(batches: Iterable[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBa
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, read from the files: doc_id, start, n_tokens, ids_crc32."""
-    files = manifest(spark, folder).select("name", "first").repartition(F.col("name"))
-    return files.mapInArrow(lambda it: _crc(it, folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files_of(spark, folder).mapInArrow(lambda it: _crc(it, folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_sequences(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,5 +301,4 @@ def read_sequences(spark: SparkSession, folder: str) -> DataFrame:
                     at += x.num_rows * r.length
                     yield pa.record_batch([places, x.column("ids").cast(pa.list_(pa.int32())), x.column("mask").cast(pa.list_(pa.bool_()))], names=["start", "ids", "mask"])
 
-    files = manifest(spark, folder).select("name", "first").repartition(F.col("name"))
-    return files.mapInArrow(work, "start long, ids array<int>, mask array<boolean>")
+    return files_of(spark, folder).mapInArrow(work, "start long, ids array<int>, mask array<boolean>")
