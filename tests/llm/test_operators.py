@@ -71,8 +71,13 @@ def test_exact_groups(docs, empty):
     norm = {}
     for i, t, *_ in corpus():
         norm.setdefault(re.sub(SPACE, " ", t or ""), []).append(i)
-    got = exact_dedup.groups(docs.withColumns({"keep_id": F.lit("x"), "_sha": F.lit("y")}).drop("_sha")).collect()
-    assert len(got) == len(corpus())
+    names = ["keep_id", "GROUP_size", "kept", "ties", "text_sha256", "_sha", "_keep", "_size", "_ties", "_kept", "_text_sha256", "__sha", "sha", "body", "n", "a.b"]
+    clash = docs.select("*", *[F.concat(F.lit("u"), F.col("doc_id")).alias(c) for c in names])
+    left = exact_dedup.deduplicate(clash)
+    assert left.columns == clash.columns and left.count() == len(norm)
+    assert all(r[c] == (None if r.doc_id is None else f"u{r.doc_id}") for r in left.collect() for c in names)
+    got = exact_dedup.groups(clash).collect()
+    assert len(got) == len(corpus()) and all(r["_sha"] == (None if r.doc_id is None else f"u{r.doc_id}") for r in got)
     for r in got:
         t = re.sub(SPACE, " ", r.text or "")
         ids = [i for i in norm[t] if i is not None]
@@ -572,6 +577,43 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.decontaminate(docs, none).count() == len(corpus())
 
 
+def test_decontamination_recall():
+    """Items with every third, fourth and fifth word changed, in words of unlike frequency; no Spark."""
+    rng = random.Random(4)
+    vocab = [f"{k:x}z" for k in range(20_000)]
+    weights = [1 / (k + 5) for k in range(len(vocab))]
+    items = [(i, rng.choices(vocab, weights, k=rng.randint(15, 50))) for i in range(100)]
+    counts = Counter({w: int(1e7 * p / sum(weights)) for w, p in zip(vocab, weights, strict=True)})
+    seeds = decontaminate.Seeds(items, decontaminate.choose_seeds(items, counts, 10_000_000, 20_000, decontaminate.CHANCE))
+    recall = {}
+    for step in (3, 4, 5):
+        found = 0
+        for i, ws in items:
+            edited = [rng.choice(vocab) if j % step == step - 1 else w for j, w in enumerate(ws)]
+            text = " ".join(rng.choices(vocab, weights, k=200) + edited + rng.choices(vocab, weights, k=200))
+            found += i in {p[0] for p in seeds.pairs(text, decontaminate.SCORE)}
+        recall[step] = found / len(items)
+    clean = sum(1 for _ in range(200) for _ in seeds.pairs(" ".join(rng.choices(vocab, weights, k=500)), decontaminate.SCORE))
+    print(recall, clean)
+    assert recall[3] >= 0.75 and recall[4] >= 0.97 and recall[5] >= 0.97 and clean == 0
+
+
+def test_decontamination_odd_rows(spark, docs, empty):
+    """Null, empty and repeated rows, a very long text and clashing names against a real test set, in one block and in several."""
+    rng = random.Random(13)
+    items = [(1, prose(rng, 30)), (1, prose(rng, 30)), (None, prose(rng, 30)), (2, None), (3, ""), (4, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    long = prose(rng, 800_000) + " " + items[0][1]
+    assert len(long) > 4_000_000
+    rows = [(1, items[0][1]), (1, items[0][1]), (None, items[2][1]), (5, None), (6, ""), (7, long), (8, prose(rng, 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("u").alias(c) for c in ("score", "seeds", "t", "item_id")])
+    for block in (2_000_000, 40):
+        got = sorted(((r.doc_id, r.item_id) for r in decontaminate.pairs(df, bench, block=block).collect()), key=str)
+        assert got == sorted([(1, 1), (1, 1), (None, None), (7, 1)], key=str)
+        left = decontaminate.decontaminate(df, bench, block=block)
+        assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [5, 6, 8]
+
+
 def test_smith_waterman():
     def plain(a, b):
         h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

@@ -94,3 +94,8 @@ def fresh(taken: list[str], name: str) -> str:
     while f"_{name}" in have:
         name = f"_{name}"
     return f"_{name}"
+
+
+def quoted(name: str) -> str:
+    """A column's name as it must be asked for, dots and all."""
+    return "`" + name.replace("`", "``") + "`"

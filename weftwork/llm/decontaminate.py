@@ -1,16 +1,18 @@
 """Benchmark decontamination: rare word n-grams as seeds, Smith-Waterman to score what they join.
 
-Seeds are the word trigrams of the test items that chance would hardly put in a document: the
-product of their words' frequencies over all documents, times the mean length of a document, is
-at most `CHANCE`.  A leaked passage that sits in very many documents stays a seed by that rule,
-which one on document frequency would drop.  An item all of whose trigrams are common keeps its
-`LEAST` rarest; an item of fewer words is one seed.  One Aho-Corasick pass over a document finds
+Seeds are the word trigrams and pairs of the test items that chance would hardly put in a document:
+the product of their words' frequencies over all documents, times the mean length of a document,
+is at most `CHANCE` (`PAIR_CHANCE` for pairs, which are there for items with every third word
+changed).  A leaked passage that sits in very many documents stays a seed by that rule, which one
+on document frequency would drop.  An item with fewer rare trigrams than `LEAST` keeps that many
+of its rarest that do not overlap; an item of fewer words is one seed.  One Aho-Corasick pass over a document finds
 its seeds; those of an item that lie near each other span a window, and the item's words are
 aligned with the window's (match +2, mismatch -1, gap -1).  The score is the best alignment over
 twice the item's length: 1 for a verbatim copy, about 0.63 with every fourth word replaced.
 
-The test set crosses the network in blocks of at most `BLOCK` words, so what is broadcast is
-bounded whatever its size; each block is held against all documents.
+The test set crosses the network in blocks of at most `BLOCK` words, one at a time: a block's
+results are written before the next one is read, so what is broadcast and held is bounded whatever
+the size of the test set; each block is held against all documents.
 
 Defined results: null or empty texts, and items without words, are in no pair.  Repeated rows
 give a pair each.  Null identifiers are carried as they are.  Empty tables give no pairs.  Other
@@ -26,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,7 @@ from . import common
 
 N = 3
 CHANCE = 1e-4
+PAIR_CHANCE = 3e-6
 LEAST = 3
 #: Words of test items in one broadcast block.
 BLOCK = 2_000_000
@@ -97,9 +101,8 @@ class Seeds:
         for item, found in hits.items():
             own, best = self.words[item], (0.0, 0, 0)
             size, spans = len(own), []
-            n = min(N, size)
-            for end, at in found:
-                first = int(np.searchsorted(ends, end)) - n + 1 - at
+            for end, at in found:  # `at` is the place of the seed's last word in the item
+                first = int(np.searchsorted(ends, end)) - at
                 spans.append((first, first + size))
             spans.sort()
             slack, group = size // 2 + 2, []
@@ -172,29 +175,55 @@ def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[li
 
 
 def choose_seeds(items: list[tuple[int | None, list[str]]], counts: Counter, total: int, n_docs: int, chance: float) -> list[tuple[str, int, int]]:
-    """(seed, item, place) for the rare n-grams of each item."""
+    """(seed, item, place of its last word) for the rare n-grams of each item."""
     mean = total / max(1, n_docs)
     out = []
     for i, (_, words) in enumerate(items):
-        grams = []
-        for at in range(max(1, len(words) - N + 1)):
-            own = words[at : at + N]
-            p = mean
-            for w in own:
-                p *= (counts[w] + 1) / (total + 1)
-            grams.append((p, at, f" {' '.join(own)} "))
-        ranked = sorted(grams)
-        out += [(g, i, at) for k, (p, at, g) in enumerate(ranked) if p <= chance or k < LEAST]
+
+        def grams(n: int, words: list[str] = words) -> list[tuple[float, int, str]]:
+            found = []
+            for at in range(max(1, len(words) - n + 1)):
+                own = words[at : at + n]
+                p = mean
+                for w in own:
+                    p *= (counts[w] + 1) / (total + 1)
+                found.append((p, at, f" {' '.join(own)} "))
+            return sorted(found)
+
+        ranked = grams(N)
+        chosen = {at: g for p, at, g in ranked if p <= chance}
+        for _, at, g in ranked:  # the rarest of the others, apart from each other
+            if len(chosen) >= LEAST:
+                break
+            if all(abs(at - x) >= N for x in chosen):
+                chosen[at] = g
+        out += [(g, i, min(at + N, len(words)) - 1) for at, g in chosen.items()]
+        if len(words) > 2:
+            out += [(g, i, at + 1) for p, at, g in grams(2) if p <= chance * PAIR_CHANCE / CHANCE]
     return out
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, chance: float, most: int):
-    """A broadcast for each block of the test set."""
+def _prepared(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, chance: float, most: int) -> Iterator[tuple[str, Broadcast, bool]]:
+    """A broadcast for one block of the test set after another, and whether it is the only one."""
     common.ship(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    for items in blocks(benchmark, item, item_text, most):
+    found = blocks(benchmark, item, item_text, most)
+    ahead, only = next(found, None), True
+    while ahead is not None:
+        items, ahead = ahead, next(found, None)
+        only = only and ahead is None
         counts, total, n_docs = word_counts(docs, text, {w for _, ws in items for w in ws})
-        yield uuid.uuid4().hex, sc.broadcast((items, choose_seeds(items, counts, total, n_docs, chance)))
+        yield uuid.uuid4().hex, sc.broadcast((items, choose_seeds(items, counts, total, n_docs, chance))), only
+
+
+def _done(df: DataFrame, shared: Broadcast, only: bool) -> DataFrame:
+    """The results of one of several blocks, written, so that its broadcast can go."""
+    if only:
+        return df
+    path = common.scratch_path(df.sparkSession, "test-block")
+    df.write.parquet(path)
+    shared.destroy()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def pairs(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = SCORE, chance: float = CHANCE, block: int = BLOCK) -> DataFrame:
@@ -202,7 +231,7 @@ def pairs(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: st
     slim = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
     schema = "doc_id long, item_id long, score double, seeds long, first_word long, n_words long"
     out = None
-    for key, shared in _prepared(docs, benchmark, text, item, item_text, chance, block):
+    for key, shared, only in _prepared(docs, benchmark, text, item, item_text, chance, block):
 
         def work(batches: Iterable[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
             seeds = _seeds(key, shared)
@@ -212,20 +241,22 @@ def pairs(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: st
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "score", "seeds", "first_word", "n_words"])
 
-        found = slim.mapInArrow(work, schema)
+        found = _done(slim.mapInArrow(work, schema), shared, only)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: float = SCORE, chance: float = CHANCE, block: int = BLOCK) -> DataFrame:
     """The rows of docs in which no item aligns at `least` or better."""
-    for key, shared in list(_prepared(docs, benchmark, text, item, item_text, chance, block)):
-        at = docs.columns.index(text)
+    at = docs.columns.index(text)
+    left = docs
+    # words are counted over all documents for every block
+    for key, shared, only in _prepared(docs, benchmark, text, item, item_text, chance, block):
 
         def work(batches: Iterable[pa.RecordBatch], shared=shared, key=key, at=at) -> Iterator[pa.RecordBatch]:
             seeds = _seeds(key, shared)
             for b in batches:
                 yield b.filter(pa.array([next(seeds.pairs(t.as_py(), least), None) is None for t in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(work, docs.schema)
-    return docs
+        left = _done(left.mapInArrow(work, docs.schema), shared, only)
+    return left

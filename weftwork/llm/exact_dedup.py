@@ -83,7 +83,7 @@ class PatriciaTrie:
             kid = node.kids.get(key[pos])
             if kid is None:
                 kid = node.kids[key[pos]] = _Node(key, pos, n)
-                self.held += n - pos + 200
+                self.held += n + 200  # a node keeps its whole string alive
                 node = kid
                 break
             size = kid.end - kid.start
@@ -123,7 +123,7 @@ class PatriciaTrie:
         if not live:
             self.budget *= 2  # what is left is one string, or subtrees that are spilled already
             return
-        sizes = {id(k): sum(len(full) - len(prefix) + 200 for full, _ in self._walk(k, prefix)) for k in live}
+        sizes = {id(k): sum(len(full) + 200 for full, _ in self._walk(k, prefix)) for k in live}
         top = max(live, key=lambda k: sizes[id(k)])
         out = tempfile.TemporaryFile()
         for full, x in self._walk(top, prefix):
@@ -208,29 +208,40 @@ def owners(docs: DataFrame, ident: str = "doc_id", text: str = "text", budget: i
     return dealt.mapInArrow(lambda it: _own(it, budget), _OWNED)
 
 
-def groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
-    """All columns of docs, and keep_id, group_size, kept, text_sha256, and ties.
+def _grouped(docs: DataFrame, ident: str, text: str, budget: int) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the results under names of their own, and those names.
 
     Texts that occur once need no partner, so only repeated ones take part in the join; their
     side has one row per text, and adaptive execution splits a hot text on the other side.
     """
+    name = {c: common.fresh(docs.columns, c) for c in ("text_sha256", "sha", "keep", "size", "rows_of_keep", "kept")}
     many = owners(docs, ident, text, budget).where("group_size > 1")
-    many = many.select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_size"), F.col("ties").alias("_ties"))
-    base = docs.drop("keep_id", "group_size", "kept", "text_sha256", "ties")
-    base = base.withColumn("text_sha256", F.sha2(normalised(text).cast("binary"), 256))
-    return base.join(many, F.col("text_sha256") == F.col("_sha"), "left").select(
-        *[base[c] for c in base.columns if c != "text_sha256"],
-        F.when(F.col("_sha").isNull(), F.col(ident).cast("long")).otherwise(F.col("_keep")).alias("keep_id"),
-        F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("_sha").isNull(), F.lit(True)).otherwise(F.col(ident).cast("long").eqNullSafe(F.col("_keep"))).alias("kept"),
-        F.col("text_sha256"),
-        F.coalesce("_ties", F.lit(1)).cast("long").alias("ties"),
-    )
+    many = many.select(F.col("sha").alias(name["sha"]), F.col("keep_id").alias(name["keep"]), F.col("group_size").alias(name["size"]), F.col("ties").alias(name["rows_of_keep"]))
+    base = docs.select(*[docs[common.quoted(c)] for c in docs.columns], F.sha2(normalised(text).cast("binary"), 256).alias(name["text_sha256"]))
+    both = base.join(many, F.col(name["text_sha256"]) == F.col(name["sha"]), "left")
+    own, alone = F.col(ident).cast("long"), F.col(name["sha"]).isNull()
+    return both.withColumns(
+        {
+            name["kept"]: F.when(alone, F.lit(True)).otherwise(own.eqNullSafe(F.col(name["keep"]))),
+            name["keep"]: F.when(alone, own).otherwise(F.col(name["keep"])),
+            name["size"]: F.coalesce(name["size"], F.lit(1)).cast("long"),
+            name["rows_of_keep"]: F.coalesce(name["rows_of_keep"], F.lit(1)).cast("long"),
+        }
+    ), name
+
+
+def groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
+    """All columns of docs, and keep_id, group_size, kept, text_sha256, and ties, which replace columns of those names."""
+    found, name = _grouped(docs, ident, text, budget)
+    made = {"keep_id": "keep", "group_size": "size", "kept": "kept", "text_sha256": "text_sha256", "ties": "rows_of_keep"}
+    carried = [c for c in docs.columns if c.lower() not in made]
+    return found.select(*[F.col(common.quoted(c)) for c in carried], *[F.col(name[x]).alias(c) for c, x in made.items()])
 
 
 def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
     """The rows that stay, with the columns of docs."""
-    kept = groups(docs, ident, text, budget).where("kept")
-    once = kept.where("ties = 1").select(docs.columns)
-    again = kept.where("ties > 1").dropDuplicates(["text_sha256"]).select(docs.columns)
+    found, name = _grouped(docs, ident, text, budget)
+    kept, carried = found.where(F.col(name["kept"])), [F.col(common.quoted(c)) for c in docs.columns]
+    once = kept.where(F.col(name["rows_of_keep"]) == 1).select(*carried)
+    again = kept.where(F.col(name["rows_of_keep"]) > 1).dropDuplicates([name["text_sha256"]]).select(*carried)
     return once.unionByName(again)

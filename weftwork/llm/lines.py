@@ -380,7 +380,7 @@ def rewrite(docs: DataFrame, ident: str = "doc_id", text: str = "text", similari
     row, drop = common.fresh(docs.columns, "row"), common.fresh(docs.columns, "lines")
     gone = gone.select(F.col("doc_id").alias("a"), F.col("tie").alias("b"), F.col("lines").alias(drop))
     own = F.xxhash64(docs[text].cast("string"))
-    both = docs.join(gone, docs[ident].cast("long").eqNullSafe(gone["a"]) & (own == gone["b"]), "left").select(F.struct(*[docs[c] for c in docs.columns]).alias(row), gone[drop])
+    both = docs.join(gone, docs[ident].cast("long").eqNullSafe(gone["a"]) & (own == gone["b"]), "left").select(F.struct(*[docs[common.quoted(c)] for c in docs.columns]).alias(row), gone[drop])
     whole = F.col(row)[text]
     left = F.array_join(F.filter(F.split(whole.cast("string"), "\n", -1), lambda x, i: ~F.array_contains(drop, i)), "\n")
     return both.select(*[(F.when(F.col(drop).isNull(), whole).otherwise(left) if c == text else F.col(row)[c]).alias(c) for c in docs.columns])

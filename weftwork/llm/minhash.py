@@ -370,6 +370,6 @@ def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text", size
     single = left.join(several, whole == several["a"], "left_anti")
     row, key, h, g, k = (common.fresh(given, x) for x in ("row", "key", "hash", "group", "place"))
     marks = stay.select(F.col("id").alias(key), F.col("hash").alias(h), F.coalesce("grp", "hash").alias(g)).distinct()
-    more = left.join(several, whole == several["a"], "left_semi").select(F.struct(*[left[c] for c in given]).alias(row), whole.alias(key), own.alias(h)).join(marks, [key, h])
+    more = left.join(several, whole == several["a"], "left_semi").select(F.struct(*[left[common.quoted(c)] for c in given]).alias(row), whole.alias(key), own.alias(h)).join(marks, [key, h])
     more = more.withColumn(k, F.row_number().over(Window.partitionBy(key, g).orderBy(h))).where(F.col(k) == 1)
     return single.unionByName(more.select(*[F.col(row)[c].alias(c) for c in given]))

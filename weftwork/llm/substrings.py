@@ -382,11 +382,12 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     found.join(again, "h").write.parquet(path)
     rep = spark.read.schema(schema + ", mixed boolean").parquet(path)
     by_run = rep.where("mixed").groupBy("h", "digest").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2", "low", "n")).alias("one"))
-    runs = by_run.groupBy("h").agg(F.count(F.lit(1)).alias("runs")).select("h", (F.col("runs") > hot).alias("hot"))
+    # few hashes are hot, so their table is small and no task gets all runs of one by a join
+    many = by_run.groupBy("h").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > hot).select("h", F.lit(True).alias("hot"))
     several = by_run.where("m > 1").select("h", "digest")
     whole = rep.where("not mixed").select("k1", "k2", "low", "n").unionByName(rep.where("mixed").join(several, ["h", "digest"], "left_semi").select("k1", "k2", "low", "n"))
     whole = whole.select("k1", "k2", F.col("low").alias("a"), (F.col("low") + F.col("n") - 1 + length).cast("int").alias("b"))
-    wanted = by_run.join(runs, "h").select("h", "hot", "one.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "low", "n", "hot")).alias("wanted"))
+    wanted = by_run.join(many, "h", "left").select("h", F.coalesce("hot", F.lit(False)).alias("hot"), "one.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "low", "n", "hot")).alias("wanted"))
     # both joins with the texts deal them alike, so their shuffle is made once
     cut = raw.join(wanted, ["k1", "k2"], "left").select("k1", "k2", "t", "wanted").mapInArrow(lambda it: _cut(it, length), "h long, k1 long, k2 long, low int, n int, body binary, hot boolean")
     cold = cut.where("not hot").select("h", "k1", "k2", "low", "n", "body").repartition("h").sortWithinPartitions("h", "k1", "k2", "low")
