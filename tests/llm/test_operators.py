@@ -434,7 +434,7 @@ def test_lines_with_edits_are_linked(spark):
     """Recall of lines with an edit or two, all of which are similar enough by brute force."""
     rng, rows, pairs = random.Random(31), [], defaultdict(list)
     # words of a line, letters of a word, edits: least recall
-    cases = {(10, 7, 1): 0.95, (10, 7, 2): 0.78, (30, 7, 1): 0.97, (30, 7, 2): 0.95, (100, 7, 2): 0.97, (5, 6, 1): 0.95, (30, 3, 1): 0.9, (3, 4, 1): 0.95}
+    cases = {(10, 7, 1): 0.95, (10, 7, 2): 0.78, (30, 7, 1): 0.97, (30, 7, 2): 0.95, (100, 7, 2): 0.97, (5, 6, 1): 0.95, (30, 3, 1): 0.85, (3, 4, 1): 0.95}
     for case in cases:
         for _ in range(100):
             s = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvw", k=case[1])) for _ in range(case[0]))

@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +62,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside go when each ends: what is written needs them no more."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, which cuts its lineage."""
+    path = scratch_path(df.sparkSession, name)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _clean() -> None:
     for spark, path in _SCRATCH:
         with contextlib.suppress(Exception):  # the session may be gone already

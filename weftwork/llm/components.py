@@ -63,7 +63,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     spark = links.sparkSession
     now = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     paths = [common.scratch_path(spark, "links")]
-    now.write.parquet(paths[0])
+    with common.tidy(spark):
+        now.write.parquet(paths[0])
     schema = now.schema
 
     def mark(df: DataFrame) -> tuple:
@@ -76,7 +77,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             common.drop_path(spark, paths[-3])
         step = _star(_star(now, True), False)
         paths.append(common.scratch_path(spark, "links"))
-        step.write.parquet(paths[-1])
+        with common.tidy(spark):
+            step.write.parquet(paths[-1])
         after = spark.read.schema(schema).parquet(paths[-1])
         if (now_mark := mark(after)) == before:
             return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -220,10 +220,9 @@ def _done(df: DataFrame, shared: Broadcast, only: bool) -> DataFrame:
     """The results of one of several blocks, written, so that its broadcast can go."""
     if only:
         return df
-    path = common.scratch_path(df.sparkSession, "test-block")
-    df.write.parquet(path)
+    out = common.written(df, "test-block")
     shared.destroy()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return out
 
 
 def pairs(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = SCORE, chance: float = CHANCE, block: int = BLOCK) -> DataFrame:

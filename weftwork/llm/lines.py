@@ -51,10 +51,10 @@ from .components import components, led
 
 SIMILARITY = 0.85
 BLOCKS, BLOCK_BITS = 8, 32
-#: Most differing bits of 256: unrelated lines that share a block differ in 100 or so, lines with a tenth of their words edited in up to 70.
-BITS = 90
+#: Most differing bits of 256: unrelated lines that share a block differ in 100 or so; of pairs beyond 70 three in a hundred were links.
+BITS = 72
 #: Words of lines joined on single blocks, on pairs, and on pairs of pairs; fewest letters in a key, where two of each word do not count (and a letter that is a word does, twice).
-LEVELS = ((32, 1 << 30, 8), (6, 64, 8), (1, 32, 8))
+LEVELS = ((40, 1 << 30, 8), (6, 56, 7), (1, 32, 8))
 #: Lines of fewer words, and at most so many letters, are joined on all they leave without one letter.
 FEW, SHORT = 8, 64
 LONG = 24
@@ -284,10 +284,13 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, norm) of the lines wanted of each text."""
-    unpack = zstandard.ZstdDecompressor().decompress
+    """(key, norm) of the lines wanted of each text (doc_id, tie, t, wanted); rows that repeat a document come one after another."""
+    unpack, before = zstandard.ZstdDecompressor().decompress, None
     for b in batches:
-        for t, wanted in zip(b.column(0), b.column(1), strict=True):
+        for ident, tie, t, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            if (ident, tie) == before:
+                continue
+            before = ident, tie
             lines = unpack(t.as_py()).decode("utf-8", "surrogatepass").split("\n")
             rows = [(w["key"], normalised(lines[w["line_no"]])) for w in wanted.as_py()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.string()), strict=True)], names=["key", "norm"])
@@ -302,26 +305,27 @@ class LineGroups:
         self.similarity, self.spark = similarity, docs.sparkSession
 
     def kept_table(self, df: DataFrame, name: str) -> DataFrame:
-        path = common.scratch_path(self.spark, name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return common.written(df, name)
 
     def texts(self, places: DataFrame) -> DataFrame:
         """key, norm of the lines at places (key, first)."""
         each = self.docs.where("t is not null").mapInArrow(_packed, "doc_id long, tie long, t binary")
         wanted = places.groupBy("first.doc_id", "first.tie").agg(F.collect_list(F.struct("key", "first.line_no")).alias("wanted"))
-        found = each.join(wanted, each.doc_id.eqNullSafe(wanted.doc_id) & (each.tie == wanted.tie)).select("t", "wanted")
-        return found.mapInArrow(_texts, "key binary, norm string").dropDuplicates(["key"])
+        # sorted by the join, so that repeated rows meet
+        found = each.hint("merge").join(wanted, each.doc_id.eqNullSafe(wanted.doc_id) & (each.tie == wanted.tie)).select(each.doc_id, each.tie, "t", "wanted")
+        return self.kept_table(found.mapInArrow(_texts, "key binary, norm string"), "line-texts")
 
-    def linked(self, pairs: DataFrame, seated: DataFrame, texts: DataFrame) -> DataFrame:
-        """Of pairs of ids (a, b) the links, as keys (a, b)."""
+    def linked(self, pairs: DataFrame, seated: DataFrame) -> DataFrame:
+        """Of pairs of ids (a, b) the links, as keys (a, b): first by hashes and lengths, then by the texts of those left."""
         near = pairs
         for x in "ab":
-            near = near.join(seated.select(F.col("id").alias(x), F.struct("key", "chars", *_SIG).alias(f"l{x}")), x)
+            near = near.join(seated.select(F.col("id").alias(x), F.struct("key", "first", "chars", *_SIG).alias(f"l{x}")), x)
         room = F.floor(F.greatest("la.chars", "lb.chars") * (1 - self.similarity) + 1e-9).cast("int")
         apart = [F.bit_count(F.col(f"la.{c}").bitwiseXOR(F.col(f"lb.{c}"))) for c in _SIG]
         near = near.where((F.abs(F.col("la.chars") - F.col("lb.chars")) <= room) & (F.col("la.key") != F.col("lb.key"))).where(sum(apart[1:], apart[0]) <= BITS)
-        near = self.kept_table(near.select(F.col("la.key").alias("ka"), F.col("lb.key").alias("kb"), room.alias("room")), "line-pairs")
+        near = self.kept_table(near.select(F.col("la.key").alias("ka"), F.col("la.first").alias("fa"), F.col("lb.key").alias("kb"), F.col("lb.first").alias("fb"), room.alias("room")), "line-pairs")
+        places = near.select(F.col("ka").alias("key"), F.col("fa").alias("first")).unionByName(near.select(F.col("kb").alias("key"), F.col("fb").alias("first"))).distinct()
+        texts, near = self.texts(places), near.select("ka", "kb", "room")
         for x in "ab":
             near = near.join(texts.select(F.col("key").alias(f"k{x}"), F.col("norm").alias(f"n{x}")), f"k{x}")
         # few edits are found in a narrow band
@@ -350,15 +354,13 @@ class LineGroups:
         seats = different.select("id", "words", *_SIG, "mass", "short").mapInArrow(lambda it: _seats(it, similarity), "bucket long, id long")
         seats = self.kept_table(seats.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(led, "bucket long, leader long, id long"), "seats")
         pairs = seats.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        # the lines of all buckets, fetched once for both rounds
         ids = seats.select("id").unionByName(seats.select(F.col("leader").alias("id"))).distinct()
         seated = self.kept_table(different.join(ids, "id", "left_semi").select("id", "key", "first", "chars", *_SIG), "seated")
-        texts = self.kept_table(self.texts(seated.select("key", "first")), "line-texts")
-        links = self.linked(pairs, seated, texts)
+        links = self.linked(pairs, seated)
         groups = components(links)
         rest = self.kept_table(self.across(seats, seated, groups), "line-rest")
         if rest.limit(1).count():
-            links = links.unionByName(self.linked(rest, seated, texts))
+            links = links.unionByName(self.linked(rest, seated))
             groups = components(links)
         names = different.select("key", "first", "rows").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "first", "rows", F.coalesce("component", "key").alias("c"))
         heads = names.groupBy("c").agg(F.min("first").alias("head"), F.sum("rows").alias("group_lines")).where("group_lines > 1")

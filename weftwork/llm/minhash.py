@@ -286,9 +286,7 @@ class NearDuplicates:
         self.docs = docs.select(F.col(ident).cast("long").alias("id"), text_hash(docs, text).alias("hash"), F.col(text).cast("binary").alias("t"))
 
     def kept_table(self, df: DataFrame, name: str) -> DataFrame:
-        path = common.scratch_path(self.spark, name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return common.written(df, name)
 
     def signatures(self) -> DataFrame:
         size, percent = self.size, self.percent

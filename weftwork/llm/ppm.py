@@ -424,7 +424,8 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", order: int
     base = base.select("doc_id", "t", "held_out", (~F.col("held_out")).alias("train"), F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).alias("block"))
     asked_path = common.scratch_path(spark, "grams")
     asked = "kind string, bucket long, block long, keys binary, counts binary"
-    base.groupBy("block").applyInArrow(lambda t: _ask(t, order, buckets), asked).write.partitionBy("kind").parquet(asked_path)
+    with common.tidy(spark):
+        base.groupBy("block").applyInArrow(lambda t: _ask(t, order, buckets), asked).write.partitionBy("kind").parquet(asked_path)
     sent = spark.read.schema(asked).parquet(asked_path)
 
     def totals(t: pa.Table) -> pa.Table:

@@ -372,15 +372,11 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     spark = docs.sparkSession
     common.ship(spark)
     raw = docs.select(F.coalesce(F.col(ident).cast("long"), F.lit(-(1 << 63))).alias("k1"), F.col(ident).cast("long").alias("doc_id"), common.text_of(text).cast("binary").alias("t")).withColumn("k2", F.xxhash64("t")).select("k1", "k2", "doc_id", "t")
-    path = common.scratch_path(spark, "anchors")
     schema = "h long, k1 long, k2 long, low int, n int, digest long"
-    raw.select("k1", "k2", "t").mapInArrow(lambda it: _find_anchors(it, length), schema).write.parquet(path)
-    found = spark.read.schema(schema).parquet(path)
+    found = common.written(raw.select("k1", "k2", "t").mapInArrow(lambda it: _find_anchors(it, length), schema), "anchors")
     # hashes that recur; those with one digest need no bytes
     again = found.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("rows > 1").select("h", (F.col("d0") != F.col("d1")).alias("mixed"))
-    path = common.scratch_path(spark, "repeated")
-    found.join(again, "h").write.parquet(path)
-    rep = spark.read.schema(schema + ", mixed boolean").parquet(path)
+    rep = common.written(found.join(again, "h"), "repeated")
     by_run = rep.where("mixed").groupBy("h", "digest").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k1", "k2", "low", "n")).alias("one"))
     # few hashes are hot, so their table is small and no task gets all runs of one by a join
     many = by_run.groupBy("h").agg(F.count(F.lit(1)).alias("runs")).where(F.col("runs") > hot).select("h", F.lit(True).alias("hot"))
