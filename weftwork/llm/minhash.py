@@ -13,8 +13,8 @@ Links are looked for in two sweeps, both inside bands and both on full sets:
 
 1. Each class is held against the least member of its bands.  The members of a leader are dealt
    over tasks with a copy of the leader's set, and a task reads them one after another.
-2. The links found make components.  Of bands whose members are in several components still, all
-   pairs across components are tested: a block of members against a block, spread over tasks, by
+2. The links found make components.  Of bands whose members (the leader apart) are in several
+   components still, all pairs across components are tested; of bands with the same members one is: a block of members against a block, spread over tasks, by
    sizes, then (where both sets have `ESTIMATED` shingles) by the similarity that the registers
    estimate less what equal registers owe to chance, then by the two full sets.  A pair joined by
    other links is not tested again, and only links leave the task.
@@ -39,6 +39,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -267,12 +268,20 @@ def _groups(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     yield _pairs(out)
 
 
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the way over the network."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        yield pa.record_batch([b.column(0), pa.array([pack(t.as_py()) for t in b.column(1)], pa.binary())], names=["id", "t"])
+
+
 def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The sets of the classes asked for; a text of another class under the same identifier gives none."""
+    """The sets of the classes asked for, from packed texts; a text of another class under the same identifier gives none."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             b = whole.slice(at, 500)
-            rows = [(node, s.tobytes()) for node, digest, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True) if len(s := shingles(t.as_py(), size)) and _digest(s) == digest]
+            rows = [(node, s.tobytes()) for node, digest, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True) if len(s := shingles(unpack(t.as_py()), size)) and _digest(s) == digest]
             nodes, sets = zip(*rows, strict=True) if rows else ((), ())
             yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
 
@@ -312,9 +321,11 @@ class NearDuplicates:
     def second_links(self, seats: DataFrame, sets: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
         percent = self.percent
         label = classes.select(F.col("node").alias("id"), "n").join(groups.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("c"))
-        seated = seats.select("band", "id").join(label, "id")
-        # a band of two has been tested; one whose members are one component has nothing left to find
-        open_ = seated.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("rows > 2 and c0 <> c1")
+        seated = seats.where("id <> leader").select("band", "id").join(label, "id")
+        # a band whose members are one component has nothing left to find
+        members = [F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+        open_ = seated.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"), F.min("c").alias("c0"), F.max("c").alias("c1"), *members).where("c0 <> c1")
+        open_ = open_.groupBy("rows", "total", "x", "y").agg(F.min("band").alias("band"))
         open_ = open_.select("band", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("total") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
         rows = seated.join(open_, "band").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -333,7 +344,9 @@ class NearDuplicates:
         seats = self.kept_table(dealt.mapInArrow(lambda it: led(it, True), "band long, leader long, id long"), "seats")
         wanted = self.kept_table(classes.join(seats.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", "digest", F.col("rep").alias("id")), "seated")
         size = self.size
-        sets = self.kept_table(self.docs.select("id", "t").join(wanted, "id").select("node", "digest", "t").mapInArrow(lambda it: _sets(it, size), "id long, set binary"), "sets")
+        texts = self.docs.where("id is not null and t is not null").select("id", "t").mapInArrow(_packed, "id long, t binary").hint("merge")
+        found = texts.join(wanted, "id").select("node", "digest", "t")
+        sets = self.kept_table(found.mapInArrow(lambda it: _sets(it, size), "id long, set binary"), "sets")
         links = self.first_links(seats, sets)
         groups = components(links)
         more = self.second_links(seats, sets, classes, groups)
