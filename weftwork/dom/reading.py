@@ -14,14 +14,17 @@ def _short(text: str, n: int) -> str:
     return text if len(text) <= n else text[: n - 1].rstrip() + "…"
 
 
-def outline(html: str, lines: int = 400, text: int = 80) -> str:
-    """The tree, one element a line; of more than three like siblings in a row two are shown and the rest counted."""
+def outline(html: str, lines: int | None = None, text: int = 80) -> str:
+    """The tree, one element a line; of more than three like siblings in a row two are shown and the rest counted.
+
+    lines: the most to show, for a reader with little room; all without it.
+    """
     out: list[str] = []
 
     def show(n: Node, depth: int) -> None:
         kids = [k for k in n.elements() if k.tag not in _SKIP]
         i = 0
-        while i < len(kids) and len(out) < lines:
+        while i < len(kids) and (lines is None or len(out) < lines):
             run = i
             while run < len(kids) and step(kids[run]) == step(kids[i]):
                 run += 1
@@ -37,8 +40,8 @@ def outline(html: str, lines: int = 400, text: int = 80) -> str:
     return "\n".join(out[:lines])
 
 
-def markdown(html: str, most: int = 20_000) -> str:
-    """Headings, paragraphs, lists, links and emphasis of the visible text."""
+def markdown(html: str, most: int | None = None) -> str:
+    """Headings, paragraphs, lists, links and emphasis of the visible text; `most` characters and a mark where that is set."""
     out: list[str] = []
 
     def inline(n: Node) -> str:
@@ -79,8 +82,8 @@ def markdown(html: str, most: int = 20_000) -> str:
     return _short_text("\n\n".join(out), most)
 
 
-def _short_text(text: str, most: int) -> str:
-    return text if len(text) <= most else text[:most].rstrip() + "…"
+def _short_text(text: str, most: int | None) -> str:
+    return text if most is None or len(text) <= most else text[:most].rstrip() + "…"
 
 
 def search(html: str, query: str, container: str | None = None, most: int = 10) -> list[dict]:

@@ -52,14 +52,37 @@ def to_enum(c: Column, options: Sequence[str]) -> Column:
     return out
 
 
-def to_timestamp(c: Column) -> Column:
-    t = strip(c)
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in (*TIMES, *DATES)])
-
-
-def to_date(c: Column) -> Column:
-    """ISO text: a date at midnight, else date and time.  Relative and free forms give null."""
-    at = to_timestamp(c)
+def relative(t: Column, now: Column) -> Column:
+    """A time told from now: "3 days ago", "in 2 hours", "an hour ago", "yesterday", "last week"; null for other texts."""
+    low = F.regexp_replace(F.lower(t), r"\s+", " ")
+    ago = r"^(?:about |over |almost )?(an?|one|\d{1,6}) ?(seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?|[smhdwy]) ago$"
+    ahead = r"^in (?:about )?(an?|one|\d{1,6}) (seconds?|minutes?|hours?|days?|weeks?|months?|years?)$"
+    back = low.rlike(ago)
+    count, unit = (F.when(back, F.regexp_extract(low, ago, k)).otherwise(F.regexp_extract(low, ahead, k)) for k in (1, 2))
+    n = F.when(count.isin("a", "an", "one"), 1).otherwise(count.try_cast("int")) * F.when(back, -1).otherwise(1)
+    is_ = lambda *names: unit.rlike("^(?:" + "|".join(names) + ")$")
+    months = F.when(is_("months?"), n).when(is_("years?", "y"), n * 12).otherwise(0)
+    seconds = F.when(is_("seconds?", "secs?", "s"), n).when(is_("minutes?", "mins?", "m"), n * 60).when(is_("hours?", "hrs?", "h"), n * 3600).when(is_("days?", "d"), n * 86400).when(is_("weeks?", "w"), n * 604800).otherwise(0)
+    told = F.when(back | low.rlike(ahead), now + F.make_ym_interval(F.lit(0), months) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds))
+    days = F.when(low == "yesterday", -1).when(low == "tomorrow", 1).when(low.isin("today", "now", "just now"), 0).when(low == "last week", -7)
+    return F.coalesce(told, now + F.make_dt_interval(days))
+
+
+def to_timestamp(c: Column, now: Column | None = None) -> Column:
+    """Fixed forms, with month names in any case and after weekdays and ordinals; forms without a year take now's, told ones count from now."""
+    now = F.current_timestamp() if now is None else now
+    t = F.regexp_replace(F.regexp_replace(strip(c), r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+", ""), r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")
+    named = F.initcap(F.regexp_replace(F.regexp_replace(t, r"(?i)\bsept\b", "Sep"), r"\.(?=\s|$)", ""))
+    year = F.concat(named, F.lit(" "), F.year(now).cast("string"))
+    fixed = [F.try_to_timestamp(t, F.lit(f)) for f in (*TIMES, *DATES[:4])] + [F.try_to_timestamp(named, F.lit(f)) for f in DATES[4:]]
+    zoned = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(?:Z|[+-]\d{2}:?\d{2})$"), t.try_cast("timestamp"))
+    short = [F.try_to_timestamp(year, F.lit(f)) for f in ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")]
+    return F.coalesce(*fixed, zoned, *short, relative(t, now))
+
+
+def to_date(c: Column, now: Column | None = None) -> Column:
+    """ISO text: a date at midnight, else date and time."""
+    at = to_timestamp(c, now)
     midnight = F.date_format(at, "HH:mm:ss") == "00:00:00"
     return F.when(midnight, F.date_format(at, "yyyy-MM-dd")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"))
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Query parameters that page, and keys that hold a cursor.
+# Query parameters that page, keys of a document that hold a cursor and where they are looked for,
+# addresses that are never the data of a page, and addresses that look like an API.
 PAGE_PARAMS = ("page", "p", "pagenumber", "page_number", "pageno", "pg", "page[number]")
 OFFSET_PARAMS = ("offset", "start", "skip", "from", "_start", "startindex", "page[offset]")
 SIZE_PARAMS = ("limit", "per_page", "perpage", "pagesize", "page_size", "size", "count", "_limit", "first", "n", "rows", "page[size]")
 CURSOR_PARAMS = ("cursor", "after", "next", "page[cursor]", "continuation")
+CURSOR_KEYS = ("next_cursor", "nextcursor", "endcursor", "cursor", "next", "next_page_token")
+CURSOR_PLACES = ("meta", "pagination", "page_info", "pageInfo", "links")
 NOISE = r"(?i)(analytics|collect|beacon|telemetry|track(ing)?|metrics|pixel|gtm|gtag|segment\.|sentry|datadog|newrelic|hotjar|clarity|recaptcha|consent|cookie|session/ping|heartbeat|log)"
 API = r"(?i)(/api/|/v\d+/|\.json|/graphql|/rest/|/query|/search)"
 
@@ -84,17 +87,29 @@ def parameters(url: Column) -> Column:
     return F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_extract(x, r"^[^=]*=(.*)$", 1).alias("v")))
 
 
-def paging(url: Column, count: Column) -> Column:
-    """struct(kind, start, step, page_size, page_key) read off the query string; cursors need the document too."""
+def cursor_path(document: Column) -> Column:
+    """Where a document (a variant) keeps its next cursor: a text or whole number under a known key, at the top or one step below; null without one."""
+
+    def found(node: Column, prefix: str) -> Column:
+        entries = F.coalesce(F.map_entries(F.when(F.schema_of_variant(node).startswith("OBJECT"), F.try_variant_get(node, "$", "map<string,variant>"))), F.array().cast("array<struct<key:string,value:variant>>"))
+        fit = F.filter(entries, lambda e: F.lower(e["key"]).isin(*CURSOR_KEYS) & F.schema_of_variant(e["value"]).isin("STRING", "BIGINT"))
+        return F.get(F.transform(fit, lambda e: F.concat(F.lit(prefix), e["key"])), F.lit(0))
+
+    return F.coalesce(found(document, "$."), *[found(F.try_variant_get(document, f"$.{p}", "variant"), f"$.{p}.") for p in CURSOR_PLACES])
+
+
+def paging(url: Column, count: Column, document: Column | None = None) -> Column:
+    """struct(kind, start, step, page_size, page_key, cursor_path) read off the query string; a cursor needs its place in the document too."""
+    path = F.lit(None).cast("string") if document is None else cursor_path(document)
     ps = parameters(url)
     find = lambda names: F.get(F.filter(ps, lambda x: F.lower(x["k"]).isin(*names)), F.lit(0))
     page, size, offset, cursor = (find(n) for n in (PAGE_PARAMS, SIZE_PARAMS, OFFSET_PARAMS, CURSOR_PARAMS))
     number = lambda x: F.when(x["v"].rlike(r"^\d+$"), x["v"]).try_cast("long")
     page_size = F.coalesce(F.when(number(size) > 0, number(size)), count.cast("long"))
-    kind = F.when(page.isNotNull() | offset.isNotNull(), "page").when(cursor.isNotNull(), "cursor").otherwise("none")
+    kind = F.when(page.isNotNull() | offset.isNotNull(), "page").when(cursor.isNotNull() & path.isNotNull(), "cursor").otherwise("none")
     start = F.when(page.isNotNull(), F.coalesce(number(page), F.lit(1))).when(offset.isNotNull(), F.coalesce(number(offset), F.lit(0)))
     step = F.when(page.isNotNull(), F.lit(1).cast("long")).when(offset.isNotNull(), page_size)
-    return F.struct(kind.alias("kind"), start.cast("long").alias("start"), step.alias("step"), page_size.alias("page_size"), F.coalesce(page["k"], offset["k"], cursor["k"]).alias("page_key"))
+    return F.struct(kind.alias("kind"), start.cast("long").alias("start"), step.alias("step"), page_size.alias("page_size"), F.coalesce(page["k"], offset["k"], F.when(path.isNotNull(), cursor["k"])).alias("page_key"), F.when(kind == "cursor", path).alias("cursor_path"))
 
 
 def field_name(key: Column) -> Column:

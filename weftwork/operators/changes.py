@@ -24,12 +24,13 @@ def _text(df: DataFrame, c: str) -> Column:
 
 
 def keyed(df: DataFrame, keys: Sequence[str], fields: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """_key and a map of the fields as text; of a repeated key the last row by order."""
+    """_key, _url and a map of the fields as text; of a repeated key the last row by order."""
     values = [x for f in fields for x in (F.lit(f), _text(df, f))]
     body = F.create_map(*values) if values else F.create_map().cast("map<string,string>")
-    slim = df.select(row_key(*keys).alias("_key"), body.alias("_row"), F.struct(*order).alias("_at"))
+    url = F.col("_url") if "_url" in df.columns else F.lit("")
+    slim = df.select(row_key(*keys).alias("_key"), url.alias("_url"), body.alias("_row"), F.struct(*order).alias("_at"))
     w = Window.partitionBy("_key").orderBy(F.col("_at").desc())
-    return slim.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("_key", "_row")
+    return slim.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("_key", "_url", "_row")
 
 
 def _changed(a: Column, b: Column) -> Column:
@@ -46,7 +47,7 @@ def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[st
     """
     fields = [[c for c in d.columns if c not in IMPLICIT and c not in keys and c not in order] for d in (old, new)]
     a, b = keyed(old, keys, fields[0], order), keyed(new, keys, fields[1], order)
-    both = a.withColumnRenamed("_row", "old_row").join(b.withColumnRenamed("_row", "new_row"), "_key", "full_outer")
+    both = a.select("_key", F.col("_row").alias("old_row")).join(b.select("_key", F.col("_row").alias("new_row")), "_key", "full_outer")
     d = _changed(F.col("old_row"), F.col("new_row"))
     change = F.when(F.col("old_row").isNull(), "added").when(F.col("new_row").isNull(), "removed").when(F.size(d) > 0, "changed").otherwise("unchanged")
     feed = both.select("_key", change.alias("change"), F.when(F.col("old_row").isNotNull() & F.col("new_row").isNotNull(), d).alias("diff"), "old_row", "new_row")
@@ -83,9 +84,7 @@ def fold(dataset: DataFrame, rows: DataFrame, recipe_id: str, keys: Sequence[str
     """
     fields = [c for c in rows.columns if not c.startswith("_") and c not in order]
     run = keyed(rows, keys, fields, order)
-    last = rows.select(row_key(*keys).alias("_key"), F.struct(*order).alias("_at"), F.col("_url") if "_url" in rows.columns else F.lit("").alias("_url"))
-    urls = last.groupBy("_key").agg(F.max_by("_url", "_at").alias("_url"))
-    run = run.join(urls, "_key").select(dataset_id(recipe_id, F.col("_key")).alias("_id"), "_key", "_row", F.coalesce("_url", F.lit("")).alias("_url"))
+    run = run.select(dataset_id(recipe_id, F.col("_key")).alias("_id"), "_key", "_row", F.coalesce("_url", F.lit("")).alias("_url"))
     mine, others = dataset.where(F.col("recipe_id") == recipe_id), dataset.where(F.col("recipe_id") != recipe_id)
     j = mine.join(run, F.col("id") == F.col("_id"), "full_outer")
     known, seen = F.col("id").isNotNull(), F.col("_id").isNotNull()

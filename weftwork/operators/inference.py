@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,9 +34,9 @@ class Sign:
 SIGNS = (
     Sign("shopify", "powered-by header", 6, ("shopify",), target="header:powered-by:lower"),
     Sign("shopify", "server-timing theme/pageType", 4, ("theme;desc", "pageType;desc"), target="header:server-timing"),
-    Sign("shopify", "shopify-complexity-score header", 4, pattern=".", target="header:shopify-complexity-score"),
+    Sign("shopify", "shopify-complexity-score header", 4, pattern=".", target="header:shopify-complexity-score|shopify-complexity-score-v2"),
     Sign("shopify", "_shopify_* cookies", 4, ("_shopify_y", "_shopify_s", "_shopify_essential"), target="header:set-cookie"),
-    Sign("shopify", "Shopify.shop global", 5, pattern=r"""Shopify\.shop\s*=\s*["']([\w.-]+)["']"""),
+    Sign("shopify", "Shopify.shop global", 5, pattern=r"[\w-]+\.myshopify\.com"),
     Sign("shopify", "theme markup", 3, ("ShopifyAnalytics", "shopify-section-")),
     Sign("shopify", "storefront meta tags", 3, ("shopify-checkout-api-token", "shopify-digital-wallet")),
     Sign("shopify", "cdn.shopify.com assets", 2, ("cdn.shopify.com", "/cdn/shop/")),
@@ -63,7 +68,7 @@ SIGNS = (
 def _target(target: str, html: Column, headers: Column) -> Column:
     if target.startswith("header:"):
         _, name, *low = target.split(":")
-        value = F.coalesce(F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == name)), F.lit(0)), F.lit(""))
+        value = F.coalesce(F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k).isin(*name.split("|")))), F.lit(0)), F.lit(""))
         return F.lower(value) if low else value
     if target == "all":
         flat = F.array_join(F.transform(F.map_entries(headers), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
@@ -94,65 +99,109 @@ def platforms(table: DataFrame, html: str = "html", headers: str | None = None,
     each = found.withColumn("_all", F.array(*map(score, names)))
     wordpress = F.exists("_all", lambda x: (x["platform"] == "wordpress") & x["detected"])
     fit = F.filter("_all", lambda x: (x["score"] > 0) & ((x["platform"] != "woocommerce") | F.col("_wp")))
-    out = each.withColumn("_wp", wordpress).select(*keep, F.inline(fit))
-    w = Window.partitionBy(*keep).orderBy(F.col("detected").desc(), F.col("score").desc(), "platform")
-    return out.withColumn("rank", F.row_number().over(w))
+    # a dozen platforms at most, put in order inside the row
+    fit = F.transform(fit, lambda x: F.struct((~x["detected"]).alias("a"), (-x["score"]).alias("b"), x["platform"].alias("platform"), x["score"].alias("score"), x["detected"].alias("detected"), x["signs"].alias("signs")))
+    ranked = each.withColumn("_wp", wordpress).select(*keep, F.posexplode(F.array_sort(fit)).alias("_at", "_x"))
+    return ranked.select(*keep, "_x.platform", "_x.score", "_x.detected", "_x.signs", (F.col("_at") + 1).cast("int").alias("rank"))
 
 
 # ---- captured responses -------------------------------------------------------------------
 
 ITEMS, STRINGS, PER_LIST = 8, 60, 5
-
-
-def _lists(v: Column, path: Column, deep: int) -> Column:
-    """array<struct(path, items)> of the arrays of objects in a document, down a few levels."""
-    own = F.when(jsonpath.is_array(v) & (F.size(jsonpath.elements(v)) >= 3), F.array(F.struct(path.alias("path"), jsonpath.elements(v).alias("items"))))
-    out = F.coalesce(own, F.array().cast("array<struct<path:string,items:array<variant>>>"))
-    if deep:
-        kids = F.coalesce(F.map_entries(F.when(jsonpath.is_object(v), F.try_variant_get(v, "$", "map<string,variant>"))), F.array().cast("array<struct<key:string,value:variant>>"))
-        inner = F.flatten(F.transform(kids, lambda e: _lists(e["value"], F.concat(path, F.lit("."), e["key"]), deep - 1)))
-        out = F.concat(out, inner)
-    return out
-
-
-def json_lists(df: DataFrame, document: Column, depth: int = 3, least: int = 3, top: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep, container, count, keys: arrays in which most of the first ten items are objects, largest first."""
-    found = df.select(*keep, F.explode(_lists(document, F.lit("json:body"), depth)).alias("l"))
-    dicts = F.size(F.filter(F.slice("l.items", 1, 10), jsonpath.is_object))
-    fit = found.withColumns({"count": F.size("l.items"), "_dicts": dicts}).where((F.col("count") >= least) & (F.col("_dicts") >= F.least(F.lit(least), F.col("count"))))
-    keys = F.slice(F.array_sort(F.map_keys(F.try_variant_get(F.get(F.filter("l.items", jsonpath.is_object), F.lit(0)), "$", "map<string,variant>"))), 1, 12)
-    fit = fit.select(*keep, F.concat("l.path", F.lit("[*]")).alias("container"), "count", keys.alias("keys"), F.col("l.items").alias("_items"))
-    if not keep:
-        return fit.orderBy(F.col("count").desc(), "container").limit(top)
-    w = Window.partitionBy(*keep).orderBy(F.col("count").desc(), "container")
-    return fit.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top).drop("_r")
-
-
-def _strings(v: Column, deep: int) -> Column:
-    """Texts of 4 to 119 characters inside a value; five items of a list."""
-    s = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
-    out = F.filter(F.array(s), lambda x: x.isNotNull() & (F.length(x) > 3) & (F.length(x) < 120))
-    if deep:
-        empty = F.array().cast("array<variant>")
-        kids = F.concat(F.coalesce(F.slice(jsonpath.elements(v), 1, PER_LIST), empty), F.coalesce(F.map_values(F.when(jsonpath.is_object(v), F.try_variant_get(v, "$", "map<string,variant>"))), empty))
-        out = F.concat(out, F.flatten(F.transform(kids, lambda k: _strings(k, deep - 1))))
-    return out
-
-
-def overlap(items: Column, text: Column) -> Column:
-    """The share of the first items' strings that can be read on the page."""
-    strings = F.slice(F.flatten(F.transform(F.slice(items, 1, ITEMS), lambda v: _strings(v, 2))), 1, STRINGS)
+#: Levels below the document that are searched for lists, elements of a list that are entered, keys shown.
+DEPTH, ENTERED, KEYS = 6, 3, 12
+LISTS = "array<struct<container:string,count:bigint,keys:array<string>,strings:array<string>,first:string>>"
+
+
+def _strings(v: Any, out: list[str]) -> None:
+    """Texts of 4 to 119 characters inside a value, five items of a list, up to sixty."""
+    if len(out) < STRINGS:
+        if isinstance(v, str):
+            if 3 < len(v) < 120:
+                out.append(v)
+        elif isinstance(v, dict | list):
+            for x in v.values() if isinstance(v, dict) else v[:PER_LIST]:
+                _strings(x, out)
+
+
+def lists_in(document: Any, name: str, top: int, least: int = 3) -> list[dict]:
+    """Lists most of whose first ten elements are objects, the longest first, as they come in the document."""
+    found, todo = [], deque([(document, "", 0)])
+    while todo:
+        v, path, depth = todo.popleft()
+        if depth > DEPTH:
+            continue
+        if isinstance(v, list):
+            objects = [x for x in v[:10] if isinstance(x, dict)]
+            if len(v) >= least and len(objects) >= min(least, len(v)):
+                strings: list[str] = []
+                for x in v[:ITEMS]:
+                    _strings(x, strings)
+                first = v[0] if isinstance(v[0], dict) else objects[0]
+                found.append({"container": f"json:{name}{path}[*]", "count": len(v), "keys": sorted({k for x in objects for k in x})[:KEYS], "strings": strings[:STRINGS], "first": json.dumps(first, ensure_ascii=False)})
+            todo.extend((x, f"{path}[{i}]" if path else f".[{i}]", depth + 1) for i, x in enumerate(v[:ENTERED]))
+        elif isinstance(v, dict):
+            todo.extend((x, f"{path}.{k}", depth + 1) for k, x in v.items())
+    return sorted(found, key=lambda f: -f["count"])[:top]
+
+
+def json_lists(body: Column, name: str = "body", top: int = 5, least: int = 3) -> Column:
+    """The lists of objects in JSON texts: container, count, keys, strings of the first items, and the first item as JSON."""
+
+    @F.pandas_udf(LISTS)
+    def lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text: str | None) -> list[dict]:
+            try:
+                return [] if text is None else lists_in(json.loads(text), name, top, least)
+            except (ValueError, RecursionError):
+                return []
+
+        for b in batches:
+            yield b.map(one)
+
+    return lists(body)
+
+
+def strings_of(body: Column) -> Column:
+    """The texts of 4 to 119 characters in a JSON document, five elements of a list, at most sixty."""
+
+    @F.pandas_udf("array<string>")
+    def strings(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(text: str | None) -> list[str]:
+            out: list[str] = []
+            try:
+                _strings(None if text is None else json.loads(text), out)
+            except (ValueError, RecursionError):
+                return []
+            return out
+
+        for b in batches:
+            yield b.map(one)
+
+    return strings(body)
+
+
+def overlap(strings: Column, text: Column) -> Column:
+    """The share of an item list's strings that can be read on the page."""
     low = F.lower(text)
     hits = F.size(F.filter(strings, lambda s: F.contains(low, F.lower(s))))
     return F.when((F.size(strings) > 0) & (F.coalesce(text, F.lit("")) != ""), hits / F.size(strings)).otherwise(F.lit(0.0))
 
 
 def responses(captures: DataFrame, page_text: Column, top: int = 5) -> DataFrame:
-    """Captured responses (page, url, method, body) ranked by how much they look like the page's list."""
-    docs = captures.where(F.upper("method").isin("GET", "POST")).withColumns({"_doc": F.try_parse_json("body"), "_text": page_text}).where("_doc is not null")
-    found = json_lists(docs, F.col("_doc"), top=3, keep=("page", "url", "method", "_text"))
-    share, paging = overlap(F.col("_items"), F.col("_text")), urls.paging(F.col("url"), F.col("count"))
+    """Captured responses (page, url, method, body) ranked by how much they look like the page's list.
+
+    Scores are worked out where the body and the page's text are; what goes on is a few numbers a list.
+    """
+    docs = captures.where(F.upper("method").isin("GET", "POST")).withColumns({"_l": json_lists(F.col("body"), top=3), "_text": page_text, "_doc": F.try_parse_json("body")})
+    each = F.transform("_l", lambda x: F.struct(x["container"].alias("container"), x["count"].alias("count"), x["keys"].alias("keys"), overlap(x["strings"], F.col("_text")).alias("share")))
+    found = docs.select("page", "url", "method", urls.cursor_path(F.col("_doc")).alias("_cursor"), F.inline(each))
+    paging = urls.paging(F.col("url"), F.col("count"), None)
+    cursor = F.exists(urls.parameters(F.col("url")), lambda x: F.lower(x["k"]).isin(*urls.CURSOR_PARAMS)) & F.col("_cursor").isNotNull()
+    by_cursor = (paging["kind"] == "none") & cursor
+    paging = F.struct(F.when(by_cursor, "cursor").otherwise(paging["kind"]).alias("kind"), paging["start"].alias("start"), paging["step"].alias("step"), paging["page_size"].alias("page_size"), paging["page_key"].alias("page_key"), F.when(by_cursor, F.col("_cursor")).alias("cursor_path"))
     depth = F.size(F.split("container", r"\.")) - 1
+    share = F.col("share")
     score = (
         F.when(depth <= 2, 3).otherwise(0)
         + F.when(share >= 0.4, 5).when(share > 0, 2).otherwise(0)
@@ -163,8 +212,8 @@ def responses(captures: DataFrame, page_text: Column, top: int = 5) -> DataFrame
         - F.when(F.upper("method") == "POST", 1).otherwise(0)
     )
     scored = found.withColumns({"share": F.round(share, 6), "score": score.cast("int"), "paging": paging}).where("score > 2")
-    one = Window.partitionBy("page", "url", "container").orderBy(F.col("score").desc(), F.col("count").desc())
     best = Window.partitionBy("page").orderBy(F.col("score").desc(), F.col("count").desc(), "url", "container")
+    one = Window.partitionBy("page", "url", "container").orderBy(F.col("score").desc(), F.col("count").desc())
     kept = scored.withColumn("_d", F.row_number().over(one)).where("_d = 1").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     return kept.select("page", "url", "container", "count", "keys", "share", "score", "paging", "rank")
 

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.values import is_filled
@@ -47,7 +48,9 @@ def numbered(df: DataFrame, order: Sequence[str | Column], after: int = 0) -> Da
 
     A window over everything would sort the whole table in one task.
     """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    # a stated number of partitions: both readers of the plan deal the rows alike, which a number changed at run time would not ensure
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     dealt = dealt.withColumns({"_part": F.shiftright("_m", 33), "_own": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_m")
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     # one row per partition
@@ -77,7 +80,11 @@ def until_nothing_new(df: DataFrame, keys: Sequence[str], page_no: str = "page_n
     marked = df.join(renamed, on).drop(*[f"_k_{c}" for c in (*walk, *keys)])
     stale = marked.groupBy(*walk, page_no).agg(F.count_if(F.col("_first") == F.col(page_no)).alias("_new")).where("_new = 0")
     stop = stale.groupBy(*walk).agg(F.min(page_no).alias("_stop"))
-    joined = marked.join(stop, list(walk), "left") if walk else marked.crossJoin(F.broadcast(stop.agg(F.min("_stop").alias("_stop"))))
+    named = stop.select(*[F.col(c).alias(f"_w_{c}") for c in walk], "_stop")
+    same = F.lit(True)
+    for c in walk:
+        same = same & F.col(c).eqNullSafe(F.col(f"_w_{c}"))
+    joined = marked.join(named, same, "left").drop(*[f"_w_{c}" for c in walk]) if walk else marked.crossJoin(F.broadcast(stop.agg(F.min("_stop").alias("_stop"))))
     return joined.where(F.col("_stop").isNull() | (F.col(page_no) < F.col("_stop"))).drop("_first", "_stop")
 
 
@@ -88,7 +95,10 @@ def enrich(rows: DataFrame, details: DataFrame, fields: Sequence[str], link: str
     `_detail: blocked`, a missing one `_detail: missing`; no row is lost.  With a budget only the first
     rows by `order` (names of columns that tell rows apart) are looked up.
     """
-    one = details.dropDuplicates([url])
+    # of pages stored more than once the last fetched; where no time is known, the one whose values come first
+    at = [F.col(c).desc_nulls_last() for c in ("fetched_at", "_fetched_at") if c in details.columns]
+    latest = Window.partitionBy(url).orderBy(*at, *[F.col(f).cast("string").asc_nulls_last() for f in fields if not isinstance(details.schema[f].dataType, T.VariantType)])
+    one = details.withColumn("_rank", F.row_number().over(latest)).where("_rank = 1").drop("_rank")
     mine = [F.col(f).alias(f"_d_{f}") for f in fields]
     blocked = F.col("blocked") if "blocked" in details.columns else F.lit(False)
     one = one.select(F.col(url).alias("_d_url"), *mine, F.col("_provenance").alias("_d_prov"), blocked.alias("_d_blocked"))

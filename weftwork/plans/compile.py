@@ -129,23 +129,32 @@ def field(f: Field, raws: list[Column], base: Column) -> tuple[Column, Column]:
     return value.otherwise(default), origin.otherwise(F.lit("llm_pending" if f.extract.source == "llm" else "missing"))
 
 
-def _raws(f: Field, markup: Column | None, document: Column | None) -> list[Column]:
+def _place(document: Column, parent: Column | None, path: str) -> tuple[Column, str]:
+    """Where a path is to be read: of an exploded child, what begins with _parent is read in the item it came from."""
+    bare = path.strip().removeprefix("$").removeprefix(".")
+    if parent is not None and (bare == "_parent" or bare.startswith(("_parent.", "_parent["))):
+        return parent, "$" + bare.removeprefix("_parent")
+    return document, path
+
+
+def _raws(f: Field, markup: Column | None, document: Column | None, parent: Column | None = None) -> list[Column]:
     empty = F.array().cast("array<string>")
     out = []
     for i, e in enumerate(f.extractors):
         if _html(e):
             out.append(markup[f"{f.name}__{i}"] if markup is not None else empty)
         elif e.source == "json_path" and document is not None:
-            out.append(jsonpath.texts(document, e.json_path) if e.all or f.type == "list" else F.filter(F.transform(jsonpath.resolve(document, e.json_path), jsonpath.as_text), lambda x: x.isNotNull()))
+            node, path = _place(document, parent, e.json_path)
+            out.append(jsonpath.texts(node, path) if e.all or f.type == "list" else F.filter(F.transform(jsonpath.resolve(node, path), jsonpath.as_text), lambda x: x.isNotNull()))
         else:
             out.append(empty)
     return out
 
 
-def _project(df: DataFrame, fields: list[Field], markup: Column | None, document: Column | None, base: Column) -> DataFrame:
+def _project(df: DataFrame, fields: list[Field], markup: Column | None, document: Column | None, base: Column, parent: Column | None = None) -> DataFrame:
     columns, origins = {}, []
     for f in fields:
-        columns[f.name], origin = field(f, _raws(f, markup, document), base)
+        columns[f.name], origin = field(f, _raws(f, markup, document, parent), base)
         origins += [F.lit(f.name), origin]
     df = df.withColumns(columns) if columns else df
     own = F.create_map(*origins) if origins else F.create_map().cast("map<string,string>")
@@ -193,18 +202,18 @@ def extract(recipe: Recipe, pages: DataFrame, tier: str = "http") -> DataFrame:
         if recipe.api and recipe.api.explode:
             kids = F.flatten(F.transform(jsonpath.resolve(F.col("_node"), recipe.api.explode), lambda v: F.coalesce(jsonpath.elements(v), F.array(v))))
             df = df.select(*[c for c in df.columns if c not in ("_index", "_node")], F.col("_node").alias("_parent"), F.posexplode(F.filter(kids, jsonpath.is_object)).alias("_index", "_kid"))
-            joined = F.map_concat(F.map_filter(F.try_variant_get("_kid", "$", "map<string,variant>"), lambda k, v: k != "_parent"), F.create_map(F.lit("_parent"), F.col("_parent")))
-            df = df.withColumn("_node", F.to_variant_object(joined))
+            df = df.withColumnRenamed("_kid", "_node")
         node_markup, node_document = None, F.col("_node")
     else:
         df = df.withColumn("_which", markup["which"]).select("*", F.posexplode(markup["nodes"]).alias("_index", "_node"))
         node_markup, node_document = F.col("_node"), document
-    df = _project(df, lists, node_markup, node_document, base)
+    parent = F.col("_parent") if "_parent" in df.columns else None
+    df = _project(df, lists, node_markup, node_document, base, parent)
     link = _link(recipe)
     if link is None:
         detail = F.lit(None).cast("string")
     else:
-        raw = node_markup["_link"] if _html(link) and node_markup is not None else jsonpath.texts(node_document, link.json_path) if link.source == "json_path" else F.array().cast("array<string>")
+        raw = node_markup["_link"] if _html(link) and node_markup is not None else jsonpath.texts(*_place(node_document, parent, link.json_path)) if link.source == "json_path" else F.array().cast("array<string>")
         found = F.transform(_filtered(raw, link), lambda x: urls.resolve(base, x))
         detail = F.get(F.filter(found, lambda x: x.rlike("^https?://")), F.lit(0))
     if recipe.api is not None:

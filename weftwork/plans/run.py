@@ -105,7 +105,7 @@ def walk(pages: DataFrame, links: DataFrame, start: list[str], most: int = 20) -
         links=links.select("url", "next_url").distinct(),
         most=most,
     )
-    return pages.join(F.broadcast(first), "url")  # at most `most` pages for each start
+    return pages.join(first, "url")
 
 
 # ---- previews -----------------------------------------------------------------------------
@@ -128,11 +128,11 @@ def notes(recipe: Recipe) -> list[tuple[str, str, str]]:
     out = []
     for f in recipe.fields:
         if any(e.source in ("css", "xpath") and _POSITION.search(e.selector) for e in f.extractors):
-            out.append((f.name, "positional_selector", "info"))
+            out.append((f.name, "positional_selector", "warning"))
         if f.extract.source == "llm":
             out.append((f.name, "llm_field", "info"))
     if recipe.list_ and _POSITION.search(recipe.list_.container):
-        out.append(("", "positional_selector", "info"))
+        out.append(("", "positional_selector", "warning"))
     return out
 
 

@@ -17,7 +17,7 @@ from ..functions import urls
 def seed_pages(spark: SparkSession, seeds: Sequence[str], pages: DataFrame) -> DataFrame:
     """The stored pages of the seeds, numbered in the order given."""
     asked = spark.createDataFrame([(s, i) for i, s in enumerate(seeds)], "url string, seed_no int")
-    return pages.join(F.broadcast(asked), "url")
+    return pages.join(asked, "url")  # the optimiser knows the size of a list of the driver's
 
 
 def clean_urls(df: DataFrame, text: str = "text", key: str | None = None, limit: int | None = None) -> DataFrame:
@@ -67,7 +67,8 @@ def sitemap(df: DataFrame, body: str = "body", base: str = "url") -> DataFrame:
 
 def sitemap_urls(maps: DataFrame, start: Sequence[str], levels: int = 2, children: int = 50, most: int = 1000) -> DataFrame:
     """URLs under the starting sitemaps: indexes are followed for some levels; maps: url, body of all stored sitemaps."""
-    entries = sitemap(maps)
+    # parsed once, however many levels are followed
+    entries = sitemap(maps).persist()
     spark = maps.sparkSession
     now = spark.createDataFrame([(u,) for u in start], "url string")
     out = None
@@ -81,6 +82,25 @@ def sitemap_urls(maps: DataFrame, start: Sequence[str], levels: int = 2, childre
     return out.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("loc", "lastmod", "base", "pos").orderBy("base", "pos").limit(most).select("loc", "lastmod")
 
 
+def selected_urls(entries: DataFrame, include: str | None = None, exclude: str | None = None, seen: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Sitemap entries (loc, lastmod, base, pos) whose address fits and was not met, the first of each, in their order."""
+    fit = entries.where(urls.allowed(F.col("loc"), include, exclude))
+    if seen is not None:
+        fit = fit.join(seen.select(F.col("url").alias("loc")).distinct(), "loc", "left_anti")
+    first = Window.partitionBy("loc").orderBy("base", "pos")
+    once = fit.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    return once.orderBy("base", "pos").limit(limit) if limit is not None else once
+
+
+def starting_sitemaps(origins: DataFrame, stored: DataFrame, robots: DataFrame, most: int = 3) -> DataFrame:
+    """origin, sitemap: the default place where a document with entries is stored, else up to three that robots.txt names."""
+    default = origins.select("origin", F.concat("origin", F.lit("/sitemap.xml")).alias("sitemap"))
+    filled = sitemap(stored).select(F.col("base").alias("sitemap")).distinct()
+    there = default.join(filled, "sitemap").select("origin", "sitemap")
+    named = robots_sitemaps(robots, most=most).select(urls.origin(F.col("url")).alias("origin"), "sitemap")
+    return there.unionByName(named.join(there.select("origin"), "origin", "left_anti").join(origins.select("origin"), "origin", "left_semi"))
+
+
 def robots_sitemaps(df: DataFrame, body: str = "body", most: int = 3) -> DataFrame:
     found = F.slice(F.regexp_extract_all(body, F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), 1), 1, most)
     return df.select("url", F.explode(found).alias("sitemap"))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows of a sheet, by its format.
+SHEET_ROWS = 1_048_576
 META = ("_url", "_page_url", "_fetched_at", "_tier")
 
 
@@ -47,7 +49,7 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 
 def csv_file(df: DataFrame, path: str, columns: Sequence[str]) -> int:
-    """One CSV file with a byte-order mark, streamed over the driver partition by partition."""
+    """One CSV file with a byte-order mark; all rows pass the driver, partition by partition (write_csv has no such bound)."""
     import csv
 
     n = 0
@@ -60,7 +62,7 @@ def csv_file(df: DataFrame, path: str, columns: Sequence[str]) -> int:
 
 
 def json_file(df: DataFrame, path: str, columns: Sequence[str]) -> int:
-    """One indented JSON array, streamed."""
+    """One indented JSON array; all rows pass the driver, partition by partition (write_jsonl has no such bound)."""
     n = 0
     with open(path, "w", encoding="utf-8") as f:
         f.write("[")
@@ -71,7 +73,12 @@ def json_file(df: DataFrame, path: str, columns: Sequence[str]) -> int:
 
 
 def xlsx_file(df: DataFrame, path: str, columns: Sequence[str], sheet: str = "Items") -> int:
-    """One sheet: bold header that stays in view, widths from the first 200 rows, a filter over all."""
+    """One sheet: bold header that stays in view, widths from the first 200 rows, a filter over all.
+
+    Rows pass the driver one by one; more than a sheet can hold are refused before anything is written.
+    """
+    if df.limit(SHEET_ROWS).count() == SHEET_ROWS:
+        raise ValueError(f"a sheet holds {SHEET_ROWS - 1} rows besides its header; write CSV instead")
     rows, widths, n = [], [len(c) for c in columns], 0
 
     def line(values: Sequence[str | None], k: int, style: int) -> str:
