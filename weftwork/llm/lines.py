@@ -51,8 +51,8 @@ from .components import components, led
 
 SIMILARITY = 0.85
 BLOCKS, BLOCK_BITS = 8, 32
-#: Most differing bits of 256: unrelated lines that share a block differ in 100 or so; of pairs beyond 70 three in a hundred were links.
-BITS = 72
+#: Most differing bits of 256: unrelated lines that share a block differ in 100 or so; of pairs beyond 60 one in fifteen is a link, and of those with a tenth of their words edited one in a hundred lies there.
+BITS = 60
 #: Words of lines joined on single blocks, on pairs, and on pairs of pairs; fewest letters in a key, where two of each word do not count (and a letter that is a word does, twice).
 LEVELS = ((40, 1 << 30, 8), (6, 56, 7), (1, 32, 8))
 #: Lines of fewer words, and at most so many letters, are joined on all they leave without one letter.
