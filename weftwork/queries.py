@@ -580,9 +580,9 @@ def previous_runs(spark, d):
     return monitor.previous_runs(_runs(spark, d)).select("run_id", F.coalesce("previous_run", F.lit(-1)).alias("previous_run"))
 
 
-@query(f"""SELECT run_id FROM (SELECT *, row_number() OVER (PARTITION BY recipe_id ORDER BY created_at DESC, run_id DESC) AS n FROM ({_RUNS}) WHERE status <> 'running') WHERE n > 5 OR created_at < TIMESTAMP '1993-01-01'""")
+@query(f"""SELECT run_id FROM (SELECT *, row_number() OVER (PARTITION BY recipe_id ORDER BY created_at DESC, run_id DESC) AS n FROM ({_RUNS}) WHERE status <> 'running') WHERE n > 5 OR created_at < TIMESTAMP '1997-06-01'""")
 def retention_prune(spark, d):
-    return monitor.expired(_runs(spark, d), 5, F.lit("1993-01-01").cast("timestamp")).select("run_id")
+    return monitor.expired(_runs(spark, d), 5, F.lit("1997-06-01").cast("timestamp")).select("run_id")
 
 
 @query(f"SELECT status, reason, count(*) AS runs FROM (SELECT CASE WHEN status = 'running' THEN 'failed' ELSE status END AS status, CASE WHEN status = 'running' THEN 'server_restarted' ELSE reason END AS reason FROM ({_RUNS})) GROUP BY ALL")
@@ -602,21 +602,16 @@ def event_tail(spark, d):
     return readers.event_tail(e, ("click", "view"), 50).select("event_id")
 
 
-@query("SELECT event_type AS t, count(*) AS events, cast(sum(user_id) AS bigint) AS users FROM events GROUP BY event_type")
-def event_counts(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("t")).agg(F.count(F.lit(1)).alias("events"), F.sum("user_id").alias("users"))
-
-
 @query("SELECT n FROM (SELECT row_number() OVER (ORDER BY event_id) AS n FROM events) ORDER BY n LIMIT 100 OFFSET 50")
 def items_paging(spark, d):
     e = table(spark, d, "events").select(F.lit("r").alias("run_id"), (F.col("event_id") - table(spark, d, "events").agg(F.min("event_id")).first()[0] + 1).alias("n"))
     return readers.items_page(e, "r", 50, 100).select("n")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 AND o_orderdate <= TIMESTAMP '1995-01-01'")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 0 AND o_orderdate <= TIMESTAMP '1998-01-01'")
 def due_schedules(spark, d):
     s = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 3 != 0).alias("enabled"), F.expr("CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate END").alias("next_run_at"))
-    return monitor.due(s, F.lit("1995-01-01").cast("timestamp")).select("o_orderkey")
+    return monitor.due(s, F.lit("1998-01-01").cast("timestamp")).select("o_orderkey")
 
 
 # ---- inference ----------------------------------------------------------------------------
@@ -788,11 +783,6 @@ query()(_read("markdown", "string", reading.markdown))
 query()(_read("pagination", "string", lambda h: str(analysis.pagination(analysis.parse(h), "https://x.example/"))))
 
 
-@query("SELECT page_id, count(*) FILTER (WHERE regexp_matches(x, '^$') IS NULL) AS none, 0 AS blobs FROM (SELECT page_id, html AS x FROM pages) GROUP BY page_id")
-def embedded_documents(spark, d):
-    return table(spark, d, "pages").select("page_id", F.size(plan.embedded_json()).alias("blobs"), F.lit(0).cast("bigint").alias("none"))
-
-
 @query(r"SELECT page_id, len(regexp_extract_all(html, '<script\b')) AS scripts, regexp_matches(html, 'type=.password') AS login FROM pages".replace("\\\\", "\\"))
 def page_hints(spark, d):
     return inference.page_type_hints(table(spark, d, "pages"), keep=("page_id",)).select("page_id", "scripts", "login")
