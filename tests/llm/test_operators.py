@@ -658,6 +658,20 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in quality.classify(docs, blank).collect()} == {0.5}
 
 
+def test_quality_with_metadata(spark):
+    """Labels that only a column tells: the classifier learns them when the column is named, and cannot when it is not."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 20, [f"w{k}" for k in range(50)]), rng.choice(["good site", "bad site", None])) for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.site` string")
+    labels = spark.createDataFrame([(i, int(s == "good site")) for i, _, s in rows], "doc_id long, quality int")
+    right = {}
+    for meta in ((), ("a.site",)):
+        model = quality.train(df, labels, allowed=F.col("_key") % 3 != 0, metadata=meta)
+        got = quality.classify(df, model, good=0.5, metadata=meta).where("doc_id % 3 = 0").collect()
+        right[meta] = np.mean([r.predicted == (r["a.site"] == "good site") for r in got])
+    assert right[("a.site",)] > 0.95 > 0.75 > right[()]
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     m = quality.fit([], np.zeros(0))

@@ -348,7 +348,7 @@ def _mapped(df: DataFrame, used: str, new: list[tuple[str, str, pa.DataType]], r
     """Add columns that a worker computes from one column, some rows of an Arrow batch at a time."""
     common.ship(df.sparkSession)
     carried = [c for c in df.columns if c not in {n for n, _, _ in new} and not (drop and c == used)]
-    slim = df.select(*[F.col(c) for c in carried], F.col(used).alias("_in"))
+    slim = df.select(*[F.col(common.quoted(c)) for c in carried], F.col(used).alias(common.fresh(carried, "in")))
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried), *(f"{n} {kind}" for n, kind, _ in new)])
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +359,7 @@ def _mapped(df: DataFrame, used: str, new: list[tuple[str, str, pa.DataType]], r
                 cols = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(v, t) for v, (_, _, t) in zip(made, new, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*carried, *(n for n, _, _ in new)])
 
-    return slim.mapInArrow(work, schema)
+    return common.plain(slim).mapInArrow(work, schema)
 
 
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str = TOKENIZER) -> DataFrame:

@@ -119,6 +119,11 @@ def fresh(taken: list[str], name: str) -> str:
     return f"_{name}"
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """df with its columns named by their places: functions on batches cannot be asked for names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def quoted(name: str) -> str:
     """A column's name as it must be asked for, dots and all."""
     return "`" + name.replace("`", "``") + "`"

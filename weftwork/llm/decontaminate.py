@@ -247,7 +247,7 @@ def pairs(docs: DataFrame, benchmark: DataFrame, ident: str = "doc_id", text: st
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: float = SCORE, chance: float = CHANCE, block: int = BLOCK) -> DataFrame:
     """The rows of docs in which no item aligns at `least` or better."""
-    at = docs.columns.index(text)
+    at, names = docs.columns.index(text), docs.columns
     left = docs
     # words are counted over all documents for every block
     for key, shared, only in _prepared(docs, benchmark, text, item, item_text, chance, block):
@@ -255,7 +255,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         def work(batches: Iterable[pa.RecordBatch], shared=shared, key=key, at=at) -> Iterator[pa.RecordBatch]:
             seeds = _seeds(key, shared)
             for b in batches:
+                b = pa.RecordBatch.from_arrays(b.columns, names=names)
                 yield b.filter(pa.array([next(seeds.pairs(t.as_py(), least), None) is None for t in b.column(at)], pa.bool_()))
 
-        left = _done(left.mapInArrow(work, docs.schema), shared, only)
+        left = _done(common.plain(left).mapInArrow(work, docs.schema), shared, only)
     return left

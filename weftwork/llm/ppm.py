@@ -505,10 +505,10 @@ def adaptive(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFra
     """docs with adaptive_log10: each text coded by a model that starts empty and learns from it."""
     common.ship(docs.sparkSession)
     carried = [c for c in docs.columns if c != "adaptive_log10"]
-    slim = docs.select(*carried, F.col(text).cast("binary").alias("_raw"))
+    slim = docs.select(*[F.col(common.quoted(c)) for c in carried], F.col(text).cast("binary").alias(common.fresh(carried, "raw")))
 
     def work(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([Trie(order).text(t.as_py(), True) for t in b.column(b.num_columns - 1)], pa.float64())], names=[*carried, "adaptive_log10"])
 
-    return slim.mapInArrow(work, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), "adaptive_log10 double"]))
+    return common.plain(slim).mapInArrow(work, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), "adaptive_log10 double"]))

@@ -1,8 +1,9 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
-A document's features are its distinct hashed words (each with weight 1 / sqrt(their number)) and
-one indicator per statistic: the bin, by quantiles of the training rows, of sizes, byte classes,
-repetition and line shape.  The score is
+A document's features are its distinct hashed words (each with weight 1 / sqrt(their number)), one
+indicator per statistic (the bin, by quantiles of the training rows, of sizes, byte classes,
+repetition and line shape), and for each metadata column that is named one hashed word of its name
+and value.  The registered query names none, as its contract bars them.  The score is
 
     w0 + sum_i w_i x_i + 1/2 sum_f [ (sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2 ]
 
@@ -18,7 +19,7 @@ score is 0.5.  Repeated rows are scored alike.  Other columns are carried by `cl
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,19 @@ class Rows:
         self.x = np.concatenate([x for _, x in rows]).astype(np.float32) if rows else np.zeros(0, np.float32)
 
 
-def words_and_statistics(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+def words_and_statistics(raw: bytes | None, meta: list[str | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
     raw = raw or b""
     h, c = features.hashed(features.tokens(raw))
-    return (h & np.uint64((1 << BITS) - 1)).astype(np.int64), features.statistics(raw, h, c)
+    stats = features.statistics(raw, h, c)
+    if meta:
+        h = np.concatenate([h, features.hashed([m.encode() for m in meta if m is not None])[0]])
+    return (h & np.uint64((1 << BITS) - 1)).astype(np.int64), stats
+
+
+def _meta(metadata: Sequence[str]) -> Column:
+    """name=value of the metadata columns of a row, which no word of a text can equal; nulls are left out."""
+    pairs = [F.concat(F.lit(f"{m}="), F.col(common.quoted(m)).cast("string")) for m in metadata]
+    return F.array_compact(F.array(*pairs)) if pairs else F.array().cast("array<string>")
 
 
 class Machine:
@@ -123,16 +133,16 @@ def sample(labels: DataFrame, ident: str, label: str, allowed: Column | None, mo
     return found.orderBy(F.xxhash64("_key"), "_key", "_y").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "quality", label_id: str = "doc_id", allowed: Column | None = None, most: int = SAMPLE) -> bytes:
-    """A model from the labelled rows; `allowed` is a condition on _key, the labelled identifier."""
+def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "quality", label_id: str = "doc_id", allowed: Column | None = None, most: int = SAMPLE, metadata: Sequence[str] = ()) -> bytes:
+    """A model from the labelled rows; `allowed` is a condition on _key, the labelled identifier; metadata names columns of docs."""
     common.ship(docs.sparkSession)
     # the sample is bounded by `most`, so its identifiers may be broadcast
     chosen = F.broadcast(sample(labels, label_id, label, allowed, most))
-    rows = docs.select(F.col(ident).cast("long").alias("_key"), F.col(text).cast("binary").alias("t")).join(chosen, "_key").select("_key", "t", "_y")
+    rows = docs.select(F.col(ident).cast("long").alias("_key"), F.col(text).cast("binary").alias("t"), _meta(metadata).alias("m")).join(chosen, "_key").select("_key", "t", "_y", "m")
 
     def cook(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [words_and_statistics(t.as_py()) for t in b.column(1)]
+            made = [words_and_statistics(t.as_py(), m) for t, m in zip(b.column(1), b.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0), b.column(2), pa.array([w.astype(np.int32).tobytes() for w, _ in made], pa.binary()), pa.array([s.tobytes() for _, s in made], pa.binary())], names=["k", "y", "w", "s"])
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +155,12 @@ def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str =
     return got[0].model if got else fit([], np.zeros(0)).dump()
 
 
-def classify(docs: DataFrame, model: bytes, text: str = "text", good: float = GOOD, keep_text: bool = True) -> DataFrame:
+def classify(docs: DataFrame, model: bytes, text: str = "text", good: float = GOOD, keep_text: bool = True, metadata: Sequence[str] = ()) -> DataFrame:
     """docs with score and predicted."""
     spark = docs.sparkSession
     common.ship(spark)
     carried = [c for c in docs.columns if c not in ("score", "predicted") and (keep_text or c != text)]
-    slim = docs.select(*carried, F.col(text).cast("binary").alias("_raw"))
+    slim = docs.select(*[F.col(common.quoted(c)) for c in carried], F.col(text).cast("binary").alias(common.fresh(carried, "raw")), _meta(metadata).alias(common.fresh(carried, "meta")))
     shared = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,18 +168,18 @@ def classify(docs: DataFrame, model: bytes, text: str = "text", good: float = GO
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                s = machine.scores([words_and_statistics(t.as_py()) for t in b.column(b.num_columns - 1)])
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s), pa.array((s >= good).astype(np.int32))], names=[*carried, "score", "predicted"])
+                s = machine.scores([words_and_statistics(t.as_py(), m) for t, m in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1).to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(s), pa.array((s >= good).astype(np.int32))], names=[*carried, "score", "predicted"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), "score double, predicted int"])
-    return slim.mapInArrow(work, schema)
+    return common.plain(slim).mapInArrow(work, schema)
 
 
 def keep_good(docs: DataFrame, model: bytes, text: str = "text", good: float = GOOD) -> DataFrame:
     """The rows of docs that score `good` or better, with all their columns as they are."""
     common.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text)
+    at, names = docs.columns.index(text), docs.columns
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine.load(shared.value)
@@ -177,6 +187,7 @@ def keep_good(docs: DataFrame, model: bytes, text: str = "text", good: float = G
             for first in range(0, whole.num_rows, 500):
                 b = whole.slice(first, 500)
                 raw = [None if t is None else t.encode() for t in b.column(at).to_pylist()]
+                b = pa.RecordBatch.from_arrays(b.columns, names=names)
                 yield b.filter(pa.array(machine.scores([words_and_statistics(t) for t in raw]) >= good, pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return common.plain(docs).mapInArrow(work, docs.schema)

@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: bytes, text: str = "text", toxic: float = TOXI
     common.ship(spark)
     new = ("expected_severity", "grade", "toxic")
     carried = [c for c in docs.columns if c not in new and (keep_text or c != text)]
-    slim = docs.select(*carried, F.col(text).cast("binary").alias("_raw"))
+    slim = docs.select(*[F.col(common.quoted(c)) for c in carried], F.col(text).cast("binary").alias(common.fresh(carried, "raw")))
     shared = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,4 +165,4 @@ def score(docs: DataFrame, model: bytes, text: str = "text", toxic: float = TOXI
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*carried, *new])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried), "expected_severity double, grade int, toxic boolean"])
-    return slim.mapInArrow(work, schema)
+    return common.plain(slim).mapInArrow(work, schema)
