@@ -1,4 +1,9 @@
-"""Hashed words and structure statistics of a text, for the classifiers."""
+"""Hashed words and structure statistics of a text, for the classifiers.
+
+Defined results: a null or empty text has no words and statistics of 0.  Texts are worked on whole, one at a
+time, so a very long one needs some times its own size.  A text's features depend on the text alone: repeated
+rows have the same, and no other column plays a part.
+"""
 
 from __future__ import annotations
 
