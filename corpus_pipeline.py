@@ -2,7 +2,12 @@
 
 run() writes what a stage returns to the shared folder and reads it again for the next one, so a
 lost executor costs the tasks of one stage.  All stages but the last return the columns of their
-input; a null text counts as empty throughout; an empty table runs through and stays empty.
+input, whatever their names; a null text counts as empty throughout; an empty table runs through
+and stays empty.
+
+Of rows that repeat an identifier, those with equal or nearly equal texts become one, the others
+stay; a null identifier is no reason to drop a row, but an equal text is.  Ties go to the smallest
+identifier, then to the least text hash.  Texts are read whole, however long.
 """
 
 from __future__ import annotations
