@@ -38,7 +38,9 @@ from .streaming import control, ingest
 
 def _folder(spark: SparkSession) -> str:
     """A new place for files: below the folder all machines share where it is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='weftwork-files-')}/f"
 
 

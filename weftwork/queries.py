@@ -656,7 +656,9 @@ _EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, val
 
 def _stream(spark, d) -> tuple[DataFrame, str]:
     """events as a stream, and a folder for its checkpoint: the one all machines share where it is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     import uuid
 
     work = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="weftwork-stream-")
