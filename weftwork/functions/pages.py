@@ -114,6 +114,7 @@ def similarity(a: Column, b: Column) -> Column:
     suffix = F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, same: F.struct(F.when(s["on"] & same, s["n"] + 1).otherwise(s["n"]).alias("n"), (s["on"] & same).alias("on")))["n"]
     ta, tb = a["text"], b["text"]
     text = F.when(ta["len"] == tb["len"], 0.4).when(F.abs(ta["len"] - tb["len"]) == 1, 0.2).otherwise(0.0) + one(ta["digits"] == tb["digits"], 0.3) + one(ta["currency"] == tb["currency"], 0.3)
+    # What each kind of agreement weighs.
     total = (
         one(a["tag"].eqNullSafe(b["tag"]), 0.12)
         + F.when(F.size(F.array_union(ca, cb)) > 0, share(ca, cb) * 0.22).otherwise(0.08)
