@@ -323,7 +323,9 @@ class LineGroups:
         room = F.floor(F.greatest("la.chars", "lb.chars") * (1 - self.similarity) + 1e-9).cast("int")
         apart = [F.bit_count(F.col(f"la.{c}").bitwiseXOR(F.col(f"lb.{c}"))) for c in _SIG]
         near = near.where((F.abs(F.col("la.chars") - F.col("lb.chars")) <= room) & (F.col("la.key") != F.col("lb.key"))).where(sum(apart[1:], apart[0]) <= BITS)
-        near = self.kept_table(near.select(F.col("la.key").alias("ka"), F.col("la.first").alias("fa"), F.col("lb.key").alias("kb"), F.col("lb.first").alias("fb"), room.alias("room")), "line-pairs")
+        near = near.select(F.col("la.key").alias("ka"), F.col("la.first").alias("fa"), F.col("lb.key").alias("kb"), F.col("lb.first").alias("fb"), room.alias("room"))
+        # dealt by both lines, as a bucket's pairs come from a few tasks and the edit distance is dear
+        near = self.kept_table(near.repartition("ka", "kb"), "line-pairs")
         places = near.select(F.col("ka").alias("key"), F.col("fa").alias("first")).unionByName(near.select(F.col("kb").alias("key"), F.col("fb").alias("first"))).distinct()
         texts, near = self.texts(places), near.select("ka", "kb", "room")
         for x in "ab":
