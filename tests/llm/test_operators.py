@@ -331,7 +331,14 @@ def test_levenshtein():
     rng = random.Random(0)
     for _ in range(300):
         a, b = ("".join(rng.choices("abc", k=rng.randint(0, 12))) for _ in range(2))
-        assert levenshtein(a, b) == plain(a, b)
+        d = plain(a, b)
+        assert levenshtein(a, b) == d
+        assert all(lines.within(a, b, room) == (d <= room) for room in range(14))
+    for _ in range(200):
+        a = "".join(rng.choices("abcdef ", k=rng.randint(60, 200)))
+        b = edited(rng, a, rng.randint(0, 25))
+        d = plain(a, b)
+        assert all(lines.within(a, b, room) == (d <= room) for room in (0, 3, 9, d - 1, d, d + 1, 30) if room >= 0)
 
 
 def plain_norm(line):
@@ -466,6 +473,31 @@ def test_lines_odd_rows(spark, docs, empty):
     assert sum("one line" in r.text for r in got) == 1 and sum("altogether" in r.text for r in got) == 1
 
 
+def test_pairs_across_components():
+    """Rows cut into batches anywhere, groups small and large, one block or two: each pair once, by hashes and lengths."""
+    rng = np.random.default_rng(4)
+    for large in (3, 70):
+        rows, want = [], set()
+        for bucket in range(12):
+            two, n = bucket % 2, int(rng.integers(2, large + 5))
+            base = rng.integers(-(1 << 62), 1 << 62, 4)
+            mine = []
+            for _ in range(n):
+                sig = [int(x) ^ (1 << int(rng.integers(0, 60))) for x in base] if rng.random() < 0.6 else rng.integers(-(1 << 62), 1 << 62, 4).tolist()
+                mine.append((bucket, 0, two, int(rng.integers(0, 1 + two)), len(rows) + len(mine), bytes([int(rng.integers(0, 3))]), int(rng.integers(80, 120)), *sig))
+            for x, a in enumerate(mine):
+                for b in mine[:x]:
+                    bits = sum(bin((p ^ q) & (2**64 - 1)).count("1") for p, q in zip(a[7:], b[7:], strict=True))
+                    if a[5] != b[5] and (not two or a[3] != b[3]) and abs(a[6] - b[6]) <= int(max(a[6], b[6]) * 0.15 + 1e-9) and bits <= lines.BITS:
+                        want.add((b[4], a[4]))
+            rows += mine
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), *[pa.int64()] * 4]
+        whole = pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f"c{k}" for k in range(11)])
+        cuts = [0, *sorted(rng.integers(0, len(rows), 5).tolist()), len(rows)]
+        got = [p for b in lines._apart((whole.slice(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)), 0.85) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_lines_of_any_length(spark):
     """A line of five megabytes, and its copy with one word changed, among short ones."""
     rng = random.Random(3)

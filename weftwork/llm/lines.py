@@ -21,9 +21,9 @@ spread over tasks, where only their hashes are compared.  Pairs at most `BITS` b
 enough in length go to the edit distance: a link has 1 - Levenshtein / longer length >= `SIMILARITY`.
 Of each component the occurrence with the least (identifier, line number) stays.
 
-Style: the one pass that reads all text is numpy in an Arrow function; joins, the edit distance and
-components are DataFrame functions.  In DataFrame functions alone that pass took twice to four times
-its limit (README).
+Style: the pass that reads all text is numpy in an Arrow function, the edit distance bit vectors in
+another; joins, bucket by bucket, and components are DataFrame functions.  In DataFrame functions alone
+the pass over texts took twice to four times its limit (README).
 
 Defined results: a null text has no lines, an empty one has one blank line.  Blank lines, and
 lines without letters or digits, belong to no group and stay.  Null identifiers sort before
@@ -250,30 +250,58 @@ def _room(longer: np.ndarray, similarity: float) -> np.ndarray:
     return np.floor(longer * (1 - similarity) + 1e-9)
 
 
+#: Rows of a group up to which all groups of a batch are compared together, a distance in the table at a time.
+_FEW_ROWS = 64
+
+
 def _apart(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, i, j, block, id, component, chars, s0, s1, s2, s3) come sorted by (bucket, i, j): pairs across components that hashes and lengths allow."""
-    rows: list[tuple] = []
-
-    def compare() -> Iterator[pa.RecordBatch]:
-        i, j = rows[0][1:3]
-        block, ids, chars = (np.array([r[k] for r in rows]) for k in (3, 4, 6))
-        group = np.unique(np.array([r[5] for r in rows], object), return_inverse=True)[1]
-        sig = np.array([r[7:] for r in rows], np.int64).view(np.uint64)
-        for a in range(len(rows)):
-            near = (group != group[a]) & (np.abs(chars - chars[a]) <= _room(np.maximum(chars, chars[a]), similarity)) & (block > block[a] if i != j else np.arange(len(rows)) > a)
-            b = np.flatnonzero(near)
-            b = b[np.bitwise_count(sig[b] ^ sig[a]).sum(axis=1) <= BITS]
-            if len(b):
-                yield pa.record_batch([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
 
+    def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        bucket, i, j, block, ids, chars = (t.column(k).to_numpy() for k in (0, 1, 2, 3, 4, 6))
+        sig = np.column_stack([t.column(k).to_numpy() for k in range(7, 11)]).view(np.uint64)
+        own = t.column(5).combine_chunks().dictionary_encode().indices.to_numpy()
+        head = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        group, starts = np.cumsum(head) - 1, np.flatnonzero(head)
+        size = np.diff(np.concatenate([starts, [len(head)]]))
+
+        def pairs(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch | None:
+            fit = (own[p] != own[q]) & ((i[p] == j[p]) | (block[p] != block[q])) & (np.abs(chars[p] - chars[q]) <= _room(np.maximum(chars[p], chars[q]), similarity))
+            p, q = p[fit], q[fit]
+            near = np.bitwise_count(sig[p] ^ sig[q]).sum(axis=1) <= BITS
+            if near.any():
+                x, y = ids[p[near]], ids[q[near]]
+                return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            return None
+
+        few = np.flatnonzero(size[group] <= _FEW_ROWS)
+        for d in range(1, int(size[size <= _FEW_ROWS].max(initial=1))):
+            p = few[few + d < len(group)]
+            p = p[group[p] == group[p + d]]
+            if len(p) and (out := pairs(p, p + d)) is not None:
+                yield out
+        for g in np.flatnonzero(size > _FEW_ROWS).tolist():
+            last = starts[g] + size[g]
+            for r in range(starts[g], last - 1):
+                q = np.arange(r + 1, last)
+                if (out := pairs(np.full(len(q), r), q)) is not None:
+                    yield out
+
+    held: pa.Table | None = None
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(11)), strict=True):
-            if rows and row[:3] != rows[0][:3]:
-                yield from compare()
-                rows = []
-            rows.append(row)
-    if rows:
-        yield from compare()
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        keys = [t.column(k).to_numpy() for k in range(3)]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+        if len(change):  # the last group can go on in the next batch
+            cut = int(change[-1]) + 1
+            yield from compare(t.slice(0, cut))
+            t = t.slice(cut)
+        held = t
+    if held is not None:
+        yield from compare(held)
 
 
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +324,54 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.string()), strict=True)], names=["key", "norm"])
 
 
+def within(a: str, b: str, room: int) -> bool:
+    """Whether the edit distance is at most `room`: what both begin and end with is taken off, the rest goes through Myers' bit vectors."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > room:
+        return False
+
+    def same(x: str, y: str, most: int) -> int:
+        low, high = 0, most
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if x[low:mid] == y[low:mid] else (low, mid - 1)
+        return low
+
+    n = same(a, b, len(a))
+    a, b = a[n:], b[n:]
+    n = same(a[::-1], b[::-1], len(a))
+    a, b = a[: len(a) - n], b[: len(b) - n]
+    if not a or len(b) <= room:
+        return len(b) <= room  # b alone can be written over what is left of a
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = full, 0, len(a)
+    for k, x in enumerate(b, 1):
+        m = places.get(x, 0)
+        across = (((m & up) + up) ^ up) | m | down
+        rise, fall = (down | ~(across | up)) & full, up & across
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+        if score - (len(b) - k) > room:
+            return False
+        rise = rise << 1 | 1
+        up, down = (fall << 1 | ~(m | down | rise)) & full, rise & (m | down) & full
+    return score <= room
+
+
+def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (ka, kb, room, na, nb) the keys of pairs within room."""
+    for b in batches:
+        room, one, two = (b.column(k).to_pylist() for k in (2, 3, 4))
+        keep = pa.array([within(x, y, r) for r, x, y in zip(room, one, two, strict=True)], pa.bool_())
+        yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).filter(keep)
+
+
 class LineGroups:
     """The steps of one run; tables between them lie in the shared folder."""
 
@@ -330,9 +406,8 @@ class LineGroups:
         texts, near = self.texts(places), near.select("ka", "kb", "room")
         for x in "ab":
             near = near.join(texts.select(F.col("key").alias(f"k{x}"), F.col("norm").alias(f"n{x}")), f"k{x}")
-        # few edits are found in a narrow band
-        near = near.where(F.expr("levenshtein(na, nb, least(room, 12)) >= 0 or (room > 12 and levenshtein(na, nb, room) >= 0)"))
-        return self.kept_table(near.select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct(), "line-links")
+        links = near.select("ka", "kb", "room", "na", "nb").mapInArrow(_verified, "a binary, b binary")
+        return self.kept_table(links.distinct(), "line-links")
 
     def across(self, seats: DataFrame, seated: DataFrame, groups: DataFrame) -> DataFrame:
         """Pairs of ids in a bucket whose components differ, the leader apart."""
