@@ -422,17 +422,18 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", order: int
     base = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     base = base.withColumn("held_out", common.fold_of(F.col("doc_id"), folds) == held_out)
     base = base.select("doc_id", "t", "held_out", (~F.col("held_out")).alias("train"), F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).alias("block"))
+    # as many partitions as blocks and buckets, so that a task's share does not grow with the corpus
     asked_path = common.scratch_path(spark, "grams")
     asked = "kind string, bucket long, block long, keys binary, counts binary"
     with common.tidy(spark):
-        base.groupBy("block").applyInArrow(lambda t: _ask(t, order, buckets), asked).write.partitionBy("kind").parquet(asked_path)
+        base.repartition(blocks, "block").groupBy("block").applyInArrow(lambda t: _ask(t, order, buckets), asked).write.partitionBy("kind").parquet(asked_path)
     sent = spark.read.schema(asked).parquet(asked_path)
 
     def totals(t: pa.Table) -> pa.Table:
         _, keys, counts = _summed(t)
         return pa.table({"v": [int((counts > 0).sum())], "n": [int(counts.sum())]})
 
-    known = sent.where("kind = 'word'").groupBy("bucket").applyInArrow(totals, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    known = sent.where("kind = 'word'").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(totals, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
 
     def pairs(t: pa.Table) -> pa.Table:
         _, keys, counts = _summed(t)
@@ -446,12 +447,12 @@ def score(docs: DataFrame, ident: str = "doc_id", text: str = "text", order: int
     asked_grams = sent.where("kind = 'gram'").select("bucket", "block", "keys", "counts")
     # grams of different contexts only, once each, so few bytes for a low bucket; a fixed number of those keeps rows in step with upper buckets
     lows = min(buckets, 256)
-    down = asked_grams.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(lambda t: _down(t, order, lows), "low long, bucket long, keys binary, counts binary")
-    low = down.groupBy("low").applyInArrow(lambda t: _low(t, shared.value, order), "bucket long, keys binary, counts binary, tail binary")
+    down = asked_grams.select("bucket", "keys", "counts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _down(t, order, lows), "low long, bucket long, keys binary, counts binary")
+    low = down.repartition(lows, "low").groupBy("low").applyInArrow(lambda t: _low(t, shared.value, order), "bucket long, keys binary, counts binary, tail binary")
     reply = "kind string, block long, keys binary, value binary"
-    replies = asked_grams.groupBy("bucket").cogroup(low.groupBy("bucket")).applyInArrow(lambda a, b: _answer(a, b, order), reply)
-    replies = replies.unionByName(sent.where("kind = 'word'").select("kind", "bucket", "block", "keys", "counts").groupBy("bucket").applyInArrow(_answer_words, reply))
-    added = base.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lambda a, b: _add_up(a, b, order), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    replies = asked_grams.repartition(buckets, "bucket").groupBy("bucket").cogroup(low.repartition(buckets, "bucket").groupBy("bucket")).applyInArrow(lambda a, b: _answer(a, b, order), reply)
+    replies = replies.unionByName(sent.where("kind = 'word'").select("kind", "bucket", "block", "keys", "counts").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer_words, reply))
+    added = base.repartition(blocks, "block").groupBy("block").cogroup(replies.repartition(blocks, "block").groupBy("block")).applyInArrow(lambda a, b: _add_up(a, b, order), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
     return added.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(known.n)).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(math.log10(known.n + known.v + 1))).alias("base_score"), "score")
 
 
