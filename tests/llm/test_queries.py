@@ -32,7 +32,7 @@ def labels(spark, sf):
 
 def test_all_are_registered():
     names = [n for n in contract.queries() if re.match(r"op\d+_|pipeline", n)]
-    assert len(names) == 11 and set(queries.SQL) <= set(queries.QUERIES)
+    assert len(names) == 14 and set(queries.SQL) <= set(queries.QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "encode"]
 
 

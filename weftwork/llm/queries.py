@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, lines, minhash, ppm, quality, substrings, token_files, toxicity
+from . import alignment, bpe, decontaminate, exact_dedup, lines, minhash, ppm, quality, substrings, token_files, toxicity, url_templates, whitening
 from .common import fold_of, scratch_path, table
 
 
@@ -59,6 +59,18 @@ def op10_arrow_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, folder)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("blocked_share")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_ordinal_toxicity": op2_ordinal_toxicity,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hyperminhash_near_dedup": op8_hyperminhash_near_dedup,
     "op9_ppm_scores": op9_ppm_scores,
     "op10_arrow_token_files": op10_arrow_token_files,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_url_templates": op12_url_templates,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 SQL: dict[str, str] = {
@@ -78,4 +93,5 @@ SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         WINDOW g AS (PARTITION BY t)""",
+    "op12_url_templates": url_templates.sql(),
 }
