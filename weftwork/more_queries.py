@@ -519,15 +519,6 @@ def next_links(spark, d):
     return plan.next_pages(r, p).select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "next_url")
 
 
-@query("SELECT 'https://x.example/o/' || (s * 10 + k) AS url, k + 1 AS page_no FROM (SELECT unnest([1, 2, 3]) AS s), (SELECT unnest([0, 1, 2, 3]) AS k)")
-def page_walk(spark, d):
-    """Three walks over next links, one of which leads back to its start."""
-    links = spark.range(10, 50).select(F.concat(F.lit("https://x.example/o/"), "id").alias("url"), F.when(F.col("id") == 32, "https://x.example/o/30").alias("back"), F.concat(F.lit("https://x.example/o/"), F.col("id") + 1).alias("on"))
-    links = links.select("url", F.explode(F.array_compact(F.array("back", "on"))).alias("next_url"))
-    pages_ = spark.range(0, 60).select(F.concat(F.lit("https://x.example/o/"), "id").alias("url"))
-    return run.walk(pages_, links, [f"https://x.example/o/{k}" for k in (10, 20, 30)], most=4).select("url", F.col("page_no").cast("long").alias("page_no"))
-
-
 @query(rf"SELECT label, CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || href END AS _detail_url FROM ({_NAV_SQL})")
 def detail_links(spark, d):
     r = R.load(_NAV + 'detail: {enabled: true, link: {css: "a"}}\n')

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import changes, incremental, profiles, rows
 from ..plans import compile as plan
+from ..plans import walk as walks
 from .recipe import Extractor, Field, Recipe
 
 _POSITION = re.compile(r":nth-(?:child|of-type|last-child)|:(?:first|last)-child|\[\d+\]")
@@ -95,17 +96,7 @@ def rerun(recipe: Recipe, result: Run, before: DataFrame, dataset: DataFrame, no
 
 def walk(pages: DataFrame, links: DataFrame, start: list[str], most: int = 20) -> DataFrame:
     """Pages reached from the start by next links, with page_no; links: url, next_url.  A page is met once."""
-    spark = pages.sparkSession
-    first = spark.sql(
-        """WITH RECURSIVE w(url, page_no) AS (
-             SELECT url, 1 FROM {start}
-             UNION ALL SELECT l.next_url, w.page_no + 1 FROM w JOIN {links} l ON w.url = l.url WHERE w.page_no < {most} AND l.next_url IS NOT NULL)
-           SELECT url, min(page_no) AS page_no FROM w GROUP BY url""",
-        start=spark.createDataFrame([(u,) for u in start], "url string"),
-        links=links.select("url", "next_url").distinct(),
-        most=most,
-    )
-    return pages.join(first, "url")
+    return walks.reached(pages, links, pages.sparkSession.createDataFrame([(u,) for u in start], "url string"), most=most)
 
 
 # ---- previews -----------------------------------------------------------------------------
