@@ -6,17 +6,12 @@ rows it got; results of the driver (a recipe read back, a schedule's next time)
 
 from __future__ import annotations
 
-import csv
 import gzip
 import json
 import re
-import tempfile
 import time
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
-from pathlib import Path
 from typing import Any
 
 import pandas as pd
@@ -30,23 +25,14 @@ from .plans import compile as plan
 from .plans import platforms, run, schedule
 from .plans import recipe as R
 from .queries import _NAV, _NAV_SQL, _folded, _two_runs, query, table
-from .sources import readers, sinks
+from .sources import places, readers, single_file, sinks
 from .streaming import control, ingest
 
 
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new place for files: below the folder all machines share where it is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='weftwork-files-')}/f"
-
-
-def _local() -> Path:
-    """A folder of the driver, for the exports that are one file."""
-    return Path(tempfile.mkdtemp(prefix="weftwork-export-"))
+    return places.shared_folder(spark)
 
 
 def _each(kind: str, f: Callable[..., Any], *columns: str):
@@ -160,32 +146,42 @@ _SHOWN = ["doc_id", "quality", "flags"]
 
 @query(_EXPORT_SQL)
 def export_csv(spark, d):
-    path = _local() / "items.csv"
-    store.export(_exported(spark, d), _SHOWN, str(path), "csv", meta=False)
-    with path.open(encoding="utf-8-sig", newline="") as f:
-        found = list(csv.reader(f))
-    return spark.createDataFrame([tuple(r) for r in found[1:]], ", ".join(f"{c} string" for c in found[0]))
+    path = f"{_folder(spark)}.csv"
+    store.export(_exported(spark, d), _SHOWN, path, "csv", meta=False)
+    return spark.read.options(header=True, multiLine=True, escape='"').csv(path).fillna("")
 
 
 @query("SELECT doc_id, quality, 'a|' || toxic AS flags FROM labels")
 def export_json(spark, d):
-    path = _local() / "items.json"
-    store.export(_exported(spark, d), _SHOWN, str(path), "json", meta=False)
-    found = json.loads(path.read_text(encoding="utf-8"))
-    return spark.createDataFrame([(r["doc_id"], r.get("quality"), "|".join(r["flags"])) for r in found], "doc_id long, quality int, flags string")
+    path = f"{_folder(spark)}.json"
+    store.export(_exported(spark, d), _SHOWN, path, "json", meta=False)
+    found = spark.read.schema("doc_id long, quality int, flags array<string>").option("multiLine", True).json(path)
+    return found.select("doc_id", "quality", F.array_join("flags", "|").alias("flags"))
 
 
 @query(_EXPORT_SQL)
 def export_xlsx(spark, d):
-    path = _local() / "items.xlsx"
-    store.export(_exported(spark, d), _SHOWN, str(path), "xlsx", meta=False)
-    with zipfile.ZipFile(path) as z:
-        sheet = z.read("xl/worksheets/sheet1.xml").decode()
-    found = []
-    for line in re.findall(r"<row [^>]*>(.*?)</row>", sheet):
-        cells = dict(re.findall(r'<c r="([A-Z]+)\d+"[^>]*><is><t[^>]*>(.*?)</t>', line))
-        found.append(tuple(cells.get(c, "") for c in "ABC"))
-    return spark.createDataFrame(found[1:], ", ".join(f"{c} string" for c in found[0]))
+    path = f"{_folder(spark)}.xlsx"
+    store.export(_exported(spark, d), _SHOWN, path, "xlsx", meta=False)
+    return single_file.workbook(spark, path).select(*_SHOWN).fillna("")
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFE}\x{FFFF}]', '', 'g')) AS text, n_chars FROM documents""")
+def export_texts_xlsx(spark, d):
+    """Whole texts with quotes, line ends and markup through a workbook and back."""
+    path = f"{_folder(spark)}.xlsx"
+    docs = table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    store.export(docs.repartition(5, "doc_id"), ["doc_id", "text", "n_chars"], path, "xlsx")
+    return single_file.workbook(spark, path).select(F.col("doc_id").cast("long"), F.md5("text").alias("text"), F.col("n_chars").cast("long"))
+
+
+@query("SELECT doc_id, md5(text) AS text, lang FROM documents")
+def export_texts_csv(spark, d):
+    """Whole texts through one CSV file and back."""
+    path = f"{_folder(spark)}.csv"
+    store.export(table(spark, d, "documents").select("doc_id", "text", "lang").repartition(5, "doc_id"), ["doc_id", "text", "lang"], path, "csv")
+    read = spark.read.schema("doc_id long, text string, lang string").options(header=True, multiLine=True, escape='"', lineSep="\r\n")
+    return read.csv(path).select("doc_id", F.md5("text").alias("text"), "lang")
 
 
 @query("SELECT i AS place, c AS name FROM (VALUES (0, 'doc_id'), (1, 'quality'), (2, 'flags'), (3, '_url')) t(i, c)")

@@ -61,19 +61,13 @@ def export_fields(runs: DataFrame, versions: DataFrame) -> DataFrame:
     return both.select("run_id", names["fields"]["name"].alias("fields"))
 
 
-def export(items: DataFrame, fields: Sequence[str], path: str, fmt: str, meta: bool = True) -> int | None:
-    """items to one of the formats, the recipe's fields first; the number of rows where a single file is written."""
+def export(items: DataFrame, fields: Sequence[str], path: str, fmt: str, meta: bool = True) -> None:
+    """items to one of the formats, the recipe's fields first."""
     columns = sinks.column_order(fields, items.columns, meta)
-    match fmt.lower():
-        case "csv":
-            return sinks.csv_file(items, path, columns)
-        case "json":
-            return sinks.json_file(items, path, columns)
-        case "xlsx":
-            return sinks.xlsx_file(items, path, columns)
-        case "jsonl":
-            return sinks.write_jsonl(items, path, columns)
-    raise ValueError(f"no format {fmt!r}")
+    write = {"csv": sinks.csv_file, "json": sinks.json_file, "xlsx": sinks.xlsx_file, "jsonl": sinks.write_jsonl}.get(fmt.lower())
+    if write is None:
+        raise ValueError(f"no format {fmt!r}")
+    write(items, path, columns)
 
 
 # ---- dataset ------------------------------------------------------------------------------

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import zipfile
 from collections.abc import Sequence
-from pathlib import Path
-from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a sheet, by its format.
-SHEET_ROWS = 1_048_576
+from . import single_file
+
 META = ("_url", "_page_url", "_fetched_at", "_tier")
 
 
@@ -48,83 +44,21 @@ def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     cells(df, columns).write.mode("overwrite").option("header", "true").option("emptyValue", "").csv(path)
 
 
-def csv_file(df: DataFrame, path: str, columns: Sequence[str]) -> int:
-    """One CSV file with a byte-order mark; all rows pass the driver, partition by partition (write_csv has no such bound)."""
-    import csv
-
-    n = 0
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        out = csv.writer(f)
-        out.writerow(columns)
-        for n, row in enumerate(cells(df, columns).toLocalIterator(), 1):
-            out.writerow(["" if x is None else x for x in row])
-    return n
-
-
-def json_file(df: DataFrame, path: str, columns: Sequence[str]) -> int:
-    """One indented JSON array; all rows pass the driver, partition by partition (write_jsonl has no such bound)."""
-    n = 0
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for n, line in enumerate(df.select(*columns).toJSON().toLocalIterator(), 1):
-            f.write(("," if n > 1 else "") + "\n" + "\n".join("  " + x for x in json.dumps(json.loads(line), ensure_ascii=False, indent=2).splitlines()))
-        f.write("\n]\n")
-    return n
-
-
-def xlsx_file(df: DataFrame, path: str, columns: Sequence[str], sheet: str = "Items") -> int:
-    """One sheet: bold header that stays in view, widths from the first 200 rows, a filter over all.
-
-    Rows pass the driver one by one; more than a sheet can hold are refused before anything is written.
-    """
-    if df.limit(SHEET_ROWS).count() == SHEET_ROWS:
-        raise ValueError(f"a sheet holds {SHEET_ROWS - 1} rows besides its header; write CSV instead")
-    rows, widths, n = [], [len(c) for c in columns], 0
-
-    def line(values: Sequence[str | None], k: int, style: int) -> str:
-        parts = []
-        for i, v in enumerate(values):
-            if v is not None and v != "":
-                parts.append(f'<c r="{_letters(i)}{k}" t="inlineStr" s="{style}"><is><t xml:space="preserve">{escape(_legal(v))}</t></is></c>')
-        return f'<row r="{k}">{"".join(parts)}</row>'
-
-    body = Path(f"{path}.sheet")
-    with body.open("w", encoding="utf-8") as f:
-        f.write(line(columns, 1, 1))
-        for n, row in enumerate(cells(df, columns).toLocalIterator(), 1):
-            if n <= 200:
-                widths = [max(w, len(v or "")) for w, v in zip(widths, row, strict=True)]
-            f.write(line(row, n + 1, 0))
-    cols = "".join(f'<col min="{i}" max="{i}" width="{min(max(10, w + 2), 60)}" customWidth="1"/>' for i, w in enumerate(widths, 1))
-    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    head = f'<?xml version="1.0" encoding="UTF-8"?><worksheet {ns}><sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews><cols>{cols}</cols><sheetData>'
-    tail = f'</sheetData><autoFilter ref="A1:{_letters(max(0, len(columns) - 1))}{n + 1}"/></worksheet>'
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>')
-        z.writestr("_rels/.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet[:31])}" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/styles" Target="styles.xml"/></Relationships>')
-        z.writestr("xl/styles.xml", f'<?xml version="1.0" encoding="UTF-8"?><styleSheet {ns}><fonts count="2"><font/><font><b/></font></fonts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FFD9D9D9"/></patternFill></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/></cellXfs></styleSheet>')
-        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as out, body.open("rb") as f:
-            out.write(head.encode())
-            while chunk := f.read(1 << 20):
-                out.write(chunk)
-            out.write(tail.encode())
-    body.unlink()
-    return n
-
-
-def _letters(i: int) -> str:
-    out = ""
-    i += 1
-    while i:
-        i, r = divmod(i - 1, 26)
-        out = chr(65 + r) + out
-    return out
-
-
-def _legal(text: str) -> str:
-    return "".join(c for c in str(text) if c in "\t\n\r" or ord(c) >= 32)
+def csv_file(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """One CSV file with a byte-order mark; tasks write its parts (write_csv leaves them apart)."""
+    single_file.write(cells(df, columns), path, "csv")
+
+
+def json_file(df: DataFrame, path: str, columns: Sequence[str]) -> None:
+    """One indented JSON array; tasks write its parts (write_jsonl leaves lines in files of their own)."""
+    single_file.write(df.select(F.to_json(F.struct(*columns)).alias("value")), path, "json")
+
+
+def xlsx_file(df: DataFrame, path: str, columns: Sequence[str], sheet: str = "Items") -> None:
+    """One workbook; numbers and truth values stay such, and what a sheet cannot hold goes on in the next."""
+    plain = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.BooleanType)
+    shown = [F.col(c) if isinstance(df.schema[c].dataType, plain) else cell(df, c).alias(c) for c in columns]
+    single_file.write(df.select(*shown), path, "xlsx", sheet=sheet)
 
 
 def append_columns(old: DataFrame, new: DataFrame) -> DataFrame:
