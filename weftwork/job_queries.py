@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .functions import urls
+from .more_queries import _maps
+from .operators import store
 from .plans import walk
 from .queries import query, table
+from .sources import formats, places, readers
+from .streaming import ingest
 
 # ---- page walks ---------------------------------------------------------------------------
 
@@ -55,3 +60,79 @@ def page_walk_stops(spark, d):
     ahead = p.select("url", F.lead("url").over(Window.partitionBy("host").orderBy("page_id")).alias("next_url"))
     items = p.select("url", "host", F.expr("split_part(split_part(url, '://', 2), '/', 2)").alias("lang"))
     return walk.walk(ahead, start, items=items, keys=["host", "lang"])
+
+
+# ---- stored files as tables ---------------------------------------------------------------
+
+
+@query("SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS seed_no FROM pages WHERE NOT contains(url, '?')")
+def seed_scan(spark, d):
+    """A list of seeds in files, numbered in its order, and the stored pages of each."""
+    p, folder = table(spark, d, "pages"), places.shared_folder(spark)
+    p.where("NOT contains(url, '?')").orderBy("page_id").select("url").write.text(folder)
+    return readers.seed_pages(formats.log_lines(spark, folder), p).select("page_id", "seed_no")
+
+
+def _event_lines(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select("event_id", F.to_json(F.struct("event_id", F.col("event_type").alias("t"), "props")).alias("value"))
+
+
+@query("SELECT event_id, event_type AS t, props FROM events")
+def log_lines(spark, d):
+    """Files of lines, read by many small ranges of bytes."""
+    folder = places.shared_folder(spark)
+    _event_lines(spark, d).select("value").write.text(folder)
+    return formats.events_of(formats.log_lines(spark, folder, bytes="4000"), "event_id long, t string, props string").select("event_id", "t", "props")
+
+
+@query("SELECT event_id FROM (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 700)")
+def log_tail(spark, d):
+    """The last lines over the files of a log."""
+    folder = places.shared_folder(spark)
+    _event_lines(spark, d).orderBy("event_id").select("value").write.text(folder)
+    return formats.events_of(store.log_tail(spark, folder, 700), "event_id long, t string").select("event_id")
+
+
+@query("SELECT event_id, t FROM (SELECT event_id, event_type AS t FROM events WHERE event_type IN ('click', 'view') ORDER BY event_id DESC LIMIT 50)")
+def log_events_tail(spark, d):
+    """The last events of some kinds of a log."""
+    folder = places.shared_folder(spark)
+    _event_lines(spark, d).orderBy("event_id").select("value").write.text(folder)
+    fit = formats.events_of(formats.log_lines(spark, folder), "event_id long, t string", ("click", "view"))
+    return fit.orderBy(F.desc("file"), F.desc("offset")).limit(50).select("event_id", "t")
+
+
+@query("SELECT event_id, 1 AS times FROM events")
+def log_stream_restarted(spark, d):
+    """A stream over logs that grow, one of them in the middle of a line, stopped and started again: no line is lost or told twice."""
+    folder, work = places.shared_folder(spark), places.shared_folder(spark)
+    logs = _event_lines(spark, d).groupBy((F.col("event_id") % 7).alias("g")).agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("l"))
+    logs = logs.select("g", F.concat(F.array_join(F.transform("l", lambda x: x["value"]), "\n"), F.lit("\n")).alias("text"))
+    name, out = F.concat(F.lit("run-"), "g", F.lit(".log")).alias("name"), None
+    for files, shown in ((logs.where("g < 4"), F.expr("substring(text, 1, length(text) * (g + 1) div 8)")), (logs.where("g < 6"), F.expr("substring(text, 1, length(text) * (g + 2) div 8)")), (logs, F.col("text"))):
+        formats.store_files(files.select(name, F.encode(shown, "utf-8").alias("content")), folder)
+        lines = formats.events_of(formats.log_stream(spark, folder, bytes="20000"), "event_id long, t string").select("event_id")
+        out = ingest.drained(lines, f"{work}/out", f"{work}/state")
+    return out.groupBy("event_id").agg(F.count("*").alias("times"))
+
+
+def _stored_maps(spark, d) -> DataFrame:
+    """The sitemaps of the pages as files, read entry by entry."""
+    folder = places.shared_folder(spark)
+    formats.store_files(_maps(spark, d).select(F.substring_index("url", "/", -1).alias("name"), F.encode("body", "utf-8").alias("content")), folder)
+    entries = formats.sitemap_files(spark, folder, bytes="100000")
+    base = F.concat(F.lit("https://x.example/maps/"), F.substring_index("file", "/", -1))
+    return entries.select(base.alias("base"), "kind", "pos", urls.resolve(base, F.col("loc")).alias("loc"), "lastmod")
+
+
+@query("SELECT 'https://x.example/maps/s' || page_id % 7 || '.xml' AS base, url AS loc, '2024-01-0' || (page_id % 9 + 1) AS lastmod, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) - 1 AS pos FROM pages")
+def sitemap_files(spark, d):
+    return _stored_maps(spark, d).where("kind = 'urlset'").select("base", "loc", "lastmod", "pos")
+
+
+@query("SELECT url AS loc, '2024-01-0' || (page_id % 9 + 1) AS lastmod FROM pages")
+def sitemap_walk(spark, d):
+    """Addresses under an index that names another index."""
+    start = spark.createDataFrame([("https://x.example/maps/index.xml",)], "url string")
+    return readers.sitemap_walk(_stored_maps(spark, d), start)

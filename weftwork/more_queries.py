@@ -55,13 +55,6 @@ def _each(kind: str, f: Callable[..., Any], *columns: str):
 # ---- sources ------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS seed_no FROM pages WHERE page_id % 10 = 0")
-def seed_scan(spark, d):
-    p = table(spark, d, "pages")
-    seeds = [r.url for r in p.where("page_id % 10 = 0").orderBy("page_id").collect()]
-    return readers.seed_pages(spark, seeds, p).select("page_id", F.col("seed_no").cast("long").alias("seed_no"))
-
-
 @query("SELECT page_id, md5(CASE WHEN page_id % 4 = 3 THEN 'broken' ELSE url END) AS body FROM pages")
 def gzip_documents(spark, d):
     pack = _each("binary", lambda u, i: b"broken" if i % 4 == 3 else gzip.compress(u.encode()) if i % 2 == 0 else u.encode(), "url", "page_id")
@@ -125,13 +118,6 @@ def jsonl_tolerant(spark, d):
     return readers.json_lines(spark, folder, "event_id long, event_type string", strict=False)
 
 
-@query("SELECT 'line ' || event_id AS line FROM (SELECT event_id FROM events ORDER BY event_id DESC LIMIT 20)")
-def log_tail(spark, d):
-    folder = _folder(spark)
-    table(spark, d, "events").orderBy("event_id").select(F.concat(F.lit("line "), "event_id").alias("value")).coalesce(1).write.text(folder)
-    return spark.createDataFrame([(x,) for x in store.log_tail(spark, folder, 20)], "line string")
-
-
 # ---- exports ------------------------------------------------------------------------------
 
 _EXPORT_SQL = "SELECT cast(doc_id AS varchar) AS doc_id, coalesce(cast(quality AS varchar), '') AS quality, 'a; ' || toxic AS flags FROM labels"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.values import dataset_id
-from ..sources import sinks
+from ..sources import formats, sinks
 
 VERSIONS = "recipe_id string, version int, data string, note string, archived boolean, at timestamp"
 
@@ -165,7 +165,6 @@ def stored_bytes(spark: SparkSession, folder: str) -> int:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
-def log_tail(spark: SparkSession, path: str, last: int = 200) -> list[str]:
-    """The last lines of a log, by a top-k over the places of its blocks and the lines in them."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
-    return [r.value for r in reversed(lines.orderBy(F.col("at").desc(), F.col("n").desc()).limit(max(0, last)).collect())]
+def log_tail(spark: SparkSession, path: str, last: int = 200) -> DataFrame:
+    """The last lines of a log in order (file, offset, line); no more than their bytes are read."""
+    return formats.log_lines(spark, path, last=last).orderBy("file", "offset")

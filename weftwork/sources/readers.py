@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import urls
+from ..operators import rows
+from ..plans import walk
 
 
-def seed_pages(spark: SparkSession, seeds: Sequence[str], pages: DataFrame) -> DataFrame:
-    """The stored pages of the seeds, numbered in the order given."""
-    asked = spark.createDataFrame([(s, i) for i, s in enumerate(seeds)], "url string, seed_no int")
-    return pages.join(asked, "url")  # the optimiser knows the size of a list of the driver's
+def seed_pages(seeds: DataFrame, pages: DataFrame, order: Sequence[str] = ("file", "offset"), url: str = "line") -> DataFrame:
+    """The stored pages of the seeds, with seed_no from 0 in the order of the list; seeds as `log_lines` reads them."""
+    asked = rows.numbered(seeds.select(*order, F.trim(url).alias("url")).where("url <> ''"), list(order))
+    first = asked.groupBy("url").agg(F.min("n").alias("n"))
+    return pages.join(first, "url").withColumn("seed_no", F.col("n") - 1).drop("n")
 
 
 def clean_urls(df: DataFrame, text: str = "text", key: str | None = None, limit: int | None = None) -> DataFrame:
@@ -82,6 +85,16 @@ def sitemap_urls(maps: DataFrame, start: Sequence[str], levels: int = 2, childre
     return out.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("loc", "lastmod", "base", "pos").orderBy("base", "pos").limit(most).select("loc", "lastmod")
 
 
+def sitemap_walk(entries: DataFrame, start: DataFrame, levels: int = 2) -> DataFrame:
+    """loc, lastmod of each address under the starting sitemaps, however wide their indexes: a walk over index entries.
+
+    entries: base, kind, pos, loc, lastmod of all stored sitemaps, loc resolved; start: url.  Of a repeated address the first entry."""
+    links = entries.where("kind = 'sitemapindex'").select(F.col("base").alias("url"), F.col("loc").alias("next_url"))
+    reached = walk.walk(links, start, most=levels + 1)
+    found = entries.where("kind = 'urlset'").join(reached.select(F.col("url").alias("base")), "base")
+    return found.groupBy("loc").agg(F.min_by("lastmod", F.struct("base", "pos")).alias("lastmod"))
+
+
 def selected_urls(entries: DataFrame, include: str | None = None, exclude: str | None = None, seen: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Sitemap entries (loc, lastmod, base, pos) whose address fits and was not met, the first of each, in their order."""
     fit = entries.where(urls.allowed(F.col("loc"), include, exclude))
