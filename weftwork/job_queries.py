@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from .functions import urls
 from .more_queries import _maps
-from .operators import store
+from .operators import dataset_store, store
 from .plans import walk
-from .queries import query, table
+from .queries import _two_runs, query, table
 from .sources import formats, places, readers
 from .streaming import ingest
 
@@ -136,3 +136,41 @@ def sitemap_walk(spark, d):
     """Addresses under an index that names another index."""
     start = spark.createDataFrame([("https://x.example/maps/index.xml",)], "url string")
     return readers.sitemap_walk(_stored_maps(spark, d), start)
+
+
+# ---- the stored dataset -------------------------------------------------------------------
+
+
+def _store(spark) -> dataset_store.DatasetStore:
+    return dataset_store.DatasetStore(spark, places.shared_folder(spark, "dataset"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+_KEYED = {"recipe_id": "r1", "keys": ["o_orderkey"], "order": ["_n"]}
+
+
+@query("""SELECT substr(sha1('r1|' || o_orderkey), 1, 24) AS id, cast(o_orderkey AS varchar) AS key, CASE WHEN o_orderkey % 10 IN (1, 2) THEN 1 ELSE 2 END AS runs, CASE WHEN o_orderkey % 10 = 3 THEN 1 ELSE 0 END AS changes, o_orderkey % 10 = 2 AS gone,
+  CASE o_orderkey % 10 WHEN 1 THEN 'added' WHEN 2 THEN 'gone' WHEN 3 THEN 'changed' ELSE 'unchanged' END AS action, CASE WHEN o_orderkey % 10 = 3 THEN o_custkey + 1 ELSE o_custkey END AS custkey FROM orders""")
+def dataset_stored(spark, d):
+    """Two whole runs into a stored dataset."""
+    s, (old, new) = _store(spark), _two_runs(spark, d)
+    s.fold(old, now=F.lit("2024-01-01"), **_KEYED)
+    s.fold(new, now=F.lit("2024-01-02"), **_KEYED)
+    both = s.rows().join(s.actions().select("id", "action"), "id", "left")
+    return both.select("id", "key", "runs", "changes", "gone", "action", F.col("data")["o_custkey"].cast("bigint").alias("custkey"))
+
+
+@query("""SELECT cast(o_orderkey AS varchar) AS key, CASE WHEN o_orderkey % 100 = 7 THEN 3 WHEN o_orderkey % 100 = 8 THEN 2 ELSE 1 END AS runs,
+  CASE WHEN o_orderkey % 100 = 7 THEN 2 ELSE 0 END AS changes, CASE WHEN o_orderkey % 100 = 7 THEN o_custkey + 2 ELSE o_custkey END AS custkey,
+  CASE WHEN o_orderkey % 100 = 7 THEN o_custkey || ' ' || (o_custkey + 1) ELSE '' END AS before,
+  CASE WHEN o_orderkey % 100 = 7 THEN 'changed' WHEN o_orderkey % 100 = 8 THEN 'unchanged' END AS action, false AS gone FROM orders""")
+def dataset_stored_partial(spark, d):
+    """A whole run, then two of a hundredth of its keys each, which leave its table as it is."""
+    s, o = _store(spark), table(spark, d, "orders")
+    o = o.select("o_orderkey", "o_custkey", F.lit(1).alias("_n"), F.concat(F.lit("/o/"), "o_orderkey").alias("_url"))
+    s.fold(o, now=F.lit("2024-01-01"), **_KEYED)
+    for k, hit in ((1, "= 7"), (2, "IN (7, 8)")):
+        few = o.where(f"o_orderkey % 100 {hit}").withColumn("o_custkey", F.expr(f"CASE WHEN o_orderkey % 100 = 7 THEN o_custkey + {k} ELSE o_custkey END"))
+        s.fold(few, now=F.lit(f"2024-01-0{k + 1}"), partial=True, **_KEYED)
+    before = F.array_join(F.transform("history", lambda h: h["diff"]["o_custkey"]["old"]), " ")
+    both = s.rows().join(s.actions().select("id", "action"), "id", "left")
+    return both.select("key", "runs", "changes", F.col("data")["o_custkey"].cast("bigint").alias("custkey"), before.alias("before"), "action", "gone")

@@ -68,6 +68,11 @@ def diff_samples(feed: DataFrame, most: int = 25) -> DataFrame:
 _DATASET = "id string, recipe_id string, key string, url string, data map<string,string>, first_seen timestamp, last_seen timestamp, last_changed timestamp, changes int, runs int, gone boolean, history array<struct<at timestamp, diff map<string,struct<old string, new string>>>>"
 
 
+def run_ids(rows: DataFrame, recipe_id: str, keys: Sequence[str]) -> DataFrame:
+    """The dataset ids of a run's rows."""
+    return rows.select(dataset_id(recipe_id, row_key(*keys)).alias("id")).distinct()
+
+
 def empty_dataset(spark) -> DataFrame:
     return spark.createDataFrame([], _DATASET)
 
@@ -80,12 +85,19 @@ def _bounded(history: Column, most: int) -> Column:
 def fold(dataset: DataFrame, rows: DataFrame, recipe_id: str, keys: Sequence[str], order: Sequence[str], now: Column, partial: bool = False, history: int = HISTORY) -> DataFrame:
     """The dataset after a run, with `action` per row: added, changed, unchanged, gone or null.
 
-    One full outer join on the dataset's id; the caller writes the result to a new place.
+    One full outer join on the dataset's id; the caller writes the result to a new place
+    (`dataset_store` keeps it in buckets, which a run of few keys leaves where they are).
     """
+    mine, others = dataset.where(F.col("recipe_id") == recipe_id), dataset.where(F.col("recipe_id") != recipe_id)
+    out = fold_own(mine, rows, recipe_id, keys, order, now, partial, history)
+    return out.unionByName(others.withColumn("action", F.lit(None).cast("string")))
+
+
+def fold_own(mine: DataFrame, rows: DataFrame, recipe_id: str, keys: Sequence[str], order: Sequence[str], now: Column, partial: bool = False, history: int = HISTORY) -> DataFrame:
+    """`fold` where all rows of the dataset are this recipe's."""
     fields = [c for c in rows.columns if not c.startswith("_") and c not in order]
     run = keyed(rows, keys, fields, order)
     run = run.select(dataset_id(recipe_id, F.col("_key")).alias("_id"), "_key", "_row", F.coalesce("_url", F.lit("")).alias("_url"))
-    mine, others = dataset.where(F.col("recipe_id") == recipe_id), dataset.where(F.col("recipe_id") != recipe_id)
     j = mine.join(run, F.col("id") == F.col("_id"), "full_outer")
     known, seen = F.col("id").isNotNull(), F.col("_id").isNotNull()
     # worked out once, below; several columns read it
@@ -96,7 +108,7 @@ def fold(dataset: DataFrame, rows: DataFrame, recipe_id: str, keys: Sequence[str
     when = now.cast("timestamp")
     longer = F.concat("history", F.array(F.struct(when.alias("at"), d.alias("diff"))))
     none = F.array().cast(T._parse_datatype_string(_DATASET)["history"].dataType)
-    out = j.select(
+    return j.select(
         F.coalesce("id", "_id").alias("id"),
         F.lit(recipe_id).alias("recipe_id"),
         F.coalesce("key", "_key").alias("key"),
@@ -111,7 +123,6 @@ def fold(dataset: DataFrame, rows: DataFrame, recipe_id: str, keys: Sequence[str
         F.when(differs, _bounded(longer, history)).otherwise(F.coalesce("history", none)).alias("history"),
         F.when(seen & ~known, "added").when(differs, "changed").when(seen, "unchanged").when(lost, "gone").alias("action"),
     )
-    return out.unionByName(others.withColumn("action", F.lit(None).cast("string")))
 
 
 def fold_counts(folded: DataFrame) -> DataFrame:
