@@ -10,9 +10,9 @@ from .functions import urls
 from .more_queries import _maps
 from .operators import dataset_store, sketches, store
 from .plans import walk
-from .queries import _two_runs, query, table
+from .queries import _HIST_SQL, SQL, _two_runs, query, table
 from .sources import formats, places, readers
-from .streaming import ingest
+from .streaming import ingest, state
 
 # ---- page walks ---------------------------------------------------------------------------
 
@@ -227,3 +227,43 @@ def profile_drift(spark, d):
     t = table(spark, d, "lineitem").withColumn("run_id", F.expr("l_linenumber + 7 * (l_orderkey % 4)"))
     t = t.select("run_id", F.expr("l_extendedprice * CASE WHEN run_id % 6 = 0 THEN 3 ELSE 1 END").alias("price"), F.expr("l_quantity + CASE WHEN run_id = 9 THEN 30 ELSE 0 END").alias("quantity"))
     return sketches.drift(sketches.sketched(t, ["price", "quantity"]), ["run_id"]).where("drifted").select("run_id", "field")
+
+
+# ---- state on streams ---------------------------------------------------------------------
+
+
+def _arriving(spark, d, name: str, columns: list, rule) -> DataFrame:
+    """What a rule on the events tells, which arrive in two files, some late in the second; the stream is stopped in between and ends with a row that moves its clock on."""
+    folder, work = places.shared_folder(spark, name), places.shared_folder(spark, name)
+    e = table(spark, d, "events").select(F.timestamp_seconds(F.col("event_id") * 60).alias("ts"), F.col("event_id").alias("seq"), *columns)
+    # every eleventh row of the last hour before the middle comes with the second half
+    middle = table(spark, d, "events").select((F.max("event_id") / 2).cast("long")).first()[0]
+    late = f"seq > {middle} - 60 AND seq <= {middle} AND seq % 11 = 0"
+    last = e.groupBy().agg(*[F.max(c).alias(c) for c in e.columns]).withColumn("ts", F.expr("ts + INTERVAL 3 HOURS"))
+    out = None
+    for k, part in enumerate((e.where(f"seq <= {middle} AND NOT ({late})"), e.where(f"seq > {middle} OR ({late})"), last)):
+        part.write.mode("append").parquet(f"{folder}/{k}")
+        arrived = spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(folder)
+        out = ingest.drained(rule(arrived), f"{work}/out", f"{work}/state")
+    return out
+
+
+@query(
+    SQL["backoff_state"].replace("SELECT user_id AS domain", "SELECT f.user_id AS domain").replace(" FROM f GROUP BY user_id", ", any_value(t.tier) AS tier FROM f LEFT JOIN t USING (user_id) GROUP BY f.user_id").replace("WITH RECURSIVE e AS", """WITH RECURSIVE t AS (SELECT user_id, arg_max(CASE WHEN value > 50 THEN 'browser' ELSE 'http' END, event_id) AS tier FROM events WHERE event_type = 'click' AND (event_id % 2 > 0 OR value > 50) GROUP BY user_id),
+ e AS""")
+)
+def stream_backoff(spark, d):
+    """Penalties, delays and tiers of a stream with late rows and a restart: those of all events in order."""
+    verdict = F.expr("CASE WHEN event_type IN ('error', 'view') THEN 'blocked' WHEN event_type = 'click' THEN 'ok' ELSE 'none' END").alias("verdict")
+    columns = [F.col("user_id").alias("domain"), verdict, F.expr("CASE WHEN value > 50 THEN 'browser' ELSE 'http' END").alias("tier"), (F.col("event_id") % 2).cast("int").alias("attempts")]
+    told = _arriving(spark, d, "backoff", columns, lambda s: state.backoff(s, "2 hours"))
+    return told.groupBy("domain").agg(*[F.max_by(c, "seq").alias(c) for c in ("penalty", "delay", "tier")])
+
+
+@query(f"""SELECT cast(run_id AS varchar) AS run_id, field, seq, rate, best AS best_before FROM (SELECT *, row_number() OVER (PARTITION BY run_id, field ORDER BY seq) AS k FROM
+ (SELECT *, row_number() OVER w AS n, max(rate) OVER (PARTITION BY run_id, field ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {_HIST_SQL} WINDOW w AS (PARTITION BY run_id, field ORDER BY seq)) WHERE n >= 3 AND rate <= 0.25 AND best >= 0.8) WHERE k = 1""")
+def stream_drift(spark, d):
+    """Drift alerts of a stream with late rows and a restart."""
+    rate = F.expr("CASE WHEN event_id % 9 = 0 THEN 0.1D WHEN event_id % 4 = 0 THEN 0.9D ELSE 0.5D END").alias("rate")
+    told = _arriving(spark, d, "drift", [F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("field"), rate], lambda s: state.drift(s, "2 hours"))
+    return told.select("run_id", "field", "seq", "rate", "best_before")

@@ -678,14 +678,6 @@ def stream_counts(spark, d):
     return ingest.drained(ingest.counted(s, "event_type"), f"{work}/out", f"{work}/state", "complete")
 
 
-@query(f"""SELECT cast(run_id AS varchar) AS run_id, field, seq, rate, best AS best_before FROM (SELECT *, row_number() OVER (PARTITION BY run_id, field ORDER BY ts, seq) AS k FROM
- (SELECT *, row_number() OVER w AS n, max(rate) OVER (PARTITION BY run_id, field ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM {_HIST_SQL} WINDOW w AS (PARTITION BY run_id, field ORDER BY ts, seq)) WHERE n >= 3 AND rate <= 0.25 AND best >= 0.8) WHERE k = 1""")
-def stream_drift(spark, d):
-    s, work = _stream(spark, d)
-    rates = s.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("field"), "ts", F.col("event_id").alias("seq"), F.expr("CASE WHEN event_id % 9 = 0 THEN 0.1D WHEN event_id % 4 = 0 THEN 0.9D ELSE 0.5D END").alias("rate"))
-    return ingest.drained(ingest.drift(rates), f"{work}/out", f"{work}/state")
-
-
 # ---- sitemaps and robots ------------------------------------------------------------------
 
 

@@ -1,17 +1,13 @@
-"""Run events as a stream: fan-out by kind, keyed de-duplication, counters, drift of fill rates."""
+"""Run events as a stream: fan-out by kind, keyed de-duplication, counters (`state` has what hangs on order)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.monitor import HIGH, LEAST, LOW
 
 EVENT = "t string, ts timestamp, run_id string, seq long, url string, field string, rate double, row string"
 
@@ -37,26 +33,6 @@ def counted(events: DataFrame, kind: str = "t") -> DataFrame:
     return events.groupBy(kind).agg(F.count(F.lit(1)).alias("events"))
 
 
-def drift(events: DataFrame, by: Sequence[str] = ("run_id", "field")) -> DataFrame:
-    """by, seq, rate, best_before: one alert per field, as state of two numbers and a flag."""
-    schema = ", ".join([*(f"{c} string" for c in by), "seq long", "rate double", "best_before double"])
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, best, told = state.get if state.exists else (0, -1.0, False)
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        out: list[tuple[Any, ...]] = []
-        for seq, rate in zip(rows["seq"].tolist(), rows["rate"].tolist(), strict=True):
-            seen += 1
-            if not told and seen >= LEAST and rate <= LOW and best >= HIGH:
-                out.append((*map(str, key), seq, rate, best))
-                told = True
-            best = max(best, rate)
-        state.update((seen, best, told))
-        yield pd.DataFrame(out, columns=[*by, "seq", "rate", "best_before"])
-
-    return events.groupBy(*by).applyInPandasWithState(step, schema, "seen long, best double, told boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def fan_out(events: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, trigger: dict[str, Any] | None = None, kind: str = "t") -> StreamingQuery:
     """Each micro-batch, split by kind; a sink gets its rows and the batch number, by which it can be idempotent."""
 
