@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .dom import nodes
 from .functions import urls
 from .more_queries import _maps
-from .operators import dataset_store, sketches, store
+from .operators import dataset_store, sketches, store, structure
 from .plans import walk
 from .queries import _HIST_SQL, SQL, _two_runs, query, table
 from .sources import formats, places, readers
@@ -267,3 +268,89 @@ def stream_drift(spark, d):
     rate = F.expr("CASE WHEN event_id % 9 = 0 THEN 0.1D WHEN event_id % 4 = 0 THEN 0.9D ELSE 0.5D END").alias("rate")
     told = _arriving(spark, d, "drift", [F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("field"), rate], lambda s: state.drift(s, "2 hours"))
     return told.select("run_id", "field", "seq", "rate", "best_before")
+
+
+# ---- the structure of pages as a table ----------------------------------------------------
+
+
+def _nodes(spark, d) -> DataFrame:
+    """The nodes of all pages, parsed once and stored."""
+    folder = places.shared_folder(spark, "nodes")
+    nodes.nodes(table(spark, d, "pages")).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _count(tag: str) -> str:
+    return f"len(regexp_extract_all(html, '<{tag}[ >]'))"
+
+
+@query(f"SELECT page_id, t.tag, t.n FROM pages, LATERAL (SELECT unnest([{', '.join(f'{{tag: {t!r}, n: {_count(t)}}}' for t in ('a', 'article', 'b', 'br', 'div', 'h1', 'li', 'meta', 'nav', 'p', 'script', 'ul'))}]) AS t) WHERE t.n > 0")
+def node_tags(spark, d):
+    """Elements of each page by tag."""
+    tags = ("a", "article", "b", "br", "div", "h1", "li", "meta", "nav", "p", "script", "ul")
+    return _nodes(spark, d).where(F.col("tag").isin(*tags)).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+@query(r"SELECT page_id, md5(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&')) AS title, md5(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&')) AS h1, md5(list_reduce(list_prepend('', regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)), lambda a, b: a || b)) AS menu FROM pages".replace('\\"', '"'))
+def node_texts(spark, d):
+    """Texts below an element, from the numbers of the nodes inside it."""
+    n = _nodes(spark, d)
+    roots = n.where("tag IN ('title', 'h1', 'ul')").select("page_id", F.col("pre").alias("first"), "post", "tag")
+    texts = n.where("tag = '#text'").select("page_id", "pre", "own")
+    whole = roots.join(texts, "page_id").where("pre > first AND pre <= post").groupBy("page_id", "tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "own"))), lambda x: x["own"]), "").alias("text"))
+    wide = whole.groupBy("page_id").agg(*[F.md5(F.coalesce(F.max(F.when(F.col("tag") == t, F.col("text"))), F.lit(""))).alias(c) for t, c in (("title", "title"), ("h1", "h1"), ("ul", "menu"))])
+    return wide
+
+
+@query(f"SELECT page_id, s.selector, s.items FROM pages, LATERAL (SELECT unnest([{{selector: 'ul > li', items: {_count('li')}}}, {{selector: 'article > p', items: {_count('p')}}}]) AS s) WHERE s.items >= 3 AND (s.selector = 'article > p' OR (SELECT avg(length(trim(x))) FROM (SELECT unnest(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)) AS x)) >= 8)")
+def page_containers(spark, d):
+    """Groups of like siblings with enough text to be items."""
+    return structure.containers(_nodes(spark, d)).select("page_id", "selector", "items")
+
+
+@query(f"SELECT {_HOST} AS host, cast(sum({_count('p')}) AS BIGINT) AS items, count(*) AS pages FROM pages WHERE {_count('p')} >= 3 GROUP BY 1")
+def site_containers(spark, d):
+    """The best container of each host, by all its pages together."""
+    hosts = table(spark, d, "pages").select("page_id", F.expr(_HOST).alias("host"))
+    found = structure.containers(_nodes(spark, d).join(hosts, "page_id"), by=["host"])
+    return structure.best_containers(found, ["host"]).where("selector = 'article > p'").select("host", "items", "pages")
+
+
+@query(f"SELECT page_id, CASE WHEN {_count('li')} > 3 THEN {_count('li')} - 2 ELSE 0 END AS folded FROM pages")
+def outline_folds(spark, d):
+    """How many items of the list an outline leaves out, by runs of like siblings."""
+    n = _nodes(spark, d)
+    more = structure.folded(structure.sibling_runs(n)).where("step = 'li'").groupBy("page_id").agg(F.sum("more").alias("more"))
+    return n.select("page_id").distinct().join(more, "page_id", "left").select("page_id", F.coalesce("more", F.lit(0)).alias("folded"))
+
+
+@query(r"SELECT page_id, i - 1 AS item, hrefs[i] AS href FROM (SELECT page_id, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1) AS hrefs FROM pages))".replace('\\"', '"'))
+def items_of_links(spark, d):
+    """Which item each link of a page stands in."""
+    n = _nodes(spark, d)
+    got = structure.inside(n, structure.items_by(n, "ul", "li")).where("tag = 'a'")
+    return got.select("page_id", F.col("item").cast("long").alias("item"), F.col("attrs")["href"].alias("href"))
+
+
+@query(r"SELECT page_id, 'a' AS selector, 1.0 AS fill, len(list_distinct(list_transform(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1), lambda x: trim(x)))) AS different, 'text' AS kind FROM pages".replace('\\"', '"'))
+def item_fields(spark, d):
+    """What the items of each page's list hold."""
+    n = _nodes(spark, d)
+    return structure.fields(n, structure.items_by(n, "ul", "li")).select("page_id", "selector", "fill", "different", "kind")
+
+
+@query(r"SELECT page_id, len(x) AS links, len(list_distinct(x)) AS different FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1) AS x FROM pages) WHERE len(x) >= 2 AND len(list_distinct(x)) >= 0.8 * len(x)".replace('\\"', '"'))
+def detail_vote(spark, d):
+    """Pages whose items have a link of their own: how many, and how many different ones."""
+    n = _nodes(spark, d)
+    return structure.link_votes(n, structure.items_by(n, "ul", "li")).where("preference = ''").select("page_id", "links", "different")
+
+
+@query(r"SELECT page_id, href AS needle, count(*) AS hits, count(*) AS in_items, max(n) AS fill FROM (SELECT page_id, hrefs[1] AS href, len(hrefs) AS n, unnest(hrefs) AS x FROM (SELECT page_id, regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1) AS hrefs FROM pages)) WHERE contains(lower(x), lower(href)) GROUP BY ALL".replace('\\"', '"'))
+def text_search(spark, d):
+    """The address of each page's first item, looked for in all elements: the links that hold it, all inside items that are all filled."""
+    n = _nodes(spark, d)
+    items = structure.items_by(n, "ul", "li")
+    first = structure.inside(n, items).where("tag = 'a' AND item = 0").select("page_id", F.col("attrs")["href"].alias("needle"))
+    hits = structure.text_hits(n, first, items).where("attr = 'href'")
+    return hits.groupBy("page_id", "needle").agg(F.count("*").alias("hits"), F.count("item").alias("in_items"), F.max("fill").alias("fill"))

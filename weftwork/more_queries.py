@@ -628,26 +628,6 @@ def selector_counts(spark, d):
     return table(spark, d, "pages").select("page_id", count("nav > ul > li").alias("items"), count("//nav//li").alias("by_path"), count("li:::").alias("broken"), F.lit(selectors.kind("//nav//li")).alias("kind"))
 
 
-@query(r"SELECT page_id, 'nav > ul > li' AS nothing, CASE WHEN n >= 3 THEN 'a' END AS link, CASE WHEN n >= 3 THEN 1.0 END AS same_host FROM (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages)")
-def detail_vote(spark, d):
-    def vote(html: str, url: str) -> dict | None:
-        return analysis.detail_link(selectors.nodes(tree.parse(html), "nav > ul > li"), url)
-
-    got = _each("struct<selector:string,same_host:double>", vote, "html", "url")
-    return table(spark, d, "pages").select("page_id", F.lit("nav > ul > li").alias("nothing"), got.alias("v")).select("page_id", "nothing", F.col("v.selector").alias("link"), "v.same_host")
-
-
-@query(r"SELECT page_id, regexp_extract(html, '(?s)<li><a href=\"([^\"]*)\">', 1) AS found FROM pages".replace('\\"', '"'))
-def text_search(spark, d):
-    """The first link's address, found by its own text inside the items."""
-    def find(html: str) -> str | None:
-        first = selectors.nodes(tree.parse(html), "nav li a")[0]
-        hits = reading.search(html, first.attrs["href"], "nav > ul > li")
-        return first.attrs["href"] if hits and hits[0]["in_container"] and hits[0]["attr"] == "href" else None
-
-    return table(spark, d, "pages").select("page_id", _each("string", find, "html").alias("found"))
-
-
 @query(r"SELECT page_id, '# ' || trim(regexp_replace(replace(regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS heading, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>')) AS items FROM pages")
 def markdown_parts(spark, d):
     """Of a page's Markdown: its heading, and the lines of its list."""
@@ -659,16 +639,6 @@ def markdown_parts(spark, d):
     return table(spark, d, "pages").select("page_id", got.alias("v")).select("page_id", "v.heading", "v.items")
 
 
-@query("SELECT page_id, CASE WHEN n > 3 THEN n - 2 ELSE 0 END AS folded FROM (SELECT page_id, len(regexp_extract_all(html, '<li>')) AS n FROM pages)")
-def outline_folds(spark, d):
-    """How many items of the list an outline leaves out, by its own count."""
-    def folded(html: str) -> int:
-        m = re.search(r"\+(\d+) more li\b", reading.outline(html))
-        return int(m[1]) if m else 0
-
-    return table(spark, d, "pages").select("page_id", _each("long", folded, "html").alias("folded"))
-
-
 @query("SELECT page_id, 'a.next' AS selector, 'https://x.example/list?page={page}&q=' || page_id AS template, 'button' AS more FROM pages")
 def paging_found(spark, d):
     p = table(spark, d, "pages").select("page_id", F.concat(F.lit('<body><a class="next" href="/list?page=2&amp;q='), "page_id", F.lit('">Next page</a><a href="#">load more</a><button>Show more items</button></body>')).alias("html"))
