@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftwork.llm import alignment, queries, url_templates, whitening
+from weftwork.llm import alignment, exact_dedup, queries, substrings, url_templates, whitening
 from weftwork.llm.common import table
 
 
@@ -252,3 +253,22 @@ def test_moments_merge_like_one_stream():
 def test_new_queries_read_whole_tables(spark, sf):
     assert queries.op12_url_templates(spark, sf).count() == table(spark, sf, "pages").count()
     assert queries.op13_embedding_whitening(spark, sf).select(F.countDistinct("vec_id")).first()[0] == table(spark, sf, "embeddings").count()
+
+
+# --- repeated rows of earlier operators
+
+
+def test_exact_dedup_settles_ties_alike(spark):
+    rows = [(1, "a b", "x", {"k": 1}), (1, "a  b", "y", None), (1, "a\tb", "z", {"k": 2}), (1, "a\tb", None, {"k": 3}), (2, "a b", "w", None), (3, None, "n", None), (3, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `lang.x` string, m map<string,int>")
+    got = {tuple(map(str, sorted(map(str, exact_dedup.deduplicate(docs.orderBy(*order).repartition(n)).collect())))) for n, order in ((1, ["text"]), (3, ["`lang.x`"]), (7, ["doc_id"]), (1, [F.desc("text"), F.desc("`lang.x`")]))}
+    assert len(got) == 1 and len(next(iter(got))) == 2
+
+
+def test_repeated_rows_keep_their_spans_once(spark):
+    """Thousands of equal rows: each is removed whole, in time that grows with their number."""
+    text = " ".join(f"w{k}" for k in range(400))
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).repartition(4)
+    began = time.time()
+    got = substrings.remove_repeats(docs).groupBy("n_removed", "n_spans").count().collect()
+    assert [tuple(r) for r in got] == [(len(text), 1, 4000)] and time.time() - began < 60

@@ -239,9 +239,15 @@ def groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", budget: i
 
 
 def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text", budget: int = TRIE_BYTES) -> DataFrame:
-    """The rows that stay, with the columns of docs."""
+    """The rows that stay, with the columns of docs.
+
+    Of rows that share identifier and normalised text the one stays whose raw text hashes least, then whose
+    columns as JSON do: the same however the rows are dealt.
+    """
     found, name = _grouped(docs, ident, text, budget)
     kept, carried = found.where(F.col(name["kept"])), [F.col(common.quoted(c)) for c in docs.columns]
     once = kept.where(F.col(name["rows_of_keep"]) == 1).select(*carried)
-    again = kept.where(F.col(name["rows_of_keep"]) > 1).dropDuplicates([name["text_sha256"]]).select(*carried)
-    return once.unionByName(again)
+    row = F.struct(*[c.alias(f"c{k}") for k, c in enumerate(carried)])
+    rank = F.struct(F.xxhash64(common.text_of(common.quoted(text))).alias("text"), F.xxhash64(F.to_json(row)).alias("row"))
+    again = kept.where(F.col(name["rows_of_keep"]) > 1).groupBy(name["text_sha256"]).agg(F.min_by(row, rank).alias("one"))
+    return once.unionByName(again.select(*[F.col(f"one.c{k}").alias(c) for k, c in enumerate(docs.columns)]))

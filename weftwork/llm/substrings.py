@@ -391,6 +391,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     each = cut.where("hot").select("k1", "k2", "low", "body").mapInArrow(lambda it: _windows(it, length), "w1 long, w2 long, k1 long, k2 long, low int")
     twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     warm = each.join(twice, ["w1", "w2"], "left_semi").select("k1", "k2", F.col("low").alias("a"), (F.col("low") + length).cast("int").alias("b"))
-    spans = whole.unionByName(edges).unionByName(warm).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # rows that repeat as a whole tell the same spans, which are kept once
+    spans = whole.unionByName(edges).unionByName(warm).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
     return raw.join(spans, ["k1", "k2"], "left").select("doc_id", "t", "spans").mapInArrow(lambda it: _finish(it, keep_text), out)
