@@ -85,7 +85,7 @@ def test_embedded_json(spark):
     assert [(r.n, r.p, r._url) for r in got] == [("a", 1.5, "https://x#item-0"), ("b", 2.0, "https://x#item-1")]
 
 
-@pytest.mark.parametrize("bad", ["seeds: []", 'seeds: ["x"]\nunknown: 1', 'seeds: ["x"]\nfields: [{name: Bad, extract: {css: a}}]', 'seeds: ["x"]\nfields: [{name: a, extract: {css: a, xpath: //a}}]', 'seeds: ["x"]\nfields: [{name: a, type: enum, extract: {css: a}}]', 'seeds: ["x"]\ndedupe_key: [zz]', 'seeds: ["x"]\nfields: [{name: a, extract: {css: "a:hover"}}]', 'seeds: ["x"]\npagination: {kind: next_link}'])
+@pytest.mark.parametrize("bad", ["seeds: []", 'seeds: ["https://x/"]\nunknown: 1', 'seeds: ["https://x/"]\nfields: [{name: Bad, extract: {css: a}}]', 'seeds: ["https://x/"]\nfields: [{name: a, extract: {css: a, xpath: //a}}]', 'seeds: ["https://x/"]\nfields: [{name: a, type: enum, extract: {css: a}}]', 'seeds: ["https://x/"]\ndedupe_key: [zz]', 'seeds: ["https://x/"]\nfields: [{name: a, extract: {css: "a:hover"}}]', 'seeds: ["https://x/"]\npagination: {kind: next_link}'])
 def test_bad_recipes(bad):
     with pytest.raises(ValueError):
         R.load(bad)
@@ -98,7 +98,7 @@ def test_recipe_round_trip_and_compatibility():
     b.seeds = ["https://other"]
     b.fields[0].type = "number"
     assert R.incompatible(a, b) == ["seeds", "fields.title"]
-    assert R.load('seeds: ["x"]').unready() == ["no fields", "no list container"]
+    assert R.load('seeds: ["https://x/"]').unready() == ["no fields", "no list container"]
 
 
 DOM = '<div id="a" class="x y"><p>one<p>two <b>bold</div><ul><li>1<li class="k">2</ul><br><a href=/u title="t">l</a>'

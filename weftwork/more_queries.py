@@ -405,7 +405,7 @@ def recipe_round_trip(spark, d):
 @query("SELECT part, fault FROM (VALUES ('dedupe', 'dedupe_key names no field'), ('enum', 'an enum needs its values'), ('name', 'bad field name'), ('paging', 'url_template needs {page}'), ('ready', 'no list container'), ('source', 'an extractor has exactly one of css, xpath, json_path, llm'), ('twice', 'field names repeat')) t(part, fault)")
 def recipe_faults(spark, d):
     """Each unsound recipe, and what it is refused for; a sound one that is not ready says why."""
-    head = "seeds: [a]\n"
+    head = "seeds: ['https://x.example/']\n"
     field = "fields: [{{name: {n}, extract: {{{e}}}{x}}}]"
     bad = {
         "dedupe": head + "dedupe_key: [b]\n" + field.format(n="a", e="css: a", x=""),
@@ -428,7 +428,7 @@ def recipe_faults(spark, d):
 
 @query("SELECT part FROM (VALUES ('fields.price'), ('fields.title'), ('list'), ('seeds')) t(part)")
 def resume_incompatible(spark, d):
-    new = R.load("seeds: [b]\nlist: {container: ul}\nfields: [{name: price, type: number, extract: {css: a}}, {name: kind, type: enum, enum: [new, used], extract: {css: '.other'}}]")
+    new = R.load("seeds: ['https://b/']\nlist: {container: ul}\nfields: [{name: price, type: number, extract: {css: a}}, {name: kind, type: enum, enum: [new, used], extract: {css: '.other'}}]")
     return spark.createDataFrame([(p,) for p in sorted(R.incompatible(_ASKED, new))], "part string")
 
 
@@ -497,7 +497,7 @@ def domain_filter(spark, d):
 @query("SELECT o_orderkey AS page_id, 'https://x.example/o/' || (o_orderkey + 1) AS next_url FROM orders WHERE o_orderkey % 5 <> 4 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 5 = 4")
 def next_links(spark, d):
     p = table(spark, d, "orders").select(F.concat(F.lit("https://x.example/o/"), "o_orderkey").alias("url"), F.expr("""CASE WHEN o_orderkey % 5 <> 4 THEN concat('<ul><li><a class="prev" href="0">b</a><li><a class=next href="/o/', o_orderkey + 1, '">n</a></ul>') ELSE '<p>end' END""").alias("html"))
-    r = R.load("seeds: [a]\npage_type: single\npagination: {kind: next_link, selector: a.next}\nfields: [{name: t, scope: page, extract: {css: p}}]")
+    r = R.load("seeds: ['https://a/']\npage_type: single\npagination: {kind: next_link, selector: a.next}\nfields: [{name: t, scope: page, extract: {css: p}}]")
     return plan.next_pages(r, p).select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("page_id"), "next_url")
 
 
@@ -681,7 +681,7 @@ def selector_healed(spark, d):
     fp = analysis.fingerprint(tree.parse("<li><a href='/x'>word</a></li>").elements()[0].elements()[0], tree.parse("<li></li>"))
     known = spark.createDataFrame([("label", {**fp, "path": ["a"]})], f"field string, fp struct<{heal.FINGERPRINT}>")
     found = {r.field: r.selector for r in heal.relocate(p, "nav > ul > li", known).collect()}
-    broken = R.load('seeds: [a]\nlist: {container: "nav > ul > li"}\nfields: [{name: label, extract: {css: "span.gone"}}]')
+    broken = R.load('seeds: ["https://a/"]\nlist: {container: "nav > ul > li"}\nfields: [{name: label, extract: {css: "span.gone"}}]')
     got = plan.extract(heal.patched(broken, found), p).where("_index = 0").select(F.col("_page_url").alias("url"), F.col("label").alias("first"))
     return p.join(got, "url").select("page_id", "first")
 

@@ -195,18 +195,36 @@ def json_fields(sample: dict, most: int = 14) -> list[Field]:
     return out
 
 
+# What a page budget written for pages of HTML becomes where a request brings more rows than such a page, and
+# from how many rows on; the alternates that a merge keeps.
+HTML_LIMITS, API_LIMITS, SMALL_PAGE, ALTERNATES = {"max_pages": 20, "max_items": 1000}, {"max_pages": 100, "max_items": 25_000}, 50, 3
+#: What a merged field has from the old one where the new one does not say it.
+_KEPT = ("type", "required", "description", "enum")
+
+
 def onto_api(recipe: Recipe, url_template: str, container: str, fields: list[Field], paging: dict | None = None, platform: str | None = None) -> Recipe:
-    """The recipe read from an endpoint: fields of like name keep their HTML extractors as alternates, others stay."""
+    """The recipe read from an endpoint, with its HTML extractors and container as alternates for when that fails.
+
+    Fields of like name merge, the others stay.  Budgets that nobody chose are raised where a request brings many rows;
+    rows are told apart by their address once a field holds one.
+    """
     data = recipe.model_dump(by_alias=True, exclude_none=True)
     old = {f.name: f for f in recipe.fields}
-    new = []
+    merged = []
     for f in fields:
         before = old.pop(f.name, None)
-        extra = [e for e in before.extractors if e.source in ("css", "xpath")][:3] if before else []
-        new.append(f.model_copy(update={"alternates": [*f.alternates, *extra], **({"description": before.description, "required": before.required} if before else {})}))
-    data["fields"] = [f.model_dump(exclude_none=True) for f in [*new, *old.values()]]
-    data["list"] = {"container": container, "alternates": [c for c in ([recipe.list_.container, *recipe.list_.alternates] if recipe.list_ else []) if not c.startswith("json:")]}
-    data["api"] = {"url_template": url_template, "paging": paging or {}, **({"platform": platform} if platform else {})}
-    if not any(f["scope"] == "detail" for f in data["fields"]):
+        if before and before.extract.source != "json_path":
+            told = {k: getattr(before, k) for k in _KEPT if k in before.model_fields_set and k not in f.model_fields_set}
+            f = f.model_copy(update={**told, "alternates": before.extractors[:ALTERNATES]})
+        merged.append(f)
+    merged += old.values()
+    data["fields"] = [f.model_dump(exclude_none=True) for f in merged]
+    pages = [c for c in ([recipe.list_.container, *recipe.list_.alternates] if recipe.list_ else []) if c.strip() and not c.startswith("json:")]
+    data |= {"page_type": "list", "list": {"container": container, "alternates": list(dict.fromkeys(pages))[:ALTERNATES]}, "api": {"url_template": url_template, "paging": paging or {}, **({"platform": platform} if platform else {})}}
+    if all(f.scope != "detail" for f in merged):
         data["detail"] = {"enabled": False}
+    if ((paging or {}).get("page_size") or 0) > SMALL_PAGE:
+        data["limits"] |= {k: API_LIMITS[k] for k, usual in HTML_LIMITS.items() if data["limits"][k] == usual}
+    if any(f.type == "url" for f in merged):
+        data["dedupe_key"] = ["_url"]
     return Recipe.model_validate(data)
