@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import told
 from .transforms import strip
 
 # What says yes and what says no.
@@ -69,7 +70,9 @@ def relative(t: Column, now: Column) -> Column:
 
 
 def to_timestamp(c: Column, now: Column | None = None) -> Column:
-    """Fixed forms, with month names in any case and after weekdays and ordinals; forms without a year take now's, told ones count from now."""
+    """Fixed forms, with month names in any case and after weekdays and ordinals; forms without a year take now's, told ones count from now.
+
+    What they leave is read as told in other languages (`told`)."""
     now = F.current_timestamp() if now is None else now
     t = F.regexp_replace(F.regexp_replace(strip(c), r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+", ""), r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")
     named = F.initcap(F.regexp_replace(F.regexp_replace(t, r"(?i)\bsept\b", "Sep"), r"\.(?=\s|$)", ""))
@@ -77,7 +80,7 @@ def to_timestamp(c: Column, now: Column | None = None) -> Column:
     fixed = [F.try_to_timestamp(t, F.lit(f)) for f in (*TIMES, *DATES[:4])] + [F.try_to_timestamp(named, F.lit(f)) for f in DATES[4:]]
     zoned = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(?:Z|[+-]\d{2}:?\d{2})$"), t.try_cast("timestamp"))
     short = [F.try_to_timestamp(year, F.lit(f)) for f in ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")]
-    return F.coalesce(*fixed, zoned, *short, relative(t, now))
+    return F.coalesce(*fixed, zoned, *short, relative(t, now), told.timestamp(c, now))
 
 
 def to_date(c: Column, now: Column | None = None) -> Column:

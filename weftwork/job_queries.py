@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .dom import nodes
-from .functions import urls
+from .functions import coerce, told, urls
 from .more_queries import _maps
 from .operators import dataset_store, sketches, store, structure
 from .plans import walk
@@ -354,3 +354,46 @@ def text_search(spark, d):
     first = structure.inside(n, items).where("tag = 'a' AND item = 0").select("page_id", F.col("attrs")["href"].alias("needle"))
     hits = structure.text_hits(n, first, items).where("attr = 'href'")
     return hits.groupBy("page_id", "needle").agg(F.count("*").alias("hits"), F.count("item").alias("in_items"), F.max("fill").alias("fill"))
+
+
+# ---- dates and prices as told in four languages -------------------------------------------
+
+_NAMES = {
+    "en": "January February March April May June July August September October November December",
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+}
+
+
+@query("""SELECT o_orderkey, CASE WHEN k < 16 THEN strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN k < 4 THEN 'T14:05:00' ELSE '' END
+    ELSE strftime(TIMESTAMP '2024-06-01 12:00:00' - to_days(cast(o_custkey % 20 + 2 AS integer)), '%Y-%m-%dT%H:%M:%S') END AS iso FROM (SELECT *, o_orderkey % 20 AS k FROM orders)""")
+def dates_told_in_languages(spark, d):
+    """Order dates with a time, in words, shortened and in numbers, and days ago, each in four languages."""
+    day, year = F.date_format("o_orderdate", "d"), F.date_format("o_orderdate", "yyyy")
+    month = {k: F.get(F.array(*[F.lit(m) for m in v.split()]), F.month("o_orderdate") - 1) for k, v in _NAMES.items()}
+    ago = (F.col("o_custkey") % 20 + 2).cast("string")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    texts = [
+        say(month["en"], " ", day, "th, ", year, " at 2:05 pm"), say("Montag, den ", day, ". ", month["de"], " ", year, ", 14:05 Uhr"), say("le ", day, " ", month["fr"], " ", year, " à 14h05"), say("lunes, ", day, " de ", month["es"], " de ", year, ", 14:05"),
+        say(month["en"], " ", day, ", ", year), say(day, ". ", month["de"], " ", year), say("mardi ", day, " ", month["fr"], " ", year), say(day, " de ", month["es"], " del ", year),
+        say(F.date_format("o_orderdate", "MMM"), ". ", day, ", ", year), say(day, ". ", F.substring(month["de"], 1, 3), ". ", year), say(day, " ", F.upper(month["fr"]), " ", year), say(day, " ", F.substring(month["es"], 1, 3), " ", year),
+        say(year, "/", F.month("o_orderdate").cast("string"), "/", day), F.date_format("o_orderdate", "dd.MM.yyyy"), F.date_format("o_orderdate", "d/M/yyyy"), F.date_format("o_orderdate", "dd-MM-yyyy"),
+        say(ago, " days ago"), say("vor ", ago, " Tagen"), say("il y a ", ago, " jours"), say("Hace ", ago, " días"),
+    ]
+    o = table(spark, d, "orders")
+    text = F.get(F.array(*texts), (F.col("o_orderkey") % 20).cast("int"))
+    return o.select("o_orderkey", coerce.to_date(text, F.lit("2024-06-01 12:00:00").cast("timestamp")).alias("iso"))
+
+
+@query("""SELECT p_partkey, CASE WHEN k % 8 < 4 THEN round(p_retailprice, 2) ELSE floor(p_retailprice) END AS amount,
+  CASE k % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'EUR' ELSE 'EUR' END AS currency FROM (SELECT *, p_partkey % 8 AS k FROM part)""")
+def prices_told(spark, d):
+    """Prices with cents and whole ones, with the marks of four languages."""
+    p = table(spark, d, "part").withColumn("k", (F.col("p_partkey") % 8).cast("int"))
+    cents, whole = F.format_number("p_retailprice", 2), F.format_number(F.floor("p_retailprice"), 0)
+    swapped = lambda c, thousands: F.translate(c, ",.", thousands + ",")
+    texts = [F.concat(F.lit("Now only $"), cents), F.concat(swapped(cents, "."), F.lit(" €")), F.concat(swapped(cents, " "), F.lit(" EUR")), F.concat(F.lit("Precio: "), swapped(cents, "."), F.lit(" euros"))]
+    texts += [F.concat(F.lit("US$"), whole), F.concat(F.lit("ab "), swapped(whole, "."), F.lit(" Euro")), F.concat(swapped(whole, " "), F.lit(" €")), F.concat(F.lit("€"), swapped(whole, "."))]
+    language = F.get(F.array(*map(F.lit, ("en", "de", "fr", "es"))), F.col("k") % 4)
+    return p.select("p_partkey", told.price(F.get(F.array(*texts), F.col("k")), language).alias("t")).select("p_partkey", "t.amount", "t.currency")

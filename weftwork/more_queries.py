@@ -639,16 +639,25 @@ def markdown_parts(spark, d):
     return table(spark, d, "pages").select("page_id", got.alias("v")).select("page_id", "v.heading", "v.items")
 
 
-@query("SELECT page_id, 'a.next' AS selector, 'https://x.example/list?page={page}&q=' || page_id AS template, 'button' AS more FROM pages")
+@query("""SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'li.older > a' ELSE 'a.next' END AS selector,
+  CASE page_id % 3 WHEN 2 THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/list/page/{page}' ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || '/list?page={page}&q=' || page_id END AS template,
+  CASE page_id % 3 WHEN 0 THEN 'a.more' WHEN 1 THEN 'button#more' ELSE 'button' END AS more FROM pages""")
 def paging_found(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.concat(F.lit('<body><a class="next" href="/list?page=2&amp;q='), "page_id", F.lit('">Next page</a><a href="#">load more</a><button>Show more items</button></body>')).alias("html"))
-
-    def find(html: str) -> dict:
-        found = {f["kind"]: f for f in analysis.pagination(tree.parse(html), "https://x.example/list")}
+    """Next links, page templates and what loads more, put into each page in one of three forms."""
+    forms = [
+        F.concat(F.lit('<a class="next" href="/list?page=2&amp;q='), "page_id", F.lit('">Next page</a><a class="more" href="#">load more</a><button>Show more items</button>')),
+        F.concat(F.lit('<a class="next" href="/list?page=2&amp;q='), "page_id", F.lit('">Next page</a><button id="more">Show more items</button>')),
+        F.lit('<ul><li class="older"><a href="/list/page/3">Older</a></li></ul><div class="foot"><button>Load more</button></div>'),
+    ]
+    form = F.get(F.array(*[F.concat(F.lit("<body>"), x) for x in forms]), (F.col("page_id") % 3).cast("int"))
+    p = table(spark, d, "pages").select("page_id", "url", F.replace("html", F.lit("<body>"), form).alias("html"))
+
+    def find(html: str, url: str) -> dict:
+        found = {f["kind"]: f for f in reversed(analysis.pagination(tree.parse(html), url))}
         return {"selector": found["next_link"]["selector"], "template": found["url_template"]["url_template"], "more": found["load_more"]["selector"]}
 
-    got = _each("struct<selector:string,template:string,more:string>", find, "html")
-    return p.select("page_id", got.alias("v")).select("page_id", "v.selector", "v.template", F.when(F.col("v.more") == "a:nth-child(2)", "a").otherwise("button").alias("more"))
+    got = _each("struct<selector:string,template:string,more:string>", find, "html", "url")
+    return p.select("page_id", got.alias("v")).select("page_id", "v.*")
 
 
 @query("SELECT c AS class, s AS stable FROM (VALUES ('price', true), ('css-1x2', false), ('col12', false), ('sc-bdVaJa', false), ('block__title', false), ('is--on', false), ('card', true), ('ab', false)) t(c, s)")
