@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .dom import nodes
 from .functions import coerce, told, urls
 from .more_queries import _maps
-from .operators import dataset_store, sketches, store, structure
+from .operators import answers, dataset_store, sketches, store, structure
 from .plans import walk
 from .queries import _HIST_SQL, SQL, _two_runs, query, table
 from .sources import formats, places, readers
@@ -397,3 +397,26 @@ def prices_told(spark, d):
     texts += [F.concat(F.lit("US$"), whole), F.concat(F.lit("ab "), swapped(whole, "."), F.lit(" Euro")), F.concat(swapped(whole, " "), F.lit(" €")), F.concat(F.lit("€"), swapped(whole, "."))]
     language = F.get(F.array(*map(F.lit, ("en", "de", "fr", "es"))), F.col("k") % 4)
     return p.select("p_partkey", told.price(F.get(F.array(*texts), F.col("k")), language).alias("t")).select("p_partkey", "t.amount", "t.currency")
+
+
+# ---- answers from outside -----------------------------------------------------------------
+
+
+@query("""SELECT doc_id, coalesce(cast(quality AS varchar), lang || '-' || n_chars % 7) AS value, coalesce(cast(quality AS varchar), lang || '-' || n_chars % 7) AS again
+  FROM documents LEFT JOIN labels USING (doc_id)""")
+def answers_kept(spark, d):
+    """Values of an outside function that hangs on the row and fails at times; asked once more, all come from what was kept."""
+    have = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "lang", "n_chars", F.col("quality").cast("string").alias("value"))
+
+    def tell(requests: list[dict]) -> list[dict]:
+        return [{"value": f"{r['lang']}-{r['n_chars'] % 7}"} for r in requests]
+
+    def closed(requests: list[dict]) -> list[dict]:
+        raise AssertionError("asked twice")
+
+    kept = answers.Answers(spark, places.shared_folder(spark, "answers"))
+    shaky = answers.flaky(tell, lambda r, times: r["n_chars"] % 5 == 0 and times < 3)
+    got = kept.ask(have, "doc_id", ["lang", "n_chars"], ["value"], shaky, batch=20, pause=0.01)
+    again = kept.ask(have, "doc_id", ["lang", "n_chars"], ["value"], closed, pause=0.0).withColumnRenamed("value", "later")
+    both = have.join(got.withColumnRenamed("value", "now"), "doc_id", "left").join(again, "doc_id", "left")
+    return both.select("doc_id", F.coalesce("value", "now").alias("value"), F.coalesce("value", "later").alias("again"))

@@ -28,8 +28,9 @@ def needs_values(rows: DataFrame, fields: Sequence[str]) -> Column:
 def call(rows: DataFrame, key: str, inputs: Sequence[str], fields: Sequence[str], provider: Provider, batch: int = BATCH) -> DataFrame:
     """key and the fields as text, for rows that need them; the provider sees some rows at a time.
 
-    A provider returns one mapping per row, in order; a short answer leaves the rest empty.  The
-    filter stands below the call, so full rows never leave the JVM.
+    A provider returns one mapping per row, in order; a short answer leaves the rest empty, and a provider that raises
+    leaves its rows empty (`answers` tries again and keeps what it was told).  The filter stands below the call,
+    so full rows never leave the JVM.
     """
     wanted = rows.where(needs_values(rows, fields)).select(key, *[c for c in inputs if c != key])
     kind = rows.schema[key].dataType.simpleString()
@@ -38,7 +39,10 @@ def call(rows: DataFrame, key: str, inputs: Sequence[str], fields: Sequence[str]
         for pdf in batches:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
-                got = provider(part.to_dict("records"))
+                try:
+                    got = provider(part.to_dict("records"))
+                except Exception:  # noqa: BLE001 - any fault of the outside function is its own
+                    got = []
                 got = [*got, *[{}] * (len(part) - len(got))]
                 yield pd.DataFrame({key: part[key].to_numpy(), **{f: [None if g.get(f) is None else str(g[f]) for g in got] for f in fields}})
 

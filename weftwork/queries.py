@@ -723,10 +723,10 @@ def heal_selector(spark, d):
     return heal.relocate(p, "nav > ul > li", known).select("field", "selector", "fill")
 
 
-@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 1.0 ELSE quality END AS quality FROM documents LEFT JOIN labels USING (doc_id)")
+@query("SELECT doc_id, CASE WHEN quality IS NULL THEN ascii(lang) + n_chars % 100 / 4 ELSE quality END AS quality FROM documents LEFT JOIN labels USING (doc_id)")
 def ai_fields(spark, d):
-    rows_ = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "lang", F.col("quality").cast("double").alias("quality"))
-    got = outside.call(rows_, "doc_id", ["lang"], ["quality"], lambda batch: [{"quality": "1"} for _ in batch])
+    rows_ = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "lang", "n_chars", F.col("quality").cast("double").alias("quality"))
+    got = outside.call(rows_, "doc_id", ["lang", "n_chars"], ["quality"], lambda batch: [{"quality": f"about {ord(r['lang'][0]) + r['n_chars'] % 100 / 4:.2f}"} for r in batch])
     typed = got.select("doc_id", coerce.to_number(F.col("quality")).alias("quality"))
     return rows.write_back(rows_, typed, "doc_id", ["quality"]).select("doc_id", "quality")
 
