@@ -62,6 +62,17 @@ def test_log_source(spark, tmp_path):
     assert [r.line for r in formats.log_lines(spark, f"{tmp_path}/c.log", last=2).collect()] == ["two", "three"]
 
 
+def test_ranges_do_not_grow_with_the_files(tmp_path):
+    line = b"x" * 99 + b"\n"
+    Path(tmp_path, "a.log").write_bytes(line * 40_000)
+    r = formats.LogReader({"path": str(tmp_path), "bytes": "400"})
+    parts = r.partitions()
+    assert len(parts) <= formats.TASKS + 1
+    assert sum(b.num_rows for p in parts[::20] for b in r.read(p)) == sum(-(-p.end // 100) - -(-p.start // 100) for p in parts[::20])
+    s = formats.LogStream({"path": str(tmp_path), "bytes": "400"})
+    assert len(s.partitions({}, s.latestOffset())) <= formats.TASKS + 1
+
+
 def test_stream_goes_on_at_its_byte(spark, tmp_path):
     log, out, state = tmp_path / "in/a.log", f"{tmp_path}/out", f"{tmp_path}/state"
     log.parent.mkdir()

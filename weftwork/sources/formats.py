@@ -26,8 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from . import places
 
-#: Bytes of a task's range, and of one read.
-RANGE, BLOCK = 64 << 20, 4 << 20
+#: Bytes of a task's range, and of one read; tasks from which on ranges grow with what is read, up to RANGE.
+RANGE, BLOCK, TASKS = 64 << 20, 4 << 20, 200
 
 
 @dataclass
@@ -59,7 +59,8 @@ def _lines(path: str, part: Range | None) -> Iterator[pa.RecordBatch]:
             # the byte before tells whether a line starts here
             at -= 1
             f.seek(at)
-            while chunk := f.read(BLOCK):
+            n = 1 << 11
+            while chunk := f.read(n := min(BLOCK, 2 * n)):
                 k = chunk.find(b"\n")
                 if k >= 0:
                     at += k + 1
@@ -68,7 +69,8 @@ def _lines(path: str, part: Range | None) -> Iterator[pa.RecordBatch]:
         f.seek(at)
         held = b""
         while at < part.end:
-            chunk = f.read(BLOCK)
+            # a small range is no reason to read a whole block; past its end stands only the rest of its last line
+            chunk = f.read(min(BLOCK, max(part.end - at - len(held), len(held), 1 << 12)))
             data = held + chunk
             cut = data.rfind(b"\n") + 1 if chunk else len(data)
             if not data:
@@ -87,6 +89,11 @@ def _lines(path: str, part: Range | None) -> Iterator[pa.RecordBatch]:
                 return
 
 
+def _width(least: int, total: int) -> int:
+    """Bytes of a range: as asked for while there are few, more where they would be more than TASKS, so that tasks do not grow with the files."""
+    return max(least, min(RANGE, total // TASKS + 1))
+
+
 def _ranges(file: str, start: int, end: int, size: int, aligned: bool = False) -> list[Range]:
     cuts = [*range(start, end, size), end]
     return [Range(file, a, b, aligned and a == start) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -143,7 +150,8 @@ class LogReader(DataSourceReader):
         files = places.files_under(self.path)
         if self.last is not None:
             return _tail(self.path, files, self.last)
-        return [r for file, size in files for r in _ranges(file, 0, size, self.size)]
+        width = _width(self.size, sum(size for _, size in files))
+        return [r for file, size in files for r in _ranges(file, 0, size, width)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return _lines(self.path, partition)
@@ -170,11 +178,9 @@ class LogStream(DataSourceStreamReader):
         return {file: whole for file, (_, whole) in now.items()}
 
     def partitions(self, start: dict, end: dict) -> Sequence[Range]:
-        out = []
-        for file, to in sorted(end.items()):
-            at = start.get(file, 0)
-            out += _ranges(file, at if at <= to else 0, to, self.size, True)
-        return out
+        new = [(file, at if (at := start.get(file, 0)) <= to else 0, to) for file, to in sorted(end.items())]
+        width = _width(self.size, sum(to - at for _, at, to in new))
+        return [r for file, at, to in new for r in _ranges(file, at, to, width, True)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return _lines(self.path, partition)
