@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.values import is_filled
+from ..sources import places
 
 
 def _empty(df: DataFrame, keys: Sequence[str]) -> Column:
@@ -46,12 +47,15 @@ def dedupe_against(df: DataFrame, seen: DataFrame, keys: Sequence[str], order: S
 def numbered(df: DataFrame, order: Sequence[str | Column], after: int = 0) -> DataFrame:
     """Rows with n = after + 1, 2, ... in order: ranks inside range partitions, and their running counts.
 
-    A window over everything would sort the whole table in one task.
+    A window over everything would sort the whole table in one task.  The dealt rows are written: bounds of ranges come
+    from a sample, so two readers of a plan need not deal the rows alike.
     """
-    # a stated number of partitions: both readers of the plan deal the rows alike, which a number changed at run time would not ensure
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, folder = df.sparkSession, places.shared_folder(df.sparkSession, "numbered")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     dealt = dealt.withColumns({"_part": F.shiftright("_m", 33), "_own": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_m")
+    dealt.write.parquet(folder)
+    dealt = spark.read.schema(dealt.schema).parquet(folder)
     sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     # one row per partition
     before = sizes.select("_part", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
