@@ -9,7 +9,7 @@ left out when no field needs it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -161,17 +161,18 @@ def _project(df: DataFrame, fields: list[Field], markup: Column | None, document
     return df.withColumn("_provenance", F.map_concat("_provenance", own) if "_provenance" in df.columns else own)
 
 
-def extract(recipe: Recipe, pages: DataFrame, tier: str = "http") -> DataFrame:
+def extract(recipe: Recipe, pages: DataFrame, tier: str = "http", keep: Sequence[str] = (), every: bool = False) -> DataFrame:
     """Rows of list pages: the recipe's fields, _url, _page_url, _fetched_at, _tier, _provenance, _index, _which, _detail_url.
 
     pages: url, html; and if they are there page_no (budget), fetched_at, body (JSON text).
+    keep: columns of pages that rows carry on; every: a page without items has a row too, its _index null.
     """
     if why := recipe.unready():
         raise ValueError("; ".join(why))
     if "page_no" in pages.columns:
         pages = pages.where(F.col("page_no") < recipe.pagination.start + recipe.page_budget() * max(1, recipe.pagination.step))
     at = F.col("fetched_at").cast("string") if "fetched_at" in pages.columns else F.lit(None).cast("string")
-    base, carried = F.col("url"), [c for c in ("url", "page_no") if c in pages.columns]
+    base, carried = F.col("url"), [c for c in ("url", "page_no") if c in pages.columns] + list(keep)
     lists, whole = ([f for f in recipe.fields if f.scope == s] for s in ("list", "page"))
     wants_markup = any(_html(e) for f in recipe.fields if f.scope != "detail" for e in f.extractors) or not _json_container(recipe)
     wants_json = _json_container(recipe) or any(e.source == "json_path" for f in recipe.fields for e in f.extractors)
@@ -190,7 +191,8 @@ def extract(recipe: Recipe, pages: DataFrame, tier: str = "http") -> DataFrame:
     df = _project(df, whole, markup["page"] if markup is not None else None, document, base)
     if recipe.page_type == "single":
         df = df.withColumns({"_index": F.lit(0), "_which": F.lit("page"), "_detail_url": F.lit(None).cast("string")})
-        return _finish(recipe, df, whole, tier)
+        return _finish(recipe, df, whole, tier, keep)
+    opened = F.posexplode_outer if every else F.posexplode
     if _json_container(recipe):
         head, _, path = recipe.list_.container.removeprefix("json:").partition(".")
         name, bracket, rest = head.partition("[")
@@ -198,14 +200,14 @@ def extract(recipe: Recipe, pages: DataFrame, tier: str = "http") -> DataFrame:
         hits = jsonpath.resolve(F.try_element_at("_blobs", F.lit(name)), path)
         nodes = F.when((F.size(hits) == 1) & jsonpath.is_array(F.get(hits, F.lit(0))), jsonpath.elements(F.get(hits, F.lit(0)))).otherwise(hits)
         df = df.withColumn("_which", F.when(F.size(nodes) > 0, "primary").otherwise("missing"))
-        df = df.select("*", F.posexplode(F.filter(nodes, jsonpath.is_object)).alias("_index", "_node"))
+        df = df.select("*", opened(F.filter(nodes, jsonpath.is_object)).alias("_index", "_node"))
         if recipe.api and recipe.api.explode:
             kids = F.flatten(F.transform(jsonpath.resolve(F.col("_node"), recipe.api.explode), lambda v: F.coalesce(jsonpath.elements(v), F.array(v))))
-            df = df.select(*[c for c in df.columns if c not in ("_index", "_node")], F.col("_node").alias("_parent"), F.posexplode(F.filter(kids, jsonpath.is_object)).alias("_index", "_kid"))
+            df = df.select(*[c for c in df.columns if c not in ("_index", "_node")], F.col("_node").alias("_parent"), opened(F.filter(kids, jsonpath.is_object)).alias("_index", "_kid"))
             df = df.withColumnRenamed("_kid", "_node")
         node_markup, node_document = None, F.col("_node")
     else:
-        df = df.withColumn("_which", markup["which"]).select("*", F.posexplode(markup["nodes"]).alias("_index", "_node"))
+        df = df.withColumn("_which", markup["which"]).select("*", opened(markup["nodes"]).alias("_index", "_node"))
         node_markup, node_document = F.col("_node"), document
     parent = F.col("_parent") if "_parent" in df.columns else None
     df = _project(df, lists, node_markup, node_document, base, parent)
@@ -218,7 +220,7 @@ def extract(recipe: Recipe, pages: DataFrame, tier: str = "http") -> DataFrame:
         detail = F.get(F.filter(found, lambda x: x.rlike("^https?://")), F.lit(0))
     if recipe.api is not None:
         detail = F.coalesce(detail, _own_url(recipe)) if recipe.detail.enabled else detail
-    return _finish(recipe, df.withColumn("_detail_url", detail), [*whole, *lists], tier)
+    return _finish(recipe, df.withColumn("_detail_url", detail), [*whole, *lists], tier, keep)
 
 
 def _own_url(recipe: Recipe) -> Column:
@@ -227,12 +229,12 @@ def _own_url(recipe: Recipe) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("string")
 
 
-def _finish(recipe: Recipe, df: DataFrame, fields: list[Field], tier: str) -> DataFrame:
+def _finish(recipe: Recipe, df: DataFrame, fields: list[Field], tier: str, keep: Sequence[str] = ()) -> DataFrame:
     own = F.coalesce("_detail_url", _own_url(recipe)) if recipe.api is not None else F.col("_detail_url")
     other = F.col("url") if recipe.page_type == "single" else F.concat(F.col("url"), F.lit("#item-"), F.col("_index").cast("string"))
     order = [f.name for f in recipe.fields if f in fields]
     extra = ["page_no"] if "page_no" in df.columns else []
-    return df.select(*order, F.coalesce(own, other).alias("_url"), F.col("url").alias("_page_url"), "_fetched_at", F.lit(tier).alias("_tier"), "_provenance", "_index", "_which", "_detail_url", *extra)
+    return df.select(*order, F.coalesce(own, other).alias("_url"), F.col("url").alias("_page_url"), "_fetched_at", F.lit(tier).alias("_tier"), "_provenance", "_index", "_which", "_detail_url", *extra, *keep)
 
 
 def extract_detail(recipe: Recipe, pages: DataFrame) -> DataFrame:
