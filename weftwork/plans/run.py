@@ -15,6 +15,7 @@ from ..functions import urls
 from ..operators import changes, incremental, profiles, rows
 from ..plans import compile as plan
 from ..plans import walk as walks
+from ..sources import places
 from .recipe import Extractor, Field, Recipe
 
 _POSITION = re.compile(r":nth-(?:child|of-type|last-child)|:(?:first|last)-child|\[\d+\]")
@@ -130,8 +131,12 @@ def notes(recipe: Recipe) -> list[tuple[str, str, str]]:
 def preview(recipe: Recipe, pages: DataFrame, details: DataFrame | None = None) -> Report:
     """A recipe on sample pages: rows, matches, profile, and issues."""
     spark = pages.sparkSession
-    got = plan.extract(recipe, pages)
-    containers = pages.select(F.col("url").alias("_page_url")).distinct().join(got.groupBy("_page_url").agg(F.count(F.lit(1)).alias("items"), F.first("_which").alias("which")), "_page_url", "left").fillna({"items": 0, "which": "missing"})
+    # pages are read once, however much is asked of their rows; two stored under one address stay two
+    folder = places.shared_folder(spark, "preview")
+    plan.extract(recipe, pages.withColumn("_page", F.monotonically_increasing_id()), keep=["_page"], every=True).write.parquet(folder)
+    read = spark.read.parquet(folder)
+    containers = read.groupBy("_page", "_page_url").agg(F.count("_index").alias("items"), F.coalesce(F.first("_which"), F.lit("missing")).alias("which")).drop("_page")
+    got = read.where("_index IS NOT NULL").drop("_page")
     said = notes(recipe)
     sampled = [f for f in recipe.fields if f.extract.source != "llm" and (f.scope != "detail" or details is not None)]
     if details is not None:
