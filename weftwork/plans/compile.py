@@ -12,9 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..dom import selectors, tree
 from ..dom.blobs import embedded
@@ -24,6 +26,8 @@ from ..functions.values import is_filled
 from .recipe import Extractor, Field, Recipe
 
 _STRINGS = T.ArrayType(T.StringType())
+#: Pages whose extracted texts a task holds at once.
+PAGES = 256
 
 
 def _html(extractor: Extractor) -> bool:
@@ -59,21 +63,26 @@ def read_markup(recipe: Recipe) -> Column:
     struct = lambda slots: T.StructType([T.StructField(n, _STRINGS) for n, _ in slots] or [T.StructField("_none", T.StringType())])
     schema = T.StructType([T.StructField("which", T.StringType()), T.StructField("page", struct(page_slots)), T.StructField("nodes", T.ArrayType(struct(list_slots)))])
 
+    arrow = to_arrow_type(schema)
+
     def values(node: tree.Node, slots: list) -> dict:
         return {n: selectors.values(node, e.selector, e.attr) for n, e in slots} or {"_none": None}
 
-    @F.pandas_udf(schema)
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(schema)
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for html in batches:
-            rows = []
-            for text in html:
-                root, which, found = tree.parse(text), "missing", []
-                for i, c in enumerate(containers):
-                    if found := selectors.nodes(root, c):
-                        which = "primary" if not i else f"alt:{i}"
-                        break
-                rows.append((which, values(root, page_slots), [values(n, list_slots) for n in found]))
-            yield pd.DataFrame(rows, columns=["which", "page", "nodes"])
+            # some pages at a time: a batch has as many pages as the session says, however long they are
+            for at in range(0, len(html), PAGES):
+                rows = []
+                for text in html.slice(at, PAGES):
+                    root, which, found = tree.parse(text.as_py()), "missing", []
+                    for i, c in enumerate(containers):
+                        if found := selectors.nodes(root, c):
+                            which = "primary" if not i else f"alt:{i}"
+                            break
+                    rows.append({"which": which, "page": values(root, page_slots), "nodes": [values(n, list_slots) for n in found]})
+                    tree.release(root)
+                yield pa.array(rows, arrow)
 
     return read(F.col("html"))
 
