@@ -112,7 +112,10 @@ def enrich(rows: DataFrame, details: DataFrame, fields: Sequence[str], link: str
         rows = rows.crossJoin(F.broadcast(last)).withColumn("_in", F.col(link).isNotNull() & F.coalesce(F.struct(*order) <= F.col("_last"), F.lit(False))).drop("_last")
     else:
         rows = rows.withColumn("_in", F.col(link).isNotNull())
-    joined = rows.join(one, F.when(F.col("_in"), F.col(link)) == F.col("_d_url"), "left")
+    # rows that ask for nothing are dealt by what they hold: as nulls they would all go to one task
+    plain = [F.col(f.name) for f in rows.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    asked = F.when(F.col("_in"), F.concat(F.lit("="), F.col(link))).otherwise(F.concat(F.lit("-"), F.xxhash64(*plain).cast("string")))
+    joined = rows.withColumn("_asked", asked).join(one.withColumn("_d_asked", F.concat(F.lit("="), F.col("_d_url"))), F.col("_asked") == F.col("_d_asked"), "left").drop("_asked", "_d_asked")
     good = F.col("_d_url").isNotNull() & ~F.col("_d_blocked")
     state = F.when(F.col("_d_blocked"), "blocked").when(F.col("_in") & F.col("_d_url").isNull(), "missing")
     kept = F.map_filter("_provenance", lambda k, v: ~F.coalesce(F.map_contains_key("_d_prov", k), F.lit(False)) & (k != "_detail"))
