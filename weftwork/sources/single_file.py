@@ -32,10 +32,12 @@ from dataclasses import dataclass, field
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -44,6 +46,8 @@ from . import places
 #: Rows of a sheet, by its format, header included; rows of a fragment of it.
 SHEET_ROWS = 1_048_576
 FRAGMENT_ROWS = 65_536
+#: Characters of texts from which on a fragment is full before that; bytes of a CSV file that a task reads.
+FRAGMENT_CHARS, RANGE = 8 << 20, 32 << 20
 BLOCK = 8 << 20
 #: Rows by which a task sets column widths.
 MEASURED = 200
@@ -218,7 +222,7 @@ class Xlsx:
         self.columns, self.sheet = columns, options.get("sheet", "Items")
 
     def pieces(self, rows: Iterator[list]) -> Iterator[tuple[bytes, Piece]]:
-        for some in _some(rows, FRAGMENT_ROWS):
+        for some in _some(rows, FRAGMENT_ROWS, FRAGMENT_CHARS):
             raw = "".join(f"<row>{''.join(map(_cell, r))}</row>" for r in some).encode()
             data = deflated(raw)
             yield data, Piece(0, len(data), len(some), len(raw), zlib.crc32(raw))
@@ -269,13 +273,17 @@ class Xlsx:
 KINDS = {"csv": Csv, "json": Json, "xlsx": Xlsx}
 
 
-def _some(rows: Iterator[list], n: int) -> Iterator[list[list]]:
+def _some(rows: Iterator[list], n: int, chars: int | None = None) -> Iterator[list[list]]:
+    """Up to n rows, or as many as have some characters of text."""
     held: list[list] = []
+    size = 0
     for r in rows:
         held.append(r)
-        if len(held) == n:
+        if chars is not None:
+            size += sum(len(v) for v in r if isinstance(v, str))
+        if len(held) == n or chars is not None and size >= chars:
             yield held
-            held = []
+            held, size = [], 0
     if held:
         yield held
 
@@ -376,6 +384,76 @@ def write(df: DataFrame, path: str, kind: str, **options: str) -> None:
     df.write.format("single_file").options(kind=kind, **options).mode("overwrite").save(path)
 
 
+# ---- CSV read back ------------------------------------------------------------------------
+
+
+def _records(path: str, start: int, end: int, quoted: bool) -> bytes:
+    """The records behind the line ends outside quotes in a range of bytes, the last one whole."""
+    fs, p = places.filesystem(path)
+    with fs.open_input_file(p) as f:
+        f.seek(start)
+        data, at, inside = [], start, int(quoted)
+        while chunk := f.read(min(BLOCK, end - at) if at < end else 1 << 16):
+            a = np.frombuffer(chunk, np.uint8)
+            odd = (np.cumsum(a == 34, dtype=np.uint8) + np.uint8(inside)) & 1
+            inside = int(odd[-1])
+            ends = np.flatnonzero((a == 10) & (odd == 0))
+            if at < end:
+                if data or len(ends):
+                    data.append(chunk if data else chunk[int(ends[0]) + 1 :])
+            elif not data:
+                break  # no record begins behind a line end of this range
+            else:
+                data.append(chunk[: int(ends[0]) + 1] if len(ends) else chunk)
+                if len(ends):
+                    break
+            at += len(chunk)
+        return b"".join(data)
+
+
+def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows below the header of one CSV file, read by many tasks; empty cells are null.
+
+    Tasks count the quotes of their bytes; the sums before each range, one number a range, tell whether it begins
+    inside a text.  A record is read where the line end before it stands.
+    """
+    fs, p = places.filesystem(path)
+    size = fs.get_file_info(p).size
+    n = max(1, -(-size // RANGE))
+    width = RANGE
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, p = places.filesystem(path)
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                with fs.open_input_file(p) as f:
+                    f.seek(k * width)
+                    found, left = 0, width
+                    while left and (chunk := f.read(min(left, BLOCK))):
+                        found, left = found + chunk.count(b'"'), left - len(chunk)
+                yield pa.record_batch([pa.array([k]), pa.array([found])], names=["k", "quotes"])
+
+    ranges = spark.range(0, n, 1, n)
+    quotes = {r.k: r.quotes for r in ranges.mapInArrow(count, "k long, quotes long").collect()}
+    inside, before = [], 0
+    for k in range(n):
+        inside.append(before % 2 == 1)
+        before += quotes[k]
+    kinds = T._parse_datatype_string(schema)
+    names = kinds.names
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(1 << 31)
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                text = io.TextIOWrapper(io.BytesIO(_records(path, k * width, min(size, (k + 1) * width), inside[k])), "utf-8", newline="")
+                for some in _some((r for r in csv.reader(text) if r), 4096, FRAGMENT_CHARS):
+                    yield pa.record_batch([pa.array([v or None for v in c], pa.string()) for c in zip(*some, strict=True)], names=names)
+
+    cells = ranges.mapInArrow(read, ", ".join(f"`{c}` string" for c in names))
+    return cells.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kinds])
+
+
 # ---- workbooks read back ------------------------------------------------------------------
 
 
