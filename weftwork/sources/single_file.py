@@ -49,8 +49,8 @@ FRAGMENT_ROWS = 65_536
 #: Characters of texts from which on a fragment is full before that; bytes of a CSV file that a task reads.
 FRAGMENT_CHARS, RANGE = 8 << 20, 32 << 20
 BLOCK = 8 << 20
-#: Rows by which a task sets column widths.
-MEASURED = 200
+#: Rows by which a task sets column widths; rows of a batch that are held as Python values at once.
+MEASURED, SLICE = 200, 512
 
 
 @dataclass
@@ -310,11 +310,13 @@ class SingleFileWriter(DataSourceArrowWriter):
         def rows() -> Iterator[list]:
             n = 0
             for b in iterator:
-                for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if n < MEASURED:
-                        out.widths = [max(w, len(str(v)) if v is not None else 0) for w, v in zip(out.widths, r, strict=True)]
-                        n += 1
-                    yield r
+                # some rows of a batch at a time, as texts may be long
+                for at in range(0, b.num_rows, SLICE):
+                    for r in zip(*(c.slice(at, SLICE).to_pylist() for c in b.columns), strict=True):
+                        if n < MEASURED:
+                            out.widths = [max(w, len(str(v)) if v is not None else 0) for w, v in zip(out.widths, r, strict=True)]
+                            n += 1
+                        yield r
 
         with fs.open_output_stream(f"{root}/{name}") as f:
             for data, piece in KINDS[self.kind](self.columns, self.options).pieces(rows()):
@@ -509,18 +511,23 @@ def _members(z: zipfile.ZipFile) -> list[str]:
 
 class WorkbookReader(DataSourceReader):
     def __init__(self, path: str, schema: T.StructType):
-        self.path, self.width = path, len(schema)
+        self.path, self.width, self.names = path, len(schema), schema.names
 
     def partitions(self) -> Sequence[Sheet]:
         with _open(self.path) as z:
             return [Sheet(k, m) for k, m in enumerate(_members(z))]
 
-    def read(self, partition: Sheet) -> Iterator[tuple]:
+    def read(self, partition: Sheet) -> Iterator[pa.RecordBatch]:
         with _open(self.path) as z:
             rows = _rows(z, partition.member)
             next(rows, None)  # the header
-            for n, r in enumerate(rows):
-                yield (partition.number, n, *(r + [None] * (self.width - 2 - len(r)))[: self.width - 2])
+            cells = self.width - 2
+            kinds = [pa.int32(), pa.int64(), *[pa.string()] * cells]
+            n = 0
+            for some in _some(rows, 10_000, FRAGMENT_CHARS):
+                shown = [(partition.number, n + k, *(r + [None] * (cells - len(r)))[:cells]) for k, r in enumerate(some)]
+                n += len(some)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*shown, strict=True), kinds, strict=True)], names=self.names)
 
 
 class Workbook(DataSource):
