@@ -206,9 +206,12 @@ def extract(recipe: Recipe, pages: DataFrame, tier: str = "http", keep: Sequence
         head, _, path = recipe.list_.container.removeprefix("json:").partition(".")
         name, bracket, rest = head.partition("[")
         path = (bracket + rest + ("." + path if path else "")) if bracket else path
-        hits = jsonpath.resolve(F.try_element_at("_blobs", F.lit(name)), path)
+        # a column of its own, or each place that names it would walk the document again
+        df = df.withColumn("_hits", jsonpath.resolve(F.try_element_at("_blobs", F.lit(name)), path))
+        hits = F.col("_hits")
         nodes = F.when((F.size(hits) == 1) & jsonpath.is_array(F.get(hits, F.lit(0))), jsonpath.elements(F.get(hits, F.lit(0)))).otherwise(hits)
-        df = df.withColumn("_which", F.when(F.size(nodes) > 0, "primary").otherwise("missing"))
+        df = df.withColumn("_nodes", nodes).withColumn("_which", F.when(F.size("_nodes") > 0, "primary").otherwise("missing")).drop("_hits")
+        nodes = F.col("_nodes")
         df = df.select("*", opened(F.filter(nodes, jsonpath.is_object)).alias("_index", "_node"))
         if recipe.api and recipe.api.explode:
             kids = F.flatten(F.transform(jsonpath.resolve(F.col("_node"), recipe.api.explode), lambda v: F.coalesce(jsonpath.elements(v), F.array(v))))
