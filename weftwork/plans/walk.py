@@ -49,8 +49,9 @@ def walk(links: DataFrame, start: DataFrame, most: int | None = None, budget: in
     spark = links.sparkSession
     folder = folder or places.shared_folder(spark, "walk")
     # every round asks the links again, so what they were made of is worked out once
-    links.where("next_url IS NOT NULL").select("url", "next_url").write.mode("overwrite").parquet(f"{folder}/links")
-    links = spark.read.schema("url string, next_url string").parquet(f"{folder}/links")
+    worked = places.shared_folder(spark, "links")
+    links.where("next_url IS NOT NULL").select("url", "next_url").write.parquet(worked)
+    links = spark.read.schema("url string, next_url string").parquet(worked)
     k, more, left = max(_rounds(folder, "visited"), default=0), True, budget
     if k and left is not None:
         left -= _read(spark, folder, "visited", range(1, k + 1)).count()
