@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from weftwork import job_queries
 from weftwork.dom import analysis, nodes, reading, selectors, tree
 from weftwork.operators import structure
 
@@ -92,6 +94,19 @@ def test_containers(pages, table):
     assert [(r.site, r.items, r.pages) for r in by_site] == [("s0", 6, 1)]
 
 
+def test_page_containers_of_short_texts(spark, tmp_path):
+    """As the SQL has it: paragraphs count whatever their length, list texts by the characters that are written."""
+    menu = lambda *texts: "<nav><ul>" + "".join(f'<li><a href="/{k}">{t}</a></li>' for k, t in enumerate(texts)) + "</ul></nav>"
+    told = lambda *texts: "<article><h1>x</h1>" + "".join(f"<p>{t}</p>" for t in texts) + "</article>"
+    own = [menu("a &amp; b", "c &amp; d", "e &amp; f") + told("One.", "Two.", "Six."), menu("word", "to", "of") + told("", "", ""), menu("wordwordword", "wordwordword", "to") + told("long enough to count", "x"), None, ""]
+    spark.createDataFrame(list(enumerate(own)), "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT page_id, selector, items FROM ({job_queries.SQL['page_containers']})").fetchall())
+    assert want == [(0, "article > p", 3), (0, "ul > li", 3), (1, "article > p", 3), (2, "ul > li", 3)]
+    assert sorted(tuple(r) for r in job_queries.page_containers(spark, str(tmp_path)).collect()) == want
+
+
 def test_sibling_runs(pages, table):
     got = Counter((r.page_id, r.step, r.length) for r in structure.sibling_runs(table).collect())
     want = Counter()

@@ -45,10 +45,10 @@ def measured(nodes: DataFrame, page: str = "page_id") -> DataFrame:
     return out.select(*nodes.columns, (F.col("_c") - F.col("_chars")).alias("chars"), (F.col("_l") - F.col("_links") + F.col("_own")).alias("links"))
 
 
-def containers(nodes: DataFrame, page: str = "page_id", by: Sequence[str] | None = None) -> DataFrame:
+def containers(nodes: DataFrame, page: str = "page_id", by: Sequence[str] | None = None, short: float = SHORT) -> DataFrame:
     """by, selector, items, pages, average, linked, score: groups of like siblings under like parents, scored by number, text and links.
 
-    A group counts where some parent holds three at least; `by` is the page unless it is told.
+    A group counts where some parent holds three at least and its items have `short` characters on average; `by` is the page unless it is told.
     """
     by = list(by or [page])
     keys = list(dict.fromkeys([page, *by]))
@@ -63,7 +63,7 @@ def containers(nodes: DataFrame, page: str = "page_id", by: Sequence[str] | None
         F.count(F.lit(1)).alias("items"), F.count_distinct(*keys).alias("pages"), F.avg(shown).alias("average"), F.avg(F.when(F.col("_r") <= LOOKED_AT, (F.col("links") > 0).cast("double"))).alias("linked")
     )
     score = F.round(F.col("items") * F.least("average", F.lit(float(LONG))) * (1 + 0.5 * F.col("linked")), 3)
-    return groups.where(F.col("average") >= SHORT).withColumn("score", score)
+    return groups.where(F.col("average") >= short).withColumn("score", score)
 
 
 def best_containers(found: DataFrame, by: Sequence[str] = ("page_id",), most: int = 1) -> DataFrame:
