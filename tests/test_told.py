@@ -87,3 +87,12 @@ def test_prices(spark):
     df = spark.createDataFrame([(k, *x) for k, x in enumerate(PRICES)], "k int, t string, lang string")
     got = {r.k: r.p for r in df.select("k", told.price(F.col("t"), F.col("lang")).alias("p")).collect()}
     assert {x: got[k] and tuple(got[k]) for k, x in enumerate(PRICES)} == PRICES
+
+
+def test_a_text_is_worked_out_once(spark):
+    """However many forms are tried, the plan holds the text's own expression once, also where it tells from now."""
+    df = spark.createDataFrame([("5 Mar 2024",)], "t string")
+    text = F.concat(F.col("t"), F.lit(" marker"))
+    for iso in (coerce.to_date(text, F.lit(NOW).cast("timestamp")), coerce.relative(text, F.lit(NOW).cast("timestamp"))):
+        plan = df.select(iso.alias("iso"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(" marker") == 1

@@ -16,6 +16,9 @@ NO = ("false", "no", "n", "0", "out of stock", "unavailable", "sold out", "off",
 #: Date forms in the order they are tried; all but the last few have no time of day.
 DATES = ("yyyy-MM-dd", "yyyy/MM/dd", "d.M.yyyy", "d/M/yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
 TIMES = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm")
+#: How the English months begin, and all texts that `relative` knows.
+_MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+_FROM_NOW = "^in | ago$|^(?:yesterday|tomorrow|today|now|just now|last week)$"
 _CURRENCY = r"(?i)[$€£¥₹]|\b(?:usd|eur|gbp|chf|jpy|inr|sek|nok|dkk|pln)\b|zł|kr\b"
 
 
@@ -56,38 +59,69 @@ def to_enum(c: Column, options: Sequence[str]) -> Column:
 def relative(t: Column, now: Column) -> Column:
     """A time told from now: "3 days ago", "in 2 hours", "an hour ago", "yesterday", "last week"; null for other texts."""
     low = F.regexp_replace(F.lower(t), r"\s+", " ")
+    return told.bound(low, lambda low: F.when(low.rlike(_FROM_NOW), _relative(low, now)))
+
+
+def _relative(low: Column, now: Column) -> Column:
     ago = r"^(?:about |over |almost )?(an?|one|\d{1,6}) ?(seconds?|secs?|minutes?|mins?|hours?|hrs?|days?|weeks?|months?|years?|[smhdwy]) ago$"
     ahead = r"^in (?:about )?(an?|one|\d{1,6}) (seconds?|minutes?|hours?|days?|weeks?|months?|years?)$"
     back = low.rlike(ago)
     count, unit = (F.when(back, F.regexp_extract(low, ago, k)).otherwise(F.regexp_extract(low, ahead, k)) for k in (1, 2))
+
+    def moved(n: Column, unit: Column) -> Column:
+        is_ = lambda *names: unit.rlike("^(?:" + "|".join(names) + ")$")
+        months = F.when(is_("months?"), n).when(is_("years?", "y"), n * 12).otherwise(0)
+        seconds = F.when(is_("seconds?", "secs?", "s"), n).when(is_("minutes?", "mins?", "m"), n * 60).when(is_("hours?", "hrs?", "h"), n * 3600).when(is_("days?", "d"), n * 86400).when(is_("weeks?", "w"), n * 604800).otherwise(0)
+        return now + F.make_ym_interval(F.lit(0), months) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
     n = F.when(count.isin("a", "an", "one"), 1).otherwise(count.try_cast("int")) * F.when(back, -1).otherwise(1)
-    is_ = lambda *names: unit.rlike("^(?:" + "|".join(names) + ")$")
-    months = F.when(is_("months?"), n).when(is_("years?", "y"), n * 12).otherwise(0)
-    seconds = F.when(is_("seconds?", "secs?", "s"), n).when(is_("minutes?", "mins?", "m"), n * 60).when(is_("hours?", "hrs?", "h"), n * 3600).when(is_("days?", "d"), n * 86400).when(is_("weeks?", "w"), n * 604800).otherwise(0)
-    told = F.when(back | low.rlike(ahead), now + F.make_ym_interval(F.lit(0), months) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds))
+    told_ = F.when(back | low.rlike(ahead), told.bound(F.struct(n.alias("n"), unit.alias("unit")), lambda x: moved(x["n"], x["unit"])))
     days = F.when(low == "yesterday", -1).when(low == "tomorrow", 1).when(low.isin("today", "now", "just now"), 0).when(low == "last week", -7)
-    return F.coalesce(told, now + F.make_dt_interval(days))
+    return F.coalesce(told_, now + F.make_dt_interval(days))
 
 
 def to_timestamp(c: Column, now: Column | None = None) -> Column:
     """Fixed forms, with month names in any case and after weekdays and ordinals; forms without a year take now's, told ones count from now.
 
-    What they leave is read as told in other languages (`told`)."""
+    What they leave is read as told in other languages (`told`).  A form is tried only on texts that begin as it does: a try that fails is dear."""
     now = F.current_timestamp() if now is None else now
-    t = F.regexp_replace(F.regexp_replace(strip(c), r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+", ""), r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")
-    named = F.initcap(F.regexp_replace(F.regexp_replace(t, r"(?i)\bsept\b", "Sep"), r"\.(?=\s|$)", ""))
-    year = F.concat(named, F.lit(" "), F.year(now).cast("string"))
-    fixed = [F.try_to_timestamp(t, F.lit(f)) for f in (*TIMES, *DATES[:4])] + [F.try_to_timestamp(named, F.lit(f)) for f in DATES[4:]]
+    return told.bound(strip(c), lambda s: told.bound(_bare(s), lambda t: F.coalesce(_numbered(t), told.bound(_named(t), lambda n: _worded(n, now)), relative(t, now), told.timestamp(s, now))))
+
+
+def _bare(s: Column) -> Column:
+    """Without the weekday before and the ordinal's letters."""
+    return F.regexp_replace(F.regexp_replace(s, r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+", ""), r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b", "$1")
+
+
+def _named(t: Column) -> Column:
+    return F.initcap(F.regexp_replace(F.regexp_replace(t, r"(?i)\bsept\b", "Sep"), r"\.(?=\s|$)", ""))
+
+
+def _tried(t: Column, begins: str, forms: Sequence[str]) -> Column:
+    return F.when(t.rlike(begins), F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in forms]))
+
+
+def _numbered(t: Column) -> Column:
+    """Dates in numbers; one with a zone is cast."""
     zoned = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*(?:Z|[+-]\d{2}:?\d{2})$"), t.try_cast("timestamp"))
-    short = [F.try_to_timestamp(year, F.lit(f)) for f in ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")]
-    return F.coalesce(*fixed, zoned, *short, relative(t, now), told.timestamp(c, now))
+    return F.coalesce(_tried(t, r"^[+-]?\d+-", (*TIMES, DATES[0])), _tried(t, r"^[+-]?\d+/", (DATES[1], DATES[3])), _tried(t, r"^[+-]?\d+\.", DATES[2:3]), zoned)
+
+
+def _worded(n: Column, now: Column) -> Column:
+    """Dates with an English month, with a year or without."""
+    short = told.bound(F.concat(n, F.lit(" "), F.year(now).cast("string")), lambda y: F.coalesce(*[F.try_to_timestamp(y, F.lit(f)) for f in ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")]))
+    day_first, month_first = rf"(?i)^[+-]?\d+ (?:{_MONTH})", rf"(?i)^(?:{_MONTH})"
+    return F.coalesce(_tried(n, day_first, DATES[4:6]), _tried(n, month_first, DATES[6:]), F.when(n.rlike(rf"{day_first}\p{{L}}*$|{month_first}\p{{L}}* [+-]?\d+$"), short))
 
 
 def to_date(c: Column, now: Column | None = None) -> Column:
     """ISO text: a date at midnight, else date and time."""
-    at = to_timestamp(c, now)
-    midnight = F.date_format(at, "HH:mm:ss") == "00:00:00"
-    return F.when(midnight, F.date_format(at, "yyyy-MM-dd")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"))
+
+    def shown(at: Column) -> Column:
+        midnight = F.date_format(at, "HH:mm:ss") == "00:00:00"
+        return F.when(midnight, F.date_format(at, "yyyy-MM-dd")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"))
+
+    return told.bound(to_timestamp(c, now), shown)
 
 
 def to_text(c: Column) -> Column:

@@ -69,7 +69,7 @@ def _table(names: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
 
 
-def _bound(value: Column, body) -> Column:
+def bound(value: Column, body) -> Column:
     """A body over a value that is worked out once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -88,36 +88,44 @@ _CLOCK = r"(?:^|[\s,t])(\d{1,2})(?:[:h]|\.(?=\d\d ?uhr))(\d{2})(?::(\d{2}))?(?:[
 _HOUR = r"(?:^|[\s,])(\d{1,2}) ?(?:(?:uhr|h|heures)|([ap])\.?m\.?)(?=[\s,]|$)"
 
 
-def _time(text: Column) -> tuple[Column, Column]:
-    """Seconds since midnight (null where no time of day is told, -1 where there can be none such) and the rest of a text."""
-    part = lambda pattern, k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("int")
-    exact = text.rlike(_CLOCK)
-    hour = F.when(exact, part(_CLOCK, 1)).otherwise(part(_HOUR, 1))
-    half = F.when(exact, F.regexp_extract(text, _CLOCK, 4)).otherwise(F.regexp_extract(text, _HOUR, 2))
-    hour = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)
-    minute, second = F.coalesce(F.when(exact, part(_CLOCK, 2)), F.lit(0)), F.coalesce(F.when(exact, part(_CLOCK, 3)), F.lit(0))
-    at = F.when((hour < 24) & (minute < 60) & (second < 60), hour * 3600 + minute * 60 + second).when(hour.isNotNull(), -1)
-    rest = F.when(exact, F.regexp_replace(text, _CLOCK, " ")).otherwise(F.regexp_replace(text, _HOUR, " "))
-    return at, rest
+def _time(text: Column) -> Column:
+    """Struct of seconds since midnight (`at`: null where no time of day is told, -1 where there can be none such) and the `rest` of a text."""
+
+    def clock(pattern: str, half: int, *smaller: int) -> Column:
+        part = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("int")
+        told = bound(F.struct(part(1).alias("hour"), F.regexp_extract(text, pattern, half).alias("half")), _hour)
+        minute, second = ([F.coalesce(part(k), F.lit(0)) for k in smaller] + [F.lit(0)] * 2)[:2]
+        at = bound(F.struct(told.alias("h"), minute.alias("m"), second.alias("s")), lambda t: F.when((t["h"] < 24) & (t["m"] < 60) & (t["s"] < 60), t["h"] * 3600 + t["m"] * 60 + t["s"]).when(t["h"].isNotNull(), -1))
+        return F.struct(at.alias("at"), F.regexp_replace(text, pattern, " ").alias("rest"))
+
+    return F.when(text.rlike(_CLOCK), clock(_CLOCK, 4, 2, 3)).when(text.rlike(_HOUR), clock(_HOUR, 2)).otherwise(F.struct(F.lit(None).cast("int").alias("at"), text.alias("rest")))
+
+
+def _hour(told: Column) -> Column:
+    hour, half = told["hour"], told["half"]
+    return F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "p", 12).otherwise(0)).otherwise(99)
 
 
 def timestamp(c: Column, now: Column | None = None, language: str | None = None) -> Column:
     """The date and time that a text tells in any of the languages; numbers alone in the order of `language` (day first without one)."""
     now = F.current_timestamp() if now is None else now
-    return _bound(plain(c), lambda text: _timestamp(text, now, language))
+    return bound(plain(c), lambda text: _timestamp(text, now, language))
 
 
 def _timestamp(text: Column, now: Column, language: str | None) -> Column:
-    at, rest = _time(text)
+    return F.coalesce(bound(_time(text), lambda t: _dated(t["at"], t["rest"], now, language)), relative(text, now))
+
+
+def _dated(at: Column, rest: Column, now: Column, language: str | None) -> Column:
     words = F.regexp_extract_all(rest, F.lit(r"([a-z]+|\d+)"), 1)
     skip = F.array(*[F.lit(w) for w in dict.fromkeys((WEEKDAYS + " " + FILLERS).split())])
     months = _table(MONTHS)
     # "mar" is a month before a weekday, as only one of them can stand beside a number
     kept = F.filter(words, lambda w: ~F.array_contains(skip, w))
     tokens = F.array_join(F.transform(kept, lambda w: F.coalesce(F.concat(F.lit("m"), F.try_element_at(months, w).cast("string")), F.when(w.rlike(r"^\d{1,4}$"), w), F.lit("?"))), " ")
-    fixed = _bound(tokens, lambda code: _calendar(code, now, language))
-    timed = F.when(at.isNull(), fixed).when(at >= 0, fixed + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), at))
-    return F.coalesce(timed, relative(text, now))
+    fixed = bound(tokens, lambda code: F.when(~F.contains(code, F.lit("?")), _calendar(code, now, language)))
+    seconds = F.coalesce(at, F.lit(0))
+    return F.when(seconds >= 0, fixed + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds))
 
 
 def _calendar(code: Column, now: Column, language: str | None) -> Column:
@@ -162,12 +170,12 @@ def relative(text: Column, now: Column) -> Column:
 
 def price(c: Column, language: str | Column | None = None) -> Column:
     """struct of amount and currency (null where none is told); null where there is no number."""
-    return _bound(plain(c), lambda text: _price(text, language))
+    return bound(plain(c), lambda text: _price(text, language))
 
 
 def _price(text: Column, language: str | Column | None) -> Column:
     raw = F.regexp_extract(text, r"[-+]?(?:\d[\d.,' ]*\d|\d)", 0)
-    amount = _bound(F.regexp_replace(raw, "[' ]", ""), lambda bare: _amount(bare, language))
+    amount = bound(F.regexp_replace(raw, "[' ]", ""), lambda bare: _amount(bare, language))
     told = F.regexp_extract(text, rf"(?:^|[^a-z])({'|'.join(w for w in _any(' '.join(CURRENCIES.values())).replace('$', '[$]').split('|') if w[0].isalpha())})(?![a-z])|([$€£¥₹])", 0)
     currency = F.try_element_at(_table(CURRENCIES), F.regexp_replace(told, "[^a-z$€£¥₹]", ""))
     return F.when(amount.isNotNull(), F.struct(amount.alias("amount"), currency.alias("currency")))
