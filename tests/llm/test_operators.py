@@ -498,6 +498,27 @@ def test_pairs_across_components():
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_near_lines_make_no_pairs(spark):
+    """Lines that are near by hash and not linked: no table between the steps grows with their pairs, and links among them are found."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, size = " ".join(word(11) for _ in range(24)), 80
+    texts = [common + " " + " ".join(word(3) for _ in range(30)) for _ in range(size)]
+    texts += [t[:-1] + "0" for t in texts[10:20]]
+    rows: dict[str, int] = {}
+
+    class Counted(lines.LineGroups):
+        def kept_table(self, df, name):
+            out = super().kept_table(df, name)
+            rows[name] = max(rows.get(name, 0), out.count())
+            return out
+
+    got = {r.doc_id: r.group_doc_id for r in Counted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", 0.85).run().collect()}
+    assert not any(lines.within(a, b, int(max(len(a), len(b)) * 0.15)) for k, a in enumerate(texts[:size]) for b in texts[:k])
+    assert got == {k: k if k < size else k - size + 10 for k in range(len(texts))}
+    assert rows["line-rest"] > size and max(rows.values()) <= 20 * len(texts) < size * (size - 1) / 2
+
+
 def test_lines_of_any_length(spark):
     """A line of five megabytes, and its copy with one word changed, among short ones."""
     rng = random.Random(3)

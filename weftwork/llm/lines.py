@@ -17,8 +17,10 @@ letters are joined on what is left without any one letter, or none.
 
 A bucket is not paired up.  Its least line leads and is held against the others; the links found
 make components; lines of a bucket that are in different components then meet in blocks of rows,
-spread over tasks, where only their hashes are compared.  Pairs at most `BITS` bits apart and close
+spread over tasks, where their hashes are compared.  Pairs at most `BITS` bits apart and close
 enough in length go to the edit distance: a link has 1 - Levenshtein / longer length >= `SIMILARITY`.
+Pairs of the second kind never leave a task: lines that are near another bring their texts to the blocks of their
+buckets, a pair is tried in the first bucket it shares and while no link has joined its components, and links come out.
 Of each component the occurrence with the least (identifier, line number) stays.
 
 Style: the pass that reads all text is numpy in an Arrow function, the edit distance bit vectors in
@@ -36,7 +38,7 @@ their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -60,6 +62,8 @@ FEW, SHORT = 8, 64
 LONG = 24
 #: Rows of a bucket that meet in a task: a block against a block.
 ROWS = 4_096
+#: The same where their texts meet.
+TEXT_ROWS = 512
 #: Characters worked on at a time, where no text is longer.
 SLAB = 1 << 20
 _U = np.uint64
@@ -254,38 +258,37 @@ def _room(longer: np.ndarray, similarity: float) -> np.ndarray:
 _FEW_ROWS = 64
 
 
-def _apart(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, block, id, component, chars, s0, s1, s2, s3) come sorted by (bucket, i, j): pairs across components that hashes and lengths allow."""
+def _met(batches: Iterable[pa.RecordBatch], similarity: float, each: Callable[[pa.Table], tuple[Callable[[np.ndarray, np.ndarray], None], Callable[[], pa.Table]]]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, i, j, block, id, component, chars, s0, s1, s2, s3, ...) come sorted by (bucket, i, j): `each` takes pairs across components that hashes and lengths allow, and then tells its rows."""
 
     def compare(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, i, j, block, ids, chars = (t.column(k).to_numpy() for k in (0, 1, 2, 3, 4, 6))
+        bucket, i, j, block, chars = (t.column(k).to_numpy() for k in (0, 1, 2, 3, 6))
         sig = np.column_stack([t.column(k).to_numpy() for k in range(7, 11)]).view(np.uint64)
         own = t.column(5).combine_chunks().dictionary_encode().indices.to_numpy()
         head = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         group, starts = np.cumsum(head) - 1, np.flatnonzero(head)
         size = np.diff(np.concatenate([starts, [len(head)]]))
+        take, told = each(t)
 
-        def pairs(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch | None:
+        def pairs(p: np.ndarray, q: np.ndarray) -> None:
             fit = (own[p] != own[q]) & ((i[p] == j[p]) | (block[p] != block[q])) & (np.abs(chars[p] - chars[q]) <= _room(np.maximum(chars[p], chars[q]), similarity))
             p, q = p[fit], q[fit]
             near = np.bitwise_count(sig[p] ^ sig[q]).sum(axis=1) <= BITS
             if near.any():
-                x, y = ids[p[near]], ids[q[near]]
-                return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-            return None
+                take(p[near], q[near])
 
         few = np.flatnonzero(size[group] <= _FEW_ROWS)
         for d in range(1, int(size[size <= _FEW_ROWS].max(initial=1))):
             p = few[few + d < len(group)]
             p = p[group[p] == group[p + d]]
-            if len(p) and (out := pairs(p, p + d)) is not None:
-                yield out
+            if len(p):
+                pairs(p, p + d)
         for g in np.flatnonzero(size > _FEW_ROWS).tolist():
             last = starts[g] + size[g]
             for r in range(starts[g], last - 1):
                 q = np.arange(r + 1, last)
-                if (out := pairs(np.full(len(q), r), q)) is not None:
-                    yield out
+                pairs(np.full(len(q), r), q)
+        yield from told().to_batches()
 
     held: pa.Table | None = None
     for batch in batches:
@@ -304,6 +307,67 @@ def _apart(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.
         yield from compare(held)
 
 
+def _apart(batches: Iterable[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of ids themselves."""
+
+    def each(t: pa.Table) -> tuple[Callable, Callable]:
+        ids, found = t.column(4).to_numpy(), [np.empty((0, 2), np.int64)]
+
+        def told() -> pa.Table:
+            both = np.concatenate(found)
+            return pa.table({"a": both.min(axis=1), "b": both.max(axis=1)})
+
+        return lambda p, q: found.append(np.column_stack([ids[p], ids[q]])), told
+
+    return _met(batches, similarity, each)
+
+
+def _near(t: pa.Table) -> tuple[Callable, Callable]:
+    """Of the rows those with another one near: as many as there are rows at most, however many pairs."""
+    mark = np.zeros(t.num_rows, bool)
+
+    def take(p: np.ndarray, q: np.ndarray) -> None:
+        mark[p] = mark[q] = True
+
+    return take, lambda: t.select(["bucket", "id"]).filter(pa.array(mark))
+
+
+def _confirmed(t: pa.Table, similarity: float) -> tuple[Callable, Callable]:
+    """Links (a, b) by the texts of rows (..., words, mass, key, norm): a pair is tried in the first bucket it shares, and only while nothing has linked its components."""
+    bucket, chars, words = (t.column(k).to_numpy() for k in ("bucket", "chars", "words"))
+    sig = np.column_stack([t.column(c).to_numpy() for c in _SIG]).view(np.uint32)
+    mass = np.ascontiguousarray(t.column("mass").to_numpy()).view(np.uint8).reshape(-1, BLOCKS)
+    keys, counts = (np.column_stack(x) for x in zip(*bucket_keys(words, sig, mass), strict=True))
+    keys = keys.view(np.int64)
+    own = t.column("c").combine_chunks().dictionary_encode().indices.to_pylist()
+    key, norm = t.column("key"), t.column("norm")
+    up: dict[int, int] = {}
+    found: list[tuple[int, int]] = []
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def take(p: np.ndarray, q: np.ndarray) -> None:
+        shared = (keys[p] == keys[q]) & counts[p] & counts[q]
+        # buckets of short lines are no such keys
+        first = ~shared.any(axis=1) | (keys[p, shared.argmax(axis=1)] == bucket[p])
+        p, q = p[first], q[first]
+        room = _room(np.maximum(chars[p], chars[q]), similarity).astype(int)
+        for x, y, r in zip(p.tolist(), q.tolist(), room.tolist(), strict=True):
+            if (a := top(own[x])) != (b := top(own[y])) and within(norm[x].as_py(), norm[y].as_py(), r):
+                up[a] = b
+                found.append((x, y))
+
+    def told() -> pa.Table:
+        a, b = ([x[k] for x in found] for k in (0, 1))
+        return pa.table({"a": key.take(pa.array(a, pa.int64())), "b": key.take(pa.array(b, pa.int64()))})
+
+    return take, told
+
+
 def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, for the way over the network."""
     pack = zstandard.ZstdCompressor(level=1).compress
@@ -410,16 +474,29 @@ class LineGroups:
         return self.kept_table(links.distinct(), "line-links")
 
     def across(self, seats: DataFrame, seated: DataFrame, groups: DataFrame) -> DataFrame:
-        """Pairs of ids in a bucket whose components differ, the leader apart."""
+        """Links, as keys (a, b), between lines of a bucket whose components differ, the leader apart: rows that are near others by hash first, then those rows by their texts."""
         similarity = self.similarity
-        label = seated.select("id", "key", "chars", *_SIG).join(groups.withColumnRenamed("node", "key"), "key", "left").select("id", "chars", *_SIG, F.coalesce("component", "key").alias("c"))
+        label = seated.select("id", "key", "first", "chars", "words", *_SIG, "mass").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
         sat = seats.select("bucket", "id").join(label.select("id", "c"), "id")
-        open_ = sat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket", F.ceil(F.col("n") / ROWS).cast("int").alias("blocks"))
-        rows = sat.select("bucket", "id").join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(label, "id")
-        rows = rows.select("bucket", F.least("block", "y").alias("i"), F.greatest("block", "y").alias("j"), "block", "id", "c", "chars", *_SIG)
-        dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        return dealt.mapInArrow(lambda it: _apart(it, similarity), "a long, b long").distinct()
+        open_ = sat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket", "n")
+
+        def dealt(rows: DataFrame, most: int, *more: str) -> DataFrame:
+            """Rows with the number n of their bucket, in blocks that each meet each other."""
+            blocks = F.ceil(F.col("n") / most).cast("int")
+            rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            rows = rows.select("bucket", F.least("block", "y").alias("i"), F.greatest("block", "y").alias("j"), "block", "id", "c", "chars", *_SIG, *more)
+            return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+        rows = dealt(sat.select("bucket", "id").join(open_, "bucket").join(label.select("id", "c", "chars", *_SIG), "id"), ROWS)
+        near = self.kept_table(rows.mapInArrow(lambda it: _met(it, similarity, _near), "bucket long, id long").distinct(), "line-rest")
+        if not near.limit(1).count():
+            return self.spark.createDataFrame([], "a binary, b binary")
+        left = label.join(near.select("id").distinct(), "id", "left_semi")
+        texts = self.texts(left.select("key", "first"))
+        told = self.kept_table(left.join(texts, "key").select("id", "c", "chars", "words", *_SIG, "mass", "key", "norm"), "line-near")
+        rows = near.join(near.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket").join(told, "id")
+        links = dealt(rows, TEXT_ROWS, "words", "mass", "key", "norm").mapInArrow(lambda it: _met(it, similarity, lambda t: _confirmed(t, similarity)), "a binary, b binary")
+        return self.kept_table(links.distinct(), "line-links")
 
     def run(self) -> DataFrame:
         similarity = self.similarity
@@ -432,12 +509,12 @@ class LineGroups:
         seats = self.kept_table(seats.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(led, "bucket long, leader long, id long"), "seats")
         pairs = seats.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
         ids = seats.select("id").unionByName(seats.select(F.col("leader").alias("id"))).distinct()
-        seated = self.kept_table(different.join(ids, "id", "left_semi").select("id", "key", "first", "chars", *_SIG), "seated")
+        seated = self.kept_table(different.join(ids, "id", "left_semi").select("id", "key", "first", "chars", "words", *_SIG, "mass"), "seated")
         links = self.linked(pairs, seated)
         groups = components(links)
-        rest = self.kept_table(self.across(seats, seated, groups), "line-rest")
+        rest = self.across(seats, seated, groups)
         if rest.limit(1).count():
-            links = links.unionByName(self.linked(rest, seated))
+            links = links.unionByName(rest)
             groups = components(links)
         names = different.select("key", "first", "rows").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "first", "rows", F.coalesce("component", "key").alias("c"))
         heads = names.groupBy("c").agg(F.min("first").alias("head"), F.sum("rows").alias("group_lines")).where("group_lines > 1")
