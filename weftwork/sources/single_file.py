@@ -142,19 +142,21 @@ class Archive:
 
 
 class Csv:
-    """RFC 4180 with a byte-order mark and a header; nulls are empty."""
+    """RFC 4180 with a byte-order mark and a header; nulls are empty, empty texts are quoted."""
 
     def __init__(self, columns: Sequence[str], options: dict):
         self.columns = columns
 
     def _lines(self, rows) -> bytes:
         out = io.StringIO()
-        csv.writer(out).writerows(rows)
+        plain, told = csv.writer(out), csv.writer(out, quoting=csv.QUOTE_NOTNULL)
+        for r in rows:
+            (told if "" in r else plain).writerow(r)
         return out.getvalue().encode()
 
     def pieces(self, rows: Iterator[list]) -> Iterator[tuple[bytes, Piece]]:
         for some in _some(rows, 4096):
-            data = self._lines(["" if x is None else x for x in r] for r in some)
+            data = self._lines(some)
             yield data, Piece(0, len(data), len(some))
 
     def join(self, out, fragments: list[Fragment], copy: Callable) -> None:
@@ -414,7 +416,7 @@ def _records(path: str, start: int, end: int, quoted: bool) -> bytes:
 
 
 def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows below the header of one CSV file, read by many tasks; empty cells are null.
+    """The rows below the header of one CSV file, read by many tasks; empty cells are null, quoted ones empty texts.
 
     Tasks count the quotes of their bytes; the sums before each range, one number a range, tell whether it begins
     inside a text.  A record is read where the line end before it stands.
@@ -442,18 +444,20 @@ def csv_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
         inside.append(before % 2 == 1)
         before += quotes[k]
     kinds = T._parse_datatype_string(schema)
-    names = kinds.names
+    names, alone = kinds.names, len(kinds) == 1
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(1 << 31)
         for b in batches:
             for k in b.column(0).to_pylist():
                 text = io.TextIOWrapper(io.BytesIO(_records(path, k * width, min(size, (k + 1) * width), inside[k])), "utf-8", newline="")
-                for some in _some((r for r in csv.reader(text) if r), 4096, FRAGMENT_CHARS):
-                    yield pa.record_batch([pa.array([v or None for v in c], pa.string()) for c in zip(*some, strict=True)], names=names)
+                for some in _some((r for r in csv.reader(text, quoting=csv.QUOTE_NOTNULL) if r), 4096, FRAGMENT_CHARS):
+                    # the only cell of a row is quoted when it is empty, a null too
+                    yield pa.record_batch([pa.array([v or None for v in c] if alone else c, pa.string()) for c in zip(*some, strict=True)], names=names)
 
     cells = ranges.mapInArrow(read, ", ".join(f"`{c}` string" for c in names))
-    return cells.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in kinds])
+    told = lambda f: F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) else F.nullif(F.col(f"`{f.name}`"), F.lit(""))
+    return cells.select(*[told(f).cast(f.dataType).alias(f.name) for f in kinds])
 
 
 # ---- workbooks read back ------------------------------------------------------------------
