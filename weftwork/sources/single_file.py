@@ -193,6 +193,8 @@ _MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
 _KIND = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+#: A carriage return that stands as it is would be read as a line feed.
+_RETURN = {"\r": "&#13;"}
 
 
 def letters(i: int) -> str:
@@ -207,14 +209,14 @@ def letters(i: int) -> str:
 
 def _cell(v, style: int = 0) -> str:
     s = f' s="{style}"' if style else ""
-    if v is None or v == "":
+    if v is None:
         return "<c/>"
     if isinstance(v, bool):
         return f'<c t="b"{s}><v>{int(v)}</v></c>'
     if isinstance(v, int | float) and v == v and abs(v) != float("inf"):
         return f"<c{s}><v>{v!r}</v></c>"
     text = "".join(c for c in str(v) if c in "\t\n\r" or ord(c) >= 32 and c not in "￾￿")
-    return f'<c t="inlineStr"{s}><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+    return f'<c t="inlineStr"{s}><is><t xml:space="preserve">{escape(text, _RETURN)}</t></is></c>'
 
 
 class Xlsx:
