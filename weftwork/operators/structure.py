@@ -17,9 +17,9 @@ from pyspark.sql.window import Window
 from ..dom.nodes import TEXT
 from ..functions.pages import DATE, PRICE
 
-# A group's least size, the least average text of its items and the most that counts, items looked at for
-# its texts; the least share of items that fill a field, and the shares from which it is a price or a date.
-LEAST, SHORT, LONG, LOOKED_AT = 3, 8, 400, 20
+# A group's least size, the least average text of its items and the most that counts; the least share of
+# items that fill a field, and the shares from which it is a price or a date.
+LEAST, SHORT, LONG = 3, 8, 400
 FILL, PRICES, DATES = 0.5, 0.7, 0.6
 #: The least share of different addresses among an item's links, and where its own link is looked for.
 DIFFERENT, PREFERENCES = 0.8, ("h1", "h2", "h3", "h4", "")
@@ -48,7 +48,7 @@ def measured(nodes: DataFrame, page: str = "page_id") -> DataFrame:
 def containers(nodes: DataFrame, page: str = "page_id", by: Sequence[str] | None = None, short: float = SHORT) -> DataFrame:
     """by, selector, items, pages, average, linked, score: groups of like siblings under like parents, scored by number, text and links.
 
-    A group counts where some parent holds three at least and its items have `short` characters on average; `by` is the page unless it is told.
+    A group counts where some parent holds three at least and its items, all of them, have `short` characters on average; `by` is the page unless it is told.
     """
     by = list(by or [page])
     keys = list(dict.fromkeys([page, *by]))
@@ -57,10 +57,8 @@ def containers(nodes: DataFrame, page: str = "page_id", by: Sequence[str] | None
     j = e.join(up, [page, "parent"], "left")
     css = F.when(F.col("_up").isNull() | F.col("_up_tag").isin(*_OUTER), F.col("step")).otherwise(F.concat("_up", F.lit(" > "), "step"))
     alike = j.withColumns({"selector": css, "_n": F.count(F.lit(1)).over(Window.partitionBy(page, "parent", "step"))}).where(F.col("_n") >= LEAST)
-    first = alike.withColumn("_r", F.row_number().over(Window.partitionBy(page, "selector").orderBy("pre")))
-    shown = F.when(F.col("_r") <= LOOKED_AT, F.least(F.col("chars"), F.lit(120)))
-    groups = first.groupBy(*by, "selector").agg(
-        F.count(F.lit(1)).alias("items"), F.count_distinct(*keys).alias("pages"), F.avg(shown).alias("average"), F.avg(F.when(F.col("_r") <= LOOKED_AT, (F.col("links") > 0).cast("double"))).alias("linked")
+    groups = alike.groupBy(*by, "selector").agg(
+        F.count(F.lit(1)).alias("items"), F.count_distinct(*keys).alias("pages"), F.avg("chars").alias("average"), F.avg((F.col("links") > 0).cast("double")).alias("linked")
     )
     score = F.round(F.col("items") * F.least("average", F.lit(float(LONG))) * (1 + 0.5 * F.col("linked")), 3)
     return groups.where(F.col("average") >= short).withColumn("score", score)
