@@ -19,30 +19,34 @@ TIMES = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "
 #: How the English months begin, and all texts that `relative` knows.
 _MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 _FROM_NOW = "^in | ago$|^(?:yesterday|tomorrow|today|now|just now|last week)$"
+#: A number that needs no reading.
+_BARE = r"^[-+]?\d+(?:\.\d{1,2})?\z"
 _CURRENCY = r"(?i)[$€£¥₹]|\b(?:usd|eur|gbp|chf|jpy|inr|sek|nok|dkk|pln)\b|zł|kr\b"
 
 
 def to_number(c: Column) -> Column:
     """The first number in a text, by the mark that stands before its last one or two digits."""
-    raw = F.trim(F.regexp_extract(F.replace(c, F.lit(" "), F.lit(" ")), r"[-+]?\d[\d,.\s]*", 0))
-    raw = F.regexp_replace(raw, r"\s+$", "")
+    found = lambda c: F.regexp_replace(F.trim(F.regexp_extract(F.replace(c, F.lit(" "), F.lit(" ")), r"[-+]?\d[\d,.\s]*", 0)), r"\s+$", "")
+    return F.when(c.rlike(_BARE), c.try_cast("double")).otherwise(told.bound(found(c), _by_mark).try_cast("double"))
+
+
+def _by_mark(raw: Column) -> Column:
     mark = F.regexp_extract(raw, r"([.,])\d{1,2}$", 1)
     bare = F.replace(raw, F.lit(" "), F.lit(""))
-    marked = F.when(mark == ",", F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(bare, F.lit(","), F.lit("")))
-    plain = F.regexp_replace(raw, r"[,\s]", "")
-    return F.when(raw != "", F.when(mark != "", marked).otherwise(plain)).try_cast("double")
+    marked = told.bound(mark, lambda mark: F.when(mark == ",", F.replace(F.replace(bare, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(mark != "", F.replace(bare, F.lit(","), F.lit(""))).otherwise(F.regexp_replace(raw, r"[,\s]", "")))
+    return F.when(raw != "", marked)
 
 
 def to_price(c: Column) -> Column:
     """A number without its currency; a mark before three digits and none after separates thousands."""
-    return to_number(strip(F.regexp_replace(c, _CURRENCY, " ")))
+    return F.when(c.rlike(_BARE), c.try_cast("double")).otherwise(to_number(strip(F.regexp_replace(c, _CURRENCY, " "))))
 
 
 def to_bool(c: Column) -> Column:
     """Whole words first; then phrases of more than two letters, the negative ones before the others."""
-    t = F.lower(strip(c))
-    says = lambda words: t.rlike("|".join(w for w in words if len(w) > 2))
-    return F.when(t.isin(*YES), F.lit(True)).when(t.isin(*NO), F.lit(False)).when(says(NO), F.lit(False)).when(says(YES), F.lit(True))
+    says = lambda t, words: t.rlike("|".join(w for w in words if len(w) > 2))
+    plain = F.when(c == "true", F.lit(True)).when(c == "false", F.lit(False))
+    return plain.otherwise(told.bound(F.lower(strip(c)), lambda t: F.when(t.isin(*YES), F.lit(True)).when(t.isin(*NO), F.lit(False)).when(says(t, NO), F.lit(False)).when(says(t, YES), F.lit(True))))
 
 
 def to_enum(c: Column, options: Sequence[str]) -> Column:

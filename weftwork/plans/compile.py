@@ -124,10 +124,9 @@ def _one(f: Field, e: Extractor, raw: Column, base: Column) -> Column:
     return coerce.coerce(values, f.type, f.enum or (), f.extract.all)
 
 
-def field(f: Field, raws: list[Column], base: Column) -> tuple[Column, Column]:
+def field(f: Field, found: list[Column]) -> tuple[Column, Column]:
     """(value, provenance): the first extractor whose value is filled, else the default."""
     kind = T._parse_datatype_string(_spark_type(f))
-    found = [_one(f, e, r, base) for e, r in zip(f.extractors, raws, strict=True)]
     filled = [is_filled(c, kind) for c in found]
     default = F.lit(f.default).cast(kind) if f.default is not None and not isinstance(kind, (T.ArrayType, T.VariantType)) else F.lit(None).cast(kind)
     value, origin = None, None
@@ -160,10 +159,36 @@ def _raws(f: Field, markup: Column | None, document: Column | None, parent: Colu
     return out
 
 
+def _looked_up(f: Field, e: Extractor, document: Column | None, parent: Column | None) -> Column | None:
+    """The text of a field of one value whose path leads to one place; null where it has to be walked."""
+    if e.source != "json_path" or document is None or e.all or f.extract.all or f.type == "list" or f.transforms:
+        return None
+    return jsonpath.looked_up(*_place(document, parent, e.json_path))
+
+
+def _said(f: Field, e: Extractor, text: Column, base: Column) -> Column:
+    """As _filtered and _one have it, of one text instead of an array: functions on arrays are not compiled."""
+    if e.regex or e.template:
+        text = F.get(_filtered(F.array(text), e), F.lit(0)) if e.regex else F.when(text != "", F.replace(F.lit(e.template), F.lit("{value}"), text))
+    return urls.resolve(base, text) if f.type in ("url", "image") else text
+
+
 def _project(df: DataFrame, fields: list[Field], markup: Column | None, document: Column | None, base: Column, parent: Column | None = None) -> DataFrame:
+    # what extractors found are columns of their own, or each place that names one would work it out again
+    found = {(f.name, i): _one(f, e, r, base) for f in fields for i, (e, r) in enumerate(zip(f.extractors, _raws(f, markup, document, parent), strict=True))}
+    texts, said = {}, {}
+    for f in fields:
+        for i, e in enumerate(f.extractors):
+            text = _looked_up(f, e, document, parent)
+            if text is not None:
+                own = f"{f.name}__{i}"
+                texts[f"_text_{own}"], said[f"_said_{own}"] = text, _said(f, e, F.col(f"_text_{own}"), base)
+                found[f.name, i] = F.when(F.col(f"_text_{own}").isNotNull(), coerce.coerce_one(F.col(f"_said_{own}"), f.type, f.enum or ())).otherwise(found[f.name, i])
+    for made in (texts, said, {f"_found_{name}__{i}": c for (name, i), c in found.items()}):
+        df = df.withColumns(made) if made else df
     columns, origins = {}, []
     for f in fields:
-        columns[f.name], origin = field(f, _raws(f, markup, document, parent), base)
+        columns[f.name], origin = field(f, [F.col(f"_found_{f.name}__{i}") for i in range(len(f.extractors))])
         origins += [F.lit(f.name), origin]
     df = df.withColumns(columns) if columns else df
     own = F.create_map(*origins) if origins else F.create_map().cast("map<string,string>")
@@ -190,13 +215,15 @@ def extract(recipe: Recipe, pages: DataFrame, tier: str = "http", keep: Sequence
         df = df.withColumn("_m", read_markup(recipe))
     if wants_json:
         if "body" in df.columns:
-            blobs = jsonpath.body_map(F.try_parse_json("body"))
+            df = df.withColumn("_body", F.try_parse_json("body"))
+            blobs = jsonpath.body_map(F.col("_body"))
         else:
             blobs = F.transform_values(embedded_json(), lambda k, v: F.try_parse_json(v))
         df = df.withColumn("_blobs", blobs)
     markup = F.col("_m") if "_m" in df.columns else None
     # JSON paths outside a JSON node look in the page's documents, by name
-    document = F.to_variant_object("_blobs") if wants_json else None
+    document = F.col("_document") if wants_json else None
+    df = df.withColumn("_document", F.to_variant_object("_blobs")) if wants_json else df
     df = _project(df, whole, markup["page"] if markup is not None else None, document, base)
     if recipe.page_type == "single":
         df = df.withColumns({"_index": F.lit(0), "_which": F.lit("page"), "_detail_url": F.lit(None).cast("string")})
@@ -207,9 +234,10 @@ def extract(recipe: Recipe, pages: DataFrame, tier: str = "http", keep: Sequence
         name, bracket, rest = head.partition("[")
         path = (bracket + rest + ("." + path if path else "")) if bracket else path
         # a column of its own, or each place that names it would walk the document again
-        df = df.withColumn("_hits", jsonpath.resolve(F.try_element_at("_blobs", F.lit(name)), path))
+        part = jsonpath.body_part(F.col("_body"), name) if "_body" in df.columns else F.try_element_at("_blobs", F.lit(name))
+        df = df.withColumn("_hits", jsonpath.resolve(part, path))
         hits = F.col("_hits")
-        nodes = F.when((F.size(hits) == 1) & jsonpath.is_array(F.get(hits, F.lit(0))), jsonpath.elements(F.get(hits, F.lit(0)))).otherwise(hits)
+        nodes = F.coalesce(F.when(F.size(hits) == 1, jsonpath.elements(F.get(hits, F.lit(0)))), hits)
         df = df.withColumn("_nodes", nodes).withColumn("_which", F.when(F.size("_nodes") > 0, "primary").otherwise("missing")).drop("_hits")
         nodes = F.col("_nodes")
         df = df.select("*", opened(F.filter(nodes, jsonpath.is_object)).alias("_index", "_node"))
